@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 
-SAMPLES = 16
+SAMPLES = 32
 
 
 def terms(text: Column) -> Column:
-    """Sorted hashes of the word pairs of a text (each word with the next; the last one alone), repeats kept."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    return F.sort_array(F.zip_with(hashes, F.slice(hashes, 2, (1 << 31) - 1), lambda a, b: F.xxhash64(a, b)))
+    """Sorted hashes of the words of a text, repeats kept."""
+    return F.sort_array(F.transform(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
 def sample_columns(samples: int) -> tuple[dict[str, Column], dict[str, Column]]:

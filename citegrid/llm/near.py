@@ -155,7 +155,7 @@ def near_components(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = band_rows(num / den)
     feats = written(docs.mapInArrow(_features(k, rows), "doc_id long, n_shingles long, set_id binary, bands array<long>"), "features")
-    full = feats.filter("doc_id is not null and set_id is not null")
+    full = feats.filter("set_id is not null")
     nodes = full.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles"))
     copies = nodes.filter("n > 1").select("set_id", "rep")
     named = written(feats.drop("bands").join(copies, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("set_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "named")

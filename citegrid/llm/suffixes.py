@@ -27,6 +27,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+# hashes keep their high bits; the low ones hold a place within a chunk
+_HIGH = np.uint64(0xFFFFFFFFFFE00000)
 _UP, _DOWN = _powers(CHUNK + 2 * LENGTH)
 
 
@@ -50,19 +52,26 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def pieces(data: bytes, length: int = LENGTH, gram: int = GRAM):
-    """(anchor, piece hash, start, count): stretches of starts of length-byte strings with one anchor.
+    """(anchor, piece hash, start, count, again): stretches of starts of length-byte strings with one anchor.
 
     The anchor of a string is the smallest hash of its grams, so equal strings have equal anchors
     wherever they stand; a stretch with its bytes start .. start + count + length - 2 is a piece.
+    again tells that the anchor stands in it more than once, as in periodic texts.
     """
     b = np.frombuffer(data, np.uint8)
+    width = length - gram + 1
     for at in range(0, max(0, len(b) - length + 1), CHUNK):
         part = b[at : at + CHUNK + length - 1]
-        low = sliding_min(window_hashes(part, gram), length - gram + 1)
+        h = window_hashes(part, gram) & _HIGH
+        place = np.arange(len(h), dtype=np.uint64)
+        low = sliding_min(h | place, width)  # the first place of the smallest hash
+        right = ~sliding_min(h | (~place & ~_HIGH), width) & ~_HIGH  # and the last
+        left, low = low & ~_HIGH, low & _HIGH
         edge = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-        count = np.diff(np.concatenate([edge, [len(low)]]))
-        for a, s, c in zip(low[edge].view(np.int64).tolist(), (edge + at).tolist(), count.tolist(), strict=True):
-            yield a, xxhash.xxh3_64_intdigest(data[s : s + c + length - 1]) - (1 << 63), s, c
+        end = np.concatenate([edge[1:], [len(low)]])
+        again = left[edge] != right[end - 1]
+        for a, s, c, g in zip(low[edge].view(np.int64).tolist(), (edge + at).tolist(), (end - edge).tolist(), again.tolist(), strict=True):
+            yield a, xxhash.xxh3_64_intdigest(data[s : s + c + length - 1]) - (1 << 63), s, c, g
 
 
 def two_stage(x: np.ndarray, depth: int) -> np.ndarray:
@@ -182,7 +191,7 @@ def repeated_starts(parts: list[bytes], length: int = LENGTH) -> list[np.ndarray
     return [np.flatnonzero(marked[bounds[i] : bounds[i] + len(p)]) for i, p in enumerate(parts)]
 
 
-_OCC = "tid binary, anchor long, piece long, start int, count int"
+_OCC = "tid binary, anchor long, piece long, start int, count int, again boolean"
 
 
 def _occurrences(batches):
@@ -190,7 +199,7 @@ def _occurrences(batches):
         rows = [(tid, *p) for tid, data in zip(batch.column("tid").to_pylist(), batch.column("data").to_pylist(), strict=True) if len(data) >= LENGTH for p in pieces(data)]
         if rows:
             cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], [x.split()[0] for x in _OCC.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()), strict=True)], [x.split()[0] for x in _OCC.split(", ")])
 
 
 _CUT = "anchor long, piece long, many boolean, tid binary, start int, data binary"
@@ -273,7 +282,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Every byte in a LENGTH-byte string that also starts anywhere else, same text included, is
     removed; matches stay within texts. Strings meet by their anchors: an anchor with two
-    occurrences or more makes candidates of its pieces. A piece that stands twice as a whole is
+    occurrences or more, in one text or several, makes candidates of its pieces. A piece that stands twice as a whole is
     repeated as it is; the distinct pieces of an anchor are put in suffix arrays by two-stage
     sorting, in blocks of bounded size and all pairs of blocks for a common anchor, and the
     adjacent common prefixes tell which strings repeat. Equal texts of LENGTH bytes or more are
@@ -286,12 +295,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), data.alias("data"))
     docs = docs.withColumn("tid", F.unhex(F.substring(F.sha2("data", 256), 1, 32)))
     occ = written(docs.mapInArrow(_occurrences, _OCC), "pieces").withColumn("at", F.xxhash64("tid", "start"))
-    shared = occ.groupBy("anchor").agg(F.min("at").alias("a"), F.max("at").alias("b")).filter("a <> b").select("anchor")
+    shared = occ.groupBy("anchor").agg(F.min("at").alias("a"), F.max("at").alias("b"), F.max("again").alias("again")).filter("a <> b or again").select("anchor")
     occ = written(occ.join(shared, "anchor").drop("at"), "shared")
     at = F.xxhash64("tid", "start")
-    distinct = occ.groupBy("anchor", "piece").agg((F.min(at) != F.max(at)).alias("many"), F.min(F.struct("tid", "start", "count")).alias("o"))
-    distinct = written(distinct.select("anchor", "piece", "many", "o.*"), "distinct")
-    sizes = distinct.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.col("count") + LENGTH).alias("bytes")).filter("n > 1").select("anchor", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
+    distinct = occ.groupBy("anchor", "piece").agg((F.min(at) != F.max(at)).alias("many"), F.max("again").alias("again"), F.min(F.struct("tid", "start", "count")).alias("o"))
+    distinct = written(distinct.select("anchor", "piece", "many", "again", "o.*"), "distinct")
+    sizes = distinct.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.col("count") + LENGTH).alias("bytes"), F.max(F.col("again") & ~F.col("many")).alias("own")).filter("n > 1 or own").select("anchor", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
     wanted = distinct.join(sizes.select("anchor"), "anchor").groupBy("tid").agg(F.collect_list(F.struct("anchor", "piece", "many", "start", "count")).alias("wanted"))
     cut = docs.select("tid", "data").join(wanted, "tid").mapInArrow(_extract, _CUT).join(sizes, "anchor")
     cut = cut.withColumn("block", F.pmod(F.xxhash64("piece"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

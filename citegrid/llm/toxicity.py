@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import pieces_of, read_table, texts_of
 from .quality import labelled_sample, part_of
 
-SAMPLE_ROWS = 8000
+SAMPLE_ROWS = 12000
 MAX_TERMS = 2000
 MAX_STEMS = 400
 LEAST_DOCS = 6
@@ -168,7 +168,7 @@ def learn_terms(sample: DataFrame) -> tuple[list[str], list[str]]:
     pure = (F.col("bad") >= LEAST_DOCS) & (F.col("bad") >= 20 * F.col("good"))
     whole = [r.w for r in each.groupBy("w").agg(*count).filter(pure).orderBy(F.desc("bad"), "w").limit(MAX_TERMS).collect()]
     heads = sample.select("_y", F.explode(F.array_distinct(F.flatten(F.transform("w", lambda w: F.transform(F.sequence(F.lit(4), F.least(F.length(w), F.lit(8))), lambda n: F.substring(w, F.lit(1), n)))))).alias("w"))
-    found = {r.w: r.bad for r in heads.groupBy("w").agg(*count).filter(pure & (F.col("bad") >= 2 * LEAST_DOCS)).orderBy(F.desc("bad"), "w").limit(4 * MAX_STEMS).collect()}
+    found = {r.w: r.bad for r in heads.groupBy("w").agg(*count).filter(pure).orderBy(F.desc("bad"), "w").limit(4 * MAX_STEMS).collect()}
     stems = [s for s in found if not any(s[:n] in found for n in range(4, len(s)))]
     return whole, stems[:MAX_STEMS]
 

@@ -15,28 +15,25 @@ def terms(text: Column) -> Column:
     return F.sort_array(F.transform(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
-def sample_columns(samples: int) -> list[dict[str, Column]]:
-    """Steps of columns over (term, ln_weight) that end in r, b and c of each sample.
+def sample_values(samples: int) -> dict[str, Column]:
+    """Over (term, ln_weight): the logarithm a of each sample's value.
 
     As in consistent weighted sampling, r and exp(c) are Gamma(2, 1) and b is uniform, all drawn
     from the term's hash: t = floor(ln w / r + b), ln a = c - r (t - b + 1). Two texts have the
     same smallest a in a sample with a probability of their generalised Jaccard similarity,
     weights being counts. A Gamma(4, 1) variable split by a Beta(2, 2) one, the median of three
-    uniform ones, gives both Gammas for one logarithm.
+    uniform ones, gives both Gammas for one logarithm. What stands twice is computed once.
     """
     unit = lambda h, i: (F.shiftrightunsigned(h, 21 * i).bitwiseAND((1 << 21) - 1) + F.lit(0.5)) / float(1 << 21)
-    hashes, draws, values = {}, {}, {}
+    out = {}
     for k in range(samples):
-        h, g, q = (F.col(f"h{k}_{i}") for i in range(3))
-        hashes |= {f"h{k}_{i}": F.xxhash64("term", F.lit(3 * k + i)) for i in range(3)}
+        h, g, q = (F.xxhash64("term", F.lit(3 * k + i)) for i in range(3))
         x, y, z = unit(g, 1), unit(g, 2), unit(q, 0)
-        draws[f"s{k}"] = -F.log(unit(h, 0) * unit(h, 1) * unit(h, 2) * unit(g, 0))
-        draws[f"m{k}"] = F.greatest(F.least(x, y), F.least(F.greatest(x, y), z))
-        draws[f"b{k}"] = unit(q, 1)
-        values[f"r{k}"] = F.col(f"s{k}") * F.col(f"m{k}")
-        values[f"c{k}"] = F.log(F.col(f"s{k}") * (1 - F.col(f"m{k}")))
-        values[f"b{k}"] = F.col(f"b{k}")
-    return [hashes, draws, values]
+        both = -F.log(unit(h, 0) * unit(h, 1) * unit(h, 2) * unit(g, 0))
+        share = F.greatest(F.least(x, y), F.least(F.greatest(x, y), z))
+        r, c, b = both * share, F.log(both * (1 - share)), unit(q, 1)
+        out[f"a{k}"] = c - r * (F.floor(F.col("ln_weight") / r + b) - b + 1)
+    return out
 
 
 def fingerprints(docs: DataFrame, keys: list[str], texts: str, samples: int = SAMPLES) -> DataFrame:
@@ -49,10 +46,11 @@ def fingerprints(docs: DataFrame, keys: list[str], texts: str, samples: int = SA
     rows = rows.withColumn("_p", F.filter(F.sequence(F.lit(0), F.greatest(F.size("_s") - 1, F.lit(0))), lambda i: (i == 0) | (F.get(F.col("_s"), i) != F.get(F.col("_s"), i - 1))))
     rows = rows.select(*keys, "kind", "_s", "_p", F.posexplode_outer("_p").alias("_i", "_at"))
     rows = rows.select(*keys, "kind", F.get("_s", F.col("_at")).alias("term"), F.log((F.coalesce(F.get("_p", F.col("_i") + 1), F.size("_s")) - F.col("_at")).cast("double")).alias("ln_weight"))
-    for step in sample_columns(samples):
-        rows = rows.select(*keys, "kind", "term", "ln_weight", *[x.alias(name) for name, x in step.items()])
-    a = [F.col(f"c{k}") - F.col(f"r{k}") * (F.floor(F.col("ln_weight") / F.col(f"r{k}") + F.col(f"b{k}")) - F.col(f"b{k}") + 1) for k in range(samples)]
-    out = rows.groupBy(*keys, "kind").agg(*[F.min(F.when(F.col("term").isNotNull(), x)).alias(f"a{k}") for k, x in enumerate(a)])
+    values = sample_values(samples)
+    # The fold gives the term as it is. It keeps this step out of whole-stage code, which would
+    # be one method too long for the JVM to compile; a step of its own is cut into short ones.
+    rows = rows.select(*keys, "kind", F.aggregate(F.array("term"), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x)).alias("term"), *[x.alias(name) for name, x in values.items()])
+    out = rows.groupBy(*keys, "kind").agg(*[F.min(F.when(F.col("term").isNotNull(), F.col(x))).alias(x) for x in values])
     fp = F.array(*[F.xxhash64(f"a{k}").bitwiseAND(0xFFFFFFFF) for k in range(samples)])
     return out.select(*keys, "kind", F.when(F.col("a0").isNotNull(), fp).alias("fp"))
 

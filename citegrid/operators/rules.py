@@ -1,4 +1,4 @@
-"""The 24 rules. Those of one citation are one projection; the others join or aggregate."""
+"""The 24 rules. All but RP002 and the verification ones are one projection over citations."""
 
 from __future__ import annotations
 
@@ -64,7 +64,7 @@ def _say(*parts) -> Column:
 
 
 def enriched(cites: DataFrame, editions: DataFrame, court_table: DataFrame) -> DataFrame:
-    """cites with the facts of reporter and court that rules ask for: broadcast joins alone, no shuffle but for the first page of an authority."""
+    """cites with the facts of reporter and court that rules ask for: broadcast joins alone, no shuffle."""
     ed = editions.groupBy("abbrev").agg(F.max_by(F.struct("name", "series", "start", "end", "scotus_only", "non_precedential"), "position").alias("ed"))
     cites = cites.join(F.broadcast(ed), cites.canonical == ed.abbrev, "left").drop("abbrev")
     series = editions.groupBy("series").agg(F.collect_list(F.struct("abbrev", "start", "end")).alias("siblings")).withColumnRenamed("series", "_series")
@@ -84,9 +84,6 @@ def enriched(cites: DataFrame, editions: DataFrame, court_table: DataFrame) -> D
     parts = F.filter(F.split(F.lower("court_text"), "[^a-z0-9]+"), lambda w: w != "")
     fits = F.filter("_all", lambda c: (F.size(c["t"]) == F.size(parts)) & (c["n"] != T.normalized(F.col("court_text"))) & F.forall(F.zip_with(c["t"], parts, lambda a, b: F.startswith(a, b) | F.startswith(b, a)), lambda x: x) & F.exists(F.zip_with(c["t"], parts, lambda a, b: a != b), lambda x: x))
     cites = cites.withColumn("suggested", F.when(F.col("court_text").isNotNull() & F.col("court_id").isNull() & F.col("courts").isNull() & real, F.transform(F.slice(fits, 1, 2), lambda c: c["abbrev"])))
-    by = Window.partitionBy("doc_id", "resource_key").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = F.first(F.when(F.col("kind") == "case-reporter", F.col("page").cast("long")), ignorenulls=True).over(by)
-    cites = cites.withColumn("first_page", F.when(F.col("kind") == "case-reporter", F.col("page").cast("long")).when(F.col("resource_key").isNotNull(), first))
     return cites.drop("_k", "_b", "_exact", "_loose", "_id", "_all")
 
 
@@ -122,7 +119,11 @@ def row_rules(profile: Profile) -> dict[str, Column]:
     hint = F.when(c("case_name").isNotNull(), _say(" It appears to refer to ", _js("case_name"), ", which is not cited in full anywhere earlier.")).otherwise(" Cite the authority in full the first time it appears.")
     joined = F.array_join(F.transform("courts", lambda x: x["name"]), " or ")
     unpublished = (kind == "neutral") & c("neutral_body").rlike(r"-U\b")
+    written = F.array_join(F.transform("ways", T.quoted), ", ")
+    docket = c("before").rlike(r"\bNos?\.\s{0,4}[\w:-]{2,24}\s{0,4},?\s{0,4}$")
     rules = {
+        "RP003": one(F.size("ways") > 1, _finding("RP003", "warning", _say(_js("canonical"), " is abbreviated ", F.size("ways"), " different ways in this document (", written, "). Pick one."))),
+        "AU002": one((kind == "database") & ~c("has_parallel") & ~docket, _finding("AU002", "warning", _say(_js("text"), " is a ", c("database"), " database number with no reporter citation. Add the reporter cite, or say the case is unreported."))),
         "RP001": one(c("canonical").isNotNull() & (c("reporter") != c("canonical")) & ~((variant == "tightened") & F.lit(profile.tightens)), _finding("RP001", F.when(T.squash(c("reporter")) == T.squash(c("canonical")), "info").otherwise("warning"), rp001, fix=fixed, safety="safe")),
         "DT001": one(c("ed").isNotNull() & outside, _finding("DT001", "error", F.when(only.isNotNull(), _say(dt001, " A ", year, " case in this series would be in ", _js(only), ".")).otherwise(_say(dt001, " Check the volume, the reporter and the year.")), fix=T.replace_first(c("text"), c("reporter"), only), safety="unsafe")),
         "DT002": F.when(year > profile.current_year, F.array(_finding("DT002", "error", _say("Cites a decision dated ", year, f", which is in the future (this year is {profile.current_year}).")))).when(year < 1600, F.array(_finding("DT002", "warning", _say("Decision year ", year, " predates any reporter in the tables — likely a typo.")))),
@@ -165,24 +166,6 @@ def unknown_reporter(cites: DataFrame, editions: DataFrame, spellings: DataFrame
     return _rows(found, _finding("RP002", "error", _say(_js("reporter"), " is not a known reporter. Did you mean ", _js(F.col("near")[0]), others, "?"), fix=F.col("near")[0], safety="unsafe", fix_start=token_start, fix_end=token_start + F.length("reporter")))
 
 
-def inconsistent_style(cites: DataFrame) -> DataFrame:
-    """RP003: a reporter written in several ways in a document, told once, at the first use that differs."""
-    use = cites.filter("ed is not null and reporter is not null").groupBy("doc_id", "canonical", "reporter").agg(F.min(F.struct("idx", "start", "end", "text")).alias("u"))
-    many = use.groupBy("doc_id", "canonical").agg(F.array_sort(F.collect_list(F.struct("u.idx", "reporter", "u.start", "u.end", "u.text"))).alias("ways")).filter(F.size("ways") > 1)
-    odd = F.filter("ways", lambda w: w["reporter"] != F.col("canonical"))
-    many = many.withColumn("w", F.coalesce(F.get(odd, 0), F.col("ways")[0])).select("doc_id", "canonical", "ways", "w.start", "w.end", "w.text")
-    written = F.array_join(F.transform("ways", lambda w: T.quoted(w["reporter"])), ", ")
-    return _rows(many, _finding("RP003", "warning", _say(_js("canonical"), " is abbreviated ", F.size("ways"), " different ways in this document (", written, "). Pick one.")))
-
-
-def database_only(cites: DataFrame) -> DataFrame:
-    """AU002: database numbers without an overlapping reporter citation and without a docket number before."""
-    db = cites.filter("kind = 'database'").filter(~F.col("before").rlike(r"\bNos?\.\s{0,4}[\w:-]{2,24}\s{0,4},?\s{0,4}$"))
-    case = cites.filter("kind = 'case-reporter'").select(F.col("doc_id").alias("_d"), F.col("full_start").alias("_s"), F.col("full_end").alias("_e"))
-    db = db.join(case, (F.col("doc_id") == F.col("_d")) & (F.col("_s") < F.col("full_end")) & (F.col("full_start") < F.col("_e")), "left_anti")
-    return _rows(db, _finding("AU002", "warning", _say(_js("text"), " is a ", F.col("database"), " database number with no reporter citation. Add the reporter cite, or say the case is unreported.")))
-
-
 def verified(cites: DataFrame, authorities: DataFrame) -> DataFrame:
     """Citations with status, records (array of case_name, year, court_id, url), from a table of authorities (key, case_name, year, court_id, url)."""
     records = authorities.groupBy(T.normalized(F.col("key")).alias("_key")).agg(F.collect_list(F.struct("case_name", "year", "court_id", "url")).alias("records"))
@@ -232,10 +215,6 @@ def run_rules(cites: DataFrame, profile: Profile | None = None, authorities: Dat
         parts.append(own.select("doc_id", F.explode(F.concat(*arrays)).alias("f")).select("doc_id", "f.*"))
     if "RP002" in on:
         parts.append(unknown_reporter(cites, ed, sp))
-    if "RP003" in on:
-        parts.append(inconsistent_style(own))
-    if "AU002" in on:
-        parts.append(database_only(own))
     parts += [rule(own) for rule in custom]
     out = parts[0]
     for p in parts[1:]:

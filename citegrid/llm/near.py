@@ -13,6 +13,7 @@ from .common import WordHashes, components, mix, pieces_of, read_table, shingle_
 
 COORDINATES = 128
 BLOCK_ROWS = 1024
+SALTS = 32
 BLOCK_SHINGLES = 2_000_000
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -155,12 +156,13 @@ def near_components(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = band_rows(num / den)
     feats = written(docs.mapInArrow(_features(k, rows), "doc_id long, n_shingles long, set_id binary, bands array<long>"), "features")
-    full = feats.filter("set_id is not null")
-    nodes = full.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles"))
-    copies = nodes.filter("n > 1").select("set_id", "rep")
-    named = written(feats.drop("bands").join(copies, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("set_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "named")
-    own = full.join(nodes.select("set_id", "rep"), "set_id").filter("doc_id = rep")
-    keys = own.select("rep", F.explode("bands").alias("key")).distinct()
+    nodes = feats.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    # equal sets meet their node by salted keys, so that a large group of copies is dealt over many tasks
+    copies = nodes.filter("n > 1").select("set_id", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rep = F.when(F.col("set_id").isNotNull(), F.coalesce("rep", "doc_id"))
+    named = feats.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(copies, ["set_id", "salt"], "left")
+    named = written(named.select("doc_id", "n_shingles", rep.alias("rep"), F.when(F.col("doc_id") == rep, F.col("bands")).alias("bands")), "named")
+    keys = named.filter("bands is not null").select("rep", F.explode("bands").alias("key")).distinct()
     shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("top")).filter("low < top").select("key", "low")
     clusters = written(components(keys.join(shared, "key").select(F.col("rep").alias("a"), F.col("low").alias("b"))), "clusters")
     members = clusters.join(named.filter("doc_id = rep").groupBy("rep").agg(F.max("n_shingles").alias("size")), F.col("node") == F.col("rep")).select("node", F.col("component").alias("root"), "size")

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .. import refdata
 from ..engine import Engine
 from ..functions import text as T
-from ..operators import annotate, extract, fix, reports, rules
-from ..sources import readers
+from ..operators import annotate, extract, feedback, fix, reports, rules
+from ..sources import readers, writers
 
 Y = "year(o_orderdate)"
 REPORTERS = ["U.S.", "F.3d", "F. Supp. 2d", "S. Ct."]
@@ -59,6 +59,8 @@ EXTRACTION = {
 # rule -> (parts of the brief, severity in SQL, replacement in SQL, condition in SQL)
 _EVEN = "o_orderkey % 2 = 0"
 _A = "Ames v. Bell, "
+_VOLUME, _PAGE = "o_orderkey % 9000 + 1", "o_orderkey div 9000 + 34"  # together they tell orders apart
+_KEY = f"concat({_VOLUME}, ' U.S. ', {_PAGE}) AS key"
 RULES = {
     "RP001": ([_s(_A + "12 "), f"if({_EVEN}, 'F.Supp.2d', 'F. Supp. 2d')", _s(" 34 (D.D.C. "), Y, _s(").")], "'info'", "'12 F. Supp. 2d 34'", _EVEN),
     "RP002": ([_s(_A + "12 "), f"if({_EVEN}, 'F. Suop.', 'F. Supp.')", _s(" 34 (D.D.C. 1980).")], "'error'", "'F. Supp.'", _EVEN),
@@ -80,18 +82,18 @@ RULES = {
     "ST007": ([_s("42 U.S.C. §§ 1981-"), f"if({_EVEN}, '85', '1985')", _s(".")], "'warning'", "''", _EVEN),
     "AU001": (["CASE o_orderkey % 3 WHEN 0 THEN 'Ames v. Bell, 2013 IL App (1st) 111279-U.' WHEN 1 THEN 'Ames v. Bell, 5 F. App\\'x 6 (9th Cir. 2003).' ELSE 'Ames v. Bell, 12 F.3d 34 (9th Cir. 1999).' END"], "CASE o_orderkey % 3 WHEN 0 THEN 'error' ELSE 'warning' END", "''", "o_orderkey % 3 < 2"),
     "AU002": ([_s("Held so, "), f"if({_EVEN}, '', 'No. 12-345, ')", _s("2019 WL 123. Ames v. Bell, 925 F.3d 1339, 2019 WL 4639462 (11th Cir. 2019).")], "'warning'", "''", _EVEN),
-    "VF001": ([_s(_A), "o_orderkey", _s(" U.S. 34 (1999).")], "'warning'", "''", "o_orderkey % 3 = 0 AND o_orderkey < 10000"),
-    "VF002": ([_s(_A), "o_orderkey", _s(" U.S. 34 (1999).")], "'warning'", "''", "o_orderkey % 3 = 1 AND o_orderkey % 2 = 0 AND o_orderkey < 10000"),
-    "VF003": ([_s(_A), "o_orderkey", _s(" U.S. 34 (1999).")], "'error'", "''", "o_orderkey % 3 = 2 AND o_orderkey % 5 = 0 AND o_orderkey < 10000"),
-    "VF004": ([_s(_A), "o_orderkey", _s(" U.S. 34 (1999).")], "'warning'", "''", "o_orderkey % 3 > 0 AND NOT (o_orderkey % 3 = 1 AND o_orderkey % 2 = 0) AND o_orderkey % 7 = 0 AND o_orderkey < 10000"),
+    "VF001": ([_s(_A), _VOLUME, _s(" U.S. "), _PAGE, _s(" (1999).")], "'warning'", "''", "o_orderkey % 3 = 0"),
+    "VF002": ([_s(_A), _VOLUME, _s(" U.S. "), _PAGE, _s(" (1999).")], "'warning'", "''", "o_orderkey % 3 = 1 AND o_orderkey % 2 = 0"),
+    "VF003": ([_s(_A), _VOLUME, _s(" U.S. "), _PAGE, _s(" (1999).")], "'error'", "''", "o_orderkey % 3 = 2 AND o_orderkey % 5 = 0"),
+    "VF004": ([_s(_A), _VOLUME, _s(" U.S. "), _PAGE, _s(" (1999).")], "'warning'", "''", "o_orderkey % 3 > 0 AND NOT (o_orderkey % 3 = 1 AND o_orderkey % 2 = 0) AND o_orderkey % 7 = 0"),
 }
 
 
 def authorities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An authority for two thirds of the orders, two for some, with other names and years for others."""
     rows = table(spark, sf_dir, "orders").filter("o_orderkey % 3 > 0")
-    one = rows.selectExpr("concat(o_orderkey, ' U.S. 34') AS key", "if(o_orderkey % 3 = 2 AND o_orderkey % 5 = 0, 'Zeta v. Omega', 'Ames v. Bell') AS case_name", "if(o_orderkey % 7 = 0, 1987, 1999) AS year", "'scotus' AS court_id", "cast(null AS string) AS url")
-    return one.unionByName(one.join(rows.filter("o_orderkey % 3 = 1 AND o_orderkey % 2 = 0").selectExpr("concat(o_orderkey, ' U.S. 34') AS key"), "key", "left_semi"))
+    one = rows.selectExpr(_KEY, "if(o_orderkey % 3 = 2 AND o_orderkey % 5 = 0, 'Zeta v. Omega', 'Ames v. Bell') AS case_name", "if(o_orderkey % 7 = 0, 1987, 1999) AS year", "'scotus' AS court_id", "cast(null AS string) AS url")
+    return one.unionByName(one.join(rows.filter("o_orderkey % 3 = 1 AND o_orderkey % 2 = 0").selectExpr(_KEY), "key", "left_semi"))
 
 
 def _rule(rule: str):
@@ -101,7 +103,7 @@ def _rule(rule: str):
         profile = rules.Profile(edition=20 if rule in ("RP001", "RP003") else 21)
         engine = Engine(profile, enable=[rule], authorities=authorities(spark, sf_dir) if rule.startswith("VF") else None)
         docs = briefs(spark, sf_dir, *parts)
-        return engine.check(docs.filter("doc_id < 10000") if rule.startswith("VF") else docs).select("doc_id", "rule_id", "severity", F.coalesce("replacement", F.lit("")).alias("replacement"))
+        return engine.check(docs).select("doc_id", "rule_id", "severity", F.coalesce("replacement", F.lit("")).alias("replacement"))
 
     return query
 
@@ -119,7 +121,7 @@ def fix_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fix_unsafe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = briefs(spark, sf_dir, _s(_A), "o_orderkey", _s(" F.2d 34 (Ninth Circuit "), Y, _s(")."))
+    docs = briefs(spark, sf_dir, _s(_A), _VOLUME, _s(" F.2d 34 (Ninth Circuit "), Y, _s(")."))
     return Engine().fix(docs, unsafe=True).select("doc_id", "text", F.size("applied").alias("n_applied"))
 
 
@@ -181,7 +183,7 @@ def extraction_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("n_chars >= 60")
+    docs = table(spark, sf_dir, "documents")
     at = lambda n: F.lit(n)
     return docs.select("doc_id", T.snippet(F.col("text"), at(20), at(40), 20).alias("snippet"), T.line_col(F.col("text"), at(50))["line"].cast("int").alias("line"), T.line_col(F.col("text"), at(50))["col"].cast("int").alias("col"))
 
@@ -206,14 +208,53 @@ def merge_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refdata.edition_table(families).select("abbrev", "start", F.coalesce("end", F.lit(-1)).alias("end"), "ambiguous")
 
 
+def section_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.expr("CASE p_partkey % 3 WHEN 0 THEN concat('240.10b-', p_size) WHEN 1 THEN concat(p_partkey, '(a), ', p_size) ELSE concat(p_partkey, '–', p_partkey + p_size) END")
+    secs = T.sections(raw)
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(secs["items"], "|").alias("items"), secs["join"].alias("kind"))
+
+
+def spacing_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = F.expr("CASE p_partkey % 4 WHEN 0 THEN p_type WHEN 1 THEN replace(p_type, ' ', '') WHEN 2 THEN replace(p_type, ' ', '  ') ELSE concat(p_type, '.') END")
+    return table(spark, sf_dir, "part").select("p_partkey", T.spacing_variant(written, F.col("p_type")).alias("variant"), T.count_before(F.col("p_type"), F.lit("E"), F.col("p_size")).alias("before"))
+
+
+def edition_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as a table of editions, before and after: some go, some come, some have other dates."""
+    part = table(spark, sf_dir, "part")
+    old = part.filter("p_partkey % 5 <> 0").selectExpr("cast(p_partkey AS string) AS abbrev", "1800 + p_size AS start", "cast(null AS int) AS end")
+    new = part.filter("p_partkey % 7 <> 0").selectExpr("cast(p_partkey AS string) AS abbrev", "1800 + p_size AS start", "if(p_partkey % 3 = 0, 1990, null) AS end")
+    return refdata.table_changes(old, new)
+
+
+def feedback_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = briefs(spark, sf_dir, _s("It was so. As told in "), *RULES["CT002"][0], _s(" Then it ended."))
+    rows = feedback.feedback(docs, Engine(enable=["CT002"]).check(docs), base="https://tracker.example")
+    return rows.select("doc_id", "title", "context", F.startswith("link", F.lit("https://tracker.example/issues/new?title=False%20positive%20CT002%3A%2012%20U.S.%2034&body=")).alias("linked"))
+
+
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Briefs written as files of four formats, with comments on findings, and read back."""
+    docs = briefs(spark, sf_dir, _s("Held, <so> & {thus}:\n"), *RULES["CT002"][0])
+    notes = Engine(enable=["CT002"]).check(docs).select("doc_id", "start", "end", F.col("message").alias("body"))
+    files = [writers.exported(docs, kind, notes).select(F.concat_ws(".", F.col("doc_id").cast("string"), F.lit(kind)).alias("path"), "content") for kind in ("docx", "odt", "rtf", "html")]
+    for more in files[1:]:
+        files[0] = files[0].unionByName(more)
+    return readers.imported(files[0]).select("path", "format", "text")
+
+
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.html_pages(table(spark, sf_dir, "pages")).select("page_id", "text")
 
 
+def _words(x: str) -> str:
+    return f"list_distinct(list_filter(regexp_split_to_array(lower({x}), '[^a-z0-9]+'), lambda w: length(w) > 1 AND NOT list_contains({T.NOISE}, w)))"
+
+
 _MIXED_COUNT = f"CASE WHEN {_EVEN} THEN 1 ELSE 0 END"
 OTHERS = {
     "fix_safe": (fix_safe, f"SELECT o_orderkey AS doc_id, 'Id. at 5. Ames v. Bell, 12 F. Supp. 2d 34 (D.D.C. ' || {Y} || '). Cole v. Dunn, 5 U.S. 100, 371-372 (1999).' AS text, CAST(1 + {_MIXED_COUNT} AS INT) AS n_applied FROM orders"),
-    "fix_unsafe": (fix_unsafe, f"SELECT o_orderkey AS doc_id, 'Ames v. Bell, ' || o_orderkey || CASE WHEN o_orderkey < 10000 THEN ' F.3d 34 (9th Cir. ' ELSE ' F.2d 34 (Ninth Circuit ' END || {Y} || ').' AS text, CAST(CASE WHEN o_orderkey < 10000 THEN 2 ELSE 0 END AS INT) AS n_applied FROM orders"),
+    "fix_unsafe": (fix_unsafe, f"SELECT o_orderkey AS doc_id, 'Ames v. Bell, ' || ({_VOLUME}) || ' F.3d 34 (9th Cir. ' || {Y} || ').' AS text, CAST(2 AS INT) AS n_applied FROM orders"),
     "fix_conflict": (fix_conflict, "SELECT p_partkey AS doc_id, '01AB5xy89' || p_brand AS text, 'replacement is identical to source; overlaps an earlier fix at [2, 5); span extends past end of document' AS reasons FROM part"),
     "severity_counts": (severity_counts, f"SELECT o_orderkey AS doc_id, CAST(1 AS BIGINT) AS error, CAST(0 AS BIGINT) AS warning, CAST(2 + {_MIXED_COUNT} AS BIGINT) AS info FROM orders"),
     "findings_ordered": (findings_ordered, f"SELECT o_orderkey AS doc_id, CAST(CASE WHEN p > 1 AND NOT ({_EVEN}) THEN p - 1 ELSE p END AS INT) AS place, r AS rule_id FROM orders, (VALUES (1, 'ST001'), (2, 'RP001'), (3, 'ST003'), (4, 'CT005')) v(p, r) WHERE {_EVEN} OR p <> 2"),
@@ -224,10 +265,15 @@ OTHERS = {
     "pin_quotation": (pin_quotation, "SELECT o_orderkey AS doc_id, CAST(102 AS BIGINT) AS page_no, 'Ruling ' || (o_orderkey % 50 + 1) || ' stands.' AS quote, '/b/' || (o_orderkey % 50 + 1) AS url FROM orders"),
     "lookup_statuses": (lookup_statuses, "SELECT o_orderkey AS doc_id, CASE o_orderkey % 5 WHEN 0 THEN 'found' WHEN 1 THEN 'ambiguous' WHEN 2 THEN 'not-found' ELSE 'unchecked' END AS status FROM orders"),
     "extraction_accuracy": (extraction_accuracy, f"SELECT o_orderkey AS doc_id, CAST(2 AS BIGINT) AS expected, CAST(1 AS BIGINT) AS recovered, CAST({_MIXED_COUNT} AS BIGINT) AS spurious, CAST(0.5 AS DOUBLE) AS recall FROM orders"),
-    "document_snippets": (document_snippets, "SELECT doc_id, '…' || trim(regexp_replace(substr(text, 11, 40), '\\s+', ' ', 'g')) || '…' AS snippet, CAST(len(string_split(substr(text, 1, 50), chr(10))) AS INT) AS line, CAST(length(string_split(substr(text, 1, 50), chr(10))[-1]) + 1 AS INT) AS col FROM documents WHERE n_chars >= 60"),
+    "document_snippets": (document_snippets, "SELECT doc_id, '…' || trim(regexp_replace(substr(text, 11, 40), '\\s+', ' ', 'g')) || CASE WHEN length(text) > 50 THEN '…' ELSE '' END AS snippet, CAST(len(string_split(substr(text, 1, 50), chr(10))) AS INT) AS line, CAST(length(string_split(substr(text, 1, 50), chr(10))[-1]) + 1 AS INT) AS col FROM documents"),
     "document_tidy": (document_tidy, "SELECT doc_id, CAST(length(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) AS INT) AS squashed, array_to_string([CASE WHEN replace(x, 'the', 'THE') <> x THEN '- ' || x || chr(10) || '+ ' || replace(x, 'the', 'THE') END FOR x IN string_split(text, chr(10)) IF replace(x, 'the', 'THE') <> x], chr(10)) AS diff FROM documents"),
-    "name_likeness": (name_likeness, None),
-    "page_ranges": (page_ranges, None),
+    "name_likeness": (name_likeness, f"SELECT p_partkey, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 1.0 ELSE CAST(len(list_intersect(a, b)) AS DOUBLE) / len(list_distinct(list_concat(a, b))) END, 6) AS likeness, round(CASE WHEN greatest(length(p_name), length(p_type)) = 0 THEN 1.0 ELSE 1 - CAST(levenshtein(p_name, p_type) AS DOUBLE) / greatest(length(p_name), length(p_type)) END, 6) AS edits FROM (SELECT *, {_words("'Acme Corp v. ' || p_type")} AS a, {_words("'ACME ' || p_brand || ' ' || p_type")} AS b FROM part)"),
+    "page_ranges": (page_ranges, "SELECT p_partkey, CASE WHEN length(a) <> length(b) THEN b ELSE right(b, greatest(2, length(b) - len(list_filter(range(1, length(b) + 1), lambda i: left(a, i) = left(b, i))))) END AS short, least(a::BIGINT, 9) AS first, CASE WHEN (left(a, length(a) - 2) || right(b, 2))::BIGINT >= a::BIGINT THEN (left(a, length(a) - 2) || right(b, 2))::BIGINT ELSE right(b, 2)::BIGINT END AS expanded FROM (SELECT p_partkey, CAST(p_partkey + 100 AS VARCHAR) AS a, CAST(p_partkey + 100 + p_size AS VARCHAR) AS b FROM part)"),
+    "section_lists": (section_lists, "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '240.10b-' || p_size WHEN 1 THEN p_partkey || '(a)|' || p_size ELSE p_partkey || '|' || (p_partkey + p_size) END AS items, CASE p_partkey % 3 WHEN 0 THEN 'single' WHEN 1 THEN 'list' ELSE 'span' END AS kind FROM part"),
+    "spacing_variants": (spacing_variants, "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'same' WHEN 1 THEN CASE WHEN contains(p_type, ' ') THEN 'tightened' ELSE 'same' END WHEN 2 THEN CASE WHEN contains(p_type, ' ') THEN 'loosened' ELSE 'same' END ELSE 'different' END AS variant, CAST(len(list_filter(range(1, least(p_size, length(p_type)) + 1), lambda i: substr(p_type, i, 1) = 'E')) AS INT) AS before FROM part"),
+    "edition_changes": (edition_changes, "SELECT CAST(p_partkey AS VARCHAR) AS abbrev, CASE WHEN p_partkey % 5 = 0 THEN 'added' WHEN p_partkey % 7 = 0 THEN 'removed' ELSE 're-dated' END AS change FROM part WHERE (p_partkey % 5 = 0) <> (p_partkey % 7 = 0) OR (p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 AND p_partkey % 3 = 0)"),
+    "feedback_reports": (feedback_reports, f"SELECT o_orderkey AS doc_id, 'False positive CT002: 12 U.S. 34' AS title, 'As told in Ames v. Bell, 12 U.S. 34 (9th Cir.' AS context, true AS linked FROM orders WHERE {_EVEN}"),
+    "document_files": (document_files, f"SELECT o_orderkey || '.' || k AS path, k AS format, 'Held, <so> & {{thus}}:' || chr(10) || 'Ames v. Bell, 12 U.S. 34 (' || CASE WHEN {_EVEN} THEN '9th Cir. ' ELSE '' END || '1999).' AS text FROM orders, (VALUES ('docx'), ('odt'), ('rtf'), ('html')) v(k)"),
     "merge_editions": (merge_editions, "SELECT p_brand AS abbrev, CAST(1800 + min(p_size) AS INT) AS start, CAST(CASE WHEN max(p_size) >= 45 THEN -1 ELSE 1900 + max(p_size) END AS INT) AS \"end\", count(*) > 1 AS ambiguous FROM part GROUP BY p_brand"),
     "page_texts": (page_texts, None),
 }

@@ -6,6 +6,7 @@ import html
 import io
 import re
 import zipfile
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -13,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_BYTES = 100 << 20
+LEAST_PAGE_CHARS = 100
+PdfPages = Callable[[bytes], list[str]]
+PageReader = Callable[[bytes, int], str]
 SCHEMA = "path string, format string, text string, error string"
 # Tags and groups without text of their own; tags that end a line.
 SILENT_TAGS = frozenset("script style head title noscript template".split())
@@ -161,14 +165,25 @@ def looks_like_text(data: bytes) -> bool:
     return 0 not in head and sum(b < 32 and b not in (9, 10, 12, 13) for b in head) < max(1, len(head)) * 0.01
 
 
-def import_document(path: str, data: bytes) -> tuple[str, str | None, str | None]:
-    """(format, text, error): content decides before the name does."""
+def pdf_text(data: bytes, extract: PdfPages, ocr: PageReader | None = None, mode: str = "auto") -> str:
+    """Pages joined by blank lines. A page with under LEAST_PAGE_CHARS characters goes to ocr, if there is one, unless mode is never; all do if it is always."""
+    pages = []
+    for i, page in enumerate(extract(data)):
+        scan = ocr is not None and (mode == "always" or (mode == "auto" and len(page.strip()) < LEAST_PAGE_CHARS))
+        pages.append(ocr(data, i) if scan else page)
+    return tidied("\n\n".join(pages))
+
+
+def import_document(path: str, data: bytes, pdf: PdfPages | None = None, ocr: PageReader | None = None) -> tuple[str, str | None, str | None]:
+    """(format, text, error): content decides before the name does. pdf gives the page texts of a PDF file, ocr that of one scanned page."""
     if not data:
         return "none", None, "the file is empty"
     if len(data) > MAX_BYTES:
         return "none", None, f"the file has more than {MAX_BYTES} bytes"
     if data[:5] == b"%PDF-":
-        return "pdf", None, "PDF needs an extractor; none is part of this package"
+        if pdf is None:
+            return "pdf", None, "PDF needs an extractor; none is part of this package"
+        return "pdf", pdf_text(data, pdf, ocr), None
     if data[:4] == b"\xd0\xcf\x11\xe0":
         return "doc", None, "the older Word format is not supported; save as DOCX"
     if data[:2] == b"PK":
@@ -191,20 +206,20 @@ def import_document(path: str, data: bytes) -> tuple[str, str | None, str | None
     return "text", re.sub(r"\r\n?", "\n", text), None
 
 
-def imported(files: DataFrame) -> DataFrame:
+def imported(files: DataFrame, pdf: PdfPages | None = None, ocr: PageReader | None = None) -> DataFrame:
     """(path, content) -> path, format, text, error: one row per file, refused ones with a reason."""
 
     def run(batches):
         for batch in batches:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                kind, text, error = import_document(path, data or b"")
+                kind, text, error = import_document(path, data or b"", pdf, ocr)
                 yield pa.RecordBatch.from_arrays([pa.array([v], pa.string()) for v in (path, kind, text, error)], ["path", "format", "text", "error"])
 
     return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
-def read_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return imported(spark.read.format("binaryFile").load(folder))
+def read_documents(spark: SparkSession, folder: str, pdf: PdfPages | None = None, ocr: PageReader | None = None) -> DataFrame:
+    return imported(spark.read.format("binaryFile").load(folder), pdf, ocr)
 
 
 def html_pages(pages: DataFrame) -> DataFrame:

@@ -1,17 +1,51 @@
-"""Texts as files of several formats, as binary columns."""
+"""Texts as files of several formats, as binary columns, with comments on spans where a format has them."""
 
 from __future__ import annotations
 
 import io
+import re
+import unicodedata
 import zipfile
+from bisect import bisect_right
 from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import html_escape, strip_xml_invalid
 
-FORMATS = {"txt": "text/plain", "md": "text/markdown", "html": "text/html", "rtf": "application/rtf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "odt": "application/vnd.oasis.opendocument.text"}
+FORMATS = {"txt": "text/plain", "md": "text/markdown", "html": "text/html", "rtf": "application/rtf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "odt": "application/vnd.oasis.opendocument.text", "pdf": "application/pdf"}
+COMMENTED = ("docx", "odt")
+_INVALID = re.compile(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")
+Comment = tuple[int, int, str]
+
+
+def paragraphs(text: str, comments: list[Comment]) -> list[list[tuple[str, str | int]]]:
+    """Paragraphs as parts: ("text", words), ("start", number of a comment) and ("end", number).
+
+    At one place ends come before starts. Comments without length, or past the text, are left
+    out. Offsets are those of the given text; characters that XML does not allow are dropped.
+    """
+    gone = [m.start() for m in _INVALID.finditer(text)]
+    text = _INVALID.sub("", text)
+    moved = [(s - bisect_right(gone, s - 1), e - bisect_right(gone, e - 1)) for s, e, _ in comments]
+    marks = sorted(m for i, (s, e) in enumerate(moved) if 0 <= s < e <= len(text) for m in ((s, 1, i), (e, 0, i)))
+    out, at, k = [], 0, 0
+    for line in text.split("\n"):
+        parts: list[tuple[str, str | int]] = []
+        end = at + len(line)
+        while k < len(marks) and marks[k][0] <= end:
+            place, kind, i = marks[k]
+            if place > at:
+                parts.append(("text", text[at:place]))
+            parts.append(("start" if kind else "end", i))
+            at, k = place, k + 1
+        if at < end:
+            parts.append(("text", text[at:end]))
+        out.append(parts)
+        at = end + 1
+    return out
 
 
 def html_page(text: Column) -> Column:
@@ -44,21 +78,46 @@ def _zip(parts: list[tuple[str, str]], stored_first: bool = False) -> bytes:
     return data.getvalue()
 
 
-def docx_document(text: str) -> bytes:
-    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
-    body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(line)}</w:t></w:r></w:p>' for line in text.split("\n"))
-    return _zip(
-        [
-            ("[Content_Types].xml", '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>'),
-            ("_rels/.rels", '<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>'),
-            ("word/document.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:document {ns}><w:body>{body}</w:body></w:document>'),
-        ]
-    )
-
-
-def odt_document(text: str) -> bytes:
-    ns = 'xmlns:office="urn:oasis:names:tc:opendocument:xmlns:office:1.0" xmlns:text="urn:oasis:names:tc:opendocument:xmlns:text:1.0"'
-    body = "".join(f"<text:p>{escape(line)}</text:p>" for line in text.split("\n"))
+_WORD_NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+_WORD_PART = "application/vnd.openxmlformats-officedocument.wordprocessingml"
+_REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def _relations(kind: str, target: str) -> str:
+    return f'<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{_REL}/{kind}" Target="{target}"/></Relationships>'
+
+
+def docx_document(text: str, comments: list[Comment] = ()) -> bytes:
+    """A DOCX file; the part with comments and the relation to it are there only if there are comments."""
+    made = {
+        "text": lambda x: f'<w:r><w:t xml:space="preserve">{escape(x)}</w:t></w:r>',
+        "start": lambda i: f'<w:commentRangeStart w:id="{i}"/>',
+        "end": lambda i: f'<w:commentRangeEnd w:id="{i}"/><w:r><w:commentReference w:id="{i}"/></w:r>',
+    }
+    lines = paragraphs(text, list(comments))
+    used = sorted({x for line in lines for kind, x in line if kind == "start"})
+    body = "".join("<w:p>" + "".join(made[kind](x) for kind, x in line) + "</w:p>" for line in lines)
+    types = [("document", "main")] + ([("comments", "comments")] if used else [])
+    overrides = "".join(f'<Override PartName="/word/{name}.xml" ContentType="{_WORD_PART}.{kind if kind != "main" else "document.main"}+xml"/>' for name, kind in types)
+    parts = [
+        ("[Content_Types].xml", f'<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>{overrides}</Types>'),
+        ("_rels/.rels", _relations("officeDocument", "word/document.xml")),
+        ("word/document.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:document {_WORD_NS}><w:body>{body}</w:body></w:document>'),
+    ]
+    if used:
+        notes = "".join(f'<w:comment w:id="{i}" w:author="citegrid">' + "".join(f'<w:p>{made["text"](x)}</w:p>' for x in _INVALID.sub("", comments[i][2]).split("\n")) + "</w:comment>" for i in used)
+        parts += [("word/comments.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:comments {_WORD_NS}>{notes}</w:comments>'), ("word/_rels/document.xml.rels", _relations("comments", "comments.xml"))]
+    return _zip(parts)
+
+
+def odt_document(text: str, comments: list[Comment] = ()) -> bytes:
+    ns = 'xmlns:office="urn:oasis:names:tc:opendocument:xmlns:office:1.0" xmlns:text="urn:oasis:names:tc:opendocument:xmlns:text:1.0" xmlns:dc="http://purl.org/dc/elements/1.1/"'
+    made = {
+        "text": escape,
+        "start": lambda i: f'<office:annotation office:name="c{i}"><dc:creator>citegrid</dc:creator>' + "".join(f"<text:p>{escape(x)}</text:p>" for x in _INVALID.sub("", comments[i][2]).split("\n")) + "</office:annotation>",
+        "end": lambda i: f'<office:annotation-end office:name="c{i}"/>',
+    }
+    body = "".join("<text:p>" + "".join(made[kind](x) for kind, x in line) + "</text:p>" for line in paragraphs(text, list(comments)))
     mime = FORMATS["odt"]
     return _zip(
         [
@@ -70,16 +129,86 @@ def odt_document(text: str) -> bytes:
     )
 
 
-_MAKERS = {"rtf": rtf_document, "docx": docx_document, "odt": odt_document}
-
-
-def exported(docs: DataFrame, kind: str) -> DataFrame:
-    """(doc_id, text) -> doc_id, content (binary) in one of FORMATS."""
+# Widths of the characters from space to tilde in Helvetica, in thousandths of the size.
+HELVETICA = [
+    278, 278, 355, 556, 556, 889, 667, 191, 333, 333, 389, 584, 278, 333, 278, 278, 556, 556, 556, 556, 556, 556, 556, 556,
+    556, 556, 278, 278, 584, 584, 584, 556, 1015, 667, 667, 722, 722, 667, 611, 778, 722, 278, 500, 667, 556, 833, 722, 778,
+    667, 778, 722, 667, 611, 722, 667, 944, 667, 667, 611, 278, 278, 278, 469, 556, 333, 556, 556, 500, 556, 556, 278, 556,
+    556, 222, 222, 500, 222, 833, 556, 556, 556, 556, 333, 500, 278, 556, 500, 722, 500, 500, 500, 334, 260, 334, 584,
+]
+PAGE, MARGIN, SIZE, LEADING = (612, 792), 72, 11, 14
+
+
+def win_ansi(text: str) -> bytes:
+    """Text in the encoding of PDF base fonts; other letters lose their accents, or become a question mark."""
+    out = bytearray()
+    for c in text.replace("\t", "    "):
+        for form in (c, unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode() or "?"):
+            try:
+                out += form.encode("cp1252")
+                break
+            except UnicodeEncodeError:
+                continue
+    return bytes(out)
+
+
+def wrapped(line: bytes, width: float) -> list[bytes]:
+    """Lines of at most width points; a word that is wider is cut."""
+    wide = lambda b: sum(HELVETICA[c - 32] if 32 <= c < 127 else 556 for c in b) * SIZE / 1000
+    out, now, used = [], b"", 0.0
+    for word in re.findall(rb"\S+\s*|\s+", line):
+        size, bare = wide(word), wide(word.rstrip())
+        if now and used + bare > width:
+            out.append(now)
+            now, used = b"", 0.0
+        if bare <= width:
+            now, used = now + word, used + size
+            continue
+        for c in (word[i : i + 1] for i in range(len(word))):
+            if now and used + wide(c) > width:
+                out.append(now)
+                now, used = b"", 0.0
+            now, used = now + c, used + wide(c)
+    return [x.rstrip() for x in [*out, now]]
+
+
+def pdf_document(text: str) -> bytes:
+    """A PDF file of wrapped lines in Helvetica."""
+    lines = [x for line in text.split("\n") for x in wrapped(win_ansi(line), PAGE[0] - 2 * MARGIN)]
+    room = int((PAGE[1] - 2 * MARGIN) // LEADING)
+    pages = [lines[i : i + room] for i in range(0, len(lines), room)]
+    parts = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [%s] /Count %d >>" % (b" ".join(b"%d 0 R" % (4 + 2 * i) for i in range(len(pages))), len(pages)), b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"]
+    for i, page in enumerate(pages):
+        shown = b"".join(b"(%s) Tj T*\n" % re.sub(rb"([\\()])", rb"\\\1", re.sub(rb"[\x00-\x1f]", b"", x)) for x in page)
+        stream = b"BT /F1 %d Tf %d TL %d %d Td\n%sET" % (SIZE, LEADING, MARGIN, PAGE[1] - MARGIN - SIZE, shown)
+        parts.append(b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 %d %d] /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % (*PAGE, 5 + 2 * i))
+        parts.append(b"<< /Length %d >>\nstream\n%s\nendstream" % (len(stream), stream))
+    out, places = bytearray(b"%PDF-1.4\n"), []
+    for i, part in enumerate(parts, 1):
+        places.append(len(out))
+        out += b"%d 0 obj\n%s\nendobj\n" % (i, part)
+    table = b"".join(b"%010d 00000 n \n" % x for x in places)
+    return bytes(out) + b"xref\n0 %d\n0000000000 65535 f \n%strailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(parts) + 1, table, len(parts) + 1, len(out))
+
+
+_MAKERS = {"rtf": rtf_document, "docx": docx_document, "odt": odt_document, "pdf": pdf_document}
+
+
+def exported(docs: DataFrame, kind: str, comments: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text) -> doc_id, content (binary) in one of FORMATS; comments: (doc_id, start, end, body), for COMMENTED formats."""
     if kind in ("txt", "md"):
         return docs.select("doc_id", F.col("text").cast("binary").alias("content"))
     if kind == "html":
         return docs.select("doc_id", html_page(F.col("text")).cast("binary").alias("content"))
     make = _MAKERS[kind]
+    if comments is not None and kind in COMMENTED:
+
+        @F.pandas_udf("binary")
+        def marked(x, notes):
+            return pd.Series([None if v is None else make(v, [(c["s"], c["e"], c["b"]) for c in n] if n is not None else []) for v, n in zip(x, notes, strict=True)], dtype=object)
+
+        per = comments.filter("start is not null and end is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("s"), F.col("end").cast("int").alias("e"), F.coalesce("body", F.lit("")).alias("b")))).alias("_notes"))
+        return docs.select("doc_id", "text").join(per, "doc_id", "left").select("doc_id", marked("text", "_notes").alias("content"))
 
     @F.pandas_udf("binary")
     def content(x):

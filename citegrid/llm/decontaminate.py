@@ -17,6 +17,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 14
 ITEMS_PER_PASS = 20_000
+CHUNK_WINDOWS = 16_384
 _MARKS = re.compile(r"[^\w\s]+|_+")
 
 
@@ -26,7 +27,7 @@ def words_of(text: str, words: WordHashes) -> np.ndarray:
 
 
 def simhash_windows(h: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """64-bit SimHash of the `size` words from each start, each word with weight 1."""
+    """64-bit SimHash of the `size` words from each start, each word with weight 1; takes some 600 bytes a word."""
     low = int(starts[0])
     part = h[low : int(starts[-1]) + size]
     bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32)
@@ -129,7 +130,8 @@ class Items:
             starts = np.flatnonzero(np.cumsum(cover[: len(h) - n + 1]))
             if not len(starts):
                 continue
-            for run in np.split(starts, np.flatnonzero(np.diff(starts) > n) + 1):
+            runs = (part for run in np.split(starts, np.flatnonzero(np.diff(starts) > n) + 1) for part in np.split(run, range(CHUNK_WINDOWS, len(run), CHUNK_WINDOWS)))
+            for run in runs:
                 for start, fingerprint in zip(run.tolist(), simhash_windows(h, run, n), strict=True):
                     near = index.near(fingerprint)
                     if not len(near):

@@ -242,6 +242,40 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(frame(spark, []), items).count() == 0
 
 
+def test_leaks_in_a_long_text_by_chunks(monkeypatch):
+    """A text made of an item many times over: its windows come in chunks, and the best one is found in any."""
+    item = " ".join(f"w{i} {rng.choice(WORDS)}" for i in range(15))
+    items, words = decontaminate.Items([(9, item)]), common.WordHashes()
+    almost = item.replace("w14", "w99")
+    h = decontaminate.words_of(" ".join([almost] * 40 + [item] + [almost] * 40), words)
+    want = items.search(h, 0.8)
+    monkeypatch.setattr(decontaminate, "CHUNK_WINDOWS", 7)
+    assert items.search(h, 0.8) == want == {0: (1.0, 40 * 30, 30)}
+
+
+def test_leaks_against_all_windows(spark):
+    """Every window of an item's length, by exact weighted similarity alone."""
+    r = random.Random(11)
+    bench = [" ".join(r.choice(WORDS) + str(r.randrange(30)) for _ in range(n)) for n in (12, 20, 35, 60)]
+    docs = []
+    for i in range(60):
+        w = r.choice(bench).split()
+        for _ in range(r.randrange(4)):
+            w[r.randrange(len(w))] = "other"
+        docs.append((i, " ".join([*(r.choice(WORDS) for _ in range(r.randrange(30))), *w, *(r.choice(WORDS) for _ in range(r.randrange(30)))])))
+    items, words = decontaminate.Items(list(enumerate(bench))), common.WordHashes()
+    want = set()
+    for doc, text in docs:
+        h = decontaminate.words_of(text, words)
+        for j, b in enumerate(bench):
+            n = len(b.split())
+            for start in range(len(h) - n + 1):
+                if items.likeness(decontaminate.Counter(common.shingle_hashes(h[start : start + n], 5).tolist()), j) >= 0.8:
+                    want.add((doc, j))
+    got = {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(frame(spark, docs), spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")).collect()}
+    assert got == want and len(want) > 15
+
+
 def test_hamming_blocks_find_all():
     r = np.random.default_rng(3)
     prints = r.integers(0, 1 << 63, 300, dtype=np.uint64)

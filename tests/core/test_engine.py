@@ -8,7 +8,7 @@ import pytest
 from citegrid import refdata
 from citegrid.engine import Engine
 from citegrid.functions import text as T
-from citegrid.operators import annotate, extract, feedback, fix, rules
+from citegrid.operators import annotate, extract, feedback, fix, rich, rules
 from citegrid.sources import readers, writers
 from citegrid.streaming.watch import check_stream
 from pyspark.sql import functions as F
@@ -149,6 +149,34 @@ def test_comments_stand_at_their_spans(spark):
         assert got[3] is None and ("word/comments.xml" in zipfile.ZipFile(io.BytesIO(bytes(got[2]))).namelist()) is False
 
 
+def letters(text, marks):
+    return [(c, frozenset(m.mark for m in marks if m.start <= i < m.end)) for i, c in enumerate(text)]
+
+
+def test_formatted_texts(spark):
+    text = "plain bold both\nnext line"
+    marks = [("bold", 6, 12), ("bold", 12, 15), ("italic", 11, 20), ("italic", 3, 3)]
+    fixes = [(6, 10, "B"), (11, 15, "longer"), (15, 15, "!"), (16, 20, ""), (25, 25, "?")]
+    docs = spark.createDataFrame([(1, text, marks), (2, text, []), (3, text, None)], "doc_id long, text string, marks " + rich.MARKS)
+    found = spark.createDataFrame([(d, s, e, r, "safe") for d in (1, 3) for s, e, r in fixes], "doc_id long, fix_start int, fix_end int, replacement string, safety string")
+    got = {r.doc_id: r for r in rich.fixed_rich(docs, found).collect()}
+    want = [(c, frozenset(m for m, s, e in marks if s <= i < e)) for i, c in enumerate(text)]
+    for s, e, r in reversed(fixes):  # letter by letter
+        at = s if text[s : s + 1] not in ("", "\n") else s - 1
+        want[s:e] = [(c, want[at][1]) for c in r]
+    drop = lambda rows: [(c, m if c != "\n" else None) for c, m in rows]
+    assert drop(letters(got[1].text, got[1].marks)) == drop(want)
+    assert got[1].text == got[3].text and got[3].marks == [] and got[2].text == text and not got[2].changed
+    t, m = F.col("text"), F.col("marks")
+    at = lambda a, b: (F.lit(a), F.lit(b))
+    row = docs.filter("doc_id = 1").select(rich.merged(m).alias("m"), rich.toggled(t, m, "bold", *at(6, 10)).alias("off"), rich.toggled(t, m, "bold", *at(0, 8)).alias("on"), rich.toggled(t, m, "bold", *at(9, 16)).alias("over"), rich.toggled(t, m, "bold", *at(4, 4)).alias("same"), rich.marked_throughout(t, m, "bold", *at(15, 16)).alias("none"), rich.paragraph_offsets(t).alias("p"), rich.rich_html(t, m).alias("h")).first()
+    spans = lambda x: [tuple(v) for v in x]
+    assert spans(row.m) == [("bold", 6, 15), ("italic", 11, 20)] == spans(row.same)
+    assert spans(row.off)[0] == ("bold", 10, 15) and spans(row.on)[0] == ("bold", 0, 15) and spans(row.over)[0] == ("bold", 6, 9) and row.none is False
+    assert spans(row.p) == [(0, 15), (16, 25)]
+    assert row.h == "<p>plain <strong>bold </strong><strong><em>both</em></strong></p>\n<p><em>next</em> line</p>"
+
+
 def test_pdf_objects_and_pages():
     for text, pages in (("", 1), ("line (1) \\ é → ž\n" * 100, 3), ("word " * 5000, None), ("w" * 4000, None)):
         data = writers.pdf_document(text)

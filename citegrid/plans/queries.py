@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import refdata
 from ..engine import Engine
 from ..functions import text as T
-from ..operators import annotate, extract, feedback, fix, reports, rules
+from ..operators import annotate, extract, feedback, fix, reports, rich, rules
 from ..sources import readers, writers
 
 Y = "year(o_orderdate)"
@@ -233,6 +233,15 @@ def feedback_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "title", "context", F.startswith("link", F.lit("https://tracker.example/issues/new?title=False%20positive%20CT002%3A%2012%20U.S.%2034&body=")).alias("linked"))
 
 
+def formatted_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bold citations, corrected: what is put in is bold too."""
+    docs = briefs(spark, sf_dir, *RULES["RP001"][0])
+    end = F.instr("text", " (D.D.C.") - 1
+    docs = docs.withColumn("marks", F.array(F.struct(F.lit("bold").alias("mark"), F.lit(len(_A)).alias("start"), end.alias("end"))))
+    out = rich.fixed_rich(docs, Engine(rules.Profile(edition=20), enable=["RP001"]).check(docs.select("doc_id", "text")))
+    return out.select("doc_id", rich.rich_html(F.col("text"), F.col("marks")).alias("html"), F.size("applied").alias("n_applied"))
+
+
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Briefs written as files of four formats, with comments on findings, and read back."""
     docs = briefs(spark, sf_dir, _s("Held, <so> & {thus}:\n"), *RULES["CT002"][0])
@@ -273,6 +282,7 @@ OTHERS = {
     "spacing_variants": (spacing_variants, "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'same' WHEN 1 THEN CASE WHEN contains(p_type, ' ') THEN 'tightened' ELSE 'same' END WHEN 2 THEN CASE WHEN contains(p_type, ' ') THEN 'loosened' ELSE 'same' END ELSE 'different' END AS variant, CAST(len(list_filter(range(1, least(p_size, length(p_type)) + 1), lambda i: substr(p_type, i, 1) = 'E')) AS INT) AS before FROM part"),
     "edition_changes": (edition_changes, "SELECT CAST(p_partkey AS VARCHAR) AS abbrev, CASE WHEN p_partkey % 5 = 0 THEN 'added' WHEN p_partkey % 7 = 0 THEN 'removed' ELSE 're-dated' END AS change FROM part WHERE (p_partkey % 5 = 0) <> (p_partkey % 7 = 0) OR (p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 AND p_partkey % 3 = 0)"),
     "feedback_reports": (feedback_reports, f"SELECT o_orderkey AS doc_id, 'False positive CT002: 12 U.S. 34' AS title, 'As told in Ames v. Bell, 12 U.S. 34 (9th Cir.' AS context, true AS linked FROM orders WHERE {_EVEN}"),
+    "formatted_fixes": (formatted_fixes, f"SELECT o_orderkey AS doc_id, '<p>Ames v. Bell, <strong>12 F. Supp. 2d 34</strong> (D.D.C. ' || {Y} || ').</p>' AS html, CAST(CASE WHEN {_EVEN} THEN 1 ELSE 0 END AS INT) AS n_applied FROM orders"),
     "document_files": (document_files, f"SELECT o_orderkey || '.' || k AS path, k AS format, 'Held, <so> & {{thus}}:' || chr(10) || 'Ames v. Bell, 12 U.S. 34 (' || CASE WHEN {_EVEN} THEN '9th Cir. ' ELSE '' END || '1999).' AS text FROM orders, (VALUES ('docx'), ('odt'), ('rtf'), ('html')) v(k)"),
     "merge_editions": (merge_editions, "SELECT p_brand AS abbrev, CAST(1800 + min(p_size) AS INT) AS start, CAST(CASE WHEN max(p_size) >= 45 THEN -1 ELSE 1900 + max(p_size) END AS INT) AS \"end\", count(*) > 1 AS ambiguous FROM part GROUP BY p_brand"),
     "page_texts": (page_texts, None),

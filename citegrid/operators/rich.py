@@ -16,6 +16,11 @@ def _mark(mark: Column, start: Column, end: Column) -> Column:
     return F.struct(mark.cast("string").alias("mark"), start.cast("int").alias("start"), end.cast("int").alias("end"))
 
 
+def _bound(x: Column, use) -> Column:
+    """use(x) with x computed once, however often lambdas refer to it."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def merged(marks: Column) -> Column:
     """Marks in order, those of one kind that touch or overlap as one; empty ones and nulls are left out."""
     some = F.array_sort(F.filter(F.coalesce(marks.cast(MARKS), F.array().cast(MARKS)), lambda m: m.isNotNull() & (m["start"] < m["end"])))
@@ -59,8 +64,8 @@ def moved(text: Column, marks: Column, applied: Column) -> Column:
 def marked_throughout(text: Column, marks: Column, mark: str, start: Column, end: Column) -> Column:
     """Whether all letters of a span, line breaks aside, have the mark; false for none."""
     letters = F.filter(F.sequence(start, F.greatest(start, end - 1)), lambda i: (i < end) & ~F.substring(text, i + 1, F.lit(1)).isin("", "\n"))
-    has = lambda i: F.exists(merged(marks), lambda m: (m["mark"] == mark) & (m["start"] <= i) & (i < m["end"]))
-    return (F.size(letters) > 0) & F.forall(letters, has)
+    has = lambda ms, i: F.exists(ms, lambda m: (m["mark"] == mark) & (m["start"] <= i) & (i < m["end"]))
+    return (F.size(letters) > 0) & _bound(merged(marks), lambda ms: F.forall(letters, lambda i: has(ms, i)))
 
 
 def toggled(text: Column, marks: Column, mark: str, start: Column, end: Column) -> Column:
@@ -83,23 +88,21 @@ def paragraph_offsets(text: Column) -> Column:
 
 def rich_html(text: Column, marks: Column) -> Column:
     """Paragraphs with nested tags for the marks."""
-    marks = merged(marks)
 
-    def paragraph(p: Column) -> Column:
-        inside = F.filter(F.concat(F.transform(marks, lambda m: m["start"]), F.transform(marks, lambda m: m["end"])), lambda i: (p["start"] < i) & (i < p["end"]))
-        cuts = F.array_sort(F.array_distinct(F.concat(F.array(p["start"], p["end"]), inside)))
+    def run(ms: Column, cuts: Column, a: Column, i: Column) -> Column:
+        b = F.get(cuts, i + 1)
+        out = html_escape(span_text(text, a, b))
+        for mark, tag in reversed(TAGS.items()):
+            has = F.exists(ms, lambda m: (m["mark"] == mark) & (m["start"] <= a) & (a < m["end"]))  # noqa: B023
+            out = F.concat(F.when(has, f"<{tag}>").otherwise(""), out, F.when(has, f"</{tag}>").otherwise(""))
+        return F.when(b.isNull(), "").otherwise(out)
 
-        def run(a: Column, i: Column) -> Column:
-            b = F.get(cuts, i + 1)
-            out = html_escape(span_text(text, a, b))
-            for mark, tag in reversed(TAGS.items()):
-                has = F.exists(marks, lambda m: (m["mark"] == mark) & (m["start"] <= a) & (a < m["end"]))  # noqa: B023
-                out = F.when(has, F.concat(F.lit(f"<{tag}>"), out, F.lit(f"</{tag}>"))).otherwise(out)
-            return F.when(b.isNull(), "").otherwise(out)
-
-        return F.concat(F.lit("<p>"), F.array_join(F.transform(cuts, run), ""), F.lit("</p>"))
+    def paragraph(ms: Column, p: Column) -> Column:
+        inside = F.filter(F.flatten(F.transform(ms, lambda m: F.array(m["start"], m["end"]))), lambda i: (p["start"] < i) & (i < p["end"]))
+        cuts = F.array_sort(F.array_distinct(F.concat(F.array(p["start"], p["end"]), inside)))
+        return _bound(cuts, lambda c: F.concat(F.lit("<p>"), F.array_join(F.transform(c, lambda a, i: run(ms, c, a, i)), ""), F.lit("</p>")))
 
-    return F.array_join(F.transform(paragraph_offsets(text), paragraph), "\n")
+    return _bound(merged(marks), lambda ms: F.array_join(F.transform(paragraph_offsets(text), lambda p: paragraph(ms, p)), "\n"))
 
 
 def fixed_rich(docs: DataFrame, findings: DataFrame, unsafe: bool = False) -> DataFrame:

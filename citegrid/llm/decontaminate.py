@@ -106,16 +106,16 @@ class Items:
 
         A window that shares no shingle with any item of its length has similarity 0 with them,
         so only windows that share one are fingerprinted. Items under k words are one shingle:
-        equal runs of words.
+        equal runs of words. A text with fewer words than an item is one window, compared whole.
         """
         found: dict[int, tuple[float, int, int]] = {}
         if not len(self.keys):
             return found
         by_size: dict[int, tuple] = {}
         for n, (own, index, mine) in self.by_length.items():
-            if len(h) < n:
+            size, own_words = min(self.k, n), min(n, len(h))
+            if own_words < size:
                 continue
-            size = min(self.k, n)
             if size not in by_size:
                 s = shingle_hashes(h, size)
                 by_size[size] = s, *self.hits(s)
@@ -123,16 +123,16 @@ class Items:
             at = at[mine[key]] if len(at) else at
             if not len(at):
                 continue
-            width = n - min(self.k, n) + 1
+            width = own_words - size + 1
             cover = np.zeros(len(h) + 2, dtype=np.int32)
             np.add.at(cover, np.maximum(0, at - width + 1), 1)
             np.add.at(cover, at + 1, -1)
-            starts = np.flatnonzero(np.cumsum(cover[: len(h) - n + 1]))
+            starts = np.flatnonzero(np.cumsum(cover[: len(h) - own_words + 1]))
             if not len(starts):
                 continue
             runs = (part for run in np.split(starts, np.flatnonzero(np.diff(starts) > n) + 1) for part in np.split(run, range(CHUNK_WINDOWS, len(run), CHUNK_WINDOWS)))
             for run in runs:
-                for start, fingerprint in zip(run.tolist(), simhash_windows(h, run, n), strict=True):
+                for start, fingerprint in zip(run.tolist(), simhash_windows(h, run, own_words), strict=True):
                     near = index.near(fingerprint)
                     if not len(near):
                         continue
@@ -143,7 +143,7 @@ class Items:
                             continue
                         like = self.likeness(bag, item)
                         if like >= similarity and like > found.get(item, (0,))[0]:
-                            found[item] = (like, start, n)
+                            found[item] = (like, start, own_words)
         return found
 
 

@@ -276,6 +276,28 @@ def test_leaks_against_all_windows(spark):
     assert got == want and len(want) > 15
 
 
+def test_leaks_of_trimmed_items(spark):
+    """Texts that are an item without some of its words, against exact weighted similarity of the whole text."""
+    r = random.Random(12)
+    bench = [" ".join(r.choice(WORDS) + str(r.randrange(30)) for _ in range(n)) for n in (3, 6, 12, 20, 36, 60)]
+    docs = []
+    for b in bench:
+        w = b.split()
+        docs += [" ".join(x) for cut in (1, 2, 3, 5, 8) for x in (w[:-cut], w[cut:], w[cut // 2 : len(w) - cut + cut // 2]) if x]
+    docs = list(enumerate(docs))
+    items, words = decontaminate.Items(list(enumerate(bench))), common.WordHashes()
+    want = set()
+    for doc, text in docs:
+        h = decontaminate.words_of(text, words)
+        for j, b in enumerate(bench):
+            n = min(len(b.split()), len(h))
+            for start in range(len(h) - n + 1):
+                if items.likeness(decontaminate.Counter(common.shingle_hashes(h[start : start + n], 5).tolist()), j) >= 0.8:
+                    want.add((doc, j, n))
+    got = {(x.doc_id, x.item_id, x.n_words) for x in decontaminate.find_leaks(frame(spark, docs), spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")).collect()}
+    assert got == want and len(want) > 15
+
+
 def test_hamming_blocks_find_all():
     r = np.random.default_rng(3)
     prints = r.integers(0, 1 << 63, 300, dtype=np.uint64)

@@ -298,6 +298,26 @@ def test_leaks_of_trimmed_items(spark):
     assert got == want and len(want) > 15
 
 
+def test_leaks_with_replaced_edges():
+    """Items with as many words of one edge replaced as the threshold allows: the fingerprint moves farthest, and all are found."""
+    r = random.Random(13)
+    bench = [" ".join(r.choice(WORDS) + str(r.randrange(30)) for _ in range(r.randrange(20, 80))) for _ in range(60)]
+    items, words = decontaminate.Items(list(enumerate(bench))), common.WordHashes()
+    missed, n = [], 0
+    for j, b in enumerate(bench):
+        own = decontaminate.words_of(b, words)
+        for rep in range(20):
+            other = decontaminate.words_of(" ".join(r.choice(WORDS) + "x" + str(r.randrange(90)) for _ in range(len(own))), words)
+            for cut in range(len(own) - 5, 0, -1):
+                h = np.concatenate([own[:-cut], other[:cut]] if rep % 2 else [other[:cut], own[cut:]])
+                if items.likeness(decontaminate.Counter(common.shingle_hashes(h, 5).tolist()), j) >= 0.8:
+                    n += 1
+                    if j not in items.search(h, 0.8):
+                        missed.append((j, rep, cut))
+                    break
+    assert not missed and n > 1000
+
+
 def test_hamming_blocks_find_all():
     r = np.random.default_rng(3)
     prints = r.integers(0, 1 << 63, 300, dtype=np.uint64)

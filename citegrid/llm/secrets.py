@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,12 +22,12 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _IDENTIFIER = re.compile(r"(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?([a-z0-9@._-]{3,})")
 _ENDPOINT = re.compile(r"(?:https?|ftp|jdbc:\w+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{4,}")
-_WEAK = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,64}={0,2}(?![A-Za-z0-9+/_=-])")
+_WEAK = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 
 
 def _entropy(s: str) -> float:
     n = len(s)
-    return -sum(c / n * math.log2(c / n) for c in map(s.count, set(s)))
+    return -sum(c / n * math.log2(c / n) for c in Counter(s).values())
 
 
 def _weak(s: str) -> bool:

@@ -160,6 +160,17 @@ def test_secrets(spark):
     assert clean[9] is None and clean[8] == ""
 
 
+def test_secrets_of_any_length(spark):
+    """Weak tokens of 64 characters and far more count beside an endpoint, whole, and are masked."""
+    r = random.Random(14)
+    keys = ["Kq3" + "".join(r.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(n - 3)) for n in (20, 64, 65, 86, 300, 100_000)]
+    texts = [f"Endpoint https://x.example.net/ AccountKey={k}== end" for k in keys] + ["https://x.example.net/ " + "z" * 200, "no partner " + keys[3]]
+    got = secrets.scan_secrets(frame(spark, list(enumerate(texts)))).collect()
+    assert [x.spans for x in got] == [f"endpoint:9:31,weak:43:{45 + len(k)}" for k in keys] + ["", ""]
+    clean = [x.text for x in secrets.redact_secrets(frame(spark, list(enumerate(texts)))).collect()]
+    assert clean == ["Endpoint https://x.example.net/ AccountKey=[SECRET] end"] * len(keys) + texts[len(keys) :]
+
+
 def test_packing(spark):
     for _ in range(20):
         x = sorted(rng.sample(range(1, 60), rng.randrange(1, 9)))

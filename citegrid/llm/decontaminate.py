@@ -61,9 +61,13 @@ class BlockIndex:
 
 
 class Items:
-    """A block of benchmark items: their words, weighted shingles and fingerprints by length."""
+    """A block of benchmark items: their words, weighted shingles and fingerprints by length.
 
-    def __init__(self, rows: list[tuple[int, str]], k: int = SHINGLE):
+    counts has the number of all items with words and the items of each shingle that more than
+    one has; without it the block is all items. A shingle of one item weighs what an unseen one does.
+    """
+
+    def __init__(self, rows: list[tuple[int, str]], k: int = SHINGLE, counts: tuple[int, np.ndarray, np.ndarray] | None = None):
         words, self.k = WordHashes(), k
         self.ids, hashes = [], []
         for item, text in rows:
@@ -72,11 +76,14 @@ class Items:
                 self.ids.append(item)
                 hashes.append(h)
         sets = [shingle_hashes(h, k) for h in hashes]
-        seen = Counter(s for x in sets for s in set(x.tolist()))
-        self.rarity = {s: 1 + math.log(len(sets) / n) for s, n in seen.items()}
-        self.common = 1 + math.log(max(len(sets), 1))
+        if counts is None:
+            shingles, n = np.unique(np.concatenate([np.empty(0, np.uint64), *map(np.unique, sets)]), return_counts=True)
+            counts = len(sets), shingles, n
+        total, shingles, n = counts
+        self.rarity = {s: 1 + math.log(total / m) for s, m in zip(shingles.tolist(), n.tolist(), strict=True)}
+        self.common = 1 + math.log(max(total, 1))
         self.bags = [Counter(x.tolist()) for x in sets]
-        self.keys = np.array(sorted(seen), dtype=np.uint64)
+        self.keys = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]))
         self.bits = np.zeros(1 << 16, dtype=bool)
         self.bits[self.keys & np.uint64(0xFFFF)] = True
         self.by_length: dict[int, tuple[list[int], BlockIndex, np.ndarray]] = {}
@@ -151,11 +158,28 @@ class Items:
 _OUT = "doc_id long, item_id long, similarity double, first_word long, n_words long"
 
 
+def _item_shingles(batches):
+    """Items of each shingle within a batch; the row without a shingle counts the items with words."""
+    words = WordHashes()
+    for batch in pieces_of(batches):
+        sets = [np.unique(shingle_hashes(h, SHINGLE)) for text in texts_of(batch) if len(h := words_of(text, words))]
+        s, n = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array([None], pa.int64()), pa.array(s.view(np.int64))]), pa.array([len(sets), *n.tolist()], pa.int64())], ["s", "n"])
+
+
+def _counts(items: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """The number of items with words, the shingles that more than one has, and the items of each."""
+    got = items.select("text").mapInArrow(_item_shingles, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter("s is null or n > 1").toArrow()
+    s, n = got.column("s"), got.column("n").to_numpy()
+    none = np.asarray(s.is_null())
+    return int(n[none].sum()), s.drop_null().to_numpy().view(np.uint64), n[~none]
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, per_pass: int = ITEMS_PER_PASS) -> DataFrame:
     """(doc_id, text), (item_id, text) -> doc_id, item_id, similarity, first_word, n_words: one row per document and item that it holds.
 
-    Items are a stated query set: blocks of at most per_pass of them, split by hash, each go to
-    the executors and against all documents. Null, empty and wordless texts and items match
+    Items are a stated query set: blocks of about per_pass of them, split by hash, each go to
+    the executors and against all documents; the weights of shingles are those of all items. Null, empty and wordless texts and items match
     nothing; of repeated item rows one counts; repeated documents give rows each; equal items
     under two ids both match. Further columns are ignored; no items give no rows.
     """
@@ -164,16 +188,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     passes = -(-items.count() // per_pass)
     spark = docs.sparkSession
     out = spark.createDataFrame([], _OUT)
+    counts = spark.sparkContext.broadcast(_counts(items)) if passes else None
     for i in range(passes):
         rows = [(r.item_id, r.text) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == i).collect()]
         known = spark.sparkContext.broadcast(rows)
-        out = out.unionByName(docs.mapInArrow(_searcher(known, similarity), _OUT)) if i else docs.mapInArrow(_searcher(known, similarity), _OUT)
+        out = out.unionByName(docs.mapInArrow(_searcher(known, counts, similarity), _OUT)) if i else docs.mapInArrow(_searcher(known, counts, similarity), _OUT)
     return out
 
 
-def _searcher(known, similarity: float):
+def _searcher(known, counts, similarity: float):
     def run(batches):
-        items, words = Items(known.value), WordHashes()
+        items, words = Items(known.value, counts=counts.value), WordHashes()
         for batch in pieces_of(batches):
             rows = [(doc, items.ids[i], like, start, n) for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True) for i, (like, start, n) in items.search(words_of(text, words), similarity).items()]
             if rows:

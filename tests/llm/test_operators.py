@@ -309,6 +309,25 @@ def test_leaks_of_trimmed_items(spark):
     assert got == want and len(want) > 15
 
 
+def test_leaks_do_not_depend_on_passes(spark):
+    """Items that share passages: similarities are those of the weights over all items, in one pass or many."""
+    r = random.Random(15)
+    shared = [" ".join(r.choice(WORDS) + str(r.randrange(30)) for _ in range(12)) for _ in range(3)]
+    bench = [f"{r.choice(shared)} {' '.join(r.choice(WORDS) + str(r.randrange(30)) for _ in range(r.randrange(15, 40)))}" for _ in range(24)]
+    docs = []
+    for i, b in enumerate(bench * 3):
+        w = b.split()
+        w[len(w) - r.randrange(1, 5) :] = ["other"] * r.randrange(1, 5)
+        docs.append((i, " ".join(["before", *w, "after"])))
+    items = spark.createDataFrame(list(enumerate([*bench, "", "?!"])), "item_id long, text string")
+    whole, words = decontaminate.Items(list(enumerate(bench))), common.WordHashes()
+    want = sorted((doc, j, round(like, 9)) for doc, text in docs for j, (like, _, _) in whole.search(decontaminate.words_of(text, words), 0.8).items())
+    for per_pass in (20_000, 5, 1):
+        got = decontaminate.find_leaks(frame(spark, docs), items, per_pass=per_pass).collect()
+        assert sorted((x.doc_id, x.item_id, round(x.similarity, 9)) for x in got) == want
+    assert 20 < len(want) and {round(x[2], 2) for x in want} != {1.0}
+
+
 def test_leaks_with_replaced_edges():
     """Items with as many words of one edge replaced as the threshold allows: the fingerprint moves farthest, and all are found."""
     r = random.Random(13)

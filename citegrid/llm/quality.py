@@ -157,7 +157,7 @@ def score_quality(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataF
 
 
 def keep_quality(docs: DataFrame, model, threshold: float = 0.5) -> DataFrame:
-    """The rows whose score reaches threshold, with their columns; statistics go under names that no column has."""
+    """The rows whose score reaches threshold, with their columns: below THRESHOLD, so that doubtful rows stay; statistics go under names that no column has."""
     free = [c for c in docs.columns if c not in ("text",)]
     packed = docs.select("text", F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(free)]).alias("_rest")) if free else docs
     out = statistics(packed).filter(compiled(model) >= threshold)

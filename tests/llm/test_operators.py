@@ -242,6 +242,25 @@ def test_fingerprints_estimate_generalised_jaccard(spark):
     assert abs(np.mean([p == q for p, q in zip(got[1], got[2], strict=True)]) - want) < 0.1
 
 
+@pytest.mark.parametrize(("other", "likeness"), [(14, 0.8), (56, 0.5)])
+def test_error_of_production_fingerprints(spark, other, likeness):
+    """With the samples in use the likeness errs as a share of so many independent draws does, and without bias."""
+    r = random.Random(16)
+    rows, want = [], {}
+    for i in range(300):
+        common_ = [f"w{r.randrange(10**9)}" for _ in range(56)] * 2
+        a, b = ([f"{side}{r.randrange(10**9)}" for _ in range(other)] for side in "ab")
+        x, y = common_ + a, common_ + b
+        rows += [(2 * i, [" ".join(x)]), (2 * i + 1, [" ".join(y)])]
+        bags = [decontaminate.Counter(t) for t in (x, y)]
+        want[i] = sum((bags[0] & bags[1]).values()) / sum((bags[0] | bags[1]).values())
+    got = {x.id: x.fp for x in fingerprints.fingerprints(spark.createDataFrame(rows, "id long, t array<string>"), ["id"], "t", fingerprints.SAMPLES).collect()}
+    errors = [np.mean([p == q for p, q in zip(got[2 * i], got[2 * i + 1], strict=True)]) - want[i] for i in want]
+    expected = (likeness * (1 - likeness) / fingerprints.SAMPLES) ** 0.5
+    print("likeness", want[0], "error", np.std(errors), "bias", np.mean(errors))
+    assert abs(want[0] - likeness) < 0.01 and abs(np.mean(errors)) < 0.02 and 0.8 * expected < np.std(errors) < 1.2 * expected
+
+
 def test_decontamination(spark):
     item = " ".join(f"w{i} {rng.choice(WORDS)}" for i in range(15))
     docs = [(1, f"Some words before. {item.upper()}! and after"), (2, "nothing at all here to be found by anyone"), (3, item.replace("w14", "w99")), (4, None), (5, ""), (6, "tiny item"), (7, "x " + " ".join(item.split()[:15])), (1, f"Some words before. {item.upper()}! and after")]

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 
+MARK = "<|"
+
 
 def collapse_snapshots(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text) -> the turns of maximal conversations, with idx counted from 1.
@@ -14,29 +16,42 @@ def collapse_snapshots(turns: DataFrame) -> DataFrame:
     A conversation that is a proper prefix of another goes; of equal ones the smallest conv_id
     stays. Turns are compared by role and text (null and empty are equal) in order of turn, then
     role, then text; a row repeated whole counts once. Prefixes are told by rolling hashes: the
-    exclusive-or of position-dependent hashes of all turns so far, under two seeds. Rows with a
-    null conv_id form one conversation. Further columns are ignored.
+    exclusive-or of position-dependent hashes of all turns so far, under two seeds. A row with a
+    null conv_id belongs to no other row: it is a conversation of one turn (idx 1), so that such
+    rows are no hot key. Empty tables give no rows; a very long conversation is one group, as its
+    order asks. Further columns are ignored.
     """
     turns = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own, lone = turns.filter("conv_id is not null"), turns.filter("conv_id is null")
     by = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
     same = F.struct("turn", "role", "text")
-    turns = turns.withColumn("again", F.coalesce(same.eqNullSafe(F.lag(same).over(by)), F.lit(False))).filter(~F.col("again")).drop("again")
-    turns = turns.withColumn("idx", F.row_number().over(by))
+    own = own.withColumn("again", F.coalesce(same.eqNullSafe(F.lag(same).over(by)), F.lit(False))).filter(~F.col("again")).drop("again")
+    own = own.withColumn("idx", F.row_number().over(by))
     far = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for name, seed in (("h1", 1), ("h2", 2)):
-        turns = turns.withColumn(name, F.bit_xor(F.xxhash64(F.lit(seed), "idx", "role", F.length("role"), "text", F.lit(seed * 7))).over(far))
-    turns = turns.withColumn("n", F.count("*").over(Window.partitionBy("conv_id")))
+    rolling = {name: F.xxhash64(F.lit(seed), "idx", "role", F.length("role"), "text", F.lit(seed * 7)) for name, seed in (("h1", 1), ("h2", 2))}
+    for name, h in rolling.items():
+        own = own.withColumn(name, F.bit_xor(h).over(far))
+    own = own.withColumn("n", F.count("*").over(Window.partitionBy("conv_id")))
+    lone = lone.groupBy("conv_id", "role", "text").agg(F.min("turn").alias("turn")).withColumn("idx", F.lit(1)).withColumns(rolling).withColumn("n", F.lit(1).cast("long"))
     key = ["idx", "h1", "h2"]
-    ends = turns.filter("idx = n").groupBy(*key).agg(F.min("conv_id").alias("conv_id"))
-    shorter = turns.filter("idx < n").select(*key).distinct()
-    kept = ends.join(shorter, key, "left_anti").select("conv_id")
-    return turns.join(kept.withColumnRenamed("conv_id", "_kept"), F.col("conv_id").eqNullSafe(F.col("_kept")), "left_semi").select("conv_id", "idx", "turn", "role", "text")
+    ends = own.filter("idx = n").select(*key, "conv_id").unionByName(lone.select(*key, "conv_id")).groupBy(*key).agg(F.min("conv_id").alias("conv_id"))
+    shorter = own.filter("idx < n").select(*key).distinct()
+    kept = ends.join(shorter, key, "left_anti")
+    out = ["conv_id", "idx", "turn", "role", "text"]
+    whole = own.join(kept.select(F.col("conv_id").alias("_kept")), F.col("conv_id") == F.col("_kept"), "left_semi").select(*out)
+    return whole.unionByName(lone.join(kept.filter("conv_id is null").select(*key), key, "left_semi").select(*out))
 
 
 def rendered(turns: DataFrame, start: str = "<|im_start|>", end: str = "<|im_end|>") -> DataFrame:
-    """One row per conversation: conv_id, n_turns, text in turn markup."""
-    line = F.concat(F.lit(start), "role", F.lit("\n"), "text", F.lit(end + "\n"))
-    turns = turns.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.array_sort(F.collect_list(F.struct("idx", line.alias("line")))).alias("lines"))
+    """One row per conversation: conv_id, n_turns, text in turn markup.
+
+    A mark that stands in a role or text loses its "<" (see MARK), so that no turn can feign another; turns
+    without a conv_id are conversations of their own. An empty table gives no rows.
+    """
+    safe = lambda c: F.replace(F.col(c), F.lit(MARK), F.lit("|"))
+    line = F.concat(F.lit(start), safe("role"), F.lit("\n"), safe("text"), F.lit(end + "\n"))
+    alone = F.when(F.col("conv_id").isNull(), F.xxhash64("role", F.length("role"), "text"))
+    turns = turns.groupBy("conv_id", alone.alias("_alone")).agg(F.count("*").alias("n_turns"), F.array_sort(F.collect_list(F.struct("idx", line.alias("line")))).alias("lines"))
     return turns.select("conv_id", "n_turns", F.array_join(F.transform("lines", lambda x: x.line), "").alias("text"))
 
 
@@ -52,6 +67,6 @@ p AS (SELECT *, row_number() OVER w AS idx, count(*) OVER (PARTITION BY conv_id)
 e AS (SELECT prefix, min(conv_id) AS conv_id FROM p WHERE idx = n GROUP BY prefix),
 k AS (SELECT conv_id FROM e WHERE prefix NOT IN (SELECT prefix FROM p WHERE idx < n))
 SELECT conv_id, count(*) AS n_turns,
-       string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY idx) AS text
+       string_agg('<|im_start|>' || replace(role, '<|', '|') || chr(10) || replace(text, '<|', '|') || '<|im_end|>' || chr(10), '' ORDER BY idx) AS text
 FROM p JOIN k USING (conv_id) GROUP BY conv_id
 """

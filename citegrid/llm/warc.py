@@ -12,7 +12,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, shared_dir, written
+from .common import pieces_of, read_table, shared_dir, written
 
 ARCHIVE_BYTES = 64 << 20
 GAP = 256 << 10
@@ -25,26 +25,34 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(str(page_id).encode()).digest())}>"
+def record_id(name: str, offset: int) -> str:
+    """An id from the place of a record, so that rows that repeat a page, or have no page_id, have ids of their own."""
+    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(f'{name} {offset}'.encode()).digest())}>"
 
 
 def _header(value: str) -> str:
     return "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in value)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None, revisit: bool) -> bytes:
-    """One WARC/1.1 record; a revisit carries headers alone and names the response it repeats."""
+def info_record(name: str) -> bytes:
+    """The record that opens an archive; the index leaves it out."""
+    block = b"software: citegrid\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {record_id(name, 0)}", f"WARC-Date: {_DATE}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def record(identity: str, page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None, first_url: str | None, revisit: bool) -> bytes:
+    """One WARC/1.1 record; a revisit carries headers alone and names the page and address of the response it repeats."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Record-ID: {identity}",
         f"WARC-Date: {_DATE}",
         f"WARC-Target-URI: {_header(url or '')}",
         f"WARC-Payload-Digest: sha1:{digest}",
-        *(["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(first)}", f"X-Refers-To-Page: {first}"] if revisit else []),
+        *(["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Target-URI: {_header(first_url or '')}", f"WARC-Refers-To-Date: {_DATE}", f"X-Refers-To-Page: {first}"] if revisit else []),
         *([f"X-Page: {page_id}"] if page_id is not None else []),
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
@@ -77,14 +85,17 @@ def _writer(folder: str):
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         out, name, at, rows = None, "", 0, []
-        for batch in batches:
-            for page, url, html, first, revisit in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "first", "revisit")), strict=True):
+        for batch in pieces_of(batches, 128):
+            for page, url, html, first, first_url, revisit in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "first", "first_url", "revisit")), strict=True):
                 if out is None:
-                    name, at = f"{uuid.uuid4().hex}.warc.gz", 0
+                    name = f"{uuid.uuid4().hex}.warc.gz"
                     out = store.open_output_stream(f"{root}/{name}", compression=None)
+                    opening = gzipped(info_record(name))
+                    out.write(opening)
+                    at = len(opening)
                 payload = (html or "").encode("utf-8", "surrogatepass")
                 digest = sha1_base32(payload)
-                data = gzipped(record(page, url, payload, digest, first, revisit))
+                data = gzipped(record(record_id(name, at), page, url, payload, digest, first, first_url, revisit))
                 out.write(data)
                 rows.append((name, at, len(data), url, digest, page))
                 at += len(data)
@@ -110,13 +121,14 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
 
     Of records with equal payloads of at least least_bytes bytes the smallest page_id is the
     response and the others revisit it. Null html is an empty payload; a null url an empty one.
-    Rows that repeat both payload and page_id of the response are responses too; a null
-    page_id comes last. Further columns are ignored; no rows give no archive.
+    Rows that repeat both payload and page_id of the response are responses too, each a record
+    with an id of its own; a null page_id comes last. A page is one record however long.
+    Further columns are ignored; no rows give no archive.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     digested = pages.withColumn("sha", F.sha1("html"))
-    firsts = digested.select("sha", "page_id").groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    repeats = digested.join(firsts, "sha", "left").select("page_id", "url", "html", "first", F.coalesce((F.octet_length("html") >= least_bytes) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False)).alias("revisit"))
+    firsts = digested.select("sha", "page_id", "url").groupBy("sha").agg(F.min("page_id").alias("first"), F.min_by("url", "page_id").alias("first_url"), F.count("*").alias("n")).filter("n > 1")
+    repeats = digested.join(firsts, "sha", "left").select("page_id", "url", "html", "first", "first_url", F.coalesce((F.octet_length("html") >= least_bytes) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False)).alias("revisit"))
     return written(repeats.mapInArrow(_writer(folder), _INDEX), "index")
 
 
@@ -150,7 +162,11 @@ def _reader(folder: str, payloads: bool):
 
 
 def read_records(index: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
-    """The records that the rows of an index name, their byte ranges sorted and joined to long reads."""
+    """The records that the rows of an index name, their byte ranges sorted and joined to long reads.
+
+    A row that repeats gives its record again; an empty index gives none; a record longer than
+    READ_BYTES is one read. A record that does not fit its digest raises.
+    """
     # a file and its stretch of READ_BYTES is one unit, so that a large archive is read by several tasks
     unit = F.floor(F.col("offset") / READ_BYTES)
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -191,15 +191,15 @@ def repeated_starts(parts: list[bytes], length: int = LENGTH) -> list[np.ndarray
     return [np.flatnonzero(marked[bounds[i] : bounds[i] + len(p)]) for i, p in enumerate(parts)]
 
 
-_OCC = "tid binary, anchor long, piece long, start int, count int, again boolean"
+_OCC = "tid binary, doc_id long, anchor long, piece long, start int, count int, again boolean"
 
 
 def _occurrences(batches):
     for batch in pieces_of(batches):
-        rows = [(tid, *p) for tid, data in zip(batch.column("tid").to_pylist(), batch.column("data").to_pylist(), strict=True) if len(data) >= LENGTH for p in pieces(data)]
+        rows = [(tid, doc, *p) for tid, doc, data in zip(*(batch.column(c).to_pylist() for c in ("tid", "doc_id", "data")), strict=True) if len(data) >= LENGTH for p in pieces(data)]
         if rows:
             cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()), strict=True)], [x.split()[0] for x in _OCC.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()), strict=True)], [x.split()[0] for x in _OCC.split(", ")])
 
 
 _CUT = "anchor long, piece long, many boolean, tid binary, start int, data binary"
@@ -240,7 +240,7 @@ def _sorted_groups(batches):
             if new != key and held and (size >= BATCH_BYTES or new[3] > 1 or key[3] > 1):
                 yield from close()
                 held, size = [], 0
-            if (*new, row[4]) != last:  # copies of a text bring their pieces again
+            if (*new, row[4]) != last:  # rows that repeat a text and its doc_id bring their pieces again
                 held.append(row[5:])
                 size += len(row[8])
             key, last = new, (*new, row[4])
@@ -298,11 +298,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     shared = occ.groupBy("anchor").agg(F.min("at").alias("a"), F.max("at").alias("b"), F.max("again").alias("again")).filter("a <> b or again").select("anchor")
     occ = written(occ.join(shared, "anchor").drop("at"), "shared")
     at = F.xxhash64("tid", "start")
-    distinct = occ.groupBy("anchor", "piece").agg((F.min(at) != F.max(at)).alias("many"), F.max("again").alias("again"), F.min(F.struct("tid", "start", "count")).alias("o"))
-    distinct = written(distinct.select("anchor", "piece", "many", "again", "o.*"), "distinct")
+    distinct = occ.groupBy("anchor", "piece").agg((F.min(at) != F.max(at)).alias("many"), F.max("again").alias("again"), F.min(F.struct("tid", "start", "count")).alias("o"), F.min(F.struct("tid", "doc_id")).alias("d"))
+    distinct = written(distinct.select("anchor", "piece", "many", "again", "o.*", F.col("d.doc_id").alias("doc_id")), "distinct")
     sizes = distinct.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.col("count") + LENGTH).alias("bytes"), F.max(F.col("again") & ~F.col("many")).alias("own")).filter("n > 1 or own").select("anchor", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
-    wanted = distinct.join(sizes.select("anchor"), "anchor").groupBy("tid").agg(F.collect_list(F.struct("anchor", "piece", "many", "start", "count")).alias("wanted"))
-    cut = docs.select("tid", "data").join(wanted, "tid").mapInArrow(_extract, _CUT).join(sizes, "anchor")
+    wanted = distinct.join(sizes.select("anchor"), "anchor").groupBy("tid", "doc_id").agg(F.collect_list(F.struct("anchor", "piece", "many", "start", "count")).alias("wanted"))
+    # of the copies of a text the one with the least doc_id gives its pieces: all have the same
+    one = docs.select("tid", "doc_id", "data").join(wanted.withColumnsRenamed({"tid": "_tid", "doc_id": "_doc"}), (F.col("tid") == F.col("_tid")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
+    cut = one.select("tid", "data", "wanted").mapInArrow(_extract, _CUT).join(sizes, "anchor")
     cut = cut.withColumn("block", F.pmod(F.xxhash64("piece"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     found = cut.repartition(parts, "anchor", "low", "high").sortWithinPartitions("anchor", "low", "high", "piece").mapInArrow(_sorted_groups, _RANGES)

@@ -22,6 +22,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _IDENTIFIER = re.compile(r"(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?([a-z0-9@._-]{3,})")
 _ENDPOINT = re.compile(r"(?:https?|ftp|jdbc:\w+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{4,}")
+_USERINFO = re.compile(r"://([^\s/:@\"'<>]*):([^\s/@\"'<>]+)@")
 _WEAK = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 
 
@@ -42,22 +43,35 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out + [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
 
 
+def in_addresses(text: str) -> list[tuple[int, int, str]]:
+    """Users, passwords and addresses of addresses that hold a password."""
+    if "://" not in text or "@" not in text:
+        return []
+    low, out = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"), []
+    for m in _ENDPOINT.finditer(low):
+        if u := _USERINFO.search(low, m.start(), m.end()):
+            out += [(*m.span(), "endpoint"), (*u.span(2), "weak")] + ([(*u.span(1), "identifier")] if u[1] else [])
+    return out
+
+
 def linked_spans(text: str, base: list[tuple[int, int, str]], scope: int = SCOPE) -> list[tuple[int, int, str]]:
     """Parts that only together give a credential: an interval join over scopes of a text.
 
     Secrets are weak tokens (mixed letters and digits, high entropy) outside base spans; they
     count where an access identifier or an endpoint lies within scope characters in the same
-    paragraph. The identifiers and endpoints that complete one are reported with it.
+    paragraph. The identifiers and endpoints that complete one are reported with it. An address
+    with a user and a password in it (scheme://user:password@host) has its parts by itself.
     """
+    out = set(in_addresses(text))
     weak = [(m.start(), m.end(), "weak") for m in _WEAK.finditer(text) if _weak(m.group())]
     strong = [s for s in base if s[2] != "access"]
     if not weak and not strong:
-        return []
+        return list(out)
     low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
     partners = [(m.start(), m.end(), "identifier") for m in _IDENTIFIER.finditer(low)] + [(m.start(), m.end(), "endpoint") for m in _ENDPOINT.finditer(low)]
     partners = sorted(partners + [s for s in base if s[2] == "access"])
     if not partners:
-        return []
+        return list(out)
     starts = [p[0] for p in partners]
     reach = scope + max(e - s for s, e, _ in partners)
     taken = sorted((s, e) for s, e, _ in base + [p for p in partners if p[2] != "access"])
@@ -66,7 +80,6 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], scope: int = SCOPE
         most = max(most, e)
         ends.append(most)
     breaks = [m.start() for m in re.finditer(r"\n\s*\n", text)]
-    out = set()
     for s, e, kind in weak + strong:
         if kind == "weak" and (i := bisect_left(taken, (e, 0))) and ends[i - 1] > s:
             continue
@@ -118,7 +131,11 @@ def _redacted(text: str, mask: str) -> str:
 
 
 def redact_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """Every row with its secrets masked and n_chars, where there is such a column, counted anew; null texts stay null."""
+    """Every row with its secrets masked and n_chars, where there is such a column, counted anew; null texts stay null.
+
+    Rows that repeat or have no id are masked like any other; whole texts are read, however long;
+    an empty table stays empty.
+    """
 
     @F.pandas_udf("string")
     def clean(texts):

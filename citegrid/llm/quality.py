@@ -141,23 +141,41 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
     return docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).drop("_id")
 
 
+def one_per_id(measured: DataFrame) -> DataFrame:
+    """Of the rows of each doc_id the least one, without the id: no more rows than labelled ids were drawn."""
+    rest = [c for c in measured.columns if c != "doc_id"]
+    return measured.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("r")).orderBy(F.xxhash64("doc_id"), "doc_id").select("r.*")
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[float, list[tuple[float, tuple]]]:
-    """Learns from a bounded sample of labelled rows whose part (of 4) is not 2; only their statistics reach the driver."""
+    """Learns from a bounded sample of labelled rows whose part (of 4) is not 2; only their statistics reach the driver.
+
+    Of texts that repeat a doc_id one row counts; null and empty texts have the statistics of an
+    empty one; without labels, or with one class, there are no rules and the base rate is all.
+    """
     sample = labelled_sample(docs.select("doc_id", "text"), labels, "quality", 4, 2, rows)
-    got = statistics(sample).select("_y", *FEATURES).limit(2 * rows).toArrow()
+    got = one_per_id(statistics(sample).select("doc_id", "_y", *FEATURES)).toArrow()
     x = np.stack([got.column(f).to_numpy() for f in FEATURES], axis=1) if got.num_rows else np.zeros((0, len(FEATURES)))
     return fit_rules(x, got.column("_y").to_numpy())
 
 
 def score_quality(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; null and empty texts have the statistics of an empty text."""
+    """doc_id, held_out, score, predicted of every row; null and empty texts have the statistics of an empty text.
+
+    Whole texts are read, however long. Rows that repeat an id, or have none, give rows each;
+    further columns are ignored; an empty table gives no rows.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = statistics(docs).select("doc_id", (part_of(F.col("doc_id"), 4) == 2).alias("held_out"), compiled(model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_quality(docs: DataFrame, model, threshold: float = 0.5) -> DataFrame:
-    """The rows whose score reaches threshold, with their columns: below THRESHOLD, so that doubtful rows stay; statistics go under names that no column has."""
+    """The rows whose score reaches threshold, with their columns: below THRESHOLD, so that doubtful rows stay.
+
+    Columns may have the names of statistics; a row repeated stays as often as it stands, rows
+    without an id or text are scored as any other; an empty table stays empty.
+    """
     free = [c for c in docs.columns if c not in ("text",)]
     packed = docs.select("text", F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(free)]).alias("_rest")) if free else docs
     out = statistics(packed).filter(compiled(model) >= threshold)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read_table
 
 SAMPLES = 32
+STRETCH_BYTES = 16 << 20
+KEY_BYTES = 7
 
 
 def terms(text: Column) -> Column:
@@ -66,6 +70,37 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), (a.isNull() & b.isNull()).cast("double")).otherwise(same)
 
 
+def order_key(doc_id: Column, text: Column) -> Column:
+    """A string that orders rows by doc_id, nulls first, then by the first bytes of the text."""
+    number = F.coalesce(F.lpad(F.hex(doc_id.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"), F.lit(""))
+    return F.concat(number, F.lit("."), F.hex(F.substring(text.cast("binary"), 1, KEY_BYTES)))
+
+
+def quantiles(keys: list[tuple[str, int]], n: int) -> list[str]:
+    """At most n - 1 keys that cut the sorted (key, count) list evenly; a key with more than a share stands alone."""
+    total, cuts, seen = sum(c for _, c in keys), [], 0
+    for i, (key, count) in enumerate(keys):
+        if i and (seen * n // total > (seen - keys[i - 1][1]) * n // total or count * n > total):
+            cuts.append(key)
+        seen += count
+    return cuts
+
+
+def _listed(values: list[str]) -> Column:
+    """Strings without commas as one folded array."""
+    return F.split(F.lit(",".join(values)), ",")
+
+
+def place(key: Column, cuts: list[str]) -> Column:
+    """How many cuts are not above the key: a look among every step-th cut, then among the step cuts from there."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts)) + 1
+    below = lambda xs: F.size(F.filter(xs, lambda c: c <= key))
+    base = (F.greatest(below(_listed(cuts[::step])), F.lit(1)) - 1) * step
+    return base + below(F.slice(_listed(cuts), base + 1, step))
+
+
 def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """(doc_id, text) -> fingerprints of each text and of its edited text, with their likeness and that to the next text.
 
@@ -74,25 +109,28 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     texts are empty. Rows that repeat a doc_id follow each other by descending text; null ids
     come last. Further columns are ignored; an empty table gives no rows.
 
-    Texts move once: to stretches of doc_id, cut at quantiles, where a window finds each next
-    text. The first row of every stretch also goes, as a guest, to the end of the one before.
+    Texts move once: to stretches of doc_id (and, where an id repeats or is null, of the first
+    bytes of the text), cut at quantiles of a sample of keys and dealt by range, so that tasks are
+    even; there a window finds each next text. The stretches follow the size of the corpus
+    (STRETCH_BYTES). The first row of every stretch also goes, as a guest, to the end of the one
+    before. Only rows that agree in id and in those bytes stay in one stretch.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = min(1024, 4 * parts)
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
-    cuts = sorted(set(cuts))
-    place = F.when(F.col("doc_id").isNull(), 0).otherwise(1 + F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("doc_id")))) if cuts else F.when(F.col("doc_id").isNull(), 0).otherwise(1)
-    tops = sorted((r["b"], r["top"]) for r in docs.select(place.cast("int").alias("b"), "doc_id").groupBy("b").agg(F.max("doc_id").alias("top")).collect())
-    host, top = [None] * (len(cuts) + 2), [None] * (len(cuts) + 2)
-    for i, (b, x) in enumerate(tops):
-        host[b], top[b] = tops[(i + 1) % len(tops)][0], x
-    get = lambda values, kind: F.get(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("_b"))
-    rows = docs.withColumn("_b", place.cast("int"))
-    guest = F.when(F.col("doc_id").eqNullSafe(get(top, "long")), get(host, "int"))
+    rows, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    n = max(4 * parts, -(-(size or 0) // STRETCH_BYTES))
+    docs = docs.withColumn("_k", order_key(F.col("doc_id"), F.col("text")))
+    some = docs.select("_k").filter(F.pmod(F.xxhash64("_k"), F.lit(max(1, rows // (32 * n)))) == 0).groupBy("_k").count().collect()
+    cuts = quantiles(sorted((r["_k"], r["count"]) for r in some), n)
+    docs = docs.withColumn("_b", place(F.col("_k"), cuts))
+    tops = sorted(tuple(r) for r in docs.groupBy("_b").agg(F.max("_k")).collect())
+    host, top = [""] * (len(cuts) + 1), [""] * (len(cuts) + 1)
+    for i, (b, key) in enumerate(tops):
+        host[b], top[b] = str(tops[(i + 1) % len(tops)][0]), key
+    guest = F.when(F.col("_k") == F.get(_listed(top), F.col("_b")), F.get(_listed(host), F.col("_b")).cast("int"))
     seats = F.array_compact(F.array(F.struct(F.col("_b").alias("_b"), F.lit(0).alias("_guest")), F.when(guest.isNotNull(), F.struct(guest.alias("_b"), F.lit(1).alias("_guest")))))
-    rows = rows.withColumn("_seats", seats).drop("_b").select("doc_id", "text", F.inline_outer("_seats")).repartition(parts, "_b")
+    rows = docs.withColumn("_seats", seats).select("doc_id", "text", F.inline_outer("_seats")).repartitionByRange(max(parts, -(-n // 4)), "_b")
     order = Window.partitionBy("_b").orderBy("_guest", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
     rows = rows.withColumn("_next", F.lead("text").over(order)).withColumn("_row", F.row_number().over(order))
     size = F.length("text")

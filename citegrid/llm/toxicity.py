@@ -10,44 +10,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces_of, read_table, texts_of
-from .quality import labelled_sample, part_of
+from .common import pieces_of, read_table, texts_of, written
+from .quality import labelled_sample, one_per_id, part_of
 
 SAMPLE_ROWS = 12000
-MAX_TERMS = 2000
-MAX_STEMS = 400
 LEAST_DOCS = 6
+HINT_LIFT = 1.5
+HINT_DEVIATIONS = 7
+LONG_TERM = 9
 WINDOW = 8
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
-# Words that report or quote what others said, and that address the reader.
+# Words that report or quote what others said, and that address the reader. They are known
+# of the languages and not learned, as labels of whole texts do not tell which words quote; how much a
+# quoted or addressed term counts is learned.
 REPORTING = frozenset("said says wrote called calling quote quoted reported word term dit disait écrit citation mot sagte schrieb zitat wort dijo escribió cita palabra".split())
 ADDRESS = frozenset("you your yours youre tu te toi ton vous votre du dich dir dein sie ihr tú ti usted tus".split())
 _QUOTES = frozenset("\"“”„«»‘’")
 
 
 class Trie:
-    """Terms by letters. A node's mark: 1 for a whole word, 2 for a stem that any ending may follow."""
+    """Terms by letters. A node's mark: 1 for a whole word, 2 for a stem that any ending may follow, 4 for a stem that only hints."""
 
-    def __init__(self, words: list[str], stems: list[str]):
+    def __init__(self, words: list[str], stems: list[str], hints: list[str] = ()):
         self.root: dict = {}
-        for mark, terms in ((1, words), (2, stems)):
+        for mark, terms in ((1, words), (2, stems), (4, hints)):
             for term in terms:
                 node = self.root
                 for c in term:
                     node = node.setdefault(c, {})
                 node[""] = node.get("", 0) | mark
 
-    def exact(self, word: str) -> bool:
-        node = self.root
+    def exact(self, word: str) -> int:
+        """2 for a term, 3 for a word with the stem of a hint alone, 0 for neither."""
+        node, hint = self.root, 0
         for i, c in enumerate(word):
             node = node.get(c)
             if node is None:
-                return False
+                return hint
             mark = node.get("", 0)
             if mark & 2 or (mark & 1 and i == len(word) - 1):
-                return True
-        return False
+                return 2
+            if mark & 4:
+                hint = 3
+        return hint
 
 
 class LevenshteinAutomaton:
@@ -84,43 +90,54 @@ def misspelled(trie: Trie, word: str, k: int = 1) -> bool:
     return False
 
 
-class Matcher:
-    """Tells words apart: 2 a term, 1 a misspelled term, 0 neither. Answers are remembered up to a bound."""
+def edits_of(term: str) -> int:
+    """How many edits still tell a misspelled term: none for short words, two for long ones."""
+    return 0 if len(term) < 5 else 1 if len(term) < LONG_TERM else 2
+
 
-    def __init__(self, words: list[str], stems: list[str], memory: int = 300_000):
-        self.trie, self.known, self.memory = Trie(words, stems), {}, memory
-        # one edit leaves the first or the last half of a term as it is
-        self.longest = max(map(len, words), default=0) + 1
-        self.heads, self.tails = {}, {}
+class Matcher:
+    """Tells words apart: 2 a term, 1 a misspelled term, 3 a hint, 0 none of them. Answers are remembered up to a bound."""
+
+    def __init__(self, words: list[str], stems: list[str], hints: list[str] = (), memory: int = 300_000):
+        self.trie, self.known, self.memory = Trie(words, stems, hints), {}, memory
+        self.fuzzy = {k: Trie([w for w in words if edits_of(w) == k], []) for k in (1, 2)}
+        # k edits leave one of k + 1 parts of a term whole, and move it by k places at most
+        self.parts: dict[int, set[tuple[int, str]]] = {1: set(), 2: set()}
+        self.sizes: dict[int, set[int]] = {1: set(), 2: set()}
         for w in words:
-            if len(w) >= 5:
-                h = len(w) // 2
-                self.heads.setdefault(h, set()).add(w[:h])
-                self.tails.setdefault(len(w) - h, set()).add(w[h:])
-        self.fuzzy = Trie([w for w in words if len(w) >= 5], [])
+            if k := edits_of(w):
+                cuts = [i * len(w) // (k + 1) for i in range(k + 2)]
+                for x, y in zip(cuts, cuts[1:], strict=False):
+                    self.sizes[k].add(y - x)
+                    self.parts[k].update((at, w[x:y]) for at in range(max(0, x - k), x + k + 1))
+        self.longest = {k: max((len(w) for w in words if edits_of(w) == k), default=0) + k for k in (1, 2)}
+
+    def _may(self, word: str, k: int) -> bool:
+        return 4 <= len(word) <= self.longest[k] and any((at, word[at : at + n]) in self.parts[k] for n in self.sizes[k] for at in range(len(word) - n + 1))
 
     def __call__(self, word: str) -> int:
         got = self.known.get(word)
         if got is None:
-            got = 2 if self.trie.exact(word) else 0
-            if not got and 4 <= len(word) <= self.longest and (any(word[:h] in s for h, s in self.heads.items()) or any(word[-h:] in s for h, s in self.tails.items())):
-                got = int(misspelled(self.fuzzy, word))
+            got = self.trie.exact(word)
+            if got != 2 and any(self._may(word, k) and misspelled(self.fuzzy[k], word, k) for k in (1, 2)):
+                got = 1
             if len(self.known) < self.memory:
                 self.known[word] = got
         return got
 
 
-N_FEATURES = 6
+N_FEATURES = 9
 
 
 def features(text: str, match: Matcher) -> list[float]:
-    """Direct, misspelled and quoted terms, several different, addressed ones, and their density in a text."""
+    """Direct, misspelled and quoted terms, several different, addressed ones and their density in a text; hints, different ones, their density."""
     low = text.lower()
     words = _WORD.findall(low)
-    hits = [(i, m) for i, m in enumerate(map(match, words)) if m]
-    if not hits:
+    found = [(i, m) for i, m in enumerate(map(match, words)) if m]
+    if not found:
         return [0.0] * N_FEATURES
-    spots = [m.span() for m in _WORD.finditer(low)]
+    hits, hints = [(i, m) for i, m in found if m < 3], [words[i] for i, m in found if m == 3]
+    spots = [m.span() for m in _WORD.finditer(low)] if hits else []
     direct = fuzzy = quoted = addressed = 0.0
     for i, kind in hits:
         near = words[max(0, i - WINDOW) : i + WINDOW + 1]
@@ -134,7 +151,7 @@ def features(text: str, match: Matcher) -> list[float]:
         else:
             fuzzy += 1
         addressed += any(w in ADDRESS for w in near)
-    return [math.log1p(direct), math.log1p(fuzzy), math.log1p(quoted), float(direct + fuzzy >= 2), math.log1p(addressed), math.log1p(100 * (direct + fuzzy) / len(words))]
+    return [math.log1p(direct), math.log1p(fuzzy), math.log1p(quoted), float(direct + fuzzy >= 2), math.log1p(addressed), math.log1p(100 * (direct + fuzzy) / len(words)), math.log1p(len(hints)), math.log1p(len(set(hints))), math.log1p(100 * len(hints) / len(words))]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, list[float]]:
@@ -151,53 +168,72 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[flo
     return float(w[0]), [float(v) for v in w[1:]]
 
 
-def learn_terms(sample: DataFrame) -> tuple[list[str], list[str]]:
-    """Whole words and stems that mark labelled texts.
+def learn_terms(sample: DataFrame) -> tuple[list[str], list[str], list[str]]:
+    """Whole words and stems that mark labelled texts, and stems that hint at it.
 
     Near copies would lend their rare words the weight of many texts, so of texts that share a
     smallest word-triple hash one stays, under two seeds. A term must stand in LEAST_DOCS marked
-    texts or more and almost never in others.
+    texts or more and almost never in others. A hint stands in both, but in marked texts more
+    often by a factor of e ** HINT_LIFT, and by HINT_DEVIATIONS standard deviations or more: how
+    many of them a text needs is left to the weights. All that pass are taken; the sample bounds them.
     """
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"), lambda w: F.length(w) >= 4))
     sample = sample.select("doc_id", "_y", words.alias("w")).filter(F.size("w") > 0)
     for seed in (11, 12, 13):
         key = F.array_min(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.xxhash64(F.lit(seed), F.slice(F.col("w"), i + 1, 3))))
         sample = sample.withColumn("k", key).groupBy("k").agg(F.min_by(F.struct("doc_id", "_y", "w"), "doc_id").alias("r")).select("r.*")
+    sample = written(sample, "terms")
+    n, marked = sample.agg(F.count("*"), F.sum("_y")).first()
+    if not marked or marked == n:
+        return [], [], []
     each = sample.select("_y", F.explode("w").alias("w"))
     count = [F.sum("_y").cast("long").alias("bad"), F.sum(1 - F.col("_y")).cast("long").alias("good")]
     pure = (F.col("bad") >= LEAST_DOCS) & (F.col("bad") >= 20 * F.col("good"))
-    whole = [r.w for r in each.groupBy("w").agg(*count).filter(pure).orderBy(F.desc("bad"), "w").limit(MAX_TERMS).collect()]
+    whole = sorted(r.w for r in each.groupBy("w").agg(*count).filter(pure).collect())
     heads = sample.select("_y", F.explode(F.array_distinct(F.flatten(F.transform("w", lambda w: F.transform(F.sequence(F.lit(4), F.least(F.length(w), F.lit(8))), lambda n: F.substring(w, F.lit(1), n)))))).alias("w"))
-    found = {r.w: r.bad for r in heads.groupBy("w").agg(*count).filter(pure).orderBy(F.desc("bad"), "w").limit(4 * MAX_STEMS).collect()}
-    stems = [s for s in found if not any(s[:n] in found for n in range(4, len(s)))]
-    return whole, stems[:MAX_STEMS]
+    chance = marked / n * (F.col("bad") + F.col("good"))
+    lift = F.log((F.col("bad") + 0.5) / (F.col("good") + 0.5)) - math.log((marked + 1) / (n - marked + 1))
+    hint = (F.col("bad") >= LEAST_DOCS) & (lift >= HINT_LIFT) & (F.col("bad") - chance >= HINT_DEVIATIONS * F.sqrt(chance))
+    found = {r.w: r.pure for r in heads.groupBy("w").agg(*count).filter(pure | hint).select("w", pure.alias("pure")).collect()}
+    shortest = lambda stems: sorted(s for s in stems if not any(s[:k] in stems for k in range(4, len(s))))
+    return whole, shortest({s for s, p in found.items() if p}), shortest({s for s, p in found.items() if not p})
 
 
-def _measured(whole: list[str], stems: list[str]):
+def _measured(terms: tuple[list[str], list[str], list[str]]):
     def run(batches):
-        match = Matcher(whole, stems)
+        match = Matcher(*terms)
         for batch in pieces_of(batches):
             got = np.array([features(t, match) for t in texts_of(batch)]).reshape(-1, N_FEATURES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in got.T)], ["id", *(f"f{i}" for i in range(N_FEATURES))])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_y"), *(pa.array(c) for c in got.T)], ["doc_id", "_y", *(f"f{i}" for i in range(N_FEATURES))])
 
     return run
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], list[str], float, list[float]]:
-    """Terms and weights from a bounded sample of labelled rows whose part (of 3) is not 1; only terms and features reach the driver."""
-    sample = labelled_sample(docs.select("doc_id", F.col("text").cast("string").alias("text")), labels, "toxic", 3, 1, rows)
-    whole, stems = learn_terms(sample)
-    got = sample.select(F.col("_y").cast("long"), "text").mapInArrow(_measured(whole, stems), "id long, " + ", ".join(f"f{i} double" for i in range(N_FEATURES))).limit(2 * rows).toArrow()
-    x = np.stack([got.column(f"f{i}").to_numpy() for i in range(N_FEATURES)], axis=1) if got.num_rows else np.zeros((0, N_FEATURES))
-    return (whole, stems, *fit_logistic(x, got.column("id").to_numpy().astype(np.float64)))
+def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[tuple[list[str], list[str], list[str]], float, list[float]]:
+    """Terms and weights from a bounded sample of labelled rows whose part (of 3) is not 1; only terms and features reach the driver.
+
+    Of texts that repeat a doc_id one row counts; null and empty texts have no terms; without
+    labels, or with one class, there are no terms and the base rate is all.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sample = written(labelled_sample(docs, labels, "toxic", 3, 1, rows).withColumn("_y", F.col("_y").cast("long")), "sample")
+    terms = learn_terms(sample)
+    names = [f"f{i}" for i in range(N_FEATURES)]
+    got = one_per_id(sample.select("doc_id", "_y", "text").mapInArrow(_measured(terms), "doc_id long, _y long, " + ", ".join(f"{f} double" for f in names))).toArrow()
+    x = np.stack([got.column(f).to_numpy() for f in names], axis=1) if got.num_rows else np.zeros((0, N_FEATURES))
+    return (terms, *fit_logistic(x, got.column("_y").to_numpy().astype(np.float64)))
 
 
 def score_toxicity(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; null and empty texts have no terms. Ids may be null or repeat; further columns are ignored."""
-    whole, stems, base, weights = model
+    """doc_id, held_out, score, predicted of every row; null and empty texts have no terms.
+
+    Whole texts are read, however long. Ids may be null or repeat, each row has a score; further
+    columns are ignored; an empty table gives no rows.
+    """
+    terms, base, weights = model
 
     def run(batches):
-        match = Matcher(whole, stems)
+        match = Matcher(*terms)
         for batch in pieces_of(batches):
             z = [base + sum(w * v for w, v in zip(weights, features(t, match), strict=True)) for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([1 / (1 + math.exp(-max(-30.0, min(30.0, v)))) for v in z], pa.float64())], ["doc_id", "score"])

@@ -488,15 +488,38 @@ def test_levenshtein_by_trie():
             new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
         return new
 
-    terms = ["idiot", "trash", "moron", "pathetic"]
-    match = toxicity.Matcher(terms, ["lowe"])
-    for w in ["idiot", "idiots", "idoit", "1diot", "diot", "iddiot", "trsh", "trashy", "mormon", "xpathetic", "pathetik", "lower", "low", "word"]:
-        want = 2 if w in terms or w.startswith("lowe") else int(len(w) >= 4 and min(distance(w, t) for t in terms) <= 1)
+    terms = ["idiot", "trash", "moron", "pathetic", "scum", "disgusting", "worthless"]
+    match = toxicity.Matcher(terms, ["lowe"], ["grub"])
+    words = ["idiot", "idiots", "idoit", "1diot", "diot", "iddiot", "trsh", "trashy", "mormon", "xpathetic", "pathetik", "lower", "low", "word", "scun", "grubby", "gru"]
+    r = random.Random(8)
+    for t in terms * 150:
+        w = list(t)
+        for _ in range(r.randrange(4)):
+            at = r.randrange(len(w))
+            w[at : at + r.randrange(2)] = r.choice(["", "x", "e", "s"])
+        words.append("".join(w))
+    for w in words:
+        want = 2 if w in terms or w.startswith("lowe") else 1 if len(w) >= 4 and any(distance(w, t) <= toxicity.edits_of(t) for t in terms if toxicity.edits_of(t)) else 3 if w.startswith("grub") else 0
         assert match(w) == want, w
+    assert {match(w) for w in words} == {0, 1, 2, 3}
+
+
+def test_learned_terms_against_counts(spark):
+    docs, labels = labelled(spark, 600)
+    sample = docs.join(labels, "doc_id").select("doc_id", "text", F.col("toxic").cast("long").alias("_y"))
+    whole, stems, hints = toxicity.learn_terms(sample)
+    rows = [(set(re.findall(r"[^\W\d_]{4,}", r.text.lower())), r._y) for r in sample.collect()]
+    count = lambda fits: [sum(any(map(fits, w)) for w, y in rows if y == k) for k in (1, 0)]
+    assert set(whole) >= {"grubblor", "snarkwit"} and any("grubblor".startswith(s) for s in stems)
+    for w in whole:
+        bad, good = count(lambda x, w=w: x == w)
+        assert bad >= toxicity.LEAST_DOCS and bad >= 20 * good
+    assert not set(hints) & set(stems)
 
 
 def test_quotation_lowers_the_score():
-    match = toxicity.Matcher(["idiot", "moron"], [])
+    match = toxicity.Matcher(["idiot", "moron"], [], ["gru"])
+    assert [round(v, 3) for v in toxicity.features("a grub and grubs, grub", match)[6:]] == [round(float(np.log1p(v)), 3) for v in (3, 2, 60)]
     assert toxicity.features("you idiot, you moron", match)[0] > 0
     quoted = toxicity.features('He said "idiot" and wrote "moron" there', match)
     assert quoted[0] == 0 and quoted[2] > 0

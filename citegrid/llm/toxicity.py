@@ -16,7 +16,8 @@ from .quality import labelled_sample, one_per_id, part_of
 SAMPLE_ROWS = 12000
 LEAST_DOCS = 6
 HINT_LIFT = 1.5
-HINT_DEVIATIONS = 7
+HINT_DEVIATIONS = 5
+OWN_SHARE = 0.75
 LONG_TERM = 9
 WINDOW = 8
 THRESHOLD = 0.7
@@ -189,14 +190,18 @@ def learn_terms(sample: DataFrame) -> tuple[list[str], list[str], list[str]]:
     each = sample.select("_y", F.explode("w").alias("w"))
     count = [F.sum("_y").cast("long").alias("bad"), F.sum(1 - F.col("_y")).cast("long").alias("good")]
     pure = (F.col("bad") >= LEAST_DOCS) & (F.col("bad") >= 20 * F.col("good"))
-    whole = sorted(r.w for r in each.groupBy("w").agg(*count).filter(pure).collect())
+    whole = {r.w: r.bad for r in each.groupBy("w").agg(*count).filter(pure).select("w", "bad").collect()}
     heads = sample.select("_y", F.explode(F.array_distinct(F.flatten(F.transform("w", lambda w: F.transform(F.sequence(F.lit(4), F.least(F.length(w), F.lit(8))), lambda n: F.substring(w, F.lit(1), n)))))).alias("w"))
     chance = marked / n * (F.col("bad") + F.col("good"))
     lift = F.log((F.col("bad") + 0.5) / (F.col("good") + 0.5)) - math.log((marked + 1) / (n - marked + 1))
     hint = (F.col("bad") >= LEAST_DOCS) & (lift >= HINT_LIFT) & (F.col("bad") - chance >= HINT_DEVIATIONS * F.sqrt(chance))
-    found = {r.w: r.pure for r in heads.groupBy("w").agg(*count).filter(pure | hint).select("w", pure.alias("pure")).collect()}
+    found = heads.groupBy("w").agg(*count).filter(pure | hint).select("w", "bad", pure.alias("pure")).collect()
     shortest = lambda stems: sorted(s for s in stems if not any(s[:k] in stems for k in range(4, len(s))))
-    return whole, shortest({s for s, p in found.items() if p}), shortest({s for s, p in found.items() if not p})
+    hints = shortest({r.w for r in found if not r.pure})
+    of = {r.w: r.bad for r in found if r.w in hints}
+    # a rare ending makes part of what a hint finds look pure: it stays with the hint unless it is most of it
+    own = lambda w, bad: all(bad >= OWN_SHARE * of[w[:k]] for k in range(4, len(w) + 1) if w[:k] in of)
+    return sorted(w for w, bad in whole.items() if own(w, bad)), shortest({r.w for r in found if r.pure and own(r.w, r.bad)}), hints
 
 
 def _measured(terms: tuple[list[str], list[str], list[str]]):

@@ -46,6 +46,37 @@ def pieces_of(batches, rows: int = 512):
             yield batch.slice(at, rows)
 
 
+BITMAP_BITS = 26
+
+
+def bitmap_of(df: DataFrame, key: str) -> DataFrame:
+    """(_page, _bits): a bitmap over the low BITMAP_BITS bits of a long column, in pages of 4 kB; 8 MB at most for any number of rows."""
+    spot = F.col(key).bitwiseAND((1 << BITMAP_BITS) - 1) + 1
+    return df.select(F.bitmap_bucket_number(spot).alias("_page"), F.bitmap_bit_position(spot).alias("_bit")).groupBy("_page").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+
+
+def maybe_in(df: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
+    """The rows of df whose key may be among those of the bitmap (some others pass too); nothing is shuffled."""
+    spot = F.col(key).bitwiseAND((1 << BITMAP_BITS) - 1) + 1
+    met = df.withColumn("_at", F.bitmap_bit_position(spot).cast("int")).join(F.broadcast(bitmap), F.bitmap_bucket_number(spot) == F.col("_page"))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.expr("_at div 8 + 1").cast("int"), F.lit(1))), 16, 10).cast("int")
+    return met.filter(byte.bitwiseAND(F.expr("shiftleft(1, _at % 8)")) != 0).drop("_page", "_bits", "_at")
+
+
+def bitmap_array(bitmap: DataFrame) -> np.ndarray:
+    """A collected bitmap as booleans."""
+    out = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
+    got = bitmap.toArrow()
+    for page, bits in zip(got.column("_page").to_pylist(), got.column("_bits").to_pylist(), strict=True):
+        out[(page - 1) * 4096 : page * 4096] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    spot = (keys & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)
+    return (bitmap[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit words."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -11,13 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix, pieces_of, read_table, shingle_hashes, texts_of
+from .common import WordHashes, bitmap_array, bitmap_of, in_bitmap, maybe_in, pieces_of, read_table, shingle_hashes, texts_of, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
 # At 14, one in some 100 passages at the threshold with a replaced edge lay outside; the README has the measured misses.
 RADIUS = 24
-ITEMS_PER_PASS = 20_000
+COUNTERS = 1 << 20
+ITEMS_PER_GROUP = 500
 CHUNK_WINDOWS = 16_384
 _MARKS = re.compile(r"[^\w\s]+|_+")
 
@@ -60,14 +61,33 @@ class BlockIndex:
         return some[np.bitwise_count(self.prints[some] ^ fingerprint) <= self.radius]
 
 
-class Items:
-    """A block of benchmark items: their words, weighted shingles and fingerprints by length.
+class Weights:
+    """Weight of a shingle: 1 + ln(items / items that have it), counted over all items in hashed counters of a fixed number.
 
-    counts has the number of all items with words and the items of each shingle that more than
-    one has; without it the block is all items. A shingle of one item weighs what an unseen one does.
+    Shingles that share a counter share a weight; one that no item has weighs what one of a single item does.
     """
 
-    def __init__(self, rows: list[tuple[int, str]], k: int = SHINGLE, counts: tuple[int, np.ndarray, np.ndarray] | None = None):
+    def __init__(self, items: int, counters: np.ndarray):
+        self.items, self.counters = items, counters
+
+    @classmethod
+    def of(cls, sets: list[np.ndarray]) -> Weights:
+        slots = np.concatenate([np.empty(0, np.int64), *(counter_slots(x) for x in sets)])
+        return cls(len(sets), np.bincount(slots, minlength=COUNTERS).astype(np.int32))
+
+    def __call__(self, s: int) -> float:
+        return 1 + math.log(max(self.items, 1) / max(1, min(self.items, int(self.counters[s & (COUNTERS - 1)]))))
+
+
+def counter_slots(s: np.ndarray) -> np.ndarray:
+    """Counters that a set of shingles touches, each once."""
+    return np.unique(s & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+class Items:
+    """A group of benchmark items: their words, weighted shingles and fingerprints by length. Without weights the group is all items."""
+
+    def __init__(self, rows: list[tuple[int, str]], k: int = SHINGLE, weights: Weights | None = None):
         words, self.k = WordHashes(), k
         self.ids, hashes = [], []
         for item, text in rows:
@@ -76,12 +96,7 @@ class Items:
                 self.ids.append(item)
                 hashes.append(h)
         sets = [shingle_hashes(h, k) for h in hashes]
-        if counts is None:
-            shingles, n = np.unique(np.concatenate([np.empty(0, np.uint64), *map(np.unique, sets)]), return_counts=True)
-            counts = len(sets), shingles, n
-        total, shingles, n = counts
-        self.rarity = {s: 1 + math.log(total / m) for s, m in zip(shingles.tolist(), n.tolist(), strict=True)}
-        self.common = 1 + math.log(max(total, 1))
+        self.weight = weights or Weights.of(sets)
         self.bags = [Counter(x.tolist()) for x in sets]
         self.keys = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]))
         self.bits = np.zeros(1 << 16, dtype=bool)
@@ -92,9 +107,6 @@ class Items:
             mine = np.isin(self.keys, np.concatenate([sets[i] for i in own]))
             self.by_length[n] = own, BlockIndex(np.concatenate([simhash_windows(hashes[i], np.zeros(1, np.int64), n) for i in own]), RADIUS), mine
 
-    def weight(self, s: int) -> float:
-        return self.rarity.get(s, self.common)
-
     def likeness(self, bag: Counter, item: int) -> float:
         """Generalised Jaccard similarity of the weighted shingles of a window and an item."""
         other = self.bags[item]
@@ -158,49 +170,95 @@ class Items:
 _OUT = "doc_id long, item_id long, similarity double, first_word long, n_words long"
 
 
-def _item_shingles(batches):
-    """Items of each shingle within a batch; the row without a shingle counts the items with words."""
+def _item_counters(batches):
+    """Items of each counter within a batch; the row without a counter counts the items with words."""
     words = WordHashes()
     for batch in pieces_of(batches):
-        sets = [np.unique(shingle_hashes(h, SHINGLE)) for text in texts_of(batch) if len(h := words_of(text, words))]
-        s, n = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array([None], pa.int64()), pa.array(s.view(np.int64))]), pa.array([len(sets), *n.tolist()], pa.int64())], ["s", "n"])
+        sets = [counter_slots(shingle_hashes(h, SHINGLE)) for text in texts_of(batch) if len(h := words_of(text, words))]
+        slot, n = np.unique(np.concatenate([np.empty(0, np.int64), *sets]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array([None], pa.int64()), pa.array(slot)]), pa.array([len(sets), *n.tolist()], pa.int64())], ["slot", "n"])
 
 
-def _counts(items: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """The number of items with words, the shingles that more than one has, and the items of each."""
-    got = items.select("text").mapInArrow(_item_shingles, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter("s is null or n > 1").toArrow()
-    s, n = got.column("s"), got.column("n").to_numpy()
-    none = np.asarray(s.is_null())
-    return int(n[none].sum()), s.drop_null().to_numpy().view(np.uint64), n[~none]
+def _weights(items: DataFrame) -> Weights:
+    """The weights of all items; COUNTERS rows at most reach the driver."""
+    got = items.select("text").mapInArrow(_item_counters, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    slot, n = got.column("slot"), got.column("n").to_numpy()
+    none = np.asarray(slot.is_null())
+    counters = np.zeros(COUNTERS, np.int32)
+    counters[slot.drop_null().to_numpy()] = n[~none]
+    return Weights(int(n[none].sum()), counters)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, per_pass: int = ITEMS_PER_PASS) -> DataFrame:
-    """(doc_id, text), (item_id, text) -> doc_id, item_id, similarity, first_word, n_words: one row per document and item that it holds.
+def rare_shingles(bag: Counter, weight: Weights, similarity: float) -> list[int]:
+    """The heaviest shingles of an item, as few as leave less than similarity of its weight to the others.
 
-    Items are a stated query set: blocks of about per_pass of them, split by hash, each go to
-    the executors and against all documents; the weights of shingles are those of all items. Null, empty and wordless texts and items match
-    nothing; of repeated item rows one counts; repeated documents give rows each; equal items
-    under two ids both match. Further columns are ignored; no items give no rows.
+    A window without any of them shares too little with the item to be similar enough.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null").distinct()
-    passes = -(-items.count() // per_pass)
-    spark = docs.sparkSession
-    out = spark.createDataFrame([], _OUT)
-    counts = spark.sparkContext.broadcast(_counts(items)) if passes else None
-    for i in range(passes):
-        rows = [(r.item_id, r.text) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == i).collect()]
-        known = spark.sparkContext.broadcast(rows)
-        out = out.unionByName(docs.mapInArrow(_searcher(known, counts, similarity), _OUT)) if i else docs.mapInArrow(_searcher(known, counts, similarity), _OUT)
+    parts = sorted(((weight(s) * n, s) for s, n in bag.items()), reverse=True)
+    rest, out = sum(w for w, _ in parts), []
+    least = similarity * rest * (1 - 1e-9)
+    for w, s in parts:
+        if rest < least:
+            break
+        out.append(s)
+        rest -= w
     return out
 
 
-def _searcher(known, counts, similarity: float):
+def _item_keys(weights, similarity: float):
     def run(batches):
-        items, words = Items(known.value, counts=counts.value), WordHashes()
+        words = WordHashes()
         for batch in pieces_of(batches):
-            rows = [(doc, items.ids[i], like, start, n) for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True) for i, (like, start, n) in items.search(words_of(text, words), similarity).items()]
+            rows = []
+            for item, text in zip(batch.column("item").to_pylist(), texts_of(batch), strict=True):
+                h = words_of(text, words)
+                if len(h):
+                    rows += [(item, s, min(SHINGLE, len(h))) for s in rare_shingles(Counter(shingle_hashes(h, SHINGLE).tolist()), weights.value, similarity)]
+            if rows:
+                item, s, size = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(np.array(s, np.uint64).view(np.int64)), pa.array(size, pa.int32())], ["item", "s", "size"])
+
+    return run
+
+
+def _doc_keys(bits, sizes: list[int]):
+    """Shingles of whole texts that may be rare ones of an item."""
+
+    def run(batches):
+        words = WordHashes()
+        for batch in pieces_of(batches):
+            docs, found = [], []
+            for doc, text in zip(batch.column("_doc").to_pylist(), texts_of(batch), strict=True):
+                h = words_of(text, words)
+                for size in sizes:
+                    if len(h) >= size:
+                        s = shingle_hashes(h, size)
+                        s = np.unique(s[in_bitmap(bits.value, s)])
+                        docs.append(np.full(len(s), doc, np.int64))
+                        found.append(s.view(np.int64))
+            if docs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(found))], ["_doc", "s"])
+
+    return run
+
+
+def _searcher(weights, similarity: float):
+    def run(batches):
+        words, known = WordHashes(), {}
+        for batch in pieces_of(batches):
+            rows = []
+            for doc, text, items in zip(batch.column("doc_id").to_pylist(), texts_of(batch), batch.column("items").to_pylist(), strict=True):
+                key = tuple(sorted(x["item"] for x in items))
+                if key not in known:
+                    if len(known) >= 64:
+                        known.clear()
+                    known[key] = Items([(x["item_id"], x["item_text"]) for x in items], weights=weights.value)
+                group = known[key]
+                best: dict[int, tuple[float, int, int]] = {}
+                for i, hit in sorted(group.search(words_of(text, words), similarity).items()):
+                    if hit[0] > best.get(group.ids[i], (0,))[0]:
+                        best[group.ids[i]] = hit
+                rows += [(doc, item, *hit) for item, hit in best.items()]
             if rows:
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 2 else pa.int64()) for k, c in enumerate(cols)], [x.split()[0] for x in _OUT.split(", ")])
@@ -208,5 +266,40 @@ def _searcher(known, counts, similarity: float):
     return run
 
 
+def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, text), (item_id, text) -> doc_id, item_id, similarity, first_word, n_words: one row per document and item that it holds.
+
+    All texts are read once for any number of items: a document meets the items that share one of
+    their rare shingles with it (see rare_shingles: no pair that is similar enough is left out),
+    and only the documents that meet any are shuffled, to be searched for those items by SimHash
+    windows, Hamming blocks and weighted shingles. What is broadcast has a fixed size: a bitmap
+    of rare shingles, one of documents that meet items (8 MB each) and the counters of the weights.
+
+    Null, empty and wordless texts and items match nothing; of repeated item rows one counts, and
+    of texts under one item_id the best match; repeated documents give rows each; equal items
+    under two ids both match. Further columns are ignored; no items, or no documents, give no
+    rows. Very long texts are searched in chunks of windows.
+    """
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null").distinct()
+    items = written(items.withColumn("item", F.xxhash64("item_id", "text")), "items")
+    weights = spark.sparkContext.broadcast(_weights(items))
+    keys = written(items.mapInArrow(_item_keys(weights, similarity), "item long, s long, size int"), "keys")
+    sizes = sorted(r["size"] for r in keys.select("size").distinct().collect())
+    if not sizes:
+        return spark.createDataFrame([], _OUT)
+    bits = spark.sparkContext.broadcast(bitmap_array(bitmap_of(keys, "s")))
+    docs = docs.withColumn("_doc", F.xxhash64("doc_id", "text"))
+    met = docs.select("_doc", "text").mapInArrow(_doc_keys(bits, sizes), "_doc long, s long").join(keys.select("item", "s"), "s").select("_doc", "item").distinct()
+    met = written(met, "met")
+    groups = met.groupBy("_doc").agg(F.ceil(F.count("*") / ITEMS_PER_GROUP).alias("n"))
+    # texts of one item_id fall in one group, where the best of them is told
+    each = met.join(groups, "_doc").join(items.select("item", "item_id", F.col("text").alias("item_text")), "item").withColumn("group", F.pmod(F.xxhash64("item_id"), F.col("n")))
+    each = written(each.groupBy("_doc", "group").agg(F.array_sort(F.collect_list(F.struct("item", "item_id", "item_text"))).alias("items")), "groups")
+    some = maybe_in(docs, "_doc", written(bitmap_of(met.select("_doc").distinct(), "_doc"), "bitmap"))
+    return some.join(each, "_doc").select("doc_id", "text", "items").mapInArrow(_searcher(weights, similarity), _OUT)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))

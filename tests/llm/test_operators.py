@@ -366,7 +366,8 @@ def test_decontamination(spark):
     items = spark.createDataFrame([(9, item), (9, item), (10, "Tiny item."), (11, None), (12, ""), (None, item)], "item_id long, text string").withColumn("doc_id", F.lit(5))
     got = sorted((r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame(spark, docs), items).collect())
     assert (1, 9) in got and (6, 10) in got and not {2, 4, 5, 7} & {d for d, i in got if i == 9}
-    assert got == sorted((r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame(spark, docs), items, per_pass=1).collect())
+    two = spark.createDataFrame([(9, "tiny item"), (9, item), (9, item + " and more")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame(spark, docs), two).collect()) == sorted([(1, 9), (1, 9), (3, 9), (6, 9)])
     assert decontaminate.find_leaks(frame(spark, docs), items.limit(0)).count() == 0
     assert decontaminate.find_leaks(frame(spark, []), items).count() == 0
 
@@ -427,8 +428,8 @@ def test_leaks_of_trimmed_items(spark):
     assert got == want and len(want) > 15
 
 
-def test_leaks_do_not_depend_on_passes(spark):
-    """Items that share passages: similarities are those of the weights over all items, in one pass or many."""
+def test_leaks_do_not_depend_on_groups(spark, monkeypatch):
+    """Items that share passages: similarities are those of the weights over all items, however they are grouped."""
     r = random.Random(15)
     shared = [" ".join(r.choice(WORDS) + str(r.randrange(30)) for _ in range(12)) for _ in range(3)]
     bench = [f"{r.choice(shared)} {' '.join(r.choice(WORDS) + str(r.randrange(30)) for _ in range(r.randrange(15, 40)))}" for _ in range(24)]
@@ -440,12 +441,36 @@ def test_leaks_do_not_depend_on_passes(spark):
     items = spark.createDataFrame(list(enumerate([*bench, "", "?!"])), "item_id long, text string")
     whole, words = decontaminate.Items(list(enumerate(bench))), common.WordHashes()
     want = sorted((doc, j, round(like, 9)) for doc, text in docs for j, (like, _, _) in whole.search(decontaminate.words_of(text, words), 0.8).items())
-    for per_pass in (20_000, 5, 1):
-        got = decontaminate.find_leaks(frame(spark, docs), items, per_pass=per_pass).collect()
+    for group in (500, 2, 1):
+        monkeypatch.setattr(decontaminate, "ITEMS_PER_GROUP", group)
+        got = decontaminate.find_leaks(frame(spark, docs), items).collect()
         assert sorted((x.doc_id, x.item_id, round(x.similarity, 9)) for x in got) == want
     assert 20 < len(want) and {round(x[2], 2) for x in want} != {1.0}
 
 
+def test_rare_shingles_lose_no_pair():
+    """Whatever an item has in common with a window without its rare shingles is below the threshold."""
+    r = random.Random(17)
+    for _ in range(40):
+        n = r.randrange(1, 40)
+        bag = decontaminate.Counter({r.randrange(1 << 60): r.randrange(1, 4) for _ in range(n)})
+        weight = {s: r.random() * 5 + 1 for s in bag}
+        rare = decontaminate.rare_shingles(bag, weight.__getitem__, 0.8)
+        whole = sum(weight[s] * k for s, k in bag.items())
+        assert rare and sum(weight[s] * k for s, k in bag.items() if s not in rare) < 0.8 * whole
+        assert len(rare) == 1 or sum(weight[s] * k for s, k in bag.items() if s not in rare[:-1]) >= 0.8 * whole * (1 - 1e-6)
+
+
+def test_bitmaps(spark):
+    keys = [rng.getrandbits(64) - (1 << 63) for _ in range(500)]
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i int")
+    bitmap = common.bitmap_of(df.filter("i % 2 = 0"), "k")
+    got = {r.i for r in common.maybe_in(df, "k", bitmap).collect()}
+    assert {i for i in range(500) if i % 2 == 0} <= got and len(got) < 260
+    mask = common.in_bitmap(common.bitmap_array(bitmap), np.array(keys, np.int64).view(np.uint64))
+    assert set(np.flatnonzero(mask).tolist()) == got
+
+
 def test_leaks_with_replaced_edges():
     """Items with as many words of one edge replaced as the threshold allows: the fingerprint moves farthest, and all are found."""
     r = random.Random(13)

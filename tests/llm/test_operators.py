@@ -75,6 +75,31 @@ def test_near_large_group_in_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in near.near_components(frame(spark, rows)).collect()} == want
 
 
+@pytest.mark.parametrize("sizes", [(1024, 8192), (3, 5)])
+def test_near_many_components_share_bands(spark, monkeypatch, sizes):
+    """Texts about as like as the threshold, in bands of many components and with a large one, against all pairs."""
+    monkeypatch.setattr(near, "BLOCK_ROWS", sizes[0])
+    monkeypatch.setattr(near, "SKETCH_ROWS", sizes[1])
+    r, rows = random.Random(41), []
+    base = [f"t{i}" for i in range(90)]
+    for i in range(120):
+        w = list(base)
+        for at in r.sample(range(90), r.randrange(0, 5) if i % 3 else 1):
+            w[at] = f"x{r.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    sets = [(i, plain_sets(t, 3)) for i, t in rows]
+    want = reach(range(120), [(a, b) for (a, x), (b, y) in itertools.combinations(sets, 2) if 100 * len(x & y) >= 85 * len(x | y)])
+    assert {x.doc_id: x.component_id for x in near.near_components(frame(spark, rows)).collect()} == want
+    assert 3 < len(set(want.values())) < 100
+
+
+def test_near_texts_under_one_id(spark):
+    """A document with two texts links all that either links."""
+    rows = [(3, BASE[0]), (5, BASE[0]), (5, BASE[1]), (7, BASE[1]), (8, BASE[2]), (9, BASE[3]), (9, BASE[2])]
+    got = {(x.doc_id, x.component_id) for x in near.near_components(frame(spark, rows)).collect()}
+    assert got == {(3, 3), (5, 3), (7, 3), (8, 8), (9, 8)}
+
+
 def test_near_null_id(spark):
     got = near.near_components(frame(spark, [(None, BASE[0]), (3, BASE[0]), (None, "other words stand here")])).collect()
     assert sorted((r.doc_id is None, r.component_id is None, r.kept) for r in got) == [(False, False, True), (True, False, False), (True, True, False)]

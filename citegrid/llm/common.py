@@ -16,17 +16,30 @@ _FUNNEL_EDGES = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir. Where it is unset, one of our own, on a local master alone."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="citegrid-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A new folder for tables or archives, below the one folder of this application (see forget)."""
+    return f"{shared_dir(spark)}/citegrid-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes all that this application wrote to the shared folder. Results that are still to be read need it: call this after they are stored."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/citegrid-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, and outlives any executor."""
-    path = f"{shared_dir(df.sparkSession)}/citegrid-{uuid.uuid4().hex}/{name}"
+    path = f"{own_folder(df.sparkSession)}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
-from . import chat, warc
+from . import chat, pipeline, warc
 from .chat import op5_chat
 from .decontaminate import op4_decontamination
 from .fingerprints import op1_fingerprints
@@ -16,5 +14,5 @@ from .suffixes import op8_suffixes
 from .toxicity import op3_toxicity
 from .warc import op10_warc
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_packing, op3_toxicity, op4_decontamination, op5_chat, op6_quality, op7_near, op8_suffixes, op9_secrets, op10_warc)} | {"pipeline": corpus_pipeline.run}
-ORACLES = {"op5_chat": chat.ORACLE, "op10_warc": warc.ORACLE} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_packing, op3_toxicity, op4_decontamination, op5_chat, op6_quality, op7_near, op8_suffixes, op9_secrets, op10_warc)} | {"pipeline": pipeline.run}
+ORACLES = {"op5_chat": chat.ORACLE, "op10_warc": warc.ORACLE} | ({"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {})

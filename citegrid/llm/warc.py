@@ -12,7 +12,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces_of, read_table, shared_dir, written
+from .common import own_folder, pieces_of, read_table, written
 
 ARCHIVE_BYTES = 64 << 20
 GAP = 256 << 10
@@ -175,7 +175,7 @@ def read_records(index: DataFrame, folder: str, payloads: bool = False) -> DataF
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/citegrid-{uuid.uuid4().hex}/warc"
+    folder = f"{own_folder(spark)}/warc"
     return read_records(write_archives(read_table(spark, sf_dir, "pages"), folder), folder)
 
 

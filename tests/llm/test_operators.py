@@ -2,13 +2,13 @@
 
 import hashlib
 import itertools
+import pathlib
 import random
 import re
 
-import corpus_pipeline
 import numpy as np
 import pytest
-from citegrid.llm import chat, common, decontaminate, fingerprints, near, packing, quality, secrets, suffixes, toxicity, warc
+from citegrid.llm import chat, common, decontaminate, fingerprints, near, packing, pipeline, quality, secrets, suffixes, toxicity, warc
 from pyspark.sql import functions as F
 
 rng = random.Random(5)
@@ -670,7 +670,7 @@ def test_pipeline_stages(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     rows, columns = docs, docs.columns
-    for name, stage in corpus_pipeline.STAGES[:-1]:
+    for name, stage in pipeline.STAGES[:-1]:
         before = {r.doc_id for r in rows.collect()}
         rows = common.written(stage(spark, rows, str(tmp_path)), name)
         after = {r.doc_id for r in rows.collect()}
@@ -682,21 +682,37 @@ def test_pipeline_stages(spark, tmp_path):
             assert 902 not in after and before - after <= {902}
         if name == "secrets":
             assert before == after and not any("abcdefgh99" in (r.text or "") for r in rows.collect())
-    final = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    final = pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in final} == {r.doc_id for r in rows.collect()}
 
 
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, n_chars long")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
+
+
+def test_shared_folder_is_cleaned(spark):
+    df = common.written(spark.range(3), "some")
+    path = pathlib.Path(df.inputFiles()[0].removeprefix("file://"))
+    assert df.count() == 3 and path.exists()
+    common.forget(spark)
+    assert not path.exists()
+
+
 def test_pipeline_rows_without_id_and_repeated(spark, tmp_path):
     item = " ".join(f"bench{i} {rng.choice(WORDS)}" for i in range(12))
     lone = " ".join(f"lone{i} {rng.choice(WORDS)}" for i in range(40))
     rows = [(1, BASE[0]), (1, BASE[0]), (1, BASE[0]), (2, BASE[1]), (1, BASE[2]), (None, BASE[1]), (None, lone), (None, lone), (3, BASE[0]), (None, f"{BASE[3]} {item}"), (4, f"{BASE[3]} {item} tail"), (5, None), (5, None), (6, ""), (7, "")]
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text"))
-    once = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
+    once = pipeline.near_dedup(spark, docs, str(tmp_path))
     assert once.columns == docs.columns
     order = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
     want = [(1, BASE[0]), (1, BASE[2]), (2, BASE[1]), (None, lone), (4, f"{BASE[3]} {item} tail"), (5, None), (6, ""), (7, "")]
     assert sorted([(x.doc_id, x.text) for x in once.collect()], key=order) == sorted(want, key=order)
-    clean = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    clean = pipeline.decontamination(spark, docs, str(tmp_path))
     assert clean.columns == docs.columns
     assert sorted([(x.doc_id, x.text) for x in clean.collect()], key=order) == sorted([x for x in rows if item not in (x[1] or "")], key=order)

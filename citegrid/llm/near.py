@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, components, mix, pieces_of, read_table, shingle_hashes, texts_of, written
+from .common import WordHashes, bitmap_of, components, maybe_in, mix, pieces_of, read_table, shingle_hashes, texts_of, written
 
 COORDINATES = 128
 BLOCK_ROWS = 1024
@@ -284,7 +284,10 @@ def near_components(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100)
     salts = stars.groupBy("b").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("n"))
     spokes = stars.join(salts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("n")).cast("int").alias("salt"), "a")
     spokes = spokes.unionByName(salts.select("b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"), F.col("b").alias("a")))
-    stars = docs.join(spokes, docs.doc_id == spokes.a).select("b", "salt", "a", "text").repartition(parts, "b", "salt").sortWithinPartitions("b", "salt", F.col("a") != F.col("b"))
+    # a bitmap keeps texts that nobody asks for out of the shuffle
+    spokes = written(spokes, "spokes")
+    asked = lambda rows, name: maybe_in(docs, "doc_id", written(bitmap_of(rows.select(name), name), "bitmap"))
+    stars = asked(spokes, "a").join(spokes, F.col("doc_id") == F.col("a")).select("b", "salt", "a", "text").repartition(parts, "b", "salt").sortWithinPartitions("b", "salt", F.col("a") != F.col("b"))
     confirmed = written(stars.mapInArrow(_verified_stars(k, num, den), "a long, b long"), "confirmed")
     found = written(components(confirmed), "found").withColumnRenamed("component", "comp")
     met = met.join(found, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
@@ -295,7 +298,7 @@ def near_components(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100)
     members = components(forest).select("node", F.col("component").alias("grp")).join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     members = written(members.join(reps.groupBy("node").agg(F.max("size").alias("size")), "node"), "members")
     blocks = block_pairs(members, BLOCK_ROWS, BLOCK_SHINGLES).select("grp", "low", "high", "block", "node", "comp")
-    blocks = docs.join(blocks, docs.doc_id == blocks.node).select("grp", "low", "high", "block", "node", "comp", "text")
+    blocks = asked(members, "node").join(blocks, F.col("doc_id") == F.col("node")).select("grp", "low", "high", "block", "node", "comp", "text")
     links = blocks.repartition(parts, "grp", "low", "high").sortWithinPartitions("grp", "low", "high", "block", "node").mapInArrow(_verified_blocks(k, num, den), "a long, b long")
     # texts under one doc_id are one document
     twice = named.filter("doc_id is not null and rep is not null").groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x < y").select("doc_id")

@@ -11,7 +11,7 @@ from .operators import extract, fix, rules
 
 @dataclass
 class Engine:
-    """Tables given here replace the built-in ones; authorities turn the VF rules on."""
+    """Tables given here replace the built-in ones; authorities turn the VF rules on; notices tell what was left out of a check."""
 
     profile: rules.Profile = field(default_factory=rules.Profile)
     enable: list[str] | None = None
@@ -20,13 +20,14 @@ class Engine:
     editions: DataFrame | None = None
     spellings: DataFrame | None = None
     custom: list[rules.Custom] = field(default_factory=list)
+    notices: list[str] = field(default_factory=list)
 
-    def citations(self, docs: DataFrame, shapes: bool = False) -> DataFrame:
-        return extract.citations(docs, extract.reference(docs.sparkSession, self.editions, self.spellings), shapes)
+    def citations(self, docs: DataFrame, shapes: bool = False, refused: bool = False) -> DataFrame:
+        return extract.citations(docs, extract.reference(docs.sparkSession, self.editions, self.spellings), shapes, refused)
 
     def check(self, docs: DataFrame, cites: DataFrame | None = None) -> DataFrame:
-        cites = cites if cites is not None else self.citations(docs, shapes=True)
-        return rules.run_rules(cites, self.profile, self.authorities, self.enable, self.disable, self.editions, self.spellings, self.custom)
+        cites = cites if cites is not None else self.citations(docs, "RP002" in rules.selected(self.enable, self.disable), refused=True)
+        return rules.run_rules(cites, self.profile, self.authorities, self.enable, self.disable, self.editions, self.spellings, self.custom, self.notices)
 
     def fix(self, docs: DataFrame, unsafe: bool = False) -> DataFrame:
         return fix.fixed(docs, self.check(docs), unsafe)

@@ -9,6 +9,10 @@ DASHES = "-‐‑‒–—―−"  # fixed values: the dashes that part a range
 _D = DASHES.replace("-", r"\-")  # inside a class of a pattern
 
 
+# What tells an abbreviation of a periodical: a review or journal of law at the end, a journal named by its matter, a journal of law inside.
+PERIODICALS = [r"\bL(?:aw|\.)?\s?Rev(?:iew|\.)?$", r"\bL\.?\s?J\.?$", r"^J\.\s?[A-Z]", r"\bJ\.\s?L\."]
+
+
 def squash(x: Column) -> Column:
     return F.regexp_replace(F.lower(x), "[^a-z0-9]", "")
 
@@ -81,8 +85,18 @@ def abbreviate_range(start: Column, end: Column) -> Column:
 _RANGE = rf"(\d{{1,6}})(?:\s*[{_D}]\s*(\d{{1,6}}))?"
 
 
+def pages_only(pin: Column) -> Column:
+    """A pin cite without its footnotes: 371 & n.5 is page 371."""
+    return F.regexp_replace(pin, rf"\s*&?\s*\bnn?\.\s*\d+(?:\s*[{_D}]\s*\d+)?", "")
+
+
+def pin_passim(pin: Column) -> Column:
+    return F.coalesce(F.lower(F.trim(pin)) == "passim", F.lit(False))
+
+
 def pin_ranges(pin: Column) -> Column:
     """Ranges of a pin cite: array of (from, to, written)."""
+    pin = pages_only(pin)
     pairs = F.arrays_zip(F.regexp_extract_all(pin, F.lit(_RANGE), F.lit(1)).alias("a"), F.regexp_extract_all(pin, F.lit(_RANGE), F.lit(2)).alias("b"))
     found = F.filter(pairs, lambda x: x["b"] != "")
     return F.transform(found, lambda x: F.struct(x["a"].cast("long").alias("from"), expand_to(x["a"].cast("long"), x["b"]).alias("to"), x["b"].alias("written")))
@@ -90,7 +104,7 @@ def pin_ranges(pin: Column) -> Column:
 
 def pin_first(pin: Column) -> Column:
     """The smallest page of a pin cite."""
-    return F.array_min(F.transform(F.regexp_extract_all(pin, F.lit(_RANGE), F.lit(1)), lambda x: x.cast("long")))
+    return F.array_min(F.transform(F.regexp_extract_all(pages_only(pin), F.lit(_RANGE), F.lit(1)), lambda x: x.cast("long")))
 
 
 def sections(raw: Column) -> Column:
@@ -110,14 +124,9 @@ def sections(raw: Column) -> Column:
     return F.when(F.exists(items, lambda x: x == ""), whole).otherwise(F.struct(F.when(n == 1, F.array(text)).otherwise(items).alias("items"), kind.alias("join")))
 
 
-_PERIODICAL = [r"\bL\.\s*Rev\.$", r"\bL\.\s*J\.$", r"^J\.\s", r"\bJ\.\s*L\."]
-
-
 def looks_like_periodical(x: Column) -> Column:
-    out = F.lit(False)
-    for pattern in _PERIODICAL:
-        out = out | x.rlike(pattern)
-    return out
+    """Whether an abbreviation names a law review or journal; asked only of what no reporter table has."""
+    return F.coalesce(F.trim(x).rlike("|".join(f"(?:{p})" for p in PERIODICALS)), F.lit(False))
 
 
 # Words that tell nothing about which case is named.

@@ -1,15 +1,18 @@
-"""The 24 rules. All but RP002 and the verification ones are one projection over citations."""
+"""The 24 rules: one projection over what the parser found; the verification ones join a table of authorities first."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import refdata
 from ..functions import text as T
+from .extract import MAX_CHARS
 
 FINDING = "rule_id string, severity string, message string, start int, end int, citation_text string, fix_start int, fix_end int, replacement string, safety string"
 REGISTRY = [
@@ -63,35 +66,77 @@ def _say(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-def enriched(cites: DataFrame, editions: DataFrame, court_table: DataFrame) -> DataFrame:
-    """cites with the facts of reporter and court that rules ask for: broadcast joins alone, no shuffle."""
-    ed = editions.groupBy("abbrev").agg(F.max_by(F.struct("name", "series", "start", "end", "scotus_only", "non_precedential"), "position").alias("ed"))
-    cites = cites.join(F.broadcast(ed), cites.canonical == ed.abbrev, "left").drop("abbrev")
-    series = editions.groupBy("series").agg(F.collect_list(F.struct("abbrev", "start", "end")).alias("siblings")).withColumnRenamed("series", "_series")
-    cites = cites.join(F.broadcast(series), F.col("ed.series") == F.col("_series"), "left").drop("_series")
+# rules that ask for the edition, for its series, for the courts a text may name, for the court it does name, for near courts
+_NEEDS = {"edition": {"DT001", "CT002", "CT005", "AU001"}, "series": {"DT001"}, "courts": {"CT001", "CT004", "CT006"}, "court": {"CT002", "CT003"}}
+MAX_COURTS = 10_000
+
+
+def enriched(cites: DataFrame, editions: DataFrame, court_table: DataFrame, on: set[str] | None = None) -> DataFrame:
+    """cites with the facts of reporter and court that the rules in `on` ask for: broadcast joins of dimensions alone, no shuffle.
+
+    Editions go to every task in any case (extract.reference checks their number), courts after a check against MAX_COURTS.
+    """
+    needs = {k for k, rules in _NEEDS.items() if on is None or rules & on}
+    if needs & {"edition", "series"}:
+        ed = editions.groupBy("abbrev").agg(F.max_by(F.struct("name", "series", "start", "end", "scotus_only", "non_precedential"), "position").alias("ed"))
+        if "series" in needs:
+            series = editions.groupBy("series").agg(F.array_sort(F.collect_list(F.struct("start", "abbrev", "end"))).alias("siblings")).withColumnRenamed("series", "_series")
+            ed = ed.join(F.broadcast(series), F.col("ed.series") == F.col("_series"), "left").drop("_series")
+        cites = cites.join(F.broadcast(ed), cites.canonical == ed.abbrev, "left").drop("abbrev")
+    if not needs & {"courts", "court"}:
+        return cites
+    listed = court_table.orderBy("position").select("id", "abbrev").limit(MAX_COURTS + 1).collect()
+    if len(listed) > MAX_COURTS:
+        raise ValueError(f"more than {MAX_COURTS} courts cannot be sent to every task")
+    if "court" in needs:
+        ct = court_table.select(F.col("id").alias("_id"), F.struct("name", "abbrev", "start", "end").alias("court"))
+        cites = cites.join(F.broadcast(ct), F.col("court_id") == F.col("_id"), "left").drop("_id")
+    if "courts" not in needs:
+        return cites
     keys = court_table.select("id", "name", "abbrev", "position", F.explode(F.array_union(F.array("abbrev"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("key"))
     each = F.array_sort(F.collect_set(F.struct("position", "id", "name", "abbrev")))
     exact = keys.groupBy(T.normalized(F.col("key")).alias("_k")).agg(each.alias("_exact"))
     bare = lambda c: F.regexp_replace(F.regexp_replace(T.normalized(c), r"\s+", ""), r"\.+$", "")
     loose = keys.groupBy(bare(F.col("key")).alias("_b")).agg(each.alias("_loose"))
-    cites = cites.join(F.broadcast(exact), T.normalized(F.col("court_text")) == F.col("_k"), "left").join(F.broadcast(loose), bare(F.col("court_text")) == F.col("_b"), "left")
-    real = ~T.normalized(F.col("court_text")).isin(refdata.NON_COURT)
-    cites = cites.withColumn("courts", F.when(F.col("court_text").isNotNull() & real, F.coalesce("_exact", "_loose")))
-    ct = court_table.select(F.col("id").alias("_id"), F.struct("name", "abbrev", "start", "end").alias("court"))
-    cites = cites.join(F.broadcast(ct), F.col("court_id") == F.col("_id"), "left")
-    variants = _court_variants(court_table)
-    cites = cites.withColumn("_all", variants)
-    parts = F.filter(F.split(F.lower("court_text"), "[^a-z0-9]+"), lambda w: w != "")
-    fits = F.filter("_all", lambda c: (F.size(c["t"]) == F.size(parts)) & (c["n"] != T.normalized(F.col("court_text"))) & F.forall(F.zip_with(c["t"], parts, lambda a, b: F.startswith(a, b) | F.startswith(b, a)), lambda x: x) & F.exists(F.zip_with(c["t"], parts, lambda a, b: a != b), lambda x: x))
-    cites = cites.withColumn("suggested", F.when(F.col("court_text").isNotNull() & F.col("court_id").isNull() & F.col("courts").isNull() & real, F.transform(F.slice(fits, 1, 2), lambda c: c["abbrev"])))
-    return cites.drop("_k", "_b", "_exact", "_loose", "_id", "_all")
-
-
-def _court_variants(court_table: DataFrame) -> Column:
-    """Courts as a literal array in table order: a dimension of a few dozen rows."""
-    rows = court_table.orderBy("position").select("abbrev").limit(1000).collect()
-    tokens = lambda a: F.filter(F.split(F.lower(F.lit(a)), "[^a-z0-9]+"), lambda w: w != "")
-    return F.array(*[F.struct(F.lit(r.abbrev).alias("abbrev"), T.normalized(F.lit(r.abbrev)).alias("n"), tokens(r.abbrev).alias("t")) for r in rows])
+    real = F.when(~T.normalized(F.col("court_text")).isin(refdata.NON_COURT), F.col("court_text"))
+    cites = cites.withColumn("_named", real)
+    cites = cites.join(F.broadcast(exact), T.normalized(F.col("_named")) == F.col("_k"), "left").join(F.broadcast(loose), bare(F.col("_named")) == F.col("_b"), "left")
+    cites = cites.withColumn("courts", F.coalesce("_exact", "_loose")).drop("_k", "_b", "_exact", "_loose")
+    if on is not None and "CT006" not in on:
+        return cites.drop("_named")
+    # only a text that names no court meets the table: as many words as a court, each the beginning of the other
+    words = F.filter(F.split(F.lower("_named"), "[^a-z0-9]+"), lambda w: w != "")
+    cites = cites.withColumn("_words", F.when(F.col("court_id").isNull() & F.col("courts").isNull(), words)).drop("_named")
+    tokens = [[w for w in re.split("[^a-z0-9]+", r["abbrev"].lower()) if w] for r in listed]
+    at = lambda n: [i for i, t in enumerate(tokens) if len(t) == n]
+    found = F.lit(None).cast("array<string>")
+    for n in sorted({len(t) for t in tokens}):
+        table = F.split(F.lit("\n".join("\t".join([listed[i]["abbrev"], *tokens[i]]) for i in at(n))), "\n")
+        fits = lambda row, n=n: F.forall(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: _begins(F.get(F.split(row, "\t"), i + 1), F.get(F.col("_words"), i)))
+        other = lambda row, n=n: F.slice(F.split(row, "\t"), 2, n) != F.col("_words")
+        near = F.transform(F.slice(F.filter(table, lambda row: fits(row) & other(row)), 1, 2), lambda row: F.split(row, "\t")[0])  # noqa: B023
+        found = F.when(F.size("_words") == n, near).otherwise(found)
+    return cites.withColumn("suggested", F.when(F.col("_words").isNotNull(), found)).drop("_words")
+
+
+def _begins(a: Column, b: Column) -> Column:
+    return F.startswith(a, b) | F.startswith(b, a)
+
+
+# what several rules ask for, and which: bound once, and only where a citation has what it is made of
+_BOUND = {"_variant": {"RP001"}, "_fixed": {"RP001"}, "_ranges": {"ST003", "ST004"}, "_pin": {"ST002"}, "_secs": {"ST006", "ST007"}}
+
+
+def bound(cites: DataFrame, on: set[str]) -> DataFrame:
+    other = F.col("reporter") != F.col("canonical")
+    made = {
+        "_variant": F.when(other, T.spacing_variant(F.col("reporter"), F.col("canonical"))),
+        "_fixed": F.when(other, T.replace_first(F.col("text"), F.col("reporter"), F.col("canonical"))),
+        "_ranges": F.when(F.col("pin").rlike(r"\d\s*[^\d\s,&]"), T.pin_ranges(F.col("pin"))),
+        "_pin": F.when(F.col("first_page").isNotNull() & F.col("pin").isNotNull(), T.pin_first(F.col("pin"))),
+        "_secs": F.when(F.col("kind") == "statute", T.sections(F.col("sections"))),
+    }
+    return cites.withColumns({k: x for k, x in made.items() if _BOUND[k] & on})
 
 
 def row_rules(profile: Profile) -> dict[str, Column]:
@@ -99,20 +144,18 @@ def row_rules(profile: Profile) -> dict[str, Column]:
     c = F.col
     kind, year = c("kind"), c("year")
     one = lambda test, finding: F.when(test, F.array(finding))
-    variant = T.spacing_variant(c("reporter"), c("canonical"))
-    fixed = T.replace_first(c("text"), c("reporter"), c("canonical"))
+    variant, fixed = c("_variant"), c("_fixed")
     rp001 = F.when(variant == "different", _say(_js("reporter"), " is a non-standard abbreviation for ", _js("canonical"), ".")).when(variant == "tightened", _say(_js("reporter"), " closes up ", _js("canonical"), f". {profile.label} keeps the space.")).otherwise(_say(_js("text"), " should be written ", _js(fixed), " — spacing does not match the standard form."))
     covering = F.filter("siblings", lambda e: (e["start"] <= year) & (e["end"].isNull() | (year <= e["end"])))
-    only = F.when(F.size(covering) == 1, covering[0]["abbrev"])
+    only = F.when(F.size(covering) == 1, F.get(covering, F.lit(0))["abbrev"])
     outside = (year < c("ed.start")) | (year > c("ed.end"))
     dt001 = _say(c("canonical"), " was published ", T.coverage_label(c("ed.start"), c("ed.end")), ", but this cites ", year, ".")
-    resolved = F.when(F.size("courts") == 1, c("courts")[0])
-    ranges, pin = T.pin_ranges(c("pin")), T.pin_first(c("pin"))
-    secs = T.sections(c("sections"))
+    resolved = F.when(F.size("courts") == 1, F.get("courts", F.lit(0)))
+    ranges, pin, secs = c("_ranges"), c("_pin"), c("_secs")
     wanted = F.when(secs["join"] == "single", "§").otherwise("§§")
     at = F.locate("§", "text") - 1
     symbol_start, symbol_end = c("start") + at, c("start") + at + F.length(F.regexp_extract(F.substring(c("text"), at + 1, F.length("text")), "^§+", 0))
-    a, b = secs["items"][0], secs["items"][1]
+    a, b = F.get(secs["items"], F.lit(0)), F.get(secs["items"], F.lit(1))
     drops = (secs["join"] == "span") & (F.size(secs["items"]) == 2) & a.rlike(r"^\d+$") & b.rlike(r"^\d+$") & (F.length(b) < F.length(a))
     expanded = F.concat(F.substring(a, F.lit(1), F.length(a) - F.length(b)), b)
     label = F.when(kind == "id", "An `Id.` citation").when(kind == "supra", "A `supra` citation").otherwise("A short-form citation")
@@ -120,10 +163,12 @@ def row_rules(profile: Profile) -> dict[str, Column]:
     joined = F.array_join(F.transform("courts", lambda x: x["name"]), " or ")
     unpublished = (kind == "neutral") & c("neutral_body").rlike(r"-U\b")
     written = F.array_join(F.transform("ways", T.quoted), ", ")
-    docket = c("before").rlike(r"\bNos?\.\s{0,4}[\w:-]{2,24}\s{0,4},?\s{0,4}$")
+    token_start = c("start") + F.instr(c("text"), c("reporter")) - 1
+    others = F.when(F.size("near") > 1, _say(" (or ", F.array_join(F.transform(F.slice("near", 2, 2), T.quoted), ", "), ")")).otherwise("")
     rules = {
+        "RP002": one((kind == "unknown") & (F.size("near") > 0), _finding("RP002", "error", _say(_js("reporter"), " is not a known reporter. Did you mean ", _js(F.get("near", F.lit(0))), others, "?"), fix=F.get("near", F.lit(0)), safety="unsafe", fix_start=token_start, fix_end=token_start + F.length("reporter"))),
         "RP003": one(F.size("ways") > 1, _finding("RP003", "warning", _say(_js("canonical"), " is abbreviated ", F.size("ways"), " different ways in this document (", written, "). Pick one."))),
-        "AU002": one((kind == "database") & ~c("has_parallel") & ~docket, _finding("AU002", "warning", _say(_js("text"), " is a ", c("database"), " database number with no reporter citation. Add the reporter cite, or say the case is unreported."))),
+        "AU002": one((kind == "database") & ~c("has_parallel") & ~c("docket"), _finding("AU002", "warning", _say(_js("text"), " is a ", c("database"), " database number with no reporter citation. Add the reporter cite, or say the case is unreported."))),
         "RP001": one(c("canonical").isNotNull() & (c("reporter") != c("canonical")) & ~((variant == "tightened") & F.lit(profile.tightens)), _finding("RP001", F.when(T.squash(c("reporter")) == T.squash(c("canonical")), "info").otherwise("warning"), rp001, fix=fixed, safety="safe")),
         "DT001": one(c("ed").isNotNull() & outside, _finding("DT001", "error", F.when(only.isNotNull(), _say(dt001, " A ", year, " case in this series would be in ", _js(only), ".")).otherwise(_say(dt001, " Check the volume, the reporter and the year.")), fix=T.replace_first(c("text"), c("reporter"), only), safety="unsafe")),
         "DT002": F.when(year > profile.current_year, F.array(_finding("DT002", "error", _say("Cites a decision dated ", year, f", which is in the future (this year is {profile.current_year}).")))).when(year < 1600, F.array(_finding("DT002", "warning", _say("Decision year ", year, " predates any reporter in the tables — likely a typo.")))),
@@ -132,7 +177,7 @@ def row_rules(profile: Profile) -> dict[str, Column]:
         "CT003": one(c("court").isNotNull() & ((year < c("court.start")) | (year > c("court.end"))), _finding("CT003", "warning", _say(c("court.name"), " existed ", T.coverage_label(c("court.start"), c("court.end")), ", so it could not have decided a case in ", year, "."))),
         "CT004": one(c("court_id").isNull() & (F.size("courts") >= 2), _finding("CT004", "info", _say(_js("court_text"), " could mean ", joined, ". Name the jurisdiction."), "court_start", "court_end")),
         "CT005": one(c("ed.scotus_only") & (c("court_id") == "scotus"), _finding("CT005", "info", _say(_js("canonical"), " reports only the Supreme Court, so rule 10.4(a) leaves the court out: write the year alone."), "court_start", "court_end", F.lit(""), "safe", "court_start", "court_stop")),
-        "CT006": one(F.size("suggested") == 1, _finding("CT006", "warning", _say(_js("court_text"), " is not a standard court abbreviation. ", _js(c("suggested")[0]), " is, and is the same abbreviation with a word spelled out."), "court_start", "court_end", c("suggested")[0], "unsafe")),
+        "CT006": one(F.size("suggested") == 1, _finding("CT006", "warning", _say(_js("court_text"), " is not a standard court abbreviation. ", _js(F.get("suggested", F.lit(0))), " is, and is the same abbreviation with a word spelled out."), "court_start", "court_end", F.get("suggested", F.lit(0)), "unsafe")),
         "ST001": one(kind.isin("id", "supra", "short-form") & c("resource_key").isNull(), _finding("ST001", "error", _say(label, " (", _js("text"), ") does not follow any full citation.", hint))),
         "ST002": one(pin < c("first_page"), _finding("ST002", "warning", _say("Pin cite ", pin, " is before page ", c("first_page"), ", where the opinion starts."))),
         "ST003": F.transform(F.filter(ranges, lambda r: T.abbreviate_range(r["from"], r["to"]) != r["written"]), lambda r: _finding("ST003", "info", _say("Page range ", r["from"], "-", r["written"], " should be written ", r["from"], "-", T.abbreviate_range(r["from"], r["to"]), " — rule 3.2(a) drops repetitious digits but keeps the last two."))),
@@ -145,27 +190,6 @@ def row_rules(profile: Profile) -> dict[str, Column]:
     return rules
 
 
-def _rows(df: DataFrame, finding: Column) -> DataFrame:
-    return df.select("doc_id", finding.alias("f")).select("doc_id", "f.*")
-
-
-def unknown_reporter(cites: DataFrame, editions: DataFrame, spellings: DataFrame) -> DataFrame:
-    """RP002: shapes with an unknown reporter that resembles known ones; distinct tokens meet the table, lengths first."""
-    known = editions.select("abbrev", F.col("squash").alias("k"), F.col("abbrev").alias("spelt")).unionByName(spellings.select(F.col("canonical").alias("abbrev"), F.col("squash").alias("k"), F.col("written").alias("spelt")))
-    shapes = cites.filter("kind = 'unknown'").withColumn("k", T.squash(F.col("reporter"))).filter(~T.looks_like_periodical(F.col("reporter")))
-    shapes = shapes.join(F.broadcast(known.select("k").distinct()), "k", "left_anti")
-    tokens = shapes.select("reporter", F.col("k").alias("token")).distinct()
-    limit = F.when(F.length("token") <= 3, 1).when(F.length("token") <= 6, 2).otherwise(3)
-    pairs = tokens.join(F.broadcast(known), F.abs(F.length("token") - F.length("k")) <= limit).withColumn("d", F.levenshtein("token", "k")).filter((F.col("d") > 0) & (F.col("d") <= limit))
-    pairs = pairs.groupBy("reporter", "abbrev").agg(F.min(F.struct("d", F.abs(F.length("token") - F.length("k")).alias("n"))).alias("best"))
-    by = Window.partitionBy("reporter").orderBy("best.d", "best.n", F.expr("abbrev collate UNICODE"))
-    ranked = pairs.withColumn("r", F.row_number().over(by)).filter("r <= 3").groupBy("reporter").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "abbrev"))), lambda x: x["abbrev"]).alias("near"))
-    found = shapes.join(ranked, "reporter")
-    others = F.when(F.size("near") > 1, _say(" (or ", F.array_join(F.transform(F.slice("near", 2, 2), T.quoted), ", "), ")")).otherwise("")
-    token_start = F.col("start") + F.instr(F.col("text"), F.col("reporter")) - 1
-    return _rows(found, _finding("RP002", "error", _say(_js("reporter"), " is not a known reporter. Did you mean ", _js(F.col("near")[0]), others, "?"), fix=F.col("near")[0], safety="unsafe", fix_start=token_start, fix_end=token_start + F.length("reporter")))
-
-
 def verified(cites: DataFrame, authorities: DataFrame) -> DataFrame:
     """Citations with status, records (array of case_name, year, court_id, url), from a table of authorities (key, case_name, year, court_id, url)."""
     records = authorities.groupBy(T.normalized(F.col("key")).alias("_key")).agg(F.collect_list(F.struct("case_name", "year", "court_id", "url")).alias("records"))
@@ -197,28 +221,39 @@ def selected(enable: list[str] | None = None, disable: list[str] | None = None,
 
 
 Custom = Callable[[DataFrame], DataFrame]
+_NONE = f"array<struct<{FINDING.replace(' ', ':').replace(',:', ',')}>>"
+
+
+def refusals() -> Column:
+    """A finding for a text that was not read: it must not look like one without errors."""
+    say = F.concat(F.lit("The text has "), F.col("page"), F.lit(f" characters, above the limit of {MAX_CHARS}. It was not checked."))
+    return F.when(F.col("kind") == "refused", F.array(_finding("INPUT", "error", say)))
+
 
+def run_rules(cites: DataFrame, profile: Profile | None = None, authorities: DataFrame | None = None, enable=None, disable=None, editions: DataFrame | None = None, spellings: DataFrame | None = None, custom: list[Custom] = (), notices: list[str] | None = None) -> DataFrame:
+    """Findings (doc_id and FINDING) of all chosen rules, in one projection over the parsed rows. Order them with ordered().
 
-def run_rules(cites: DataFrame, profile: Profile | None = None, authorities: DataFrame | None = None, enable=None, disable=None, editions: DataFrame | None = None, spellings: DataFrame | None = None, custom: list[Custom] = ()) -> DataFrame:
-    """Findings (doc_id and FINDING) of all chosen rules. Order them with ordered()."""
-    spark, profile = cites.sparkSession, profile or Profile()
+    A custom rule that cannot be planned, or a table of authorities that cannot be joined, is left
+    out and told in notices; the other rules run. Texts that were refused give a finding INPUT.
+    No rule chosen gives no findings but those.
+    """
+    spark, profile, notices = cites.sparkSession, profile or Profile(), notices if notices is not None else []
     on = selected(enable, disable, authorities is not None)
-    ed, sp = refdata.reporters(spark, editions), refdata.variations(spark, spellings)
-    own = enriched(cites.filter("kind <> 'unknown'"), ed, refdata.courts(spark))
+    own = bound(enriched(cites, refdata.reporters(spark, editions), refdata.courts(spark), set(on)), set(on))
     columns = row_rules(profile)
-    if authorities is not None:
-        own = verified(own, authorities)
-        columns |= verification_rules()
-    arrays = [F.coalesce(columns[r], F.array().cast(f"array<struct<{FINDING.replace(' ', ':').replace(',:', ',')}>>")) for r in on if r in columns]
-    parts = []
-    if arrays:
-        parts.append(own.select("doc_id", F.explode(F.concat(*arrays)).alias("f")).select("doc_id", "f.*"))
-    if "RP002" in on:
-        parts.append(unknown_reporter(cites, ed, sp))
-    parts += [rule(own) for rule in custom]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    if any(r.startswith("VF") for r in on):
+        try:
+            own, columns = verified(own, authorities), columns | verification_rules()
+        except AnalysisException as e:
+            notices.append(f"authorities were not checked: {e.getCondition()}")
+    arrays = [F.coalesce(x, F.array().cast(_NONE)).cast(_NONE) for x in [refusals(), *(columns[r] for r in on if r in columns)]]
+    # a projection of its own is compiled; inside the generator the same expression would be interpreted
+    out = own.select("doc_id", F.concat(*arrays).alias("_all")).select("doc_id", F.explode("_all").alias("f")).select("doc_id", "f.*")
+    for i, rule in enumerate(custom):
+        try:
+            out = out.unionByName(rule(own.filter("kind not in ('unknown', 'refused')")).select("doc_id", *[x.split()[0] for x in FINDING.split(", ")]))
+        except Exception as e:  # noqa: BLE001 - a rule of the caller's may raise anything
+            notices.append(f"rule {getattr(rule, '__name__', i)} was skipped: {type(e).__name__}: {str(e)[:200]}")
     return out
 
 

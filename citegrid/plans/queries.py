@@ -14,6 +14,7 @@ from ..engine import Engine
 from ..functions import text as T
 from ..operators import annotate, extract, feedback, fix, reports, rich, rules
 from ..sources import readers, writers
+from .graded import GRADED
 
 Y = "year(o_orderdate)"
 REPORTERS = ["U.S.", "F.3d", "F. Supp. 2d", "S. Ct."]
@@ -63,7 +64,7 @@ _VOLUME, _PAGE = "o_orderkey % 9000 + 1", "o_orderkey div 9000 + 34"  # together
 _KEY = f"concat({_VOLUME}, ' U.S. ', {_PAGE}) AS key"
 RULES = {
     "RP001": ([_s(_A + "12 "), f"if({_EVEN}, 'F.Supp.2d', 'F. Supp. 2d')", _s(" 34 (D.D.C. "), Y, _s(").")], "'info'", "'12 F. Supp. 2d 34'", _EVEN),
-    "RP002": ([_s(_A + "12 "), f"if({_EVEN}, 'F. Suop.', 'F. Supp.')", _s(" 34 (D.D.C. 1980).")], "'error'", "'F. Supp.'", _EVEN),
+    "RP002": ([_s(_A + "12 "), "CASE o_orderkey % 4 WHEN 0 THEN 'F. Suop.' WHEN 1 THEN 'F. Supp.' WHEN 2 THEN 'F. Suop.' ELSE 'Cal. 4th' END", _s(" 34 (1995); 7 N.E.3d 300 (2015); 64 U. Pitt. L. Rev. 639 (2003).")], "'error'", "'F. Supp.'", _EVEN),
     "RP003": ([_s(_A + "1 "), f"if({_EVEN}, 'F.Supp.', 'F. Supp.')", _s(" 2 (D.D.C. 1980). Cole v. Dunn, 3 F. Supp. 4 (D.D.C. 1981).")], "'warning'", "''", _EVEN),
     "DT001": ([_s(_A), "o_orderkey % 900 + 1", f"if({_EVEN}, ' F.2d ', ' F.3d ')", "o_custkey % 900 + 1", _s(" (9th Cir. "), Y, _s(").")], "'error'", "(o_orderkey % 900 + 1) || ' F.3d ' || (o_custkey % 900 + 1)", _EVEN),
     "DT002": ([_s(_A + "12 F.3d 34 (9th Cir. "), f"{Y} + 30", _s(").")], "'error'", "''", f"{Y} + 30 > 2026"),
@@ -81,7 +82,7 @@ RULES = {
     "ST006": ([_s("11 U.S.C. § "), "o_custkey", f"if({_EVEN}, ', 9999.', '.')"], "'warning'", "'§§'", _EVEN),
     "ST007": ([_s("42 U.S.C. §§ 1981-"), f"if({_EVEN}, '85', '1985')", _s(".")], "'warning'", "''", _EVEN),
     "AU001": (["CASE o_orderkey % 3 WHEN 0 THEN 'Ames v. Bell, 2013 IL App (1st) 111279-U.' WHEN 1 THEN 'Ames v. Bell, 5 F. App\\'x 6 (9th Cir. 2003).' ELSE 'Ames v. Bell, 12 F.3d 34 (9th Cir. 1999).' END"], "CASE o_orderkey % 3 WHEN 0 THEN 'error' ELSE 'warning' END", "''", "o_orderkey % 3 < 2"),
-    "AU002": ([_s("Held so, "), f"if({_EVEN}, '', 'No. 12-345, ')", _s("2019 WL 123. Ames v. Bell, 925 F.3d 1339, 2019 WL 4639462 (11th Cir. 2019).")], "'warning'", "''", _EVEN),
+    "AU002": (["CASE o_orderkey % 4 WHEN 1 THEN 'Held so, No. 12-345, 2019 WL 123' WHEN 3 THEN 'Ames v. Bell, Inc., No. 15-2994, 2019 WL 123, at *6 (7th Cir. Oct. 12, 2019)' ELSE 'Held so, 2019 WL 123' END", _s(". Ames v. Bell, 925 F.3d 1339, 2019 WL 4639462 (11th Cir. 2019).")], "'warning'", "''", _EVEN),
     "VF001": ([_s(_A), _VOLUME, _s(" U.S. "), _PAGE, _s(" (1999).")], "'warning'", "''", "o_orderkey % 3 = 0"),
     "VF002": ([_s(_A), _VOLUME, _s(" U.S. "), _PAGE, _s(" (1999).")], "'warning'", "''", "o_orderkey % 3 = 1 AND o_orderkey % 2 = 0"),
     "VF003": ([_s(_A), _VOLUME, _s(" U.S. "), _PAGE, _s(" (1999).")], "'error'", "''", "o_orderkey % 3 = 2 AND o_orderkey % 5 = 0"),
@@ -96,21 +97,60 @@ def authorities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unionByName(one.join(rows.filter("o_orderkey % 3 = 1 AND o_orderkey % 2 = 0").selectExpr(_KEY), "key", "left_semi"))
 
 
+# rule -> in SQL: what the finding spans, its message, what the correction spans, its safety
+_CITE = f"({_VOLUME}) || ' U.S. ' || ({_PAGE.replace(' div ', ' // ')})"
+DETAILS = {
+    "RP001": ("'12 F.Supp.2d 34'", "'\"F.Supp.2d\" closes up \"F. Supp. 2d\". 20th edition, practitioner style keeps the space.'", "'12 F.Supp.2d 34'", "safe"),
+    "RP002": ("'12 F. Suop. 34'", "'\"F. Suop.\" is not a known reporter. Did you mean \"F. Supp.\"?'", "'F. Suop.'", "unsafe"),
+    "RP003": ("'1 F.Supp. 2'", "'\"F. Supp.\" is abbreviated 2 different ways in this document (\"F.Supp.\", \"F. Supp.\"). Pick one.'", None, None),
+    "DT001": ("(o_orderkey % 900 + 1) || ' F.2d ' || (o_custkey % 900 + 1)", f"'F.2d was published 1924–1993, but this cites ' || {Y} || '. A ' || {Y} || ' case in this series would be in \"F.3d\".'", "(o_orderkey % 900 + 1) || ' F.2d ' || (o_custkey % 900 + 1)", "unsafe"),
+    "DT002": ("'12 F.3d 34'", f"'Cites a decision dated ' || ({Y} + 30) || ', which is in the future (this year is 2026).'", None, None),
+    "CT001": ("'Ninth Circuit'", "'Court is written \"Ninth Circuit\"; the standard abbreviation is \"9th Cir.\".'", "'Ninth Circuit'", "unsafe"),
+    "CT002": ("'12 U.S. 34'", "'\"U.S.\" reports only the Supreme Court of the United States, but the parenthetical names United States Court of Appeals for the Ninth Circuit.'", None, None),
+    "CT003": ("'12 F.2d 34'", "'United States Court of Appeals for the Eleventh Circuit existed 1981–present, so it could not have decided a case in ' || (1971 + o_orderkey % 20) || '.'", None, None),
+    "CT004": ("'App. Div.'", "'\"App. Div.\" could mean New York Supreme Court, Appellate Division or New Jersey Superior Court, Appellate Division. Name the jurisdiction.'", None, None),
+    "CT005": ("'U.S. 1999'[:4]", "'\"U.S.\" reports only the Supreme Court, so rule 10.4(a) leaves the court out: write the year alone.'", "'U.S. 1999'[:5]", "safe"),
+    "CT006": ("'Ill. Appellate Ct.'", "'\"Ill. Appellate Ct.\" is not a standard court abbreviation. \"Ill. App. Ct.\" is, and is the same abbreviation with a word spelled out.'", "'Ill. Appellate Ct.'", "unsafe"),
+    "ST001": ("'Id. at 5'", "'An `Id.` citation (\"Id. at 5\") does not follow any full citation. Cite the authority in full the first time it appears.'", None, None),
+    "ST002": ("'12 F.3d 100'", "'Pin cite ' || (90 + o_orderkey % 20) || ' is before page 100, where the opinion starts.'", None, None),
+    "ST003": ("'12 F.3d 100'", "'Page range 371-372 should be written 371-72 — rule 3.2(a) drops repetitious digits but keeps the last two.'", None, None),
+    "ST004": ("'12 F.3d 100'", "'Page range 371-' || (o_orderkey % 200 + 300) || ' ends before it begins. Check for transposed digits.'", None, None),
+    "ST005": ("'5 U.S. at 101'", "'Short form \"5 U.S. at 101\" carries the year 1990. B10.2 gives the date once, in the full citation.'", None, None),
+    "ST006": ("'§'", "'\"11 U.S.C. § ' || o_custkey || ', 9999\" cites 2 sections but uses one section symbol. Rule 3.3(b) takes \"§§\".'", "'§'", "safe"),
+    "ST007": ("'42 U.S.C. §§ 1981-85'", "'Sections 1981-85 should be written 1981-1985. Rule 3.3(b) keeps every digit in a span of sections — unlike rule 3.2(a) for pages, which drops them.'", None, None),
+    "AU001": ("CASE o_orderkey % 3 WHEN 0 THEN '2013 IL App (1st) 111279-U' ELSE '5 F. App''x 6' END", "CASE o_orderkey % 3 WHEN 0 THEN '\"2013 IL App (1st) 111279-U\" is an unpublished order — the \"-U\" suffix marks a disposition that is not precedential and generally may not be cited as authority.' ELSE 'Federal Appendix collects unpublished dispositions; \"5 F. App''x 6\" is persuasive at best, not binding.' END", None, None),
+    "AU002": ("'2019 WL 123'", "'\"2019 WL 123\" is a WL database number with no reporter citation. Add the reporter cite, or say the case is unreported.'", None, None),
+    "VF001": (_CITE, f"'\"' || {_CITE} || '\" does not appear in the caller corpus. Verify this authority exists before relying on it.'", None, None),
+    "VF002": (_CITE, f"'\"' || {_CITE} || '\" matches several authorities: Ames v. Bell; Ames v. Bell. Add a court or year to disambiguate.'", None, None),
+    "VF003": (_CITE, f"'\"' || {_CITE} || '\" is \"Zeta v. Omega\", not \"Ames v. Bell\".'", None, None),
+    "VF004": (_CITE, "'Cited as 1999, but the corpus dates ' || CASE WHEN o_orderkey % 3 = 2 AND o_orderkey % 5 = 0 THEN 'Zeta v. Omega' ELSE 'Ames v. Bell' END || ' to 1987.'", None, None),
+}
+
+
 def _rule(rule: str):
     parts = RULES[rule][0]
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         profile = rules.Profile(edition=20 if rule in ("RP001", "RP003") else 21)
         engine = Engine(profile, enable=[rule], authorities=authorities(spark, sf_dir) if rule.startswith("VF") else None)
-        docs = briefs(spark, sf_dir, *parts)
-        return engine.check(docs).select("doc_id", "rule_id", "severity", F.coalesce("replacement", F.lit("")).alias("replacement"))
+        found = engine.check(briefs(spark, sf_dir, *parts))
+        plain = [F.coalesce(c, F.lit("")).alias(c) for c in ("replacement", "safety")] + [F.coalesce(c, F.lit(-1)).alias(c) for c in ("fix_start", "fix_end")]
+        return found.select("doc_id", "rule_id", "severity", "message", "start", "end", "citation_text", *plain)
 
     return query
 
 
 def _rule_sql(rule: str) -> str:
-    _, severity, replacement, condition = RULES[rule]
-    return f"SELECT o_orderkey AS doc_id, '{rule}' AS rule_id, {severity} AS severity, {replacement} AS replacement FROM orders WHERE {condition}"
+    """The text as the brief has it, and where in it the finding and its correction lie."""
+    parts, severity, replacement, condition = RULES[rule]
+    target, message, fix_target, safety = DETAILS[rule]
+    text = ", ".join(parts).replace(" div ", " // ").replace("\\'", "''")
+    at = lambda x: f"CAST(strpos(text, {x}) - 1 AS INT)"
+    if rule == "CT005":  # the same letters stand in the citation itself
+        at = lambda x: "CAST(strpos(text, '(U.S. 1999') AS INT)"
+    cited = {"CT001": "'12 F.3d 34'", "CT004": "'12 N.J. Super. 34'", "CT005": "'12 U.S. 34'", "CT006": "'12 N.E.2d 34'", "ST006": "'11 U.S.C. § ' || o_custkey || ', 9999'"}.get(rule, target)
+    span = f"{at(fix_target)} AS fix_start, CAST({at(fix_target)} + length({fix_target}) AS INT) AS fix_end, '{safety}' AS safety" if fix_target else "CAST(-1 AS INT) AS fix_start, CAST(-1 AS INT) AS fix_end, '' AS safety"
+    return f"SELECT o_orderkey AS doc_id, '{rule}' AS rule_id, {severity} AS severity, {message} AS message, {at(target)} AS start, CAST({at(target)} + length({target}) AS INT) AS \"end\", {cited} AS citation_text, {replacement} AS replacement, {span} FROM (SELECT *, concat({text}) AS text FROM orders) WHERE {condition}"
 
 
 _MIXED = [_s("Id. at 5. " + _A + "12 "), f"if({_EVEN}, 'F.Supp.2d', 'F. Supp. 2d')", _s(" 34 (D.D.C. "), Y, _s("). Cole v. Dunn, 5 U.S. 100, 371-372 (U.S. 1999).")]
@@ -141,19 +181,40 @@ def findings_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.ordered(Engine(rules.Profile(edition=20)).check(briefs(spark, sf_dir, *_MIXED))).select("doc_id", "place", "rule_id")
 
 
+def _reported(docs: DataFrame, engine: Engine, annotations: DataFrame | None = None) -> DataFrame:
+    cites = engine.citations(docs, shapes=True, refused=True)
+    return reports.reported(docs.select("doc_id", F.concat(F.lit("brief "), F.col("doc_id").cast("string")).alias("name")), cites, engine.check(docs, cites), annotations)
+
+
+def _report_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second brief has a court that its reporter does not need; the others have no finding."""
+    return briefs(spark, sf_dir, _s(_A + "12 U.S. "), _PAGE, f"if({_EVEN}, ' (U.S. ', ' (')", Y, _s(")."))
+
+
+def _quotations(docs: DataFrame) -> DataFrame:
+    """A quotation for every third brief, and a note for the one after."""
+    third = docs.filter("doc_id % 3 < 2").select("doc_id", F.lit(14).alias("start"), F.lit(20).alias("end"), F.lit("12 U.S. 34").alias("citation"), F.lit("Ames v. Bell").alias("case_name"), F.lit("35").alias("pin"))
+    return third.withColumns({"quote": F.expr("if(doc_id % 3 = 0, 'It is, \"so\".', null)"), "note": F.expr("if(doc_id % 3 = 0, null, 'page 35 is not marked')"), "url": F.lit("https://x.example/1")})
+
+
 def report_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = briefs(spark, sf_dir, _s("One line.\n" + _A + "12 U.S. 34 (9th Cir. "), Y, _s(")."))
-    return reports.csv_report(reports.located(docs, Engine(enable=["CT002"]).check(docs)))
+    docs = _report_briefs(spark, sf_dir)
+    return reports.csv_report(_reported(docs, Engine(enable=["CT005"]), _quotations(docs)))
 
 
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = briefs(spark, sf_dir, *_MIXED)
-    return reports.json_report(reports.located(docs, Engine().check(docs)))
+    return reports.json_report(_reported(_report_briefs(spark, sf_dir), Engine(enable=["CT005"])), reports.Provenance(version="1.2", commit="abc"))
 
 
 def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = briefs(spark, sf_dir, *_MIXED)
-    return reports.markdown_report(reports.located(docs, Engine().check(docs)))
+    docs = _report_briefs(spark, sf_dir)
+    return reports.markdown_report(_reported(docs, Engine(enable=["CT005"]), _quotations(docs)), reports.Provenance(version="1.2", commit="abc"))
+
+
+def graded_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of a graded quiz, one for each order."""
+    texts = ", ".join(_s(t) for t, _ in GRADED)
+    return Engine().check(briefs(spark, sf_dir, f"element_at(array({texts}), cast(o_orderkey % {len(GRADED)} AS int) + 1)")).select("doc_id", "rule_id")
 
 
 def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,9 +244,11 @@ def extraction_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A place in each text, for some past its end."""
     docs = table(spark, sf_dir, "documents")
-    at = lambda n: F.lit(n)
-    return docs.select("doc_id", T.snippet(F.col("text"), at(20), at(40), 20).alias("snippet"), T.line_col(F.col("text"), at(50))["line"].cast("int").alias("line"), T.line_col(F.col("text"), at(50))["col"].cast("int").alias("col"))
+    at = (F.col("doc_id") * 37 % 3000).cast("int")
+    spot = T.line_col(F.col("text"), at)
+    return docs.select("doc_id", T.snippet(F.col("text"), at, at + 20, 20).alias("snippet"), spot["line"].cast("int").alias("line"), spot["col"].cast("int").alias("col"))
 
 
 def document_tidy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,20 +324,29 @@ def _words(x: str) -> str:
 
 
 _MIXED_COUNT = f"CASE WHEN {_EVEN} THEN 1 ELSE 0 END"
+_CITED = "'12 U.S. ' || (o_orderkey // 9000 + 34)"
+_COURT_AT = "(24 + length(CAST(o_orderkey // 9000 + 34 AS VARCHAR)))"
+_REDUNDANT = " reports only the Supreme Court, so rule 10.4(a) leaves the court out: write the year alone."
 OTHERS = {
     "fix_safe": (fix_safe, f"SELECT o_orderkey AS doc_id, 'Id. at 5. Ames v. Bell, 12 F. Supp. 2d 34 (D.D.C. ' || {Y} || '). Cole v. Dunn, 5 U.S. 100, 371-372 (1999).' AS text, CAST(1 + {_MIXED_COUNT} AS INT) AS n_applied FROM orders"),
     "fix_unsafe": (fix_unsafe, f"SELECT o_orderkey AS doc_id, 'Ames v. Bell, ' || ({_VOLUME}) || ' F.3d 34 (9th Cir. ' || {Y} || ').' AS text, CAST(2 AS INT) AS n_applied FROM orders"),
     "fix_conflict": (fix_conflict, "SELECT p_partkey AS doc_id, '01AB5xy89' || p_brand AS text, 'replacement is identical to source; overlaps an earlier fix at [2, 5); span extends past end of document' AS reasons FROM part"),
     "severity_counts": (severity_counts, f"SELECT o_orderkey AS doc_id, CAST(1 AS BIGINT) AS error, CAST(0 AS BIGINT) AS warning, CAST(2 + {_MIXED_COUNT} AS BIGINT) AS info FROM orders"),
     "findings_ordered": (findings_ordered, f"SELECT o_orderkey AS doc_id, CAST(CASE WHEN p > 1 AND NOT ({_EVEN}) THEN p - 1 ELSE p END AS INT) AS place, r AS rule_id FROM orders, (VALUES (1, 'ST001'), (2, 'RP001'), (3, 'ST003'), (4, 'CT005')) v(p, r) WHERE {_EVEN} OR p <> 2"),
-    "report_csv": (report_csv, "SELECT o_orderkey AS doc_id, 'rule,severity,line,column,citation,message,suggestion,safety' || chr(10) || 'CT002,error,2,15,12 U.S. 34,\"\"\"U.S.\"\" reports only the Supreme Court of the United States, but the parenthetical names United States Court of Appeals for the Ninth Circuit.\",,' || chr(10) AS csv FROM orders"),
-    "report_json": (report_json, None),
-    "report_markdown": (report_markdown, None),
+    "report_csv": (report_csv, f"SELECT o_orderkey AS doc_id, 'rule,name,severity,citation,start,end,message,suggestion' || chr(10) || CASE WHEN {_EVEN} THEN 'CT005,redundant-court,info,' || {_CITED} || ',' || {_COURT_AT} || ',' || ({_COURT_AT} + 4) || ',\"\"\"U.S.\"\"{_REDUNDANT}\",' || chr(10) ELSE '' END || CASE o_orderkey % 3 WHEN 0 THEN 'PIN,pincite-quotation,info,12 U.S. 34,14,20,\"Ames v. Bell, at 35: It is, \"\"so\"\".\",https://x.example/1' || chr(10) WHEN 1 THEN 'PIN,pincite-quotation,info,12 U.S. 34,14,20,page 35 is not marked,https://x.example/1' || chr(10) ELSE '' END AS csv FROM orders"),
+    "report_json": (report_json, f"""SELECT o_orderkey AS doc_id, '{{"tool":"citegrid","version":"1.2","commit":"abc","reporterData":"built-in","document":"brief ' || o_orderkey || '","bluebook":"21st edition, practitioner style","citations":1,"findings":[' || CASE WHEN {_EVEN} THEN '{{"ruleId":"CT005","ruleName":"redundant-court","severity":"info","citation":"' || {_CITED} || '","start":' || {_COURT_AT} || ',"end":' || ({_COURT_AT} + 4) || ',"message":"\\"U.S.\\"{_REDUNDANT}","suggestion":"","safety":"safe"}}' ELSE '' END || ']}}' || chr(10) AS json FROM orders"""),
+    "report_markdown": (
+        report_markdown,
+        f"""SELECT o_orderkey AS doc_id, '# Citation check — brief ' || o_orderkey || chr(10) || chr(10) || '- **Checked against:** 21st edition, practitioner style' || chr(10) || '- **Citations found:** 1' || chr(10) || '- **Findings:** ' || {_MIXED_COUNT} || chr(10) || '- **citegrid:** 1.2 (commit abc)' || chr(10) || '- **Reporter data:** built-in' || chr(10) || chr(10)
+        || CASE WHEN {_EVEN} THEN '| Rule | Severity | Citation | Problem |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || '| `CT005` | info | ' || {_CITED} || ' | "U.S."{_REDUNDANT} |' || chr(10) ELSE 'No findings. That proves nothing right: only what is' || chr(10) || 'certainly wrong is told, and no citation was verified.' || chr(10) END || chr(10)
+        || CASE WHEN o_orderkey % 3 < 2 THEN '## Pincite quotations' || chr(10) || chr(10) || '### 12 U.S. 34, at 35' || chr(10) || chr(10) || '*Ames v. Bell* — <https://x.example/1>' || chr(10) || chr(10) || CASE o_orderkey % 3 WHEN 0 THEN '> It is, "so".' ELSE 'page 35 is not marked' END || chr(10) || chr(10) || 'A quotation is there to be checked; it does not replace' || chr(10) || 'reading the opinion.' || chr(10) || chr(10) ELSE '' END AS markdown FROM orders""",
+    ),
+    "graded_citations": (graded_citations, f"SELECT o_orderkey AS doc_id, r AS rule_id FROM orders JOIN (VALUES {', '.join(f"({i}, '{r}')" for i, (_, rs) in enumerate(GRADED) for r in rs)}) v(i, r) ON o_orderkey % {len(GRADED)} = i"),
     "resources": (resources, "SELECT o_orderkey AS doc_id, (o_custkey % 900 + 1) || ' U.S. 100' AS resource_key, '0,1' AS indexes FROM orders UNION ALL SELECT o_orderkey, '6 F.3d 200', '2,3' FROM orders"),
     "pin_quotation": (pin_quotation, "SELECT o_orderkey AS doc_id, CAST(102 AS BIGINT) AS page_no, 'Ruling ' || (o_orderkey % 50 + 1) || ' stands.' AS quote, '/b/' || (o_orderkey % 50 + 1) AS url FROM orders"),
     "lookup_statuses": (lookup_statuses, "SELECT o_orderkey AS doc_id, CASE o_orderkey % 5 WHEN 0 THEN 'found' WHEN 1 THEN 'ambiguous' WHEN 2 THEN 'not-found' ELSE 'unchecked' END AS status FROM orders"),
     "extraction_accuracy": (extraction_accuracy, f"SELECT o_orderkey AS doc_id, CAST(2 AS BIGINT) AS expected, CAST(1 AS BIGINT) AS recovered, CAST({_MIXED_COUNT} AS BIGINT) AS spurious, CAST(0.5 AS DOUBLE) AS recall FROM orders"),
-    "document_snippets": (document_snippets, "SELECT doc_id, '…' || trim(regexp_replace(substr(text, 11, 40), '\\s+', ' ', 'g')) || CASE WHEN length(text) > 50 THEN '…' ELSE '' END AS snippet, CAST(len(string_split(substr(text, 1, 50), chr(10))) AS INT) AS line, CAST(length(string_split(substr(text, 1, 50), chr(10))[-1]) + 1 AS INT) AS col FROM documents"),
+    "document_snippets": (document_snippets, "SELECT doc_id, CASE WHEN spot > 10 THEN '…' ELSE '' END || trim(regexp_replace(CASE WHEN least(length(text), spot + 30) > greatest(spot - 10, 0) THEN substr(text, greatest(spot - 10, 0) + 1, least(length(text), spot + 30) - greatest(spot - 10, 0)) ELSE '' END, '\\s+', ' ', 'g')) || CASE WHEN length(text) > spot + 30 THEN '…' ELSE '' END AS snippet, CAST(len(string_split(substr(text, 1, spot), chr(10))) AS INT) AS line, CAST(length(string_split(substr(text, 1, spot), chr(10))[-1]) + 1 AS INT) AS col FROM (SELECT *, CAST(doc_id * 37 % 3000 AS INT) AS spot FROM documents)"),
     "document_tidy": (document_tidy, "SELECT doc_id, CAST(length(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) AS INT) AS squashed, array_to_string([CASE WHEN replace(x, 'the', 'THE') <> x THEN '- ' || x || chr(10) || '+ ' || replace(x, 'the', 'THE') END FOR x IN string_split(text, chr(10)) IF replace(x, 'the', 'THE') <> x], chr(10)) AS diff FROM documents"),
     "name_likeness": (name_likeness, f"SELECT p_partkey, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 1.0 ELSE CAST(len(list_intersect(a, b)) AS DOUBLE) / len(list_distinct(list_concat(a, b))) END, 6) AS likeness, round(CASE WHEN greatest(length(p_name), length(p_type)) = 0 THEN 1.0 ELSE 1 - CAST(levenshtein(p_name, p_type) AS DOUBLE) / greatest(length(p_name), length(p_type)) END, 6) AS edits FROM (SELECT *, {_words("'Acme Corp v. ' || p_type")} AS a, {_words("'ACME ' || p_brand || ' ' || p_type")} AS b FROM part)"),
     "page_ranges": (page_ranges, "SELECT p_partkey, CASE WHEN length(a) <> length(b) THEN b ELSE right(b, greatest(2, length(b) - len(list_filter(range(1, length(b) + 1), lambda i: left(a, i) = left(b, i))))) END AS short, least(a::BIGINT, 9) AS first, CASE WHEN (left(a, length(a) - 2) || right(b, 2))::BIGINT >= a::BIGINT THEN (left(a, length(a) - 2) || right(b, 2))::BIGINT ELSE right(b, 2)::BIGINT END AS expanded FROM (SELECT p_partkey, CAST(p_partkey + 100 AS VARCHAR) AS a, CAST(p_partkey + 100 + p_size AS VARCHAR) AS b FROM part)"),

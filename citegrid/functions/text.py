@@ -186,3 +186,17 @@ def repair_section_symbols(x: Column) -> Column:
 
 def coverage_label(start: Column, end: Column) -> Column:
     return F.concat(start.cast("string"), F.lit("–"), F.coalesce(end.cast("string"), F.lit("present")))
+
+
+def duration_label(ms: Column) -> Column:
+    """812ms, or 4.1s from a second on."""
+    return F.when(ms < 1000, F.concat(F.round(ms, 0).cast("long").cast("string"), F.lit("ms"))).otherwise(F.concat(F.format_string("%.1f", (ms / 1000).cast("double")), F.lit("s")))
+
+
+def phases_label(phases: Column) -> Column:
+    """Phases (name, ms) of a millisecond or more, in one line."""
+    return F.array_join(F.transform(F.filter(phases, lambda p: p["ms"] >= 1), lambda p: F.concat(p["name"], F.lit(" "), duration_label(p["ms"]))), " · ")
+
+
+def chars_per_second(chars: Column, ms: Column) -> Column:
+    return F.when((ms > 0) & (chars > 0), F.round(chars / (ms / 1000), 0).cast("long"))

@@ -236,11 +236,45 @@ def lookup_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotate.looked_up(extract.citations(docs), lookups).select("doc_id", "status")
 
 
+def lookup_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three authorities a brief, two of them within the ceiling, one of these without an answer in every second brief."""
+    docs = briefs(spark, sf_dir, _s(_A + "1 U.S. 100 (1990). Cole v. Dunn, "), f"if({_EVEN}, '2', '3')", _s(" U.S. 200 (1991). Id. Ames v. Bell, 1 U.S. 100 (1990). Eads v. Foss, 4 U.S. 300 (1992)."))
+    lookups = spark.createDataFrame([("1 U.S. 100", 200, 1), ("2 U.S. 200", 429, 0), ("3 U.S. 200", 200, 1), ("4 U.S. 300", 200, 1)], "key string, status int, n_clusters int")
+    return annotate.notices(annotate.looked_up(extract.citations(docs), lookups, most=2), lookups=2)
+
+
+def decoded_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = F.concat(F.lit("&amp;lt; &sect;&#"), (F.col("p_size") + 64).cast("string"), F.lit("; &eacute; &#x110000; &NBSP;&#0;"), "p_brand", F.lit(" & "))
+    return table(spark, sf_dir, "part").select("p_partkey", annotate.decode_entities(made).alias("text"), annotate.opinion_path(F.expr("if(p_partkey % 2 = 0, concat('https://x.example/api/rest/v4/opinions/', p_partkey, '/'), 'https://y.example/api/rest/v4/opinions/1/')"), "https://x.example").alias("path"))
+
+
+def request_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as requests of their customers: how many fall in a window of 30 days."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("client"), "o_orderkey", F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("at"))
+    return annotate.within_rate(orders, most=2, seconds=30 * 86400).select("o_orderkey", "recent", "allowed")
+
+
+def table_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    years = F.struct(F.lit("1900-01-01").alias("start"), F.lit(None).cast("string").alias("end"))
+    wrong = F.create_map(F.concat(F.lit("w"), (F.col("p_partkey") % 50).cast("string")), F.when(F.col("p_size") < 25, F.array("p_brand")).otherwise(F.array("p_brand", F.lit("other"))))
+    families = part.select(F.lit("state").alias("cite_type"), F.concat(F.lit("n"), F.col("p_partkey").cast("string")).alias("name"), F.create_map(F.col("p_brand"), years).alias("editions"), wrong.alias("variations"))
+    return refdata.table_statistics(families)
+
+
+def rich_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marked briefs as RTF, as it is written, and read back from three formats."""
+    docs = briefs(spark, sf_dir, _s(_A), "o_custkey", _s(" U.S. 34 (§).")).withColumn("marks", F.array(F.struct(F.lit("bold").alias("mark"), F.lit(0).alias("start"), F.lit(12).alias("end")), F.struct(F.lit("italic").alias("mark"), F.lit(5).alias("start"), F.lit(7).alias("end"))))
+    files = [writers.exported(docs, kind).select(F.concat_ws(".", F.col("doc_id").cast("string"), F.lit(kind)).alias("path"), "content") for kind in ("rtf", "docx", "odt")]
+    back = readers.imported(files[1].unionByName(files[2])).select("path", "text")
+    return files[0].select("path", F.decode("content", "UTF-8").alias("text")).unionByName(back)
+
+
 def extraction_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     got = extract.citations(briefs(spark, sf_dir, _s(_A + "12 F.3d 34 (9th Cir. 1999); "), f"if({_EVEN}, '1999 WL 7', 'nothing')", _s(".")))
     want = orders.select(F.col("o_orderkey").alias("doc_id"), F.explode(F.array(F.lit("12  F.3D 34"), F.lit("5 U.S. 6"))).alias("text"))
-    return annotate.accuracy(want, got)
+    return annotate.accuracy(want, got).withColumn("lost", F.array_join("lost", "|"))
 
 
 def document_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,7 +379,12 @@ OTHERS = {
     "resources": (resources, "SELECT o_orderkey AS doc_id, (o_custkey % 900 + 1) || ' U.S. 100' AS resource_key, '0,1' AS indexes FROM orders UNION ALL SELECT o_orderkey, '6 F.3d 200', '2,3' FROM orders"),
     "pin_quotation": (pin_quotation, "SELECT o_orderkey AS doc_id, CAST(102 AS BIGINT) AS page_no, 'Ruling ' || (o_orderkey % 50 + 1) || ' stands.' AS quote, '/b/' || (o_orderkey % 50 + 1) AS url FROM orders"),
     "lookup_statuses": (lookup_statuses, "SELECT o_orderkey AS doc_id, CASE o_orderkey % 5 WHEN 0 THEN 'found' WHEN 1 THEN 'ambiguous' WHEN 2 THEN 'not-found' ELSE 'unchecked' END AS status FROM orders"),
-    "extraction_accuracy": (extraction_accuracy, f"SELECT o_orderkey AS doc_id, CAST(2 AS BIGINT) AS expected, CAST(1 AS BIGINT) AS recovered, CAST({_MIXED_COUNT} AS BIGINT) AS spurious, CAST(0.5 AS DOUBLE) AS recall FROM orders"),
+    "extraction_accuracy": (extraction_accuracy, f"SELECT o_orderkey AS doc_id, CAST(2 AS BIGINT) AS expected, CAST(1 AS BIGINT) AS recovered, CAST({_MIXED_COUNT} AS BIGINT) AS spurious, CAST(0.5 AS DOUBLE) AS recall, '5 u.s. 6' AS lost FROM orders"),
+    "lookup_notices": (lookup_notices, f"SELECT o_orderkey AS doc_id, 'Looked up the first 2 of 3 distinct citations. The other 1 were not checked: they are neither verified nor absent.' AS notice FROM orders UNION ALL SELECT o_orderkey, '1 citation could not be checked.' FROM orders WHERE {_EVEN}"),
+    "decoded_markup": (decoded_markup, "SELECT p_partkey, '&lt; §' || chr(p_size + 64) || ' &eacute; &#x110000;  &#0;' || p_brand || ' & ' AS text, CASE WHEN p_partkey % 2 = 0 THEN '/api/rest/v4/opinions/' || p_partkey || '/' END AS path FROM part"),
+    "request_windows": (request_windows, "SELECT o_orderkey, n AS recent, n <= 2 AS allowed FROM (SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY epoch(CAST(o_orderdate AS TIMESTAMP)) RANGE BETWEEN 2592000 PRECEDING AND CURRENT ROW) AS n FROM orders)"),
+    "table_statistics": (table_statistics, "SELECT count(*) AS families, CAST(count(*) AS BIGINT) AS listed, count(DISTINCT p_brand) AS editions, (SELECT count(*) FROM (SELECT p_brand FROM part GROUP BY p_brand HAVING count(*) > 1)) AS ambiguous, count(DISTINCT CASE WHEN p_size < 25 THEN p_partkey % 50 END) AS spellings, count(DISTINCT p_partkey % 50) - count(DISTINCT CASE WHEN p_size < 25 THEN p_partkey % 50 END) AS dropped FROM part"),
+    "rich_files": (rich_files, r"SELECT o_orderkey || '.rtf' AS path, '{\rtf1\ansi\uc1' || chr(10) || '{\b Ames }{\b\i v.}{\b  Bell}, ' || o_custkey || ' U.S. 34 (\u167?).}' AS text FROM orders UNION ALL SELECT o_orderkey || '.' || k, 'Ames v. Bell, ' || o_custkey || ' U.S. 34 (§).' FROM orders, (VALUES ('docx'), ('odt')) v(k)"),
     "document_snippets": (document_snippets, "SELECT doc_id, CASE WHEN spot > 10 THEN '…' ELSE '' END || trim(regexp_replace(CASE WHEN least(length(text), spot + 30) > greatest(spot - 10, 0) THEN substr(text, greatest(spot - 10, 0) + 1, least(length(text), spot + 30) - greatest(spot - 10, 0)) ELSE '' END, '\\s+', ' ', 'g')) || CASE WHEN length(text) > spot + 30 THEN '…' ELSE '' END AS snippet, CAST(len(string_split(substr(text, 1, spot), chr(10))) AS INT) AS line, CAST(length(string_split(substr(text, 1, spot), chr(10))[-1]) + 1 AS INT) AS col FROM (SELECT *, CAST(doc_id * 37 % 3000 AS INT) AS spot FROM documents)"),
     "document_tidy": (document_tidy, "SELECT doc_id, CAST(length(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) AS INT) AS squashed, array_to_string([CASE WHEN replace(x, 'the', 'THE') <> x THEN '- ' || x || chr(10) || '+ ' || replace(x, 'the', 'THE') END FOR x IN string_split(text, chr(10)) IF replace(x, 'the', 'THE') <> x], chr(10)) AS diff FROM documents"),
     "name_likeness": (name_likeness, f"SELECT p_partkey, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 1.0 ELSE CAST(len(list_intersect(a, b)) AS DOUBLE) / len(list_distinct(list_concat(a, b))) END, 6) AS likeness, round(CASE WHEN greatest(length(p_name), length(p_type)) = 0 THEN 1.0 ELSE 1 - CAST(levenshtein(p_name, p_type) AS DOUBLE) / greatest(length(p_name), length(p_type)) END, 6) AS edits FROM (SELECT *, {_words("'Acme Corp v. ' || p_type")} AS a, {_words("'ACME ' || p_brand || ' ' || p_type")} AS b FROM part)"),

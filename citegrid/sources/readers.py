@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 import io
 import re
 import zipfile
@@ -21,8 +20,24 @@ SCHEMA = "path string, format string, text string, error string"
 # Tags and groups without text of their own; tags that end a line.
 SILENT_TAGS = frozenset("script style head title noscript template".split())
 BLOCK_TAGS = frozenset("p div section article header footer li ul ol table tr blockquote pre h1 h2 h3 h4 h5 h6".split())
-SILENT_GROUPS = frozenset("fonttbl colortbl stylesheet info pict object header footer headerl headerr headerf footerl footerr footerf footnote annotation xmlnstbl listtable listoverridetable rsidtbl generator".split())
-RTF_WORDS = {"par": "\n", "line": "\n", "tab": "\t", "emdash": "—", "endash": "–", "lquote": "‘", "rquote": "’", "ldblquote": "“", "rdblquote": "”", "bullet": "•", "~": "\u00a0", "sect": "\n", "page": "\n"}
+SILENT_GROUPS = frozenset("fonttbl colortbl stylesheet listtable listoverridetable revtbl rsidtbl generator info pict object themedata colorschememapping latentstyles datastore xmlnstbl filetbl fchars lchars".split())
+RTF_WORDS = {"par": "\n", "line": "\n", "sect": "\n\n", "page": "\n\n", "tab": "\t", "emdash": "—", "endash": "–", "emspace": "\u2003", "enspace": "\u2002", "lquote": "‘", "rquote": "’", "ldblquote": "“", "rdblquote": "”", "bullet": "•", "nbsp": "\u00a0"}
+RTF_SYMBOLS = {"~": "\u00a0", "_": "\u2011", "-": "", "\n": "\n", "\\": "\\", "{": "{", "}": "}"}
+ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0"}
+_ENTITY = re.compile(r"&(?:#[xX]([0-9a-fA-F]+)|#([0-9]+)|([a-zA-Z]+));")
+
+
+def _decoded(m: re.Match) -> str:
+    hexadecimal, decimal, name = m.groups()
+    if name:
+        return ENTITIES.get(name.lower(), m[0])
+    code = int(hexadecimal, 16) if hexadecimal else int(decimal)
+    return chr(code) if code <= 0x10FFFF else m[0]
+
+
+def decode_entities(text: str) -> str:
+    """The entities of XML, the hard blank and numbers; any other stays as it is written."""
+    return _ENTITY.sub(_decoded, text) if "&" in text else text
 
 
 def tidied(text: str) -> str:
@@ -30,9 +45,12 @@ def tidied(text: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", text)).strip()
 
 
+_AMPERSAND = "\ufdd0"  # a code point that stands for no character
+
+
 class _Html(HTMLParser):
     def __init__(self):
-        super().__init__(convert_charrefs=True)
+        super().__init__(convert_charrefs=False)
         self.out, self.depth = [], 0
 
     def handle_starttag(self, tag, attrs):
@@ -53,12 +71,12 @@ class _Html(HTMLParser):
 
     def handle_data(self, data):
         if not self.depth:
-            self.out.append(re.sub(r"\s+", " ", data))
+            self.out.append(re.sub(r"\s+", " ", decode_entities(data.replace(_AMPERSAND, "&"))))
 
 
 def html_text(source: str) -> str:
     p = _Html()
-    p.feed(source)
+    p.feed(source.replace("&", _AMPERSAND))  # entities are for decode_entities alone
     p.close()
     return tidied(re.sub(r" ?\n ?", "\n", "".join(p.out)))
 
@@ -98,7 +116,7 @@ def rtf_text(source: str) -> str:
             if symbol == "*":
                 silent = True
             elif not silent:
-                out.append({"~": "\u00a0", "_": "-", "-": "", "\n": "\n"}.get(symbol, symbol if symbol in "\\{}" else ""))
+                out.append(RTF_SYMBOLS.get(symbol, ""))
         elif plain:
             plain = plain.replace("\r", "").replace("\n", "")
             cut = min(skip, len(plain))
@@ -131,7 +149,7 @@ def docx_text(data: bytes) -> str:
         elif name == "p" and (close or single):
             out.append("\n")
         elif reading and not tag:
-            out.append(cdata or html.unescape(plain))
+            out.append(cdata or decode_entities(plain))
     return tidied("".join(out))
 
 
@@ -156,7 +174,7 @@ def odt_text(data: bytes) -> str:
         elif name in ("p", "h") and (close or single):
             out.append("\n")
         elif not tag:
-            out.append(cdata or html.unescape(plain))
+            out.append(cdata or decode_entities(plain))
     return tidied("".join(out))
 
 

@@ -6,60 +6,75 @@ import io
 import re
 import unicodedata
 import zipfile
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import html_escape, strip_xml_invalid
+from ..functions.text import html_escape
+from ..operators.rich import rich_html
 
-FORMATS = {"txt": "text/plain", "md": "text/markdown", "html": "text/html", "rtf": "application/rtf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "odt": "application/vnd.oasis.opendocument.text", "pdf": "application/pdf"}
+FORMATS = {"txt": "text/plain", "md": "text/markdown", "html": "text/html", "rtf": "application/rtf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "odt": "application/vnd.oasis.opendocument.text", "pdf": "application/pdf", "json": "application/json", "csv": "text/csv", "report-md": "text/markdown"}
+REPORTS = ("json", "csv", "report-md")  # made by operators.reports from findings, not from texts
 COMMENTED = ("docx", "odt")
+_HEAD, _FOOT = '<!doctype html>\n<html><head><meta charset="utf-8"></head><body>\n', "\n</body></html>\n"
 _INVALID = re.compile(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")
 Comment = tuple[int, int, str]
+Mark = tuple[str, int, int]
+MARKS = ("bold", "italic", "underline")
 
 
-def paragraphs(text: str, comments: list[Comment]) -> list[list[tuple[str, str | int]]]:
-    """Paragraphs as parts: ("text", words), ("start", number of a comment) and ("end", number).
+def paragraphs(text: str, comments: list[Comment], marks: list[Mark] = ()) -> list[list[tuple]]:
+    """Paragraphs as parts: ("text", words, their marks), ("start", number of a comment) and ("end", number).
 
     At one place ends come before starts. Comments without length, or past the text, are left
     out. Offsets are those of the given text; characters that XML does not allow are dropped.
     """
     gone = [m.start() for m in _INVALID.finditer(text)]
     text = _INVALID.sub("", text)
-    moved = [(s - bisect_right(gone, s - 1), e - bisect_right(gone, e - 1)) for s, e, _ in comments]
-    marks = sorted(m for i, (s, e) in enumerate(moved) if 0 <= s < e <= len(text) for m in ((s, 1, i), (e, 0, i)))
+    moved = lambda p: p - bisect_right(gone, p - 1)
+    places = [(moved(s), moved(e)) for s, e, _ in comments]
+    stops = sorted(m for i, (s, e) in enumerate(places) if 0 <= s < e <= len(text) for m in ((s, 1, i), (e, 0, i)))
+    inked = [(m, moved(s), moved(e)) for m, s, e in marks]
+    cuts = sorted({p for _, s, e in inked for p in (s, e)})
+
+    def words(a: int, b: int) -> list[tuple]:
+        edges = [a, *cuts[bisect_right(cuts, a) : bisect_left(cuts, b)], b]
+        return [("text", text[x:y], tuple(m for m in MARKS if any(m == k and s <= x < e for k, s, e in inked))) for x, y in zip(edges, edges[1:], strict=False) if x < y]
+
     out, at, k = [], 0, 0
     for line in text.split("\n"):
-        parts: list[tuple[str, str | int]] = []
+        parts: list[tuple] = []
         end = at + len(line)
-        while k < len(marks) and marks[k][0] <= end:
-            place, kind, i = marks[k]
-            if place > at:
-                parts.append(("text", text[at:place]))
+        while k < len(stops) and stops[k][0] <= end:
+            place, kind, i = stops[k]
+            parts += words(at, place)
             parts.append(("start" if kind else "end", i))
             at, k = place, k + 1
-        if at < end:
-            parts.append(("text", text[at:end]))
-        out.append(parts)
+        out.append(parts + words(at, end))
         at = end + 1
     return out
 
 
+def rich_page(text: Column, marks: Column) -> Column:
+    return F.concat(F.lit(_HEAD), rich_html(text, marks), F.lit(_FOOT))
+
+
 def html_page(text: Column) -> Column:
     lines = F.transform(F.split(text, "\n"), lambda x: F.concat(F.lit("<p>"), html_escape(x), F.lit("</p>")))
-    return F.concat(F.lit('<!doctype html>\n<html><head><meta charset="utf-8"></head><body>\n'), F.array_join(lines, "\n"), F.lit("\n</body></html>\n"))
+    return F.concat(F.lit(_HEAD), F.array_join(lines, "\n"), F.lit(_FOOT))
+
+
+_RTF_MARKS = {"bold": "\\b", "italic": "\\i", "underline": "\\ul"}
 
 
-def rtf_document(text: str) -> bytes:
+def _rtf(text: str) -> str:
     out = []
     for c in text:
         if c in "\\{}":
             out.append("\\" + c)
-        elif c == "\n":
-            out.append("\\par\n")
         elif c == "\t":
             out.append("\\tab ")
         elif ord(c) < 128:
@@ -67,7 +82,14 @@ def rtf_document(text: str) -> bytes:
         else:
             units = c.encode("utf-16-le")
             out += [f"\\u{int.from_bytes(units[i : i + 2], 'little', signed=True)}?" for i in range(0, len(units), 2)]
-    return ("{\\rtf1\\ansi\\uc1\n" + "".join(out) + "}").encode("ascii")
+    return "".join(out)
+
+
+def rtf_document(text: str, comments: list[Comment] = (), marks: list[Mark] = ()) -> bytes:
+    """An RTF file; marked words stand in groups. It has no comments."""
+    made = lambda x, ink: f"{{{''.join(_RTF_MARKS[m] for m in ink)} {_rtf(x)}}}" if ink else _rtf(x)
+    lines = ["".join(made(x, ink) for _, x, ink in line) for line in paragraphs(text, [], marks)]
+    return ("{\\rtf1\\ansi\\uc1\n" + "\\par\n".join(lines) + "}").encode("ascii")
 
 
 def _zip(parts: list[tuple[str, str]], stored_first: bool = False) -> bytes:
@@ -87,16 +109,24 @@ def _relations(kind: str, target: str) -> str:
     return f'<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{_REL}/{kind}" Target="{target}"/></Relationships>'
 
 
-def docx_document(text: str, comments: list[Comment] = ()) -> bytes:
-    """A DOCX file; the part with comments and the relation to it are there only if there are comments."""
+_WORD_MARKS = {"bold": "<w:b/>", "italic": "<w:i/>", "underline": '<w:u w:val="single"/>'}
+
+
+def _word_run(x: str, ink: tuple[str, ...] = ()) -> str:
+    look = f"<w:rPr>{''.join(_WORD_MARKS[m] for m in ink)}</w:rPr>" if ink else ""
+    return f'<w:r>{look}<w:t xml:space="preserve">{escape(x)}</w:t></w:r>'
+
+
+def docx_document(text: str, comments: list[Comment] = (), marks: list[Mark] = ()) -> bytes:
+    """A DOCX file; marked words are runs with properties; the part with comments and the relation to it are there only if there are comments."""
     made = {
-        "text": lambda x: f'<w:r><w:t xml:space="preserve">{escape(x)}</w:t></w:r>',
+        "text": _word_run,
         "start": lambda i: f'<w:commentRangeStart w:id="{i}"/>',
         "end": lambda i: f'<w:commentRangeEnd w:id="{i}"/><w:r><w:commentReference w:id="{i}"/></w:r>',
     }
-    lines = paragraphs(text, list(comments))
-    used = sorted({x for line in lines for kind, x in line if kind == "start"})
-    body = "".join("<w:p>" + "".join(made[kind](x) for kind, x in line) + "</w:p>" for line in lines)
+    lines = paragraphs(text, list(comments), marks)
+    used = sorted({x[0] for line in lines for kind, *x in line if kind == "start"})
+    body = "".join("<w:p>" + "".join(made[kind](*x) for kind, *x in line) + "</w:p>" for line in lines)
     types = [("document", "main")] + ([("comments", "comments")] if used else [])
     overrides = "".join(f'<Override PartName="/word/{name}.xml" ContentType="{_WORD_PART}.{kind if kind != "main" else "document.main"}+xml"/>' for name, kind in types)
     parts = [
@@ -110,20 +140,31 @@ def docx_document(text: str, comments: list[Comment] = ()) -> bytes:
     return _zip(parts)
 
 
-def odt_document(text: str, comments: list[Comment] = ()) -> bytes:
-    ns = 'xmlns:office="urn:oasis:names:tc:opendocument:xmlns:office:1.0" xmlns:text="urn:oasis:names:tc:opendocument:xmlns:text:1.0" xmlns:dc="http://purl.org/dc/elements/1.1/"'
+_ODT_MARKS = {"bold": 'fo:font-weight="bold"', "italic": 'fo:font-style="italic"', "underline": 'style:text-underline-style="solid"'}
+
+
+def _odt_style(ink: tuple[str, ...]) -> str:
+    return "T" + "".join(m[0].upper() for m in ink)
+
+
+def odt_document(text: str, comments: list[Comment] = (), marks: list[Mark] = ()) -> bytes:
+    """An ODT file; each combination of marks in use has a style, comments stand where they begin."""
+    ns = 'xmlns:style="urn:oasis:names:tc:opendocument:xmlns:style:1.0" xmlns:fo="urn:oasis:names:tc:opendocument:xmlns:xsl-fo-compatible:1.0" xmlns:office="urn:oasis:names:tc:opendocument:xmlns:office:1.0" xmlns:text="urn:oasis:names:tc:opendocument:xmlns:text:1.0" xmlns:dc="http://purl.org/dc/elements/1.1/"'
     made = {
-        "text": escape,
+        "text": lambda x, ink: f'<text:span text:style-name="{_odt_style(ink)}">{escape(x)}</text:span>' if ink else escape(x),
         "start": lambda i: f'<office:annotation office:name="c{i}"><dc:creator>citegrid</dc:creator>' + "".join(f"<text:p>{escape(x)}</text:p>" for x in _INVALID.sub("", comments[i][2]).split("\n")) + "</office:annotation>",
         "end": lambda i: f'<office:annotation-end office:name="c{i}"/>',
     }
-    body = "".join("<text:p>" + "".join(made[kind](x) for kind, x in line) + "</text:p>" for line in paragraphs(text, list(comments)))
+    lines = paragraphs(text, list(comments), marks)
+    body = "".join("<text:p>" + "".join(made[kind](*x) for kind, *x in line) + "</text:p>" for line in lines)
+    inks = sorted({x[1] for line in lines for kind, *x in line if kind == "text" and x[1]})
+    styles = "".join(f'<style:style style:name="{_odt_style(ink)}" style:family="text"><style:text-properties {" ".join(_ODT_MARKS[m] for m in ink)}/></style:style>' for ink in inks)
     mime = FORMATS["odt"]
     return _zip(
         [
             ("mimetype", mime),
             ("META-INF/manifest.xml", f'<?xml version="1.0"?><manifest:manifest xmlns:manifest="urn:oasis:names:tc:opendocument:xmlns:manifest:1.0"><manifest:file-entry manifest:full-path="/" manifest:media-type="{mime}"/><manifest:file-entry manifest:full-path="content.xml" manifest:media-type="text/xml"/></manifest:manifest>'),
-            ("content.xml", f'<?xml version="1.0" encoding="UTF-8"?><office:document-content {ns}><office:body><office:text>{body}</office:text></office:body></office:document-content>'),
+            ("content.xml", f'<?xml version="1.0" encoding="UTF-8"?><office:document-content {ns}><office:automatic-styles>{styles}</office:automatic-styles><office:body><office:text>{body}</office:text></office:body></office:document-content>'),
         ],
         stored_first=True,
     )
@@ -172,8 +213,8 @@ def wrapped(line: bytes, width: float) -> list[bytes]:
     return [x.rstrip() for x in [*out, now]]
 
 
-def pdf_document(text: str) -> bytes:
-    """A PDF file of wrapped lines in Helvetica."""
+def pdf_document(text: str, comments: list[Comment] = (), marks: list[Mark] = ()) -> bytes:
+    """A PDF file of wrapped lines in Helvetica, without comments and marks."""
     lines = [x for line in text.split("\n") for x in wrapped(win_ansi(line), PAGE[0] - 2 * MARGIN)]
     room = int((PAGE[1] - 2 * MARGIN) // LEADING)
     pages = [lines[i : i + room] for i in range(0, len(lines), room)]
@@ -191,27 +232,33 @@ def pdf_document(text: str) -> bytes:
     return bytes(out) + b"xref\n0 %d\n0000000000 65535 f \n%strailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(parts) + 1, table, len(parts) + 1, len(out))
 
 
+_MARKS = "array<struct<mark:string,start:int,end:int>>"
 _MAKERS = {"rtf": rtf_document, "docx": docx_document, "odt": odt_document, "pdf": pdf_document}
 
 
 def exported(docs: DataFrame, kind: str, comments: DataFrame | None = None) -> DataFrame:
-    """(doc_id, text) -> doc_id, content (binary) in one of FORMATS; comments: (doc_id, start, end, body), for COMMENTED formats."""
+    """(doc_id, text) -> doc_id, content (binary) in one of FORMATS.
+
+    comments: (doc_id, start, end, body), for COMMENTED formats. A column marks of docs, an array
+    of (mark, start, end), shows in HTML, RTF, DOCX and ODT. A null text has null content.
+    """
     if kind in ("txt", "md"):
         return docs.select("doc_id", F.col("text").cast("binary").alias("content"))
+    ink = F.col("marks").cast(_MARKS) if "marks" in docs.columns else F.lit(None).cast(_MARKS)
     if kind == "html":
-        return docs.select("doc_id", html_page(F.col("text")).cast("binary").alias("content"))
+        page = rich_page(F.col("text"), ink) if "marks" in docs.columns else html_page(F.col("text"))
+        return docs.select("doc_id", page.cast("binary").alias("content"))
     make = _MAKERS[kind]
-    if comments is not None and kind in COMMENTED:
-
-        @F.pandas_udf("binary")
-        def marked(x, notes):
-            return pd.Series([None if v is None else make(v, [(c["s"], c["e"], c["b"]) for c in n] if n is not None else []) for v, n in zip(x, notes, strict=True)], dtype=object)
-
-        per = comments.filter("start is not null and end is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("s"), F.col("end").cast("int").alias("e"), F.coalesce("body", F.lit("")).alias("b")))).alias("_notes"))
-        return docs.select("doc_id", "text").join(per, "doc_id", "left").select("doc_id", marked("text", "_notes").alias("content"))
 
     @F.pandas_udf("binary")
-    def content(x):
-        return x.map(lambda v: None if v is None else make(v))
+    def content(texts, notes, marks):
+        rows = zip(texts, notes, marks, strict=True)
+        return pd.Series([None if t is None else make(t, [(c["s"], c["e"], c["b"]) for c in n] if n is not None else [], [(m["mark"], m["start"], m["end"]) for m in k if m is not None] if k is not None else []) for t, n, k in rows], dtype=object)
 
-    return docs.select("doc_id", content(strip_xml_invalid(F.col("text"))).alias("content"))
+    docs = docs.select("doc_id", "text", ink.alias("marks"))
+    if comments is not None and kind in COMMENTED:
+        per = comments.filter("start is not null and end is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("s"), F.col("end").cast("int").alias("e"), F.coalesce("body", F.lit("")).alias("b")))).alias("_notes"))
+        docs = docs.join(per, "doc_id", "left")
+    else:
+        docs = docs.withColumn("_notes", F.lit(None).cast("array<struct<s:int,e:int,b:string>>"))
+    return docs.select("doc_id", content("text", "_notes", "marks").alias("content"))

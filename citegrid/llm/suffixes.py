@@ -317,3 +317,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
+ORACLE = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, k, substr(h, 2 * k + 1, 8398) AS part FROM (SELECT doc_id, h, unnest(range(0, greatest(1, length(h) // 2), 4000)) AS k FROM h)),
+g AS (SELECT doc_id, k + j AS i, hash(substr(part, 2 * j + 1, 400)) AS x FROM (SELECT doc_id, k, part, unnest(range(0, least(4000, length(part) // 2 - 199))) AS j FROM c)),
+m AS (SELECT x FROM g GROUP BY x HAVING count(*) > 1),
+f AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200, true) AS new FROM g SEMI JOIN m USING (x)),
+r AS (SELECT doc_id, min(i) AS s, max(i) + 200 AS e FROM (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM f) GROUP BY doc_id, run),
+k AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM r),
+t AS (SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) || substr(any_value(h), 2 * max(e) + 1) AS kept, sum(e - s) AS gone, count(*) AS runs FROM k JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(runs, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM h LEFT JOIN t USING (doc_id)
+"""

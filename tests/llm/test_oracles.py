@@ -1,0 +1,19 @@
+"""Operators with SQL against that SQL, over the whole smallest tables."""
+
+import duckdb
+import pytest
+from citegrid.llm import entry
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(entry.ORACLES))
+def test_operator_matches_sql(spark, name):
+    c = duckdb.connect()
+    for t in "documents pages conversations".split():
+        c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    df = entry.QUERIES[name](spark, SF)
+    want = c.sql(entry.ORACLES[name])
+    assert sorted(want.columns) == sorted(df.columns)
+    got = sorted(repr(tuple(r[n] for n in want.columns)) for r in df.collect())
+    assert got == sorted(map(repr, want.fetchall()))

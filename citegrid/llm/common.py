@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 
@@ -11,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_MAX_WORDS = 400_000
+_MAX_WORDS = 100_000
 _FUNNEL_EDGES = 2_000_000
 
 
@@ -53,10 +55,19 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 
 
 def pieces_of(batches, rows: int = 512):
-    """Arrow batches cut to a bounded number of rows, so that long texts do not pile up in a worker."""
+    """Arrow batches cut to a bounded number of rows, so that long texts do not pile up in a worker. At the end a worker gives back what it no longer uses."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        del batch
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers are kept, and idle ones would hold it beside the work of others."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 BITMAP_BITS = 26
@@ -110,6 +121,14 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+_WORDS = WordHashes()
+
+
+def known_words() -> WordHashes:
+    """The hashes that this worker remembers, from one task to the next."""
+    return _WORDS
+
+
 def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of every run of k words, in order; of the whole sequence where it has fewer words."""
     n = len(h)

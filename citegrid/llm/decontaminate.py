@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bitmap_array, bitmap_of, in_bitmap, maybe_in, pieces_of, read_table, shingle_hashes, texts_of, written
+from .common import WordHashes, bitmap_array, bitmap_of, in_bitmap, known_words, maybe_in, pieces_of, read_table, shingle_hashes, texts_of, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -88,7 +88,7 @@ class Items:
     """A group of benchmark items: their words, weighted shingles and fingerprints by length. Without weights the group is all items."""
 
     def __init__(self, rows: list[tuple[int, str]], k: int = SHINGLE, weights: Weights | None = None):
-        words, self.k = WordHashes(), k
+        words, self.k = known_words(), k
         self.ids, hashes = [], []
         for item, text in rows:
             h = words_of(text, words)
@@ -172,7 +172,7 @@ _OUT = "doc_id long, item_id long, similarity double, first_word long, n_words l
 
 def _item_counters(batches):
     """Items of each counter within a batch; the row without a counter counts the items with words."""
-    words = WordHashes()
+    words = known_words()
     for batch in pieces_of(batches):
         sets = [counter_slots(shingle_hashes(h, SHINGLE)) for text in texts_of(batch) if len(h := words_of(text, words))]
         slot, n = np.unique(np.concatenate([np.empty(0, np.int64), *sets]), return_counts=True)
@@ -207,7 +207,7 @@ def rare_shingles(bag: Counter, weight: Weights, similarity: float) -> list[int]
 
 def _item_keys(weights, similarity: float):
     def run(batches):
-        words = WordHashes()
+        words = known_words()
         for batch in pieces_of(batches):
             rows = []
             for item, text in zip(batch.column("item").to_pylist(), texts_of(batch), strict=True):
@@ -225,7 +225,7 @@ def _doc_keys(bits, sizes: list[int]):
     """Shingles of whole texts that may be rare ones of an item."""
 
     def run(batches):
-        words = WordHashes()
+        words = known_words()
         for batch in pieces_of(batches):
             docs, found = [], []
             for doc, text in zip(batch.column("_doc").to_pylist(), texts_of(batch), strict=True):
@@ -244,7 +244,7 @@ def _doc_keys(bits, sizes: list[int]):
 
 def _searcher(weights, similarity: float):
     def run(batches):
-        words, known = WordHashes(), {}
+        words, known = known_words(), {}
         for batch in pieces_of(batches):
             rows = []
             for doc, text, items in zip(batch.column("doc_id").to_pylist(), texts_of(batch), batch.column("items").to_pylist(), strict=True):

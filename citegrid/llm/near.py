@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bitmap_of, components, maybe_in, mix, pieces_of, read_table, shingle_hashes, texts_of, written
+from .common import WordHashes, bitmap_of, components, known_words, maybe_in, mix, pieces_of, read_table, shingle_hashes, texts_of, written
 
 COORDINATES = 128
 BLOCK_ROWS = 1024
@@ -75,7 +75,7 @@ def least_agreement(num: int, den: int, t: int = COORDINATES) -> float:
 
 def _features(k: int, rows: int):
     def run(batches):
-        words = WordHashes()
+        words = known_words()
         for batch in pieces_of(batches):
             sets = [word_set(t, k, words) for t in texts_of(batch)]
             sketches = fast_sketch(sets)
@@ -185,7 +185,7 @@ def _verified_stars(k: int, num: int, den: int):
     """Links to the centre of each group; its text comes first."""
 
     def run(batches):
-        words, centre, key, out = WordHashes(), [], None, []
+        words, centre, key, out = known_words(), [], None, []
         for batch in pieces_of(batches):
             for b, salt, a, text in zip(*(batch.column(c).to_pylist() for c in ("b", "salt", "a")), texts_of(batch), strict=True):
                 if (b, salt) != key:
@@ -214,7 +214,7 @@ def _candidates(num: int, den: int):
 
 def _verified_blocks(k: int, num: int, den: int):
     def run(batches):
-        words = WordHashes()
+        words = known_words()
         for rows in _groups(batches, ("grp", "low", "high"), ("block", "node", "comp", "text")):
             block, ids, comps, texts = zip(*rows, strict=True)
             sets = [word_set(t or "", k, words) for t in texts]

@@ -1,18 +1,18 @@
 """Secret scans: patterns over whole texts, and weak parts that count once complementary parts lie near."""
 
-from __future__ import annotations
-
 import hashlib
 import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces_of, read_table, texts_of
+from .common import give_back, pieces_of, read_table, texts_of
 
 KINDS = ("assign", "access", "hex", "identifier", "weak", "endpoint")
 SCOPE = 240
@@ -138,8 +138,10 @@ def redact_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """
 
     @F.pandas_udf("string")
-    def clean(texts):
-        return texts.map(lambda t: None if t is None else _redacted(t, mask))
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: None if t is None else _redacted(t, mask))
+        give_back()
 
     out = docs.withColumn("text", clean("text"))
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out

@@ -16,7 +16,7 @@ MAX_BYTES = 100 << 20
 LEAST_PAGE_CHARS = 100
 PdfPages = Callable[[bytes], list[str]]
 PageReader = Callable[[bytes, int], str]
-SCHEMA = "path string, format string, text string, error string"
+SCHEMA = "path string, format string, text string, error string, warning string"
 # Tags and groups without text of their own; tags that end a line.
 SILENT_TAGS = frozenset("script style head title noscript template".split())
 BLOCK_TAGS = frozenset("p div section article header footer li ul ol table tr blockquote pre h1 h2 h3 h4 h5 h6".split())
@@ -183,25 +183,40 @@ def looks_like_text(data: bytes) -> bool:
     return 0 not in head and sum(b < 32 and b not in (9, 10, 12, 13) for b in head) < max(1, len(head)) * 0.01
 
 
-def pdf_text(data: bytes, extract: PdfPages, ocr: PageReader | None = None, mode: str = "auto") -> str:
-    """Pages joined by blank lines. A page with under LEAST_PAGE_CHARS characters goes to ocr, if there is one, unless mode is never; all do if it is always."""
-    pages = []
+_SECTION_RUN = re.compile(r"((?:U\.\s*S\.\s*C\.|C\.F\.R\.)\s*)(?=[§8 ]{1,8}\d)(?=[8 ]*§)[8 ]*(§)[8 ]*(§?)[8 ]*(?=\d)")
+
+
+def pdf_text(data: bytes, extract: PdfPages, ocr: PageReader | None = None, mode: str = "auto") -> tuple[str, str | None]:
+    """(pages joined by blank lines, a warning about pages without text).
+
+    A page with under LEAST_PAGE_CHARS characters goes to ocr, if there is one, unless mode is
+    never; all do if it is always. Section signs that ocr takes for eights are repaired, in what it read alone.
+    """
+    pages, empty = [], []
     for i, page in enumerate(extract(data)):
         scan = ocr is not None and (mode == "always" or (mode == "auto" and len(page.strip()) < LEAST_PAGE_CHARS))
-        pages.append(ocr(data, i) if scan else page)
-    return tidied("\n\n".join(pages))
+        pages.append(_SECTION_RUN.sub(r"\1\2\3 ", ocr(data, i)) if scan else page)
+        if not pages[-1].strip():
+            empty.append(str(i + 1))
+    return tidied("\n\n".join(pages)), f"no text on page {', '.join(empty)}" if empty else None
+
 
+def import_document(path: str, data: bytes, pdf: PdfPages | None = None, ocr: PageReader | None = None, mode: str = "auto") -> tuple[str, str | None, str | None, str | None]:
+    """(format, text, error, warning) of a file. pdf gives the page texts of a PDF file, ocr that of one scanned page."""
+    if data[:5] == b"%PDF-" and pdf is not None and len(data) <= MAX_BYTES:
+        text, warning = pdf_text(data, pdf, ocr, mode)
+        return "pdf", text, None, warning
+    return (*_read(path, data), None)
 
-def import_document(path: str, data: bytes, pdf: PdfPages | None = None, ocr: PageReader | None = None) -> tuple[str, str | None, str | None]:
-    """(format, text, error): content decides before the name does. pdf gives the page texts of a PDF file, ocr that of one scanned page."""
+
+def _read(path: str, data: bytes) -> tuple[str, str | None, str | None]:
+    """(format, text, error): content decides before the name does."""
     if not data:
         return "none", None, "the file is empty"
     if len(data) > MAX_BYTES:
         return "none", None, f"the file has more than {MAX_BYTES} bytes"
     if data[:5] == b"%PDF-":
-        if pdf is None:
-            return "pdf", None, "PDF needs an extractor; none is part of this package"
-        return "pdf", pdf_text(data, pdf, ocr), None
+        return "pdf", None, "PDF needs an extractor; none is part of this package"
     if data[:4] == b"\xd0\xcf\x11\xe0":
         return "doc", None, "the older Word format is not supported; save as DOCX"
     if data[:2] == b"PK":
@@ -224,20 +239,29 @@ def import_document(path: str, data: bytes, pdf: PdfPages | None = None, ocr: Pa
     return "text", re.sub(r"\r\n?", "\n", text), None
 
 
-def imported(files: DataFrame, pdf: PdfPages | None = None, ocr: PageReader | None = None) -> DataFrame:
-    """(path, content) -> path, format, text, error: one row per file, refused ones with a reason."""
+def imported(files: DataFrame, pdf: PdfPages | None = None, ocr: PageReader | None = None, mode: str = "auto") -> DataFrame:
+    """(path, content) -> path, format, text, error, warning: one row per file, refused ones with a reason; a reader that fails tells its error."""
 
     def run(batches):
         for batch in batches:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                kind, text, error = import_document(path, data or b"", pdf, ocr)
-                yield pa.RecordBatch.from_arrays([pa.array([v], pa.string()) for v in (path, kind, text, error)], ["path", "format", "text", "error"])
+                try:
+                    row = import_document(path, data or b"", pdf, ocr, mode)
+                except Exception as e:  # noqa: BLE001 - one damaged file must not end the job
+                    row = "none", None, f"the file cannot be read: {type(e).__name__}: {e}", None
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.string()) for v in (path, *row)], ["path", "format", "text", "error", "warning"])
 
     return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
-def read_documents(spark: SparkSession, folder: str, pdf: PdfPages | None = None, ocr: PageReader | None = None) -> DataFrame:
-    return imported(spark.read.format("binaryFile").load(folder), pdf, ocr)
+def read_documents(spark: SparkSession, folder: str, pdf: PdfPages | None = None, ocr: PageReader | None = None, mode: str = "auto") -> DataFrame:
+    return imported(spark.read.format("binaryFile").load(folder), pdf, ocr, mode)
+
+
+def distinct_contents(files: DataFrame) -> DataFrame:
+    """(path, content) -> digest, path (the first), paths: files of equal content need reading once. Contents are not shuffled."""
+    keyed = files.select("path", F.sha2("content", 256).alias("digest"))
+    return keyed.groupBy("digest").agg(F.min("path").alias("path"), F.array_sort(F.collect_list("path")).alias("paths"))
 
 
 def html_pages(pages: DataFrame) -> DataFrame:

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from ..functions.text import html_escape
 from ..operators.rich import rich_html
 
-FORMATS = {"txt": "text/plain", "md": "text/markdown", "html": "text/html", "rtf": "application/rtf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "odt": "application/vnd.oasis.opendocument.text", "pdf": "application/pdf", "json": "application/json", "csv": "text/csv", "report-md": "text/markdown"}
-REPORTS = ("json", "csv", "report-md")  # made by operators.reports from findings, not from texts
+FORMATS = {"txt": "text/plain", "md": "text/markdown", "html": "text/html", "rtf": "application/rtf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "odt": "application/vnd.oasis.opendocument.text", "pdf": "application/pdf"}
+# made by operators.reports from findings, not from texts
+REPORTS = {"json": "application/json", "csv": "text/csv", "report-md": "text/markdown"}
 COMMENTED = ("docx", "odt")
 _HEAD, _FOOT = '<!doctype html>\n<html><head><meta charset="utf-8"></head><body>\n', "\n</body></html>\n"
 _INVALID = re.compile(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 REF = extract.Reference([(e[0], i) for i, e in enumerate(refdata.EDITIONS)], list(refdata.VARIATIONS.items()), [(c[0], [c[2], *c[6]]) for c in refdata.COURTS])
 
+# Sentences of a public court filing and of a graded quiz: fixed test values.
 GOLDEN = [
     ("In the case of Ashcroft v. Iqbal, 556 U.S. 662 (2009), the Supreme Court held that when", [dict(kind="case-reporter", text="556 U.S. 662", year=2009, case_name="Ashcroft v. Iqbal", court_id=None)]),
     ("In Doe v. United States, 419 F.3d 1058 (9th Cir. 2005), the Ninth Circuit held", [dict(canonical="F.3d", court_id="ca9", court_text="9th Cir.", case_name="Doe v. United States")]),
@@ -132,7 +133,7 @@ def test_readers_and_writers(spark, tmp_path):
         assert got[f"f.{kind}"].text == text, kind
     for name in ("old.doc", "p.pdf", "f.pdf", "bin.dat", "z.zip"):
         assert got[name].text is None and got[name].error
-    assert readers.import_document("none.txt", b"")[1:] == (None, "the file is empty")
+    assert readers.import_document("none.txt", b"")[1:3] == (None, "the file is empty")
 
 
 def test_comments_stand_at_their_spans(spark):
@@ -208,6 +209,103 @@ def test_html_and_rtf():
     assert readers.rtf_text(r"{\rtf1{\fonttbl{\f0 Arial;}}{\*\gen x;}a\par b \u233?\'e9 \{c\}\emdash d}") == "a\nb éé {c}—d"
 
 
+def test_readers_keep_notes_and_foreign_entities():
+    assert readers.rtf_text(r"{\rtf1 a{\footnote see 5 U.S. 6}b{\header top}\sect c\_d\~e}") == "asee 5 U.S. 6btop\n\nc\u2011d\u00a0e"
+    assert readers.html_text("<p>a &amp; b &eacute; &#167; &#x110000; &amp;lt; &amp</p>") == "a & b &eacute; § &#x110000; &lt; &amp"
+    assert readers.decode_entities("&AMP;&#x41;&#66;&copy;") == "&AB&copy;"
+    pages = lambda _: ["a" * 120, " "]
+    assert readers.import_document("x.pdf", b"%PDF-1.4", pages, lambda _, i: "42 U.S.C. 8§ 1983", "auto")[1].endswith("42 U.S.C. § 1983")
+    assert readers.import_document("x.pdf", b"%PDF-1.4", pages, lambda _, i: "scan", "never") == ("pdf", "a" * 120, None, "no text on page 2")
+
+
+def test_a_file_that_cannot_be_read_is_told(spark):
+    def broken(_):
+        raise ValueError("no pages")
+
+    files = spark.createDataFrame([("a.pdf", b"%PDF-1.4"), ("b.txt", b"fine"), ("c.txt", b"fine")], "path string, content binary")
+    got = {r.path: r for r in readers.imported(files, broken).collect()}
+    assert "no pages" in got["a.pdf"].error and got["b.txt"].text == "fine"
+    assert sorted((r.path, r.paths) for r in readers.distinct_contents(files).collect()) == [("a.pdf", ["a.pdf"]), ("b.txt", ["b.txt", "c.txt"])]
+
+
+def test_marks_in_files():
+    text, marks = "Bold é {x}\nplain it\x01alic end", [("bold", 0, 4), ("italic", 18, 25), ("underline", 2, 8)]
+    clean = text.replace("\x01", "")
+    for make, read in ((writers.docx_document, readers.docx_text), (writers.odt_document, readers.odt_text), (writers.rtf_document, lambda d: readers.rtf_text(d.decode()))):
+        assert read(make(text, [], marks)) == clean == read(make(text, []))
+    body = readers._part(writers.docx_document(text, [(5, 9, "note")], marks), "word/document.xml")
+    assert '<w:rPr><w:b/><w:u w:val="single"/></w:rPr><w:t xml:space="preserve">ld</w:t>' in body and "commentRangeStart" in body
+    assert '<text:span text:style-name="TBU">ld</text:span>' in readers._part(writers.odt_document(text, [], marks), "content.xml")
+    assert writers.rtf_document(text, [], marks).startswith(b"{\\rtf1\\ansi\\uc1\n{\\b Bo}{\\b\\ul ld}")
+
+
+def test_rules_that_fail_and_empty_choices(spark):
+    docs = spark.createDataFrame([(1, "Id. at 5."), (2, "x" * 50)], "doc_id long, text string")
+
+    def broken(cites):
+        raise RuntimeError("boom")
+
+    def unknown_column(cites):
+        return cites.select("nowhere")
+
+    engine = Engine(custom=[broken, unknown_column])
+    assert [r.rule_id for r in engine.check(docs).collect()] == ["ST001"]
+    assert len(engine.notices) == 2 and "broken" in engine.notices[0]
+    assert Engine(enable=["VF001"]).check(docs).count() == 0
+    no_key = Engine(authorities=spark.range(1))
+    assert [r.rule_id for r in no_key.check(docs).collect()] == ["ST001"] and "authorities" in no_key.notices[0]
+
+
+def test_refused_texts_do_not_look_clean(spark, monkeypatch):
+    monkeypatch.setattr(extract, "MAX_CHARS", 20)
+    docs = spark.createDataFrame([(1, "Ames v. Bell, 12 F.3d 34 (1999)."), (2, "5 U.S. 6")], "doc_id long, text string")
+    found = [(r.doc_id, r.rule_id, r.severity) for r in Engine().check(docs).collect()]
+    assert found == [(1, "INPUT", "error")]
+    assert {r.doc_id: r.text for r in Engine().fix(docs).collect()}[1].startswith("Ames")
+
+
+def test_published_list(spark, tmp_path):
+    import hashlib
+    import json
+
+    years = lambda a, b: {"start": f"{a}-01-01T00:00:00", "end": b and f"{b}-12-31T00:00:00"}
+    families = {"Zed.": [{"cite_type": "state", "name": "Zed Reports", "editions": {"Zed.": years(1900, 1950), "Zed. 2d": years(1950, None)}, "variations": {"Zd.": "Zed.", "Zed. 2d": "Zed.", "Zz.": ["Zed.", "Other"], "Gone": "Nowhere"}}]}
+    data = json.dumps(families).encode()
+    (tmp_path / "list.json").write_bytes(data)
+    editions, spellings = refdata.published_reporters(spark, f"{tmp_path}/list.json", hashlib.sha256(data).hexdigest())
+    assert sorted((r.abbrev, r.start, r.end) for r in editions.collect()) == [("Zed.", 1900, 1950), ("Zed. 2d", 1950, None)]
+    assert [tuple(r) for r in spellings.select("written", "canonical").collect()] == [("Zd.", "Zed.")]
+    engine = Engine(editions=editions, spellings=spellings)
+    docs = spark.createDataFrame([(1, "Ames v. Bell, 5 Zd. 7 (1960).")], "doc_id long, text string")
+    assert sorted(r.rule_id for r in engine.check(docs).collect()) == ["DT001", "RP001"]
+    assert refdata.unmatched_annotations(editions).count() == len({*refdata.SCOTUS_ONLY, *refdata.NON_PRECEDENTIAL})
+    assert {r.spelt for r in refdata.spellings_of(editions, spellings).collect()} == {"Zed.", "Zed. 2d", "Zd."}
+    with pytest.raises(ValueError, match="digest"):
+        refdata.published_reporters(spark, f"{tmp_path}/list.json", "0" * 64)
+
+
+def test_pins_and_docket_numbers(spark):
+    texts = ["Ames v. Bell, 12 F.3d 34, 371 n.5 (9th Cir. 1999).", "Ames v. Bell, 12 F.3d 34, 371 & 375 (9th Cir. 1999).", "Ames Corp., Inc. v. Bell, No. 1:22-cv-01461-PKC, 2019 WL 123, at *6 (S.D.N.Y. Oct. 1, 2019).", "Doe v. Roe, Nos. 12-345, 12-346, 2019 WL 124."]
+    got = extract.citations(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.pin for r in got] == ["371 n.5", "371 & 375", "at *6", None]
+    assert [r.court_id for r in got[:3]] == ["ca9", "ca9", "nysd"] and [r.case_name for r in got[2:]] == ["Ames Corp., Inc. v. Bell", "Doe v. Roe"]
+    assert [r.docket for r in got[2:]] == [True, True] and got[2].full_start == 0
+    row = spark.range(1).select(T.pin_first(F.lit("371 & n.5")).alias("a"), T.pin_passim(F.lit("Passim")).alias("b"), T.looks_like_periodical(F.lit("Cardozo Law Review")).alias("c"), T.looks_like_periodical(F.lit("J.Corp.")).alias("d"), T.duration_label(F.lit(4123)).alias("e"), T.phases_label(F.array(F.struct(F.lit("read").alias("name"), F.lit(812).alias("ms")), F.struct(F.lit("x").alias("name"), F.lit(0).alias("ms")))).alias("f"), T.chars_per_second(F.lit(900), F.lit(2000)).alias("g"), annotate.redacted(F.lit("Token abc said " + "a" * 40)).alias("h"), annotate.cluster_year(F.lit("1999-02-03")).alias("i"), annotate.looks_like_token(F.lit("a" * 40)).alias("j"), annotate.annotation_comment(F.lit("Ames v. Bell"), F.lit("5"), F.lit("So."), F.lit(None).cast("string"), F.lit("u"), "Src").alias("k")).first()
+    assert tuple(row)[:10] == (371, True, True, True, "4.1s", "read 812ms", 450, "Token … said …", 1999, True) and row.k.startswith("Ames v. Bell, at 5\n“So.”\nSrc: u\n")
+    parts = annotate.citation_components(extract.citations(spark.createDataFrame([(1, "5 U.S. 6; 1999 WL 7.")], "doc_id long, text string")))
+    assert [tuple(r)[2:] for r in parts.collect()] == [("5", "U.S.", "6")]
+
+
+def test_suggestions_against_all_distances():
+    names = [e[0] for e in refdata.EDITIONS]
+    ref = extract.Reference([(a, 0) for a in sorted(names)], [], [])
+    for token in ("F. Suop.", "N.E.4d", "Call.", "Ohoi St.", "Xyzzy.", "U.S", "Mas. App. Ct."):
+        k = extract.squash(token)
+        most = 1 if len(k) <= 3 else 2 if len(k) <= 6 else 3
+        near = sorted((extract.edit_distance(k, extract.squash(a)), abs(len(k) - len(extract.squash(a))), a) for a in names if abs(len(k) - len(extract.squash(a))) <= most)
+        assert ref.suggest(token) == [a for d, _, a in near if 0 < d <= most][:3], token
+
+
 def test_quotations(spark):
     row = spark.range(1).select(annotate.quote_at_page(annotate.markup_to_text(F.lit('<p>One. <span class="star-pagination">*12</span> Two &amp; three.</p><script>no</script>')), F.lit(12)).alias("q"), annotate.quote_at_page(F.lit("x *123 y"), F.lit(12)).alias("n")).first()
     assert tuple(row) == ("Two & three.", None)

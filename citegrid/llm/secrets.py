@@ -149,3 +149,41 @@ def redact_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents"))
+
+
+def _found(kind: str, source: str, pattern: str, test: str = "true") -> str:
+    """SQL for matches of a pattern with their places: the pieces between them tell where each begins."""
+    return f"""SELECT doc_id, '{kind}' AS kind, s, s + length(m) AS e FROM (
+  SELECT doc_id, m, CAST(sum(length(before) + coalesce(length(last), 0)) OVER w AS BIGINT) AS s, g FROM (
+    SELECT doc_id, k, m, g, before, lag(m) OVER (PARTITION BY doc_id ORDER BY k) AS last FROM (
+      SELECT doc_id, unnest(range(1, len(ms) + 1)) AS k, unnest(ms) AS m, unnest(gs) AS g, unnest(parts[:len(ms)]) AS before FROM (
+        SELECT doc_id, regexp_extract_all({source}, '{pattern}', 0) AS ms, regexp_extract_all({source}, '{pattern}', 1) AS gs, regexp_split_to_array({source}, '{pattern}') AS parts FROM d)))
+  WINDOW w AS (PARTITION BY doc_id ORDER BY k)) WHERE {test}"""
+
+
+_Q = "[\"'']?"
+_SQL_ASSIGN = f"(?:password|passwd|secret|token|api_?key){_Q}\\x20*[:=]\\x20*{_Q}([a-z0-9+/_.=-]+)"
+_SQL_IDENTIFIER = f"(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?){_Q}\\x20*[:=]\\x20*{_Q}([a-z0-9@._-]{{3,}})"
+_SQL_ENDPOINT = "((?:https?|ftp|jdbc:\\w+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\\s\"''<>]{4,})"
+ORACLE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+base AS ({_found('assign', 'low', _SQL_ASSIGN, 'length(g) >= 8')} UNION ALL {_found('access', 'text', '(AKIA[A-Z0-9]{12,})')} UNION ALL {_found('hex', 'text', '([0-9a-f]{32,})')}),
+ident AS ({_found('identifier', 'low', _SQL_IDENTIFIER)}),
+ends AS ({_found('endpoint', 'low', _SQL_ENDPOINT)}),
+runs AS ({_found('run', 'text', '([A-Za-z0-9+/_=-]{20,})')}),
+tokens AS (SELECT doc_id, e - length(t) AS s, e, t FROM (SELECT doc_id, e, regexp_extract(substr(text, CAST(s + 1 AS BIGINT), CAST(e - s AS BIGINT)), '(?:^|=)([A-Za-z0-9+/_-]{{20,}}={{0,2}})$', 1) AS t FROM runs JOIN d USING (doc_id)) WHERE t <> ''),
+mixed AS (SELECT doc_id, s, e, t FROM tokens WHERE regexp_matches(t, '[0-9]') AND regexp_matches(t, '[A-Z]') AND regexp_matches(t, '[a-z]')),
+bits AS (SELECT doc_id, s, -sum(c / n * log2(c / n)) AS h FROM (SELECT doc_id, s, x, CAST(count(*) AS DOUBLE) AS c, CAST(any_value(length(t)) AS DOUBLE) AS n FROM (SELECT doc_id, s, t, unnest(string_split(t, '')) AS x FROM mixed) GROUP BY doc_id, s, x) GROUP BY doc_id, s),
+weak AS (SELECT m.doc_id, 'weak' AS kind, m.s, m.e FROM mixed m JOIN bits USING (doc_id, s) WHERE h >= 3.5 AND NOT EXISTS (SELECT 1 FROM (FROM base UNION ALL FROM ident UNION ALL FROM ends) x WHERE x.doc_id = m.doc_id AND x.s < m.e AND m.s < x.e)),
+secrets AS (FROM weak UNION ALL SELECT * FROM base WHERE kind <> 'access'),
+partners AS (FROM ident UNION ALL FROM ends UNION ALL SELECT * FROM base WHERE kind = 'access'),
+pairs AS (SELECT a.doc_id, a.kind AS ak, a.s AS as_, a.e AS ae, b.kind AS bk, b.s AS bs, b.e AS be FROM secrets a JOIN partners b ON a.doc_id = b.doc_id JOIN d ON d.doc_id = a.doc_id
+  WHERE (b.e <= a.s OR b.s >= a.e) AND b.e >= a.s - 240 AND b.s <= a.e + 240
+  AND NOT regexp_matches(substr(d.text, CAST(least(a.e, b.e) + 1 AS BIGINT), CAST(greatest(a.s, b.s) - least(a.e, b.e) AS BIGINT)), '\\n\\s*\\n')),
+inside AS (SELECT doc_id, s, e, regexp_extract(u, '://([^\\s/:@"''<>]*):([^\\s/@"''<>]+)@', 1) AS name, regexp_extract(u, '://([^\\s/:@"''<>]*):([^\\s/@"''<>]+)@', 2) AS word, strpos(u, '://') AS spot FROM (SELECT doc_id, s, e, substr(low, CAST(s + 1 AS BIGINT), CAST(e - s AS BIGINT)) AS u FROM ends JOIN d USING (doc_id)) WHERE regexp_matches(u, '://([^\\s/:@"''<>]*):([^\\s/@"''<>]+)@')),
+linked AS (SELECT doc_id, ak AS kind, as_ AS s, ae AS e FROM pairs WHERE ak = 'weak' UNION SELECT doc_id, bk, bs, be FROM pairs WHERE bk <> 'access'
+  UNION SELECT doc_id, 'endpoint', s, e FROM inside UNION SELECT doc_id, 'identifier', s + spot + 2, s + spot + 2 + length(name) FROM inside WHERE name <> '' UNION SELECT doc_id, 'weak', s + spot + 3 + length(name), s + spot + 3 + length(name) + length(word) FROM inside),
+spans AS (SELECT *, list_position(['assign', 'access', 'hex', 'identifier', 'weak', 'endpoint'], kind) AS k, kind || ':' || s || ':' || e AS x FROM (FROM base UNION ALL FROM linked)),
+joined AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, string_agg(x, ',' ORDER BY s, k, e) FILTER (k <= 3) AS base, string_agg(x, ',' ORDER BY s, k, e) AS spans FROM spans GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN joined USING (doc_id)
+"""

@@ -11,12 +11,13 @@ from .operators import extract, fix, rules
 
 @dataclass
 class Engine:
-    """Tables given here replace the built-in ones; authorities turn the VF rules on; notices tell what was left out of a check."""
+    """Tables given here replace the built-in ones; authorities, or answers to lookups, turn the VF rules on; notices tell what was left out of a check."""
 
     profile: rules.Profile = field(default_factory=rules.Profile)
     enable: list[str] | None = None
     disable: list[str] | None = None
     authorities: DataFrame | None = None
+    lookups: DataFrame | None = None
     editions: DataFrame | None = None
     spellings: DataFrame | None = None
     custom: list[rules.Custom] = field(default_factory=list)
@@ -27,7 +28,7 @@ class Engine:
 
     def check(self, docs: DataFrame, cites: DataFrame | None = None) -> DataFrame:
         cites = cites if cites is not None else self.citations(docs, "RP002" in rules.selected(self.enable, self.disable), refused=True)
-        return rules.run_rules(cites, self.profile, self.authorities, self.enable, self.disable, self.editions, self.spellings, self.custom, self.notices)
+        return rules.run_rules(cites, self.profile, self.authorities, self.enable, self.disable, self.editions, self.spellings, self.custom, self.notices, self.lookups)
 
     def fix(self, docs: DataFrame, unsafe: bool = False) -> DataFrame:
         return fix.fixed(docs, self.check(docs), unsafe)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import refdata
 from ..functions import text as T
+from .annotate import MAX_LOOKUPS, looked_up
 from .extract import MAX_CHARS
 
 FINDING = "rule_id string, severity string, message string, start int, end int, citation_text string, fix_start int, fix_end int, replacement string, safety string"
@@ -199,6 +200,17 @@ def verified(cites: DataFrame, authorities: DataFrame) -> DataFrame:
     return out.withColumn("status", status).drop("_own", "_key")
 
 
+def verified_by_lookups(cites: DataFrame, lookups: DataFrame, most: int = MAX_LOOKUPS) -> DataFrame:
+    """Citations with status, records and beyond, from answers to lookups: (key, status, clusters: array of case_name, year, court_id, url).
+
+    One answer serves all uses of a key; each document asks for its first `most` keys. What was not
+    asked, or not answered, is unchecked, never absent.
+    """
+    out = looked_up(cites, lookups.select("key", "status", F.size("clusters").alias("n_clusters")), most)
+    answers = lookups.groupBy(F.col("key").alias("_key")).agg(F.first("clusters").alias("records"))
+    return out.join(answers, out.resource_key == answers._key, "left").drop("_key").withColumn("records", F.when(F.col("status").isin("found", "ambiguous"), F.col("records")))
+
+
 def verification_rules(source: str = "caller") -> dict[str, Column]:
     rec = F.get("records", 0)
     one = lambda test, finding: F.when(test, F.array(finding))
@@ -230,7 +242,7 @@ def refusals() -> Column:
     return F.when(F.col("kind") == "refused", F.array(_finding("INPUT", "error", say)))
 
 
-def run_rules(cites: DataFrame, profile: Profile | None = None, authorities: DataFrame | None = None, enable=None, disable=None, editions: DataFrame | None = None, spellings: DataFrame | None = None, custom: list[Custom] = (), notices: list[str] | None = None) -> DataFrame:
+def run_rules(cites: DataFrame, profile: Profile | None = None, authorities: DataFrame | None = None, enable=None, disable=None, editions: DataFrame | None = None, spellings: DataFrame | None = None, custom: list[Custom] = (), notices: list[str] | None = None, lookups: DataFrame | None = None) -> DataFrame:
     """Findings (doc_id and FINDING) of all chosen rules, in one projection over the parsed rows. Order them with ordered().
 
     A custom rule that cannot be planned, or a table of authorities that cannot be joined, is left
@@ -238,12 +250,12 @@ def run_rules(cites: DataFrame, profile: Profile | None = None, authorities: Dat
     No rule chosen gives no findings but those.
     """
     spark, profile, notices = cites.sparkSession, profile or Profile(), notices if notices is not None else []
-    on = selected(enable, disable, authorities is not None)
+    on = selected(enable, disable, authorities is not None or lookups is not None)
     own = bound(enriched(cites, refdata.reporters(spark, editions), refdata.courts(spark), set(on)), set(on))
     columns = row_rules(profile)
     if any(r.startswith("VF") for r in on):
         try:
-            own, columns = verified(own, authorities), columns | verification_rules()
+            own, columns = (verified(own, authorities), columns | verification_rules()) if lookups is None else (verified_by_lookups(own, lookups), columns | verification_rules("lookup"))
         except AnalysisException as e:
             notices.append(f"authorities were not checked: {e.getCondition()}")
     arrays = [F.coalesce(x, F.array().cast(_NONE)).cast(_NONE) for x in [refusals(), *(columns[r] for r in on if r in columns)]]

@@ -243,6 +243,15 @@ def lookup_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotate.notices(annotate.looked_up(extract.citations(docs), lookups, most=2), lookups=2)
 
 
+def lookup_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers to lookups as authorities: one is another case, one is two cases, one is absent, one did not come."""
+    docs = briefs(spark, sf_dir, _s(_A), "o_orderkey % 5 + 1", _s(" U.S. 100 (1990). Id. Ames v. Bell, "), "o_orderkey % 5 + 1", _s(" U.S. 100 (1990)."))
+    cluster = "struct<case_name:string,year:int,court_id:string,url:string>"
+    rows = [("1 U.S. 100", 200, [("Ames v. Bell", 1990, "scotus", "u")]), ("2 U.S. 100", 200, [("Zeta v. Omega", 1990, "scotus", "u")]), ("3 U.S. 100", 300, [("Ames v. Bell", 1990, "scotus", "u")] * 2), ("4 U.S. 100", 404, []), ("5 U.S. 100", 429, [])]
+    lookups = spark.createDataFrame(rows, f"key string, status int, clusters array<{cluster}>")
+    return Engine(enable=["VF001", "VF002", "VF003", "VF004"], lookups=lookups).check(docs).select("doc_id", "rule_id", "start")
+
+
 def decoded_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.concat(F.lit("&amp;lt; &sect;&#"), (F.col("p_size") + 64).cast("string"), F.lit("; &eacute; &#x110000; &NBSP;&#0;"), "p_brand", F.lit(" & "))
     return table(spark, sf_dir, "part").select("p_partkey", annotate.decode_entities(made).alias("text"), annotate.opinion_path(F.expr("if(p_partkey % 2 = 0, concat('https://x.example/api/rest/v4/opinions/', p_partkey, '/'), 'https://y.example/api/rest/v4/opinions/1/')"), "https://x.example").alias("path"))
@@ -381,6 +390,7 @@ OTHERS = {
     "lookup_statuses": (lookup_statuses, "SELECT o_orderkey AS doc_id, CASE o_orderkey % 5 WHEN 0 THEN 'found' WHEN 1 THEN 'ambiguous' WHEN 2 THEN 'not-found' ELSE 'unchecked' END AS status FROM orders"),
     "extraction_accuracy": (extraction_accuracy, f"SELECT o_orderkey AS doc_id, CAST(2 AS BIGINT) AS expected, CAST(1 AS BIGINT) AS recovered, CAST({_MIXED_COUNT} AS BIGINT) AS spurious, CAST(0.5 AS DOUBLE) AS recall, '5 u.s. 6' AS lost FROM orders"),
     "lookup_notices": (lookup_notices, f"SELECT o_orderkey AS doc_id, 'Looked up the first 2 of 3 distinct citations. The other 1 were not checked: they are neither verified nor absent.' AS notice FROM orders UNION ALL SELECT o_orderkey, '1 citation could not be checked.' FROM orders WHERE {_EVEN}"),
+    "lookup_findings": (lookup_findings, "SELECT o_orderkey AS doc_id, CASE o_orderkey % 5 WHEN 1 THEN 'VF003' WHEN 2 THEN 'VF002' ELSE 'VF001' END AS rule_id, CAST(s AS INT) AS start FROM orders, (VALUES (14), (51)) v(s) WHERE o_orderkey % 5 IN (1, 2, 3)"),
     "decoded_markup": (decoded_markup, "SELECT p_partkey, '&lt; §' || chr(p_size + 64) || ' &eacute; &#x110000;  &#0;' || p_brand || ' & ' AS text, CASE WHEN p_partkey % 2 = 0 THEN '/api/rest/v4/opinions/' || p_partkey || '/' END AS path FROM part"),
     "request_windows": (request_windows, "SELECT o_orderkey, n AS recent, n <= 2 AS allowed FROM (SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY epoch(CAST(o_orderdate AS TIMESTAMP)) RANGE BETWEEN 2592000 PRECEDING AND CURRENT ROW) AS n FROM orders)"),
     "table_statistics": (table_statistics, "SELECT count(*) AS families, CAST(count(*) AS BIGINT) AS listed, count(DISTINCT p_brand) AS editions, (SELECT count(*) FROM (SELECT p_brand FROM part GROUP BY p_brand HAVING count(*) > 1)) AS ambiguous, count(DISTINCT CASE WHEN p_size < 25 THEN p_partkey % 50 END) AS spellings, count(DISTINCT p_partkey % 50) - count(DISTINCT CASE WHEN p_size < 25 THEN p_partkey % 50 END) AS dropped FROM part"),

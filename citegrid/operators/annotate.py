@@ -164,7 +164,7 @@ def looked_up(cites: DataFrame, lookups: DataFrame, most: int = MAX_LOOKUPS) ->
     keys = keys.withColumn("beyond", F.row_number().over(Window.partitionBy("doc_id").orderBy("first")) > most)
     answer = F.coalesce(lookup_status(F.col("status"), F.col("n_clusters")), F.lit("unchecked"))
     known = keys.join(lookups, keys.resource_key == lookups.key, "left").select("doc_id", "resource_key", F.when(F.col("beyond"), "unchecked").otherwise(answer).alias("status"), "beyond")
-    return cites.join(known, ["doc_id", "resource_key"], "left").withColumns({"status": F.coalesce("status", F.lit("unchecked")), "beyond": F.coalesce("beyond", F.lit(False))})
+    return cites.join(known, ["doc_id", "resource_key"], "left").withColumns({"status": F.when(F.col("kind") == "case-reporter", F.coalesce("status", F.lit("unchecked"))).otherwise("unchecked"), "beyond": F.coalesce("beyond", F.lit(False))})
 
 
 def accuracy(expected: DataFrame, actual: DataFrame) -> DataFrame:

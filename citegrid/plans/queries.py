@@ -367,6 +367,13 @@ def _words(x: str) -> str:
 
 
 _MIXED_COUNT = f"CASE WHEN {_EVEN} THEN 1 ELSE 0 END"
+_PAGE_TEXTS = r"""
+WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<(script|style|head|title|noscript|template)\b[^>]*>.*?</(script|style|head|title|noscript|template)>', '', 'gis') AS x FROM pages),
+b AS (SELECT page_id, regexp_replace(x, '\s+', ' ', 'g') AS x FROM a),
+c AS (SELECT page_id, regexp_replace(regexp_replace(x, '<br\s*/?>|</(p|div|section|article|header|footer|li|ul|ol|table|tr|blockquote|pre|h1|h2|h3|h4|h5|h6)\s*>', chr(10), 'gi'), '<[^>]*>', '', 'g') AS x FROM b),
+d AS (SELECT page_id, replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&quot;', '"'), '&apos;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS x FROM c)
+SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(x, ' *' || chr(10) || ' *', chr(10), 'g'), chr(10) || '{3,}', chr(10) || chr(10), 'g'), '  +', ' ', 'g'), ' ' || chr(10)) AS text FROM d
+"""
 _CITED = "'12 U.S. ' || (o_orderkey // 9000 + 34)"
 _COURT_AT = "(24 + length(CAST(o_orderkey // 9000 + 34 AS VARCHAR)))"
 _REDUNDANT = " reports only the Supreme Court, so rule 10.4(a) leaves the court out: write the year alone."
@@ -406,7 +413,7 @@ OTHERS = {
     "formatted_fixes": (formatted_fixes, f"SELECT o_orderkey AS doc_id, '<p>Ames v. Bell, <strong>12 F. Supp. 2d 34</strong> (D.D.C. ' || {Y} || ').</p>' AS html, CAST(CASE WHEN {_EVEN} THEN 1 ELSE 0 END AS INT) AS n_applied FROM orders"),
     "document_files": (document_files, f"SELECT o_orderkey || '.' || k AS path, k AS format, 'Held, <so> & {{thus}}:' || chr(10) || 'Ames v. Bell, 12 U.S. 34 (' || CASE WHEN {_EVEN} THEN '9th Cir. ' ELSE '' END || '1999).' AS text FROM orders, (VALUES ('docx'), ('odt'), ('rtf'), ('html')) v(k)"),
     "merge_editions": (merge_editions, "SELECT p_brand AS abbrev, CAST(1800 + min(p_size) AS INT) AS start, CAST(CASE WHEN max(p_size) >= 45 THEN -1 ELSE 1900 + max(p_size) END AS INT) AS \"end\", count(*) > 1 AS ambiguous FROM part GROUP BY p_brand"),
-    "page_texts": (page_texts, None),
+    "page_texts": (page_texts, _PAGE_TEXTS),
 }
 
 QUERIES = {k: q for k, (q, _) in EXTRACTION.items()} | {f"rule_{r.lower()}": _rule(r) for r in RULES} | {k: q for k, (q, _) in OTHERS.items()}

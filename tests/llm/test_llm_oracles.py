@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(entry.ORACLES))
 def test_operator_matches_sql(spark, name):
     c = duckdb.connect()
-    for t in "documents pages conversations".split():
+    for t in "documents embeddings pages conversations".split():
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = entry.QUERIES[name](spark, SF)
     want = c.sql(entry.ORACLES[name])

@@ -3,10 +3,12 @@
 import hashlib
 import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
-from citegrid.llm import centroids
+from citegrid.llm import centroids, passages
 from pyspark.sql import functions as F
 
 KINDS = "vec_id long, embedding array<double>"
@@ -81,3 +83,69 @@ def test_components_too_large_are_refused(spark):
     df = spark.createDataFrame([(1, [0.0] * 64), (2, [1e9] * 64)], KINDS)
     with pytest.raises(Exception, match="would not fit"):
         centroids.clusters(df).collect()
+
+
+def plain_passages(rows, length=35):
+    """doc_id, n_words, n_removed, kept text: all windows of all texts counted."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    seen = Counter(tuple(w[i : i + length]) for w in words for i in range(len(w) - length + 1))
+    out = []
+    for (doc, _), w in zip(rows, words, strict=True):
+        gone = {i + k for i in range(len(w) - length + 1) if seen[tuple(w[i : i + length])] > 1 for k in range(length)}
+        out.append((doc, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    return out
+
+
+def passage_rows():
+    r = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(300)] + ["é", "\u00a0", "a\0b", "x" * 3000]
+    text = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    common = text(60)
+    slots = text(80)
+    rows = [(i, " ".join(text(r.randrange(20)) + common[r.randrange(12) : 60 - r.randrange(12)] + text(r.randrange(30)))) for i in range(60)]
+    rows += [(100 + i, " ".join(slots[:20] + text(1) + slots[20:54] + text(1) + slots[54:])) for i in range(8)]  # 34 common words at most
+    rows += [(200, " ".join(["same"] * 90)), (201, " ".join(["same"] * 35)), (202, " ".join(["same"] * 34)), (203, " ".join(["x", "y"] * 40)), (204, None), (205, ""), (206, " \t\n\x0b\f\r "), (207, "\t".join(common)), (207, "\n".join(common)), (None, " ".join(common[:40])), (None, " ".join(text(40)))]
+    rows += [(208, " ".join(text(50))), (208, " ".join(text(50)))] + 2 * [(209, " ".join(text(50)))] + 40 * [(210, " ".join(common + slots))]
+    half = text(40)
+    return rows + [(211, " ".join(half + text(5) + half)), (212, " ".join(half[:34])), (213, " ".join(text(400_000 // 40) * 2)), (214, " ".join(half[5:] + ["END"]))]
+
+
+@pytest.mark.parametrize("group", [passages.GROUP, 2, 1])
+def test_passages(spark, monkeypatch, group):
+    """Contexts extended in one task, and (groups beyond 2 or 1) windows that meet by hashes."""
+    monkeypatch.setattr(passages, "GROUP", group)
+    rows = passage_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).withColumns({"data": F.lit("x"), "tid": F.lit(1), "found": F.lit(2), "n_words": F.lit("n"), "copies": F.lit(None)})
+    got = passages.remove_passages(df).collect()
+    assert sorted(repr((r.doc_id, r.n_words, sum(s.end - s.start for s in r.spans), r.kept)) for r in got) == sorted(map(repr, plain_passages(rows)))
+    assert all(a.end < b.start for r in got for a, b in zip(r.spans, r.spans[1:]))  # maximal
+
+
+def test_passages_of_few_rows(spark):
+    for rows in ([], [(1, None)], [(1, "a b c")], [(7, " ".join(map(str, range(35)))), (8, " ".join(map(str, range(35))))]):
+        got = passages.remove_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert [(r.doc_id, r.n_words, sum(s.end - s.start for s in r.spans), r.kept) for r in got.orderBy("doc_id").collect()] == plain_passages(rows)
+
+
+def test_contexts_are_extended_in_linear_rows():
+    """Windows of two contexts are found whatever the other contexts of the group are; classes, not pairs."""
+    r = np.random.default_rng(2)
+    words = r.integers(0, 2, (200, 11)).astype(np.uint64)  # length 7, grams of 3: four words before the anchor
+    group, low, high = r.integers(0, 3, 200), r.integers(0, 3, 200), r.integers(2, 5, 200)
+    got = passages.extended(group, words, low, high, 7)
+    window = lambda i, l: (group[i], l, tuple(words[i, 4 - l : 11 - l]))
+    n = Counter(window(i, l) for i in range(200) for l in range(low[i], high[i] + 1))
+    for i in range(200):
+        for l in range(5):
+            assert got[i, l] == (low[i] <= l <= high[i] and n[window(i, l)] > 1)
+
+
+def test_equal_windows_have_equal_anchors():
+    r = np.random.default_rng(4)
+    h = r.integers(0, 6, 4000).astype(np.uint64)
+    anchor, place, start, count = passages.seeds(h, 9, 4)
+    assert (start[1:] == start[:-1] + count[:-1]).all() and start[0] == 0 and start[-1] + count[-1] == len(h) - 8
+    known = {}
+    for a, p, s, c in zip(anchor, place, start, count, strict=True):
+        for i in range(s, s + c):
+            assert known.setdefault(tuple(h[i : i + 9]), (a, p - i)) == (a, p - i) and 0 <= p - i <= 5

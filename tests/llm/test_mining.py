@@ -8,7 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from citegrid.llm import centroids, passages
+from citegrid.llm import centroids, passages, phrases
 from pyspark.sql import functions as F
 
 KINDS = "vec_id long, embedding array<double>"
@@ -149,3 +149,85 @@ def test_equal_windows_have_equal_anchors():
     for a, p, s, c in zip(anchor, place, start, count, strict=True):
         for i in range(s, s + c):
             assert known.setdefault(tuple(h[i : i + 9]), (a, p - i)) == (a, p - i) and 0 <= p - i <= 5
+
+
+def plain_phrases(rows, least, top, longest=4, subsumed=80):
+    f, total = Counter(), Counter()
+    for text, lang in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", re.sub("[A-Z]", lambda m: m.group().lower(), text or "")):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            total["und" if lang is None else lang] += len(w)
+            f.update(("und" if lang is None else lang, tuple(w[i : i + k])) for k in range(1, longest + 1) for i in range(len(w) - k + 1))
+    often = {(g, p): a for (g, p), a in f.items() if len(p) > 1 and a >= least}
+    out = []
+    for (g, p), a in often.items():
+        if any(100 * b >= subsumed * a and len(q) > len(p) and any(q[i : i + len(p)] == p for i in range(len(q))) for (h, q), b in often.items() if g == h):
+            continue
+        score, _, l, r = min((2000000 * a // (f[g, p[:k]] + f[g, p[k:]]), k, f[g, p[:k]], f[g, p[k:]]) for k in range(1, len(p)))
+        out.append((g, -score, -a, " ".join(p).encode(), l, r, total[g]))
+    result, rank = [], Counter()
+    for g, score, a, p, l, r, n in sorted(out):
+        rank[g] += 1
+        if rank[g] <= top:
+            result.append((g, rank[g], p.decode(), -a, l, r, n, -score))
+    return result
+
+
+def phrase_rows():
+    r = random.Random(11)
+    words = ["the", "The", "cat", "dog", "é", "\u00e9t\u00c9", "a\0b", "|", "new", "York", "city", "\u00a0", "\U0001f600"]
+    rows = [("".join(r.choice(words) + r.choice([" ", " ", "  ", "\t", ", ", ".", "\n", "! ", "\x0b"]) for _ in range(r.randrange(60))), r.choice(["en", "en", "en", "fr", None, "und", "EN"])) for _ in range(200)]
+    rows += [(None, "en"), ("", None), (" \t ", "zz"), ("...", "zz"), ("one", "x1")] + [("one of these copies of New York City", "en")] * 100
+    return rows + [("again and again " * 3000, "de"), ("same " * 2000, "fr")]
+
+
+@pytest.mark.parametrize("bits,least,top", [(None, 5, 2000), (None, 5, 7), (3, 5, 2000), (12, 300, 50)])
+def test_phrases(spark, monkeypatch, bits, least, top):
+    """With 2^3 cells the sketch lets everything through: slower, with the same result."""
+    if bits:
+        monkeypatch.setattr(phrases, "sketch_bits", lambda n: bits)
+    rows = phrase_rows()
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(5).withColumns({"doc_id": F.lit(1), "phrase": F.lit("x"), "n": F.lit(2), "size": F.lit(3), "data": F.lit(4), "_salt": F.lit(5)})
+    got = phrases.phrases(df, least, top)
+    assert [t for _, t in got.dtypes] == ["string", "bigint", "string", "bigint", "bigint", "bigint", "bigint", "bigint"]
+    assert sorted(map(tuple, got.collect())) == sorted(plain_phrases(rows, least, top))
+
+
+def test_phrases_of_no_rows(spark):
+    for rows in ([], [(None, None)], [("alone", "en")]):
+        assert phrases.phrases(spark.createDataFrame(rows, "text string, lang string")).collect() == []
+
+
+def test_sketches_never_fall_below_the_counts(spark):
+    rows = phrase_rows()
+    texts = [((lang or "und"), (text or "").encode().translate(phrases._PLAIN)) for text, lang in rows]
+    bits, least = 8, 40
+    parts = [list(phrases._sketch(bits, least, 4)(iter([batch]))) for batch in (phrases.pa.table({"lang": [x for x, _ in t], "data": [x for _, x in t]}).combine_chunks().to_batches()[0] for t in (texts[:90], texts[90:]))]
+    every = sorted((b for p in parts for b in p), key=lambda b: (b["row"][0].as_py(), b["block"][0].as_py()))
+    table = np.zeros((phrases.ROWS, 1 << bits >> 3), np.uint8)
+    for b in phrases._merged(bits, least)(iter(every)):
+        table[b["row"][0].as_py()] = np.frombuffer(b["cells"][0].as_py(), np.uint8)
+    words = phrases.Words(texts)
+    h = words.hashes()
+    assert 0 < np.unpackbits(table).sum() < table.size * 8
+    for k in (1, 2, 3, 4):
+        grams = phrases.shingle_hashes(h, k)
+        own = np.flatnonzero(words.within(k))
+        value, n = np.unique(grams[own], return_counts=True)
+        frequent = own[np.isin(grams[own], value[n >= least])]
+        assert len(frequent) and len(phrases.passing(table, grams, frequent, bits)) == len(frequent)
+
+
+def test_long_texts_are_cut_between_pieces(monkeypatch):
+    monkeypatch.setattr(phrases, "TEXT_BYTES", 10)
+    data = b"aa bb\ncc dd ee ff gg hh\nii\n\njj kk ll mm nn"
+    assert b"".join(phrases._parts(data)) == data and all(x.endswith(b"\n") for x in list(phrases._parts(data))[:-1])
+    assert list(phrases._parts(b"x" * 50)) == [b"x" * 50] and list(phrases._parts(b"")) == [b""]
+
+
+def test_scores_are_exact_beyond_64_bits(spark):
+    big = 4_000_000_000_000_000_003
+    rows = [("en", "a", 1, big), ("en", "b", 1, big + 1), ("en", "a b", 2, big - 5), ("en", "c", 1, big), ("en", "b c", 2, 40), ("en", "a b c", 3, 39)]
+    got = {r.phrase: (r.score, r.l, r.r) for r in phrases.scored(spark.createDataFrame(rows, "lang string, phrase string, size int, n long")).collect()}
+    assert got["a b"] == (2000000 * (big - 5) // (2 * big + 1), big, big + 1) and got["a b c"] == (0, big, 40)
+    assert {r.phrase: r.most for r in phrases.subsuming(spark.createDataFrame(rows, "lang string, phrase string, size int, n long")).collect()} == {"a b": 39, "b c": 39}

@@ -203,18 +203,19 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("tid", F.unhex(F.substring(F.sha2("data", 256), 1, 32)))
     at = F.xxhash64("tid", "start")
     found = written(docs.mapInArrow(_seeds_of, _SEEDS), "seeds")
-    shared = found.groupBy("anchor").agg(F.min(at).alias("a"), F.max(at).alias("b")).filter("a <> b").select("anchor")
+    # small sides of joins are written first: Spark can split a hot key only where both sides are plain exchanges
+    shared = written(found.groupBy("anchor").agg(F.min(at).alias("a"), F.max(at).alias("b")).filter("a <> b").select("anchor"), "shared")
     met = written(found.join(shared, "anchor"), "met")
     distinct = met.groupBy("anchor", "piece").agg((F.min(at) != F.max(at)).alias("many"), F.min(F.struct("tid", "doc_id", "start", "count", "place")).alias("o"))
     distinct = written(distinct.select("anchor", "piece", "many", "o.*"), "contexts")
-    groups = distinct.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", (F.col("n") > GROUP).alias("split"))
+    groups = written(distinct.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", (F.col("n") > GROUP).alias("split")), "groups")
     wanted = distinct.join(groups, "anchor").groupBy("tid", "doc_id").agg(F.collect_list(F.struct("anchor", "piece", "start", "count", "place", "split")).alias("wanted"))
     # of the copies of a text the one with the least doc_id gives its contexts: all have the same
     one = docs.join(wanted.withColumnsRenamed({"tid": "_tid", "doc_id": "_doc"}), (F.col("tid") == F.col("_tid")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
     cut = written(one.select("tid", "data", "wanted").mapInArrow(_contexts, _CONTEXTS), "cut")
     by_task = cut.filter("words is not null").select("anchor", "piece", "tid", "place", "low", "high", "words").repartition(parts, "anchor").sortWithinPartitions("anchor", "piece").mapInArrow(_extensions, _RANGES)
     alone = cut.filter("words is null").select("tid", "start", "one", "two")
-    twice = alone.groupBy("one", "two").agg(F.min(at).alias("a"), F.max(at).alias("b")).filter("a <> b").select("one", "two")
+    twice = written(alone.groupBy("one", "two").agg(F.min(at).alias("a"), F.max(at).alias("b")).filter("a <> b").select("one", "two"), "twice")
     by_hash = alone.join(twice, ["one", "two"]).select("tid", "start", F.lit(1).alias("count"))
     whole = met.join(distinct.filter("many").select("anchor", "piece"), ["anchor", "piece"]).select("tid", "start", "count")
     ranges = by_task.unionByName(by_hash).unionByName(whole).groupBy("tid").agg(F.collect_set(F.struct("start", "count")).alias("found"))

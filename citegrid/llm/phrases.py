@@ -19,7 +19,7 @@ TOP = 2000
 SUBSUMED = 80
 ROWS = 2
 MOST_BITS = 26
-BLOCK_BITS = 16
+BLOCK_BITS = 18
 TEXT_BYTES = 8 << 20
 _SALTS = 64
 
@@ -93,7 +93,7 @@ def cells(h: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 def _sketch(bits: int, least: int, longest: int):
-    """A count-min sketch of the n-grams of a partition, in compressed blocks. Counts stop at `least`, which is all that is asked of them."""
+    """A count-min sketch of the n-grams of a partition, in compressed blocks: a bitmap of the cells in use, and their counts. Counts stop at `least`, which is all that is asked of them."""
     kind = np.min_scalar_type(least)
     block = 1 << min(bits, BLOCK_BITS)
 
@@ -112,7 +112,9 @@ def _sketch(bits: int, least: int, longest: int):
         for r, row in enumerate(table):
             for b, part in enumerate(row.reshape(-1, block)):
                 if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([b], pa.int32()), pa.array([pack.compress(part.tobytes())], pa.binary())], ["row", "block", "cells"])
+                    some = part > 0
+                    spots, values = pack.compress(np.packbits(some).tobytes()), pack.compress(part[some].tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([b], pa.int32()), pa.array([spots], pa.binary()), pa.array([values], pa.binary())], ["row", "block", "spots", "values"])
         del table
         give_back()
 
@@ -131,8 +133,10 @@ def _merged(bits: int, least: int):
             return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], ["row", "block", "cells"])
 
         for batch in batches:
-            for row, block, data in zip(*(batch.column(c).to_pylist() for c in ("row", "block", "cells")), strict=True):
-                part = np.frombuffer(unpack.decompress(data), kind).astype(np.int64)
+            for row, block, spots, values in zip(*(batch.column(c).to_pylist() for c in ("row", "block", "spots", "values")), strict=True):
+                some = np.unpackbits(np.frombuffer(unpack.decompress(spots), np.uint8)).astype(bool)
+                part = np.zeros(len(some), np.int64)
+                part[some] = np.frombuffer(unpack.decompress(values), kind)
                 if (row, block) != key:
                     if key:
                         yield close()
@@ -204,7 +208,7 @@ def counts(texts: DataFrame, least: int = MIN_COUNT, longest: int = LONGEST) ->
     spark = texts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = sketch_bits(texts.agg(F.sum(F.length("data"))).first()[0] or 0)
-    sketches = texts.mapInArrow(_sketch(bits, least, longest), "row int, block int, cells binary")
+    sketches = texts.mapInArrow(_sketch(bits, least, longest), "row int, block int, spots binary, values binary")
     merged = sketches.repartition(parts, "row", "block").sortWithinPartitions("row", "block").mapInArrow(_merged(bits, least), "row int, block int, cells binary").toArrow()
     table = np.zeros((ROWS, (1 << bits) // 8), np.uint8)
     for row, block, data in zip(*(merged.column(c).to_pylist() for c in ("row", "block", "cells")), strict=True):

@@ -20,7 +20,7 @@ SUBSUMED = 80
 ROWS = 2
 MOST_BITS = 26
 BLOCK_BITS = 18
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 4 << 20
 _SALTS = 64
 
 # A-Z in lower case, the ends of pieces as \n, tabs as spaces

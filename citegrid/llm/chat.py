@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read_table
 
-MARK = "<|"
+def escaped(c: Column) -> Column:
+    """A text in which no mark can stand: one backslash more between "<" and "|", also where backslashes stand there already."""
+    return F.regexp_replace(c, r"<(\\*)\|", r"<\\$1|")
+
+
+def unescaped(c: Column) -> Column:
+    """The text that escaped() was given."""
+    return F.regexp_replace(c, r"<\\(\\*)\|", "<$1|")
 
 
 def collapse_snapshots(turns: DataFrame) -> DataFrame:
@@ -45,11 +52,14 @@ def collapse_snapshots(turns: DataFrame) -> DataFrame:
 def rendered(turns: DataFrame, start: str = "<|im_start|>", end: str = "<|im_end|>") -> DataFrame:
     """One row per conversation: conv_id, n_turns, text in turn markup.
 
-    A mark that stands in a role or text loses its "<" (see MARK), so that no turn can feign another; turns
-    without a conv_id are conversations of their own. An empty table gives no rows.
+    Marks that stand in a role or text are escaped (see escaped(), which unescaped() undoes), so that no
+    turn can feign another; this holds for all marks that begin with "<|". Null roles and texts are empty.
+    Turns without a conv_id are conversations of their own; further columns are ignored; an empty table gives no rows.
     """
-    safe = lambda c: F.replace(F.col(c), F.lit(MARK), F.lit("|"))
-    line = F.concat(F.lit(start), safe("role"), F.lit("\n"), safe("text"), F.lit(end + "\n"))
+    if not (start.startswith("<|") and end.startswith("<|")):
+        raise ValueError('marks must begin with "<|"')
+    turns = turns.select("conv_id", "idx", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text")])
+    line = F.concat(F.lit(start), escaped(F.col("role")), F.lit("\n"), escaped(F.col("text")), F.lit(end + "\n"))
     alone = F.when(F.col("conv_id").isNull(), F.xxhash64("role", F.length("role"), "text"))
     turns = turns.groupBy("conv_id", alone.alias("_alone")).agg(F.count("*").alias("n_turns"), F.array_sort(F.collect_list(F.struct("idx", line.alias("line")))).alias("lines"))
     return turns.select("conv_id", "n_turns", F.array_join(F.transform("lines", lambda x: x.line), "").alias("text"))
@@ -59,7 +69,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendered(collapse_snapshots(read_table(spark, sf_dir, "conversations")))
 
 
-ORACLE = """
+ORACLE = r"""
 WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
 p AS (SELECT *, row_number() OVER w AS idx, count(*) OVER (PARTITION BY conv_id) AS n,
              string_agg(role || chr(1) || text || chr(2), '') OVER (w ROWS UNBOUNDED PRECEDING) AS prefix
@@ -67,6 +77,6 @@ p AS (SELECT *, row_number() OVER w AS idx, count(*) OVER (PARTITION BY conv_id)
 e AS (SELECT prefix, min(conv_id) AS conv_id FROM p WHERE idx = n GROUP BY prefix),
 k AS (SELECT conv_id FROM e WHERE prefix NOT IN (SELECT prefix FROM p WHERE idx < n))
 SELECT conv_id, count(*) AS n_turns,
-       string_agg('<|im_start|>' || replace(role, '<|', '|') || chr(10) || replace(text, '<|', '|') || '<|im_end|>' || chr(10), '' ORDER BY idx) AS text
+       string_agg('<|im_start|>' || regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g') || chr(10) || regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') || '<|im_end|>' || chr(10), '' ORDER BY idx) AS text
 FROM p JOIN k USING (conv_id) GROUP BY conv_id
 """

@@ -9,8 +9,16 @@ DASHES = "-‐‑‒–—―−"  # fixed values: the dashes that part a range
 _D = DASHES.replace("-", r"\-")  # inside a class of a pattern
 
 
-# What tells an abbreviation of a periodical: a review or journal of law at the end, a journal named by its matter, a journal of law inside.
-PERIODICALS = [r"\bL(?:aw|\.)?\s?Rev(?:iew|\.)?$", r"\bL\.?\s?J\.?$", r"^J\.\s?[A-Z]", r"\bJ\.\s?L\."]
+# Endings of periodicals: reviews and journals of law. Stops and blanks in them may be left out.
+REVIEWS = ["L. Rev.", "L. Review", "Law Rev.", "Law Review", "L. J."]
+
+
+def _loosely(ending: str) -> str:
+    return ending.replace(".", r"\.?").replace(" ", r"\s?")
+
+
+# What tells an abbreviation of a periodical: such an ending; "J." before the matter of a journal; "J. L." anywhere.
+PERIODICALS = [rf"\b({'|'.join(map(_loosely, REVIEWS))})$", r"^J\. ?[A-Z]", r"\bJ\. ?L\."]
 
 
 def squash(x: Column) -> Column:

@@ -90,7 +90,7 @@ def notices(asked: DataFrame, quoted: DataFrame | None = None, lookups: int = MA
     keys = asked.filter("kind = 'case-reporter'").groupBy("doc_id", "resource_key").agg(F.max("beyond").alias("beyond"), F.max(F.col("status") == "unchecked").alias("open"))
     per = keys.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("beyond").alias("over"), F.count_if(F.col("open") & ~F.col("beyond")).alias("failed"))
     text = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs])
-    first = per.filter("over > 0").select("doc_id", text("Looked up the first ", F.col("n") - F.col("over"), " of ", F.col("n"), " distinct citations. The other ", F.col("over"), " were not checked: they are neither verified nor absent.").alias("notice"))
+    first = per.filter("over > 0").select("doc_id", text("Looked up the first ", F.col("n") - F.col("over"), " of ", F.col("n"), " distinct citations. The other ", F.when(F.col("over") == 1, "one was not checked: it is").otherwise(F.concat(F.col("over").cast("string"), F.lit(" were not checked: they are"))), " neither verified nor absent.").alias("notice"))
     failed = per.filter("failed > 0").select("doc_id", text(F.col("failed"), F.when(F.col("failed") == 1, " citation").otherwise(" citations"), " could not be checked.").alias("notice"))
     out = first.unionByName(failed)
     if quoted is not None:

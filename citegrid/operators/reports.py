@@ -21,7 +21,7 @@ class Provenance:
     version: str = "0"
     commit: str = "unknown"
     reporter_data: str = "built-in"
-    profile: str = "21st edition, practitioner style"
+    profile: str = "Bluebook 21st edition, Bluepages (court documents)"
     authority: str | None = None
 
 

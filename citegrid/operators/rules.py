@@ -37,7 +37,8 @@ class Profile:
     @property
     def label(self) -> str:
         ordinal = {20: "20th", 21: "21st", 22: "22nd"}.get(self.edition, f"{self.edition}th")
-        return f"{ordinal} edition, {self.style} style"
+        # fixed values: the names of the two halves of the book
+        return f"Bluebook {ordinal} edition, {'Bluepages (court documents)' if self.style == 'practitioner' else 'Whitepages (scholarly writing)'}"
 
 
 def _finding(rule: str, severity, message: Column, start="start", end="end", fix=None, safety: str | None = None, fix_start=None, fix_end=None) -> Column:
@@ -146,7 +147,7 @@ def row_rules(profile: Profile) -> dict[str, Column]:
     kind, year = c("kind"), c("year")
     one = lambda test, finding: F.when(test, F.array(finding))
     variant, fixed = c("_variant"), c("_fixed")
-    rp001 = F.when(variant == "different", _say(_js("reporter"), " is a non-standard abbreviation for ", _js("canonical"), ".")).when(variant == "tightened", _say(_js("reporter"), " closes up ", _js("canonical"), f". {profile.label} keeps the space.")).otherwise(_say(_js("text"), " should be written ", _js(fixed), " — spacing does not match the standard form."))
+    rp001 = F.when(variant == "different", _say("The standard form of ", _js("reporter"), " is ", _js("canonical"), ".")).when(variant == "tightened", _say(_js("reporter"), f" runs together what {profile.label} writes apart: ", _js("canonical"), ".")).otherwise(_say("Spacing: ", _js("text"), f" is ", _js(fixed), f" by {profile.label}."))
     covering = F.filter("siblings", lambda e: (e["start"] <= year) & (e["end"].isNull() | (year <= e["end"])))
     only = F.when(F.size(covering) == 1, F.get(covering, F.lit(0))["abbrev"])
     outside = (year < c("ed.start")) | (year > c("ed.end"))
@@ -160,33 +161,33 @@ def row_rules(profile: Profile) -> dict[str, Column]:
     drops = (secs["join"] == "span") & (F.size(secs["items"]) == 2) & a.rlike(r"^\d+$") & b.rlike(r"^\d+$") & (F.length(b) < F.length(a))
     expanded = F.concat(F.substring(a, F.lit(1), F.length(a) - F.length(b)), b)
     label = F.when(kind == "id", "An `Id.` citation").when(kind == "supra", "A `supra` citation").otherwise("A short-form citation")
-    hint = F.when(c("case_name").isNotNull(), _say(" It appears to refer to ", _js("case_name"), ", which is not cited in full anywhere earlier.")).otherwise(" Cite the authority in full the first time it appears.")
+    hint = F.when(c("case_name").isNotNull(), _say(" No earlier citation names ", _js("case_name"), ".")).otherwise(" The first citation of an authority is a full one.")
     joined = F.array_join(F.transform("courts", lambda x: x["name"]), " or ")
     unpublished = (kind == "neutral") & c("neutral_body").rlike(r"-U\b")
     written = F.array_join(F.transform("ways", T.quoted), ", ")
     token_start = c("start") + F.instr(c("text"), c("reporter")) - 1
     others = F.when(F.size("near") > 1, _say(" (or ", F.array_join(F.transform(F.slice("near", 2, 2), T.quoted), ", "), ")")).otherwise("")
     rules = {
-        "RP002": one((kind == "unknown") & (F.size("near") > 0), _finding("RP002", "error", _say(_js("reporter"), " is not a known reporter. Did you mean ", _js(F.get("near", F.lit(0))), others, "?"), fix=F.get("near", F.lit(0)), safety="unsafe", fix_start=token_start, fix_end=token_start + F.length("reporter"))),
-        "RP003": one(F.size("ways") > 1, _finding("RP003", "warning", _say(_js("canonical"), " is abbreviated ", F.size("ways"), " different ways in this document (", written, "). Pick one."))),
+        "RP002": one((kind == "unknown") & (F.size("near") > 0), _finding("RP002", "error", _say("No reporter is called ", _js("reporter"), "; the nearest name is ", _js(F.get("near", F.lit(0))), others, "."), fix=F.get("near", F.lit(0)), safety="unsafe", fix_start=token_start, fix_end=token_start + F.length("reporter"))),
+        "RP003": one(F.size("ways") > 1, _finding("RP003", "warning", _say("One document, ", F.size("ways"), " spellings of ", _js("canonical"), ": ", written, "."))),
         "AU002": one((kind == "database") & ~c("has_parallel") & ~c("docket"), _finding("AU002", "warning", _say(_js("text"), " is a ", c("database"), " database number with no reporter citation. Add the reporter cite, or say the case is unreported."))),
         "RP001": one(c("canonical").isNotNull() & (c("reporter") != c("canonical")) & ~((variant == "tightened") & F.lit(profile.tightens)), _finding("RP001", F.when(T.squash(c("reporter")) == T.squash(c("canonical")), "info").otherwise("warning"), rp001, fix=fixed, safety="safe")),
         "DT001": one(c("ed").isNotNull() & outside, _finding("DT001", "error", F.when(only.isNotNull(), _say(dt001, " A ", year, " case in this series would be in ", _js(only), ".")).otherwise(_say(dt001, " Check the volume, the reporter and the year.")), fix=T.replace_first(c("text"), c("reporter"), only), safety="unsafe")),
-        "DT002": F.when(year > profile.current_year, F.array(_finding("DT002", "error", _say("Cites a decision dated ", year, f", which is in the future (this year is {profile.current_year}).")))).when(year < 1600, F.array(_finding("DT002", "warning", _say("Decision year ", year, " predates any reporter in the tables — likely a typo.")))),
+        "DT002": F.when(year > profile.current_year, F.array(_finding("DT002", "error", _say("The year ", year, f" is yet to come; the check is made for {profile.current_year}.")))).when(year < 1600, F.array(_finding("DT002", "warning", _say("No reporter goes back to ", year, "; the year looks mistyped.")))),
         "CT001": one(resolved.isNotNull() & (resolved["id"] != "scotus") & (resolved["abbrev"] != c("court_text")), _finding("CT001", "info", _say("Court is written ", _js("court_text"), "; the standard abbreviation is ", _js(resolved["abbrev"]), "."), "court_start", "court_end", resolved["abbrev"], "unsafe")),
-        "CT002": one(c("ed.scotus_only") & c("court_id").isNotNull() & (c("court_id") != "scotus"), _finding("CT002", "error", _say(_js("canonical"), " reports only the Supreme Court of the United States, but the parenthetical names ", c("court.name"), "."))),
-        "CT003": one(c("court").isNotNull() & ((year < c("court.start")) | (year > c("court.end"))), _finding("CT003", "warning", _say(c("court.name"), " existed ", T.coverage_label(c("court.start"), c("court.end")), ", so it could not have decided a case in ", year, "."))),
-        "CT004": one(c("court_id").isNull() & (F.size("courts") >= 2), _finding("CT004", "info", _say(_js("court_text"), " could mean ", joined, ". Name the jurisdiction."), "court_start", "court_end")),
-        "CT005": one(c("ed.scotus_only") & (c("court_id") == "scotus"), _finding("CT005", "info", _say(_js("canonical"), " reports only the Supreme Court, so rule 10.4(a) leaves the court out: write the year alone."), "court_start", "court_end", F.lit(""), "safe", "court_start", "court_stop")),
-        "CT006": one(F.size("suggested") == 1, _finding("CT006", "warning", _say(_js("court_text"), " is not a standard court abbreviation. ", _js(F.get("suggested", F.lit(0))), " is, and is the same abbreviation with a word spelled out."), "court_start", "court_end", F.get("suggested", F.lit(0)), "unsafe")),
-        "ST001": one(kind.isin("id", "supra", "short-form") & c("resource_key").isNull(), _finding("ST001", "error", _say(label, " (", _js("text"), ") does not follow any full citation.", hint))),
+        "CT002": one(c("ed.scotus_only") & c("court_id").isNotNull() & (c("court_id") != "scotus"), _finding("CT002", "error", _say("A volume of ", _js("canonical"), " holds cases of the Supreme Court of the United States only, not of ", c("court.name"), "."))),
+        "CT003": one(c("court").isNotNull() & ((year < c("court.start")) | (year > c("court.end"))), _finding("CT003", "warning", _say("No case of ", year, " can be by ", c("court.name"), ", a court of ", T.coverage_label(c("court.start"), c("court.end")), "."))),
+        "CT004": one(c("court_id").isNull() & (F.size("courts") >= 2), _finding("CT004", "info", _say("Several courts go by ", _js("court_text"), ": ", joined, ". Say which."), "court_start", "court_end")),
+        "CT005": one(c("ed.scotus_only") & (c("court_id") == "scotus"), _finding("CT005", "info", _say(_js("canonical"), " covers one court only, so rule 10.4(a) asks for the year alone."), "court_start", "court_end", F.lit(""), "safe", "court_start", "court_stop")),
+        "CT006": one(F.size("suggested") == 1, _finding("CT006", "warning", _say("The standard abbreviation for ", _js("court_text"), " is ", _js(F.get("suggested", F.lit(0))), ", with fewer words spelt out."), "court_start", "court_end", F.get("suggested", F.lit(0)), "unsafe")),
+        "ST001": one(kind.isin("id", "supra", "short-form") & c("resource_key").isNull(), _finding("ST001", "error", _say(label, " (", _js("text"), ") has no full citation before it.", hint))),
         "ST002": one(pin < c("first_page"), _finding("ST002", "warning", _say("Pin cite ", pin, " is before page ", c("first_page"), ", where the opinion starts."))),
-        "ST003": F.transform(F.filter(ranges, lambda r: T.abbreviate_range(r["from"], r["to"]) != r["written"]), lambda r: _finding("ST003", "info", _say("Page range ", r["from"], "-", r["written"], " should be written ", r["from"], "-", T.abbreviate_range(r["from"], r["to"]), " — rule 3.2(a) drops repetitious digits but keeps the last two."))),
-        "ST004": F.transform(F.filter(ranges, lambda r: r["to"] < r["from"]), lambda r: _finding("ST004", "warning", _say("Page range ", r["from"], "-", r["to"], " ends before it begins. Check for transposed digits."))),
-        "ST005": one((kind == "short-form") & year.isNotNull(), _finding("ST005", "warning", _say("Short form ", _js("text"), " carries the year ", year, ". B10.2 gives the date once, in the full citation."))),
-        "ST006": one(c("symbol").isNotNull() & (c("symbol") != wanted), _finding("ST006", "warning", F.when(wanted == "§§", _say(_js("text"), " cites ", F.size(secs["items"]), ' sections but uses one section symbol. Rule 3.3(b) takes "§§".')).otherwise(_say(_js("text"), ' cites one section but uses "§§". Rule 3.3(b) takes "§".')), symbol_start, symbol_end, wanted, "safe")),
-        "ST007": one(drops, _finding("ST007", "warning", _say("Sections ", a, "-", b, " should be written ", a, "-", expanded, ". Rule 3.3(b) keeps every digit in a span of sections — unlike rule 3.2(a) for pages, which drops them."))),
-        "AU001": F.when(unpublished, F.array(_finding("AU001", "error", _say(_js("text"), ' is an unpublished order — the "-U" suffix marks a disposition that is not precedential and generally may not be cited as authority.')))).when(c("ed.non_precedential"), F.array(_finding("AU001", "warning", _say(c("ed.name"), " collects unpublished dispositions; ", _js("text"), " is persuasive at best, not binding.")))),
+        "ST003": F.transform(F.filter(ranges, lambda r: T.abbreviate_range(r["from"], r["to"]) != r["written"]), lambda r: _finding("ST003", "info", _say("Pages ", r["from"], "-", r["written"], " are ", r["from"], "-", T.abbreviate_range(r["from"], r["to"]), " by rule 3.2(a): two digits, and those that differ."))),
+        "ST004": F.transform(F.filter(ranges, lambda r: r["to"] < r["from"]), lambda r: _finding("ST004", "warning", _say("Pages ", r["from"], "-", r["to"], " run backwards."))),
+        "ST005": one((kind == "short-form") & year.isNotNull(), _finding("ST005", "warning", _say("The date belongs to the full citation (B10.2), but ", _js("text"), " gives ", year, " again."))),
+        "ST006": one(c("symbol").isNotNull() & (c("symbol") != wanted), _finding("ST006", "warning", F.when(wanted == "§§", _say(_js("text"), ": ", F.size(secs["items"]), ' sections ask for "§§" (rule 3.3(b)).')).otherwise(_say(_js("text"), ': one section asks for a single "§" (rule 3.3(b)).')), symbol_start, symbol_end, wanted, "safe")),
+        "ST007": one(drops, _finding("ST007", "warning", _say("Sections ", a, "-", b, " are ", a, "-", expanded, " in full: by rule 3.3(b), unlike 3.2(a) for pages, no digit goes."))),
+        "AU001": F.when(unpublished, F.array(_finding("AU001", "error", _say(_js("text"), ' carries "-U", the mark of an unpublished order without the force of a precedent.')))).when(c("ed.non_precedential"), F.array(_finding("AU001", "warning", _say(_js("text"), " is in ", c("ed.name"), ", whose dispositions are unpublished and do not bind.")))),
     }
     return rules
 
@@ -216,10 +217,10 @@ def verification_rules(source: str = "caller") -> dict[str, Column]:
     one = lambda test, finding: F.when(test, F.array(finding))
     status = F.col("status")
     return {
-        "VF001": one(status == "not-found", _finding("VF001", "warning", _say(_js("text"), f" does not appear in the {source} corpus. Verify this authority exists before relying on it."))),
-        "VF002": one(status == "ambiguous", _finding("VF002", "warning", _say(_js("text"), " matches several authorities: ", F.array_join(F.transform(F.slice("records", 1, 3), lambda r: r["case_name"]), "; "), ". Add a court or year to disambiguate."))),
+        "VF001": one(status == "not-found", _finding("VF001", "warning", _say(_js("text"), f" does not appear in the {source} corpus. Make sure that it exists."))),
+        "VF002": one(status == "ambiguous", _finding("VF002", "warning", _say(_js("text"), " fits more than one authority (", F.array_join(F.transform(F.slice("records", 1, 3), lambda r: r["case_name"]), "; "), "). A court or a year would tell them apart."))),
         "VF003": one((status == "found") & F.col("case_name").isNotNull() & (T.name_similarity(F.col("case_name"), rec["case_name"]) < 0.34), _finding("VF003", "error", _say(_js("text"), " is ", _js(rec["case_name"]), ", not ", _js("case_name"), "."))),
-        "VF004": one((status == "found") & (F.coalesce(rec["year"], F.lit(0)) != 0) & (F.col("year") != rec["year"]), _finding("VF004", "warning", _say("Cited as ", F.col("year"), ", but the corpus dates ", rec["case_name"], " to ", rec["year"], "."))),
+        "VF004": one((status == "found") & (F.coalesce(rec["year"], F.lit(0)) != 0) & (F.col("year") != rec["year"]), _finding("VF004", "warning", _say("The corpus gives ", rec["case_name"], " the year ", rec["year"], ", the text ", F.col("year"), "."))),
     }
 
 

@@ -100,30 +100,30 @@ def authorities(spark: SparkSession, sf_dir: str) -> DataFrame:
 # rule -> in SQL: what the finding spans, its message, what the correction spans, its safety
 _CITE = f"({_VOLUME}) || ' U.S. ' || ({_PAGE.replace(' div ', ' // ')})"
 DETAILS = {
-    "RP001": ("'12 F.Supp.2d 34'", "'\"F.Supp.2d\" closes up \"F. Supp. 2d\". 20th edition, practitioner style keeps the space.'", "'12 F.Supp.2d 34'", "safe"),
-    "RP002": ("'12 F. Suop. 34'", "'\"F. Suop.\" is not a known reporter. Did you mean \"F. Supp.\"?'", "'F. Suop.'", "unsafe"),
-    "RP003": ("'1 F.Supp. 2'", "'\"F. Supp.\" is abbreviated 2 different ways in this document (\"F.Supp.\", \"F. Supp.\"). Pick one.'", None, None),
+    "RP001": ("'12 F.Supp.2d 34'", "'\"F.Supp.2d\" runs together what Bluebook 20th edition, Bluepages (court documents) writes apart: \"F. Supp. 2d\".'", "'12 F.Supp.2d 34'", "safe"),
+    "RP002": ("'12 F. Suop. 34'", "'No reporter is called \"F. Suop.\"; the nearest name is \"F. Supp.\".'", "'F. Suop.'", "unsafe"),
+    "RP003": ("'1 F.Supp. 2'", "'One document, 2 spellings of \"F. Supp.\": \"F.Supp.\", \"F. Supp.\".'", None, None),
     "DT001": ("(o_orderkey % 900 + 1) || ' F.2d ' || (o_custkey % 900 + 1)", f"'F.2d was published 1924–1993, but this cites ' || {Y} || '. A ' || {Y} || ' case in this series would be in \"F.3d\".'", "(o_orderkey % 900 + 1) || ' F.2d ' || (o_custkey % 900 + 1)", "unsafe"),
-    "DT002": ("'12 F.3d 34'", f"'Cites a decision dated ' || ({Y} + 30) || ', which is in the future (this year is 2026).'", None, None),
+    "DT002": ("'12 F.3d 34'", f"'The year ' || ({Y} + 30) || ' is yet to come; the check is made for 2026.'", None, None),
     "CT001": ("'Ninth Circuit'", "'Court is written \"Ninth Circuit\"; the standard abbreviation is \"9th Cir.\".'", "'Ninth Circuit'", "unsafe"),
-    "CT002": ("'12 U.S. 34'", "'\"U.S.\" reports only the Supreme Court of the United States, but the parenthetical names United States Court of Appeals for the Ninth Circuit.'", None, None),
-    "CT003": ("'12 F.2d 34'", "'United States Court of Appeals for the Eleventh Circuit existed 1981–present, so it could not have decided a case in ' || (1971 + o_orderkey % 20) || '.'", None, None),
-    "CT004": ("'App. Div.'", "'\"App. Div.\" could mean New York Supreme Court, Appellate Division or New Jersey Superior Court, Appellate Division. Name the jurisdiction.'", None, None),
-    "CT005": ("'U.S. 1999'[:4]", "'\"U.S.\" reports only the Supreme Court, so rule 10.4(a) leaves the court out: write the year alone.'", "'U.S. 1999'[:5]", "safe"),
-    "CT006": ("'Ill. Appellate Ct.'", "'\"Ill. Appellate Ct.\" is not a standard court abbreviation. \"Ill. App. Ct.\" is, and is the same abbreviation with a word spelled out.'", "'Ill. Appellate Ct.'", "unsafe"),
-    "ST001": ("'Id. at 5'", "'An `Id.` citation (\"Id. at 5\") does not follow any full citation. Cite the authority in full the first time it appears.'", None, None),
+    "CT002": ("'12 U.S. 34'", "'A volume of \"U.S.\" holds cases of the Supreme Court of the United States only, not of United States Court of Appeals for the Ninth Circuit.'", None, None),
+    "CT003": ("'12 F.2d 34'", "'No case of ' || (1971 + o_orderkey % 20) || ' can be by United States Court of Appeals for the Eleventh Circuit, a court of 1981–present.'", None, None),
+    "CT004": ("'App. Div.'", "'Several courts go by \"App. Div.\": New York Supreme Court, Appellate Division or New Jersey Superior Court, Appellate Division. Say which.'", None, None),
+    "CT005": ("'U.S. 1999'[:4]", "'\"U.S.\" covers one court only, so rule 10.4(a) asks for the year alone.'", "'U.S. 1999'[:5]", "safe"),
+    "CT006": ("'Ill. Appellate Ct.'", "'The standard abbreviation for \"Ill. Appellate Ct.\" is \"Ill. App. Ct.\", with fewer words spelt out.'", "'Ill. Appellate Ct.'", "unsafe"),
+    "ST001": ("'Id. at 5'", "'An `Id.` citation (\"Id. at 5\") has no full citation before it. The first citation of an authority is a full one.'", None, None),
     "ST002": ("'12 F.3d 100'", "'Pin cite ' || (90 + o_orderkey % 20) || ' is before page 100, where the opinion starts.'", None, None),
-    "ST003": ("'12 F.3d 100'", "'Page range 371-372 should be written 371-72 — rule 3.2(a) drops repetitious digits but keeps the last two.'", None, None),
-    "ST004": ("'12 F.3d 100'", "'Page range 371-' || (o_orderkey % 200 + 300) || ' ends before it begins. Check for transposed digits.'", None, None),
-    "ST005": ("'5 U.S. at 101'", "'Short form \"5 U.S. at 101\" carries the year 1990. B10.2 gives the date once, in the full citation.'", None, None),
-    "ST006": ("'§'", "'\"11 U.S.C. § ' || o_custkey || ', 9999\" cites 2 sections but uses one section symbol. Rule 3.3(b) takes \"§§\".'", "'§'", "safe"),
-    "ST007": ("'42 U.S.C. §§ 1981-85'", "'Sections 1981-85 should be written 1981-1985. Rule 3.3(b) keeps every digit in a span of sections — unlike rule 3.2(a) for pages, which drops them.'", None, None),
-    "AU001": ("CASE o_orderkey % 3 WHEN 0 THEN '2013 IL App (1st) 111279-U' ELSE '5 F. App''x 6' END", "CASE o_orderkey % 3 WHEN 0 THEN '\"2013 IL App (1st) 111279-U\" is an unpublished order — the \"-U\" suffix marks a disposition that is not precedential and generally may not be cited as authority.' ELSE 'Federal Appendix collects unpublished dispositions; \"5 F. App''x 6\" is persuasive at best, not binding.' END", None, None),
+    "ST003": ("'12 F.3d 100'", "'Pages 371-372 are 371-72 by rule 3.2(a): two digits, and those that differ.'", None, None),
+    "ST004": ("'12 F.3d 100'", "'Pages 371-' || (o_orderkey % 200 + 300) || ' run backwards.'", None, None),
+    "ST005": ("'5 U.S. at 101'", "'The date belongs to the full citation (B10.2), but \"5 U.S. at 101\" gives 1990 again.'", None, None),
+    "ST006": ("'§'", "'\"11 U.S.C. § ' || o_custkey || ', 9999\": 2 sections ask for \"§§\" (rule 3.3(b)).'", "'§'", "safe"),
+    "ST007": ("'42 U.S.C. §§ 1981-85'", "'Sections 1981-85 are 1981-1985 in full: by rule 3.3(b), unlike 3.2(a) for pages, no digit goes.'", None, None),
+    "AU001": ("CASE o_orderkey % 3 WHEN 0 THEN '2013 IL App (1st) 111279-U' ELSE '5 F. App''x 6' END", "CASE o_orderkey % 3 WHEN 0 THEN '\"2013 IL App (1st) 111279-U\" carries \"-U\", the mark of an unpublished order without the force of a precedent.' ELSE '\"5 F. App''x 6\" is in Federal Appendix, whose dispositions are unpublished and do not bind.' END", None, None),
     "AU002": ("'2019 WL 123'", "'\"2019 WL 123\" is a WL database number with no reporter citation. Add the reporter cite, or say the case is unreported.'", None, None),
-    "VF001": (_CITE, f"'\"' || {_CITE} || '\" does not appear in the caller corpus. Verify this authority exists before relying on it.'", None, None),
-    "VF002": (_CITE, f"'\"' || {_CITE} || '\" matches several authorities: Ames v. Bell; Ames v. Bell. Add a court or year to disambiguate.'", None, None),
+    "VF001": (_CITE, f"'\"' || {_CITE} || '\" does not appear in the caller corpus. Make sure that it exists.'", None, None),
+    "VF002": (_CITE, f"'\"' || {_CITE} || '\" fits more than one authority (Ames v. Bell; Ames v. Bell). A court or a year would tell them apart.'", None, None),
     "VF003": (_CITE, f"'\"' || {_CITE} || '\" is \"Zeta v. Omega\", not \"Ames v. Bell\".'", None, None),
-    "VF004": (_CITE, "'Cited as 1999, but the corpus dates ' || CASE WHEN o_orderkey % 3 = 2 AND o_orderkey % 5 = 0 THEN 'Zeta v. Omega' ELSE 'Ames v. Bell' END || ' to 1987.'", None, None),
+    "VF004": (_CITE, "'The corpus gives ' || CASE WHEN o_orderkey % 3 = 2 AND o_orderkey % 5 = 0 THEN 'Zeta v. Omega' ELSE 'Ames v. Bell' END || ' the year 1987, the text 1999.'", None, None),
 }
 
 
@@ -376,7 +376,7 @@ SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(x, ' *' || chr
 """
 _CITED = "'12 U.S. ' || (o_orderkey // 9000 + 34)"
 _COURT_AT = "(24 + length(CAST(o_orderkey // 9000 + 34 AS VARCHAR)))"
-_REDUNDANT = " reports only the Supreme Court, so rule 10.4(a) leaves the court out: write the year alone."
+_REDUNDANT = " covers one court only, so rule 10.4(a) asks for the year alone."
 OTHERS = {
     "fix_safe": (fix_safe, f"SELECT o_orderkey AS doc_id, 'Id. at 5. Ames v. Bell, 12 F. Supp. 2d 34 (D.D.C. ' || {Y} || '). Cole v. Dunn, 5 U.S. 100, 371-372 (1999).' AS text, CAST(1 + {_MIXED_COUNT} AS INT) AS n_applied FROM orders"),
     "fix_unsafe": (fix_unsafe, f"SELECT o_orderkey AS doc_id, 'Ames v. Bell, ' || ({_VOLUME}) || ' F.3d 34 (9th Cir. ' || {Y} || ').' AS text, CAST(2 AS INT) AS n_applied FROM orders"),
@@ -384,10 +384,10 @@ OTHERS = {
     "severity_counts": (severity_counts, f"SELECT o_orderkey AS doc_id, CAST(1 AS BIGINT) AS error, CAST(0 AS BIGINT) AS warning, CAST(2 + {_MIXED_COUNT} AS BIGINT) AS info FROM orders"),
     "findings_ordered": (findings_ordered, f"SELECT o_orderkey AS doc_id, CAST(CASE WHEN p > 1 AND NOT ({_EVEN}) THEN p - 1 ELSE p END AS INT) AS place, r AS rule_id FROM orders, (VALUES (1, 'ST001'), (2, 'RP001'), (3, 'ST003'), (4, 'CT005')) v(p, r) WHERE {_EVEN} OR p <> 2"),
     "report_csv": (report_csv, f"SELECT o_orderkey AS doc_id, 'rule,name,severity,citation,start,end,message,suggestion' || chr(10) || CASE WHEN {_EVEN} THEN 'CT005,redundant-court,info,' || {_CITED} || ',' || {_COURT_AT} || ',' || ({_COURT_AT} + 4) || ',\"\"\"U.S.\"\"{_REDUNDANT}\",' || chr(10) ELSE '' END || CASE o_orderkey % 3 WHEN 0 THEN 'PIN,pincite-quotation,info,12 U.S. 34,14,20,\"Ames v. Bell, at 35: It is, \"\"so\"\".\",https://x.example/1' || chr(10) WHEN 1 THEN 'PIN,pincite-quotation,info,12 U.S. 34,14,20,page 35 is not marked,https://x.example/1' || chr(10) ELSE '' END AS csv FROM orders"),
-    "report_json": (report_json, f"""SELECT o_orderkey AS doc_id, '{{"tool":"citegrid","version":"1.2","commit":"abc","reporterData":"built-in","document":"brief ' || o_orderkey || '","bluebook":"21st edition, practitioner style","citations":1,"findings":[' || CASE WHEN {_EVEN} THEN '{{"ruleId":"CT005","ruleName":"redundant-court","severity":"info","citation":"' || {_CITED} || '","start":' || {_COURT_AT} || ',"end":' || ({_COURT_AT} + 4) || ',"message":"\\"U.S.\\"{_REDUNDANT}","suggestion":"","safety":"safe"}}' ELSE '' END || ']}}' || chr(10) AS json FROM orders"""),
+    "report_json": (report_json, f"""SELECT o_orderkey AS doc_id, '{{"tool":"citegrid","version":"1.2","commit":"abc","reporterData":"built-in","document":"brief ' || o_orderkey || '","bluebook":"Bluebook 21st edition, Bluepages (court documents)","citations":1,"findings":[' || CASE WHEN {_EVEN} THEN '{{"ruleId":"CT005","ruleName":"redundant-court","severity":"info","citation":"' || {_CITED} || '","start":' || {_COURT_AT} || ',"end":' || ({_COURT_AT} + 4) || ',"message":"\\"U.S.\\"{_REDUNDANT}","suggestion":"","safety":"safe"}}' ELSE '' END || ']}}' || chr(10) AS json FROM orders"""),
     "report_markdown": (
         report_markdown,
-        f"""SELECT o_orderkey AS doc_id, '# Citation check — brief ' || o_orderkey || chr(10) || chr(10) || '- **Checked against:** 21st edition, practitioner style' || chr(10) || '- **Citations found:** 1' || chr(10) || '- **Findings:** ' || {_MIXED_COUNT} || chr(10) || '- **citegrid:** 1.2 (commit abc)' || chr(10) || '- **Reporter data:** built-in' || chr(10) || chr(10)
+        f"""SELECT o_orderkey AS doc_id, '# Citation check — brief ' || o_orderkey || chr(10) || chr(10) || '- **Checked against:** Bluebook 21st edition, Bluepages (court documents)' || chr(10) || '- **Citations found:** 1' || chr(10) || '- **Findings:** ' || {_MIXED_COUNT} || chr(10) || '- **citegrid:** 1.2 (commit abc)' || chr(10) || '- **Reporter data:** built-in' || chr(10) || chr(10)
         || CASE WHEN {_EVEN} THEN '| Rule | Severity | Citation | Problem |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || '| `CT005` | info | ' || {_CITED} || ' | "U.S."{_REDUNDANT} |' || chr(10) ELSE 'No findings. That proves nothing right: only what is' || chr(10) || 'certainly wrong is told, and no citation was verified.' || chr(10) END || chr(10)
         || CASE WHEN o_orderkey % 3 < 2 THEN '## Pincite quotations' || chr(10) || chr(10) || '### 12 U.S. 34, at 35' || chr(10) || chr(10) || '*Ames v. Bell* — <https://x.example/1>' || chr(10) || chr(10) || CASE o_orderkey % 3 WHEN 0 THEN '> It is, "so".' ELSE 'page 35 is not marked' END || chr(10) || chr(10) || 'A quotation is there to be checked; it does not replace' || chr(10) || 'reading the opinion.' || chr(10) || chr(10) ELSE '' END AS markdown FROM orders""",
     ),
@@ -396,7 +396,7 @@ OTHERS = {
     "pin_quotation": (pin_quotation, "SELECT o_orderkey AS doc_id, CAST(102 AS BIGINT) AS page_no, 'Ruling ' || (o_orderkey % 50 + 1) || ' stands.' AS quote, '/b/' || (o_orderkey % 50 + 1) AS url FROM orders"),
     "lookup_statuses": (lookup_statuses, "SELECT o_orderkey AS doc_id, CASE o_orderkey % 5 WHEN 0 THEN 'found' WHEN 1 THEN 'ambiguous' WHEN 2 THEN 'not-found' ELSE 'unchecked' END AS status FROM orders"),
     "extraction_accuracy": (extraction_accuracy, f"SELECT o_orderkey AS doc_id, CAST(2 AS BIGINT) AS expected, CAST(1 AS BIGINT) AS recovered, CAST({_MIXED_COUNT} AS BIGINT) AS spurious, CAST(0.5 AS DOUBLE) AS recall, '5 u.s. 6' AS lost FROM orders"),
-    "lookup_notices": (lookup_notices, f"SELECT o_orderkey AS doc_id, 'Looked up the first 2 of 3 distinct citations. The other 1 were not checked: they are neither verified nor absent.' AS notice FROM orders UNION ALL SELECT o_orderkey, '1 citation could not be checked.' FROM orders WHERE {_EVEN}"),
+    "lookup_notices": (lookup_notices, f"SELECT o_orderkey AS doc_id, 'Looked up the first 2 of 3 distinct citations. The other one was not checked: it is neither verified nor absent.' AS notice FROM orders UNION ALL SELECT o_orderkey, '1 citation could not be checked.' FROM orders WHERE {_EVEN}"),
     "lookup_findings": (lookup_findings, "SELECT o_orderkey AS doc_id, CASE o_orderkey % 5 WHEN 1 THEN 'VF003' WHEN 2 THEN 'VF002' ELSE 'VF001' END AS rule_id, CAST(s AS INT) AS start FROM orders, (VALUES (14), (51)) v(s) WHERE o_orderkey % 5 IN (1, 2, 3)"),
     "decoded_markup": (decoded_markup, "SELECT p_partkey, '&lt; §' || chr(p_size + 64) || ' &eacute; &#x110000;  &#0;' || p_brand || ' & ' AS text, CASE WHEN p_partkey % 2 = 0 THEN '/api/rest/v4/opinions/' || p_partkey || '/' END AS path FROM part"),
     "request_windows": (request_windows, "SELECT o_orderkey, n AS recent, n <= 2 AS allowed FROM (SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY epoch(CAST(o_orderdate AS TIMESTAMP)) RANGE BETWEEN 2592000 PRECEDING AND CURRENT ROW) AS n FROM orders)"),

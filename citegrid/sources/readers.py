@@ -32,6 +32,8 @@ def _decoded(m: re.Match) -> str:
     if name:
         return ENTITIES.get(name.lower(), m[0])
     code = int(hexadecimal, 16) if hexadecimal else int(decimal)
+    if 0xD800 <= code <= 0xDFFF:  # half of a pair is no character
+        return "\ufffd"
     return chr(code) if code <= 0x10FFFF else m[0]
 
 
@@ -131,9 +133,16 @@ def rtf_text(source: str) -> str:
 _TAG = re.compile(r"<!--.*?-->|<\?.*?\?>|<!\[CDATA\[(.*?)\]\]>|<(/?)([\w:.-]+)((?:\"[^\"]*\"|'[^']*'|[^'\">])*?)(/?)>|([^<]+)", re.S)
 
 
+class TooLarge(Exception):
+    """A part of an archive that inflates beyond MAX_BYTES."""
+
+
 def _part(data: bytes, name: str) -> str:
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        return z.read(name).decode("utf-8", "replace")
+    with zipfile.ZipFile(io.BytesIO(data)) as z, z.open(name) as part:
+        content = part.read(MAX_BYTES + 1)  # what the archive says of sizes need not be true
+    if len(content) > MAX_BYTES:
+        raise TooLarge(f"{name} has more than {MAX_BYTES} bytes")
+    return content.decode("utf-8", "replace")
 
 
 def docx_text(data: bytes) -> str:
@@ -227,7 +236,7 @@ def _read(path: str, data: bytes) -> tuple[str, str | None, str | None]:
             if "content.xml" in names:
                 return "odt", odt_text(data), None
             return "zip", None, "the archive holds neither word/document.xml nor content.xml"
-        except (zipfile.BadZipFile, NotImplementedError, RuntimeError) as e:
+        except (zipfile.BadZipFile, NotImplementedError, RuntimeError, TooLarge) as e:
             return "zip", None, f"the archive cannot be read: {e}"
     if not looks_like_text(data):
         return "binary", None, "the file is not text"
@@ -242,14 +251,17 @@ def _read(path: str, data: bytes) -> tuple[str, str | None, str | None]:
 def imported(files: DataFrame, pdf: PdfPages | None = None, ocr: PageReader | None = None, mode: str = "auto") -> DataFrame:
     """(path, content) -> path, format, text, error, warning: one row per file, refused ones with a reason; a reader that fails tells its error."""
 
+    def made(*row):
+        return pa.RecordBatch.from_arrays([pa.array([v], pa.string()) for v in row], ["path", "format", "text", "error", "warning"])
+
     def run(batches):
         for batch in batches:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    row = import_document(path, data or b"", pdf, ocr, mode)
+                    out = made(path, *import_document(path, data or b"", pdf, ocr, mode))
                 except Exception as e:  # noqa: BLE001 - one damaged file must not end the job
-                    row = "none", None, f"the file cannot be read: {type(e).__name__}: {e}", None
-                yield pa.RecordBatch.from_arrays([pa.array([v], pa.string()) for v in (path, *row)], ["path", "format", "text", "error", "warning"])
+                    out = made(path, "none", None, f"the file cannot be read: {type(e).__name__}: {ascii(str(e))}", None)
+                yield out
 
     return files.select("path", "content").mapInArrow(run, SCHEMA)
 

@@ -139,7 +139,7 @@ def test_readers_and_writers(spark, tmp_path):
 def test_comments_stand_at_their_spans(spark):
     text = "ab\x01cd\nefgh\n"
     notes = [(3, 7, "over <two> lines"), (6, 8, "second"), (8, 10, "next"), (2, 2, "empty"), (5, 99, "too far")]
-    assert writers.paragraphs(text, notes) == [[("text", "ab"), ("start", 0), ("text", "cd")], [("start", 1), ("text", "e"), ("end", 0), ("text", "f"), ("end", 1), ("start", 2), ("text", "gh"), ("end", 2)], []]
+    assert writers.paragraphs(text, notes) == [[("text", "ab", ()), ("start", 0), ("text", "cd", ())], [("start", 1), ("text", "e", ()), ("end", 0), ("text", "f", ()), ("end", 1), ("start", 2), ("text", "gh", ()), ("end", 2)], []]
     docs = spark.createDataFrame([(1, text), (2, "none"), (3, None)], "doc_id long, text string")
     table = spark.createDataFrame([(1, *n) for n in notes], "doc_id long, start int, end int, body string")
     for kind, part in (("docx", "word/comments.xml"), ("odt", "content.xml")):
@@ -322,3 +322,24 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, "Id. at 5.")], "doc_id long, text string").write.parquet(f"{tmp_path}/in")
     check_stream(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination(120)
     assert [r.rule_id for r in spark.read.parquet(f"{tmp_path}/out").collect()] == ["ST001"]
+
+
+def test_hostile_files(spark, tmp_path, monkeypatch):
+    html = "<html><p>a&#xD800;b&#55357;&#xDFFF;c &#xE9; &#x1F600;</p>"
+    assert readers.html_text(html) == "a\ufffdb\ufffd\ufffdc é \U0001f600"
+    assert readers.html_pages(spark.createDataFrame([(1, html)], "page_id long, html string")).first().text == readers.html_text(html)
+    monkeypatch.setattr(readers, "MAX_BYTES", 100_000)
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", "<w:t>" + "x" * 5_000_000)
+    assert len(packed.getvalue()) < 100_000
+    kind, text, error, _ = readers.import_document("bomb.docx", packed.getvalue())
+    assert kind == "zip" and text is None and "word/document.xml has more than" in error
+    files = spark.createDataFrame([("a.html", bytearray(html.encode())), ("b.pdf", bytearray(b"%PDF-1"))], "path string, content binary")
+    got = {r.path: r for r in readers.imported(files, pdf=lambda data: ["bad \ud800 page"]).collect()}
+    assert got["a.html"].text and got["b.pdf"].text is None and "cannot be read" in got["b.pdf"].error
+
+
+def test_labels_name_the_halves_of_the_book():
+    assert rules.Profile(21, "practitioner").label == "Bluebook 21st edition, Bluepages (court documents)"
+    assert rules.Profile(20, "academic").label == "Bluebook 20th edition, Whitepages (scholarly writing)"

@@ -6,18 +6,21 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from .operators import extract, fix, rules
+from . import refdata
+from .operators import extract, fix, rules, suggest
 
 
 @dataclass
 class Engine:
-    """Tables given here replace the built-in ones; authorities, or answers to lookups, turn the VF rules on; notices tell what was left out of a check."""
+    """Tables given here replace the built-in ones; with join_suggestions misspelled reporters meet them by a join over the distinct ones
+    of all documents, instead of once in each task (for large tables, or very many different misspellings); authorities, or answers to lookups, turn the VF rules on; notices tell what was left out of a check."""
 
     profile: rules.Profile = field(default_factory=rules.Profile)
     enable: list[str] | None = None
     disable: list[str] | None = None
     authorities: DataFrame | None = None
     lookups: DataFrame | None = None
+    join_suggestions: bool = False
     editions: DataFrame | None = None
     spellings: DataFrame | None = None
     custom: list[rules.Custom] = field(default_factory=list)
@@ -27,7 +30,11 @@ class Engine:
         return extract.citations(docs, extract.reference(docs.sparkSession, self.editions, self.spellings), shapes, refused)
 
     def check(self, docs: DataFrame, cites: DataFrame | None = None) -> DataFrame:
-        cites = cites if cites is not None else self.citations(docs, "RP002" in rules.selected(self.enable, self.disable), refused=True)
+        if cites is None:
+            shapes = "RP002" in rules.selected(self.enable, self.disable)
+            cites = self.citations(docs, "tokens" if shapes and self.join_suggestions else shapes, refused=True)
+            if shapes and self.join_suggestions:
+                cites = suggest.with_suggestions(cites, self.editions, self.spellings, self.editions is not None or refdata.listed(docs.sparkSession) is not None)
         return rules.run_rules(cites, self.profile, self.authorities, self.enable, self.disable, self.editions, self.spellings, self.custom, self.notices, self.lookups)
 
     def fix(self, docs: DataFrame, unsafe: bool = False) -> DataFrame:

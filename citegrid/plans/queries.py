@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import refdata
 from ..engine import Engine
 from ..functions import text as T
-from ..operators import annotate, extract, feedback, fix, reports, rich, rules
+from ..operators import annotate, extract, feedback, fix, reports, rich, rules, spans, suggest
 from ..sources import readers, writers
 from .graded import GRADED
 
@@ -358,6 +358,49 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.imported(files[0]).select("path", "format", "text")
 
 
+_KNOWN = [a for a, *_ in refdata.EDITIONS]
+# a spelling of the table for each part, with a letter less, a wrong one, one more, or both of these
+_SPELT = f"element_at(array({', '.join(_s(a) for a in _KNOWN)}), cast(p_partkey % {len(_KNOWN)} AS int) + 1)"
+_TORN = "CASE p_size % 4 WHEN 0 THEN concat(left(a, m), substring(a, m + 2)) WHEN 1 THEN concat(left(a, m), 'q', substring(a, m + 2)) WHEN 2 THEN concat(left(a, m), 'x', substring(a, m + 1)) ELSE concat('z', left(a, m), substring(a, m + 2), 'y') END"
+
+
+def reporter_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select("p_size", F.expr(_SPELT).alias("a")).withColumn("m", F.expr("cast(p_size % length(a) AS int)"))
+    return suggest.suggestions(part.select(F.expr(_TORN).alias("token")))
+
+
+# order lines as spans: a third of them in one text, some of them empty; orders as claimed spans, some empty too
+_LINES = "CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_orderkey % 1000 END AS doc_id, CAST(l_orderkey * 13 % 900000 + l_linenumber * 7 AS BIGINT) AS start, CAST(l_orderkey * 13 % 900000 + l_linenumber * 7 + l_partkey % 60 AS BIGINT) AS \"end\", l_orderkey, l_linenumber"
+_CLAIMS = "CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 1000 END AS doc_id, CAST(o_orderkey * 13 % 900000 AS BIGINT) AS start, CAST(o_orderkey * 13 % 900000 + o_custkey % 20 AS BIGINT) AS \"end\", o_orderkey"
+_OVERLAP = "c.doc_id = l.doc_id AND c.start < l.\"end\" AND l.start < c.\"end\""
+
+
+def _span_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    plain = lambda x: x.replace('"', "`")
+    lines, orders = (table(spark, sf_dir, t) for t in ("lineitem", "orders"))
+    lines, claims = (df.select(*[F.expr(e) for e in plain(x).split(", ")]) for df, x in ((lines, _LINES), (orders, _CLAIMS)))
+    return lines, claims
+
+
+def spans_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each claimed span with the lines inside or across it: how many, and how many places they share."""
+    pairs = spans.overlapping(*_span_tables(spark, sf_dir))
+    common = F.least("left.end", "right.end") - F.greatest("left.start", "right.start")
+    return pairs.groupBy(F.col("right.o_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), F.sum(common).alias("places"))
+
+
+def spans_overlapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.overlapped(*_span_tables(spark, sf_dir)).select("l_orderkey", "l_linenumber", "start", "end")
+
+
+def spans_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.clear(*_span_tables(spark, sf_dir)).select("l_orderkey", "l_linenumber", "start", "end")
+
+
+def spans_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.merged(_span_tables(spark, sf_dir)[0])
+
+
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.html_pages(table(spark, sf_dir, "pages")).select("page_id", "text")
 
@@ -374,6 +417,21 @@ c AS (SELECT page_id, regexp_replace(regexp_replace(x, '<br\s*/?>|</(p|div|secti
 d AS (SELECT page_id, replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&quot;', '"'), '&apos;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS x FROM c)
 SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(x, ' *' || chr(10) || ' *', chr(10), 'g'), chr(10) || '{3,}', chr(10) || chr(10), 'g'), '  +', ' ', 'g'), ' ' || chr(10)) AS text FROM d
 """
+# the order of letters in the root collation: signs, digits, then letters in any case
+_SIGNS = " _-,;:!?.'’\"()[]{}@*/\\&#%`^+<=>|~$"
+_ORDER = {a: i for i, a in enumerate(sorted(_KNOWN, key=lambda a: [("s", _SIGNS.index(c)) if c in _SIGNS else ("t", ord(c.lower())) for c in a]))}
+_q = lambda x: "'" + x.replace("'", "''") + "'"
+_SUGGESTED = f"""
+WITH e AS (SELECT * FROM (VALUES {", ".join(f"({_q(a)}, {i})" for a, i in _ORDER.items())}) v(abbrev, o)),
+k AS (SELECT abbrev AS known, abbrev, o FROM e UNION SELECT written, canonical, coalesce(o, 999999) FROM (VALUES {", ".join(f"({_q(w)}, {_q(c)})" for w, c in refdata.VARIATIONS.items())}) v(written, canonical) LEFT JOIN e ON canonical = abbrev),
+s AS (SELECT DISTINCT regexp_replace(lower(known), '[^a-z0-9]', '', 'g') AS spelt, abbrev, o FROM k),
+p AS (SELECT p_size, a, p_size % length(a) AS m FROM (SELECT p_size, list_extract([{", ".join(map(_q, _KNOWN))}], CAST(p_partkey % {len(_KNOWN)} AS INT) + 1) AS a FROM part)),
+t AS (SELECT token, regexp_replace(lower(token), '[^a-z0-9]', '', 'g') AS sq FROM (SELECT DISTINCT {_TORN} AS token FROM p)),
+d AS (SELECT token, abbrev, o, levenshtein(sq, spelt) AS distance, abs(length(sq) - length(spelt)) AS apart, CASE WHEN length(sq) <= 3 THEN 1 WHEN length(sq) <= 6 THEN 2 ELSE 3 END AS most FROM t, s WHERE sq <> ''),
+b AS (SELECT token, abbrev, o, min((distance, apart)) AS b FROM d WHERE distance BETWEEN 1 AND most GROUP BY ALL),
+r AS (SELECT token, abbrev, b[1] AS distance, row_number() OVER (PARTITION BY token ORDER BY b, o) AS place FROM b)
+SELECT token, CAST(place AS INT) AS place, abbrev, CAST(distance AS INT) AS distance FROM r WHERE place <= 3
+"""
 _CITED = "'12 U.S. ' || (o_orderkey // 9000 + 34)"
 _COURT_AT = "(24 + length(CAST(o_orderkey // 9000 + 34 AS VARCHAR)))"
 _REDUNDANT = " covers one court only, so rule 10.4(a) asks for the year alone."
@@ -414,6 +472,15 @@ OTHERS = {
     "document_files": (document_files, f"SELECT o_orderkey || '.' || k AS path, k AS format, 'Held, <so> & {{thus}}:' || chr(10) || 'Ames v. Bell, 12 U.S. 34 (' || CASE WHEN {_EVEN} THEN '9th Cir. ' ELSE '' END || '1999).' AS text FROM orders, (VALUES ('docx'), ('odt'), ('rtf'), ('html')) v(k)"),
     "merge_editions": (merge_editions, "SELECT p_brand AS abbrev, CAST(1800 + min(p_size) AS INT) AS start, CAST(CASE WHEN max(p_size) >= 45 THEN -1 ELSE 1900 + max(p_size) END AS INT) AS \"end\", count(*) > 1 AS ambiguous FROM part GROUP BY p_brand"),
     "page_texts": (page_texts, _PAGE_TEXTS),
+    "spans_overlapping": (spans_overlapping, f"""SELECT o_orderkey, count(*) AS n, CAST(sum(least(c."end", l."end") - greatest(c.start, l.start)) AS BIGINT) AS places FROM (SELECT {_CLAIMS} FROM orders) c JOIN (SELECT {_LINES} FROM lineitem) l ON {_OVERLAP} GROUP BY o_orderkey"""),
+    "spans_overlapped": (spans_overlapped, f"""SELECT l_orderkey, l_linenumber, start, "end" FROM (SELECT {_LINES} FROM lineitem) l WHERE EXISTS (SELECT 1 FROM (SELECT {_CLAIMS} FROM orders) c WHERE {_OVERLAP})"""),
+    "spans_clear": (spans_clear, f"""SELECT l_orderkey, l_linenumber, start, "end" FROM (SELECT {_LINES} FROM lineitem) l WHERE NOT EXISTS (SELECT 1 FROM (SELECT {_CLAIMS} FROM orders) c WHERE {_OVERLAP})"""),
+    "spans_merged": (spans_merged, f"""
+WITH l AS (SELECT {_LINES} FROM lineitem), s AS (SELECT doc_id, start, "end" FROM l WHERE start < "end"),
+m AS (SELECT *, coalesce(start > max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS new FROM s),
+r AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS run FROM m)
+SELECT doc_id, min(start) AS start, max("end") AS "end" FROM r GROUP BY doc_id, run"""),
+    "reporter_suggestions": (reporter_suggestions, _SUGGESTED),
 }
 
 QUERIES = {k: q for k, (q, _) in EXTRACTION.items()} | {f"rule_{r.lower()}": _rule(r) for r in RULES} | {k: q for k, (q, _) in OTHERS.items()}

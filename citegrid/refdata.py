@@ -223,7 +223,9 @@ EDITION_SCHEMA = "abbrev string, name string, series string, start int, end int,
 
 
 def reporters(spark: SparkSession, table: DataFrame | None = None) -> DataFrame:
-    """Editions with position, squash and annotations; table: rows of EDITION_SCHEMA instead of the built-in set."""
+    """Editions with position, squash and annotations; table: rows of EDITION_SCHEMA instead of the listed or built-in set."""
+    if table is None and (both := listed(spark)):
+        table = both[0]
     if table is None:
         table = spark.createDataFrame([(*e, i) for i, e in enumerate(EDITIONS)], EDITION_SCHEMA + ", position int")
     elif "position" not in table.columns:
@@ -232,7 +234,9 @@ def reporters(spark: SparkSession, table: DataFrame | None = None) -> DataFrame:
 
 
 def variations(spark: SparkSession, table: DataFrame | None = None) -> DataFrame:
-    """(written, canonical), the local spellings before those of table."""
+    """(written, canonical), the local spellings before those of table, or of the listed set."""
+    if table is None and (both := listed(spark)):
+        table = both[1]
     own = spark.createDataFrame(list(VARIATIONS.items()), "written string, canonical string")
     if table is not None:
         own = own.unionByName(table.select("written", "canonical").join(own.select("written"), "written", "left_anti"))
@@ -249,6 +253,15 @@ JURISDICTIONS = {"federal": "federal", "state": "state", "neutral": "state", "st
 FAMILY_SCHEMA = "cite_type string, name string, editions map<string, struct<start: string, end: string>>, variations map<string, array<string>>"
 
 
+LIST_PATH, LIST_DIGEST = "spark.citegrid.reporters.path", "spark.citegrid.reporters.sha256"
+
+
+def listed(spark: SparkSession) -> tuple[DataFrame, DataFrame] | None:
+    """The published list that the session names, if it does: a path, and a digest that the file must have. All that asks for no table of its own then uses it."""
+    path = spark.conf.get(LIST_PATH, None)
+    return published_reporters(spark, path, spark.conf.get(LIST_DIGEST, None)) if path else None
+
+
 def published_reporters(spark: SparkSession, path: str, sha256: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(editions, spellings) from a published list of reporters, a JSON file: series -> families with cite_type, name, editions, variations.
 

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in "orders part documents pages".split():
+    for t in "orders lineitem part documents pages".split():
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return c
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import refdata
 from ..engine import Engine
 from ..functions import text as T
-from ..operators import annotate, extract, feedback, fix, reports, rich, rules, spans, suggest
+from ..operators import annotate, extract, feedback, fix, reports, resolve, rich, rules, spans, suggest
 from ..sources import readers, writers
 from .graded import GRADED
 
@@ -401,6 +401,18 @@ def spans_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.merged(_span_tables(spark, sf_dir)[0])
 
 
+# order lines as citations of another tool
+_CITED_LINES = """l_orderkey AS doc_id, l_linenumber AS start, l_partkey, l_suppkey,
+CASE l_partkey % 7 WHEN 2 THEN 'id' WHEN 3 THEN 'short-form' WHEN 4 THEN 'supra' WHEN 6 THEN 'statute' ELSE 'case-reporter' END AS kind, l_partkey % 7 IN (1, 5) AND l_suppkey % 2 = 0 AS joined,
+CAST(l_suppkey % 3 AS STRING) AS volume, 'F.3d' AS canonical, CASE WHEN l_partkey % 7 = 4 THEN concat('MARK', l_suppkey % 4) WHEN l_suppkey % 5 > 0 THEN concat('Benchmark', l_suppkey % 3, ' v. Doe') END AS case_name,
+CASE WHEN l_partkey % 7 IN (0, 1, 5, 6) THEN concat(l_suppkey % 3, ' F.3d ', l_partkey) END AS own"""
+
+
+def resolved_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(f"SELECT {_CITED_LINES} FROM {{lines}}", lines=table(spark, sf_dir, "lineitem"))
+    return resolve.resolved(rows, ["start", "l_partkey", "l_suppkey"]).select("doc_id", "start", "l_partkey", "resource_key", "parallel_of")
+
+
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.html_pages(table(spark, sf_dir, "pages")).select("page_id", "text")
 
@@ -472,6 +484,20 @@ OTHERS = {
     "document_files": (document_files, f"SELECT o_orderkey || '.' || k AS path, k AS format, 'Held, <so> & {{thus}}:' || chr(10) || 'Ames v. Bell, 12 U.S. 34 (' || CASE WHEN {_EVEN} THEN '9th Cir. ' ELSE '' END || '1999).' AS text FROM orders, (VALUES ('docx'), ('odt'), ('rtf'), ('html')) v(k)"),
     "merge_editions": (merge_editions, "SELECT p_brand AS abbrev, CAST(1800 + min(p_size) AS INT) AS start, CAST(CASE WHEN max(p_size) >= 45 THEN -1 ELSE 1900 + max(p_size) END AS INT) AS \"end\", count(*) > 1 AS ambiguous FROM part GROUP BY p_brand"),
     "page_texts": (page_texts, _PAGE_TEXTS),
+    # one citation after the other, with the keys so far in a list
+    "resolved_rows": (resolved_rows, f"""
+WITH RECURSIVE c AS (SELECT {_CITED_LINES.replace("STRING", "VARCHAR")} FROM lineitem),
+d AS (SELECT doc_id, list({{'start': start, 'part': l_partkey, 'kind': kind, 'joined': joined, 'volume': volume, 'name': lower(case_name), 'own': own}} ORDER BY start, l_partkey, l_suppkey) AS r FROM c GROUP BY doc_id),
+s AS (SELECT doc_id, r, 0 AS i, CAST([] AS VARCHAR[]) AS keys, CAST([] AS INT[]) AS heads FROM d
+UNION ALL SELECT doc_id, r, i + 1, list_append(keys, CASE
+  WHEN i > 0 AND r[i + 1].joined THEN keys[list_last(list_filter(range(1, i + 1), lambda j: j = 1 OR NOT r[j].joined))]
+  WHEN r[i + 1].kind = 'id' THEN CASE WHEN i > 0 THEN keys[i] END
+  WHEN r[i + 1].kind = 'short-form' THEN keys[list_last(list_filter(range(1, i + 1), lambda j: r[j].kind = 'case-reporter' AND r[j].volume = r[i + 1].volume AND keys[j] IS NOT NULL))]
+  WHEN r[i + 1].kind = 'supra' THEN keys[list_last(list_filter(range(1, i + 1), lambda j: r[j].kind IN ('case-reporter', 'statute') AND contains(r[j].name, r[i + 1].name)))]
+  ELSE r[i + 1].own END),
+  list_append(heads, CASE WHEN i > 0 AND r[i + 1].joined THEN CAST(list_last(list_filter(range(1, i + 1), lambda j: j = 1 OR NOT r[j].joined)) - 1 AS INT) END)
+  FROM s WHERE i < len(r))
+SELECT doc_id, u.start AS start, u.part AS l_partkey, u.key AS resource_key, u.head AS parallel_of FROM (SELECT doc_id, unnest([{{'start': r[j].start, 'part': r[j].part, 'key': keys[j], 'head': heads[j]}} FOR j IN range(1, len(r) + 1)]) AS u FROM s WHERE i = len(r))"""),
     "spans_overlapping": (spans_overlapping, f"""SELECT o_orderkey, count(*) AS n, CAST(sum(least(c."end", l."end") - greatest(c.start, l.start)) AS BIGINT) AS places FROM (SELECT {_CLAIMS} FROM orders) c JOIN (SELECT {_LINES} FROM lineitem) l ON {_OVERLAP} GROUP BY o_orderkey"""),
     "spans_overlapped": (spans_overlapped, f"""SELECT l_orderkey, l_linenumber, start, "end" FROM (SELECT {_LINES} FROM lineitem) l WHERE EXISTS (SELECT 1 FROM (SELECT {_CLAIMS} FROM orders) c WHERE {_OVERLAP})"""),
     "spans_clear": (spans_clear, f"""SELECT l_orderkey, l_linenumber, start, "end" FROM (SELECT {_LINES} FROM lineitem) l WHERE NOT EXISTS (SELECT 1 FROM (SELECT {_CLAIMS} FROM orders) c WHERE {_OVERLAP})"""),

@@ -6,7 +6,7 @@ import random
 import pytest
 from citegrid import refdata
 from citegrid.engine import Engine
-from citegrid.operators import extract, rules, spans, suggest
+from citegrid.operators import extract, resolve, rules, spans, suggest
 from pyspark.sql import functions as F
 
 
@@ -127,3 +127,48 @@ def test_a_list_that_the_session_names(spark, tmp_path):
         spark.conf.unset(refdata.LIST_PATH)
         spark.conf.unset(refdata.LIST_DIGEST)
     assert rules.selected(["RP002"]) == ["RP002"]
+
+
+def briefs(n, seed=8):
+    r = random.Random(seed)
+    full = lambda: f"{r.choice(['Ames', 'Cole', 'Eads', 'Ames'])} v. {r.choice(['Bell', 'Dunn', 'Foss Corp.'])}, {r.randrange(1, 4)} {r.choice(['U.S.', 'F.3d', 'F. Supp. 2d'])} {r.randrange(1, 5)}00"
+    part = {
+        "full": lambda: full() + f" ({r.randrange(1990, 2015)})",
+        "parallel": lambda: full() + f", {r.randrange(1, 4)} S. Ct. {r.randrange(100, 104)}, 1999 WL {r.randrange(9)} (1999)",
+        "bare": lambda: f"{r.randrange(1, 4)} {r.choice(['U.S.', 'F.3d'])} {r.randrange(1, 5)}00",
+        "id": lambda: r.choice(["Id.", "Id. at 5", "Id., 2 F.3d 300", "Id. at 7, 3 U.S. 100"]),
+        "short": lambda: f"{r.choice(['Ames, ', ''])}{r.randrange(1, 4)} {r.choice(['U.S.', 'F.3d', 'S. Ct.'])} at {r.randrange(100, 300)}" + r.choice(["", ", 1 U.S. 200"]),
+        "supra": lambda: r.choice(["Ames, supra", "See Dunn, supra", "Nobody, supra", "supra", "Cole v. Foss, supra", "ames, supra"]),
+        "statute": lambda: f"{r.randrange(1, 3)} U.S.C. § {r.randrange(1, 9)}",
+        "neutral": lambda: f"2013 IL App (1st) {r.randrange(100000, 100004)}",
+    }
+    kinds = [*part, "id", "short", "full"]
+    return [(i if i else None, ". ".join(part[r.choice(kinds)]() for _ in range(r.randrange(1, 14))) + ".") for i in range(n)]
+
+
+def test_resolution_on_tables_equals_the_parser(spark):
+    rows = briefs(150)
+    cites = extract.citations(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("want", F.struct("resource_key", "parallel_of")).drop("resource_key", "parallel_of")
+    cites = cites.withColumns({"joined": F.col("want.parallel_of").isNotNull(), "own": resolve.own_key(), "at": F.lit("x"), "to": F.lit(1), "doc": F.lit(2), "key": F.lit(3)})
+    got = resolve.resolved(cites).collect()
+    assert len(got) > 500 and {"id", "short-form", "supra", "statute", "neutral", "database", "case-reporter"} == {r.kind for r in got}
+    for r in got:
+        assert (r.resource_key, r.parallel_of) == tuple(r.want), (dict(rows)[r.doc_id], r.start, r.kind)
+    assert sum(r.resource_key is None for r in got) > 30 and sum(r.kind == "short-form" and r.resource_key is not None for r in got) > 30
+
+
+def test_resolution_across_parts_of_a_document(spark):
+    """The second part takes its authorities from the first."""
+    parts = [(7, 0, "Ames v. Bell, 12 F.3d 34 (1999); Cole v. Dunn, 3 U.S. 100 (1990)."), (7, 1, "Id. at 101. 12 F.3d at 36; Ames, supra."), (8, 1, "Id. at 5.")]
+    cut = spark.createDataFrame([(10 * d + p, t) for d, p, t in parts], "doc_id long, text string")
+    rows = extract.citations(cut).drop("resource_key").withColumns({"part": F.col("doc_id") % 10, "doc_id": F.floor(F.col("doc_id") / 10), "joined": F.col("parallel_of").isNotNull(), "own": resolve.own_key()})
+    got = {(r.doc_id, r.part, r.idx): r.resource_key for r in resolve.resolved(rows, ["part", "start"]).collect()}
+    assert got == {(7, 0, 0): "12 F.3d 34", (7, 0, 1): "3 U.S. 100", (7, 1, 0): "3 U.S. 100", (7, 1, 1): "12 F.3d 34", (7, 1, 2): "12 F.3d 34", (8, 1, 0): None}
+    assert resolve.resolved(rows.limit(0), ["part", "start"]).count() == 0
+
+
+def test_long_chains_are_followed_in_few_rounds(spark):
+    """A thousand times id. after one citation."""
+    rows = [(1, 0, "case-reporter", "1 F.3d 2")] + [(1, i, "id", None) for i in range(1, 1000)]
+    df = spark.createDataFrame(rows, "doc_id long, start int, kind string, own string").withColumns({"joined": F.lit(None).cast("boolean"), "volume": F.lit("1"), "canonical": F.lit("F.3d"), "case_name": F.lit(None).cast("string")})
+    assert {r.resource_key for r in resolve.resolved(df).collect()} == {"1 F.3d 2"}

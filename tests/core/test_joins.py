@@ -2,11 +2,12 @@
 
 import json
 import random
+import time
 
 import pytest
 from citegrid import refdata
 from citegrid.engine import Engine
-from citegrid.operators import extract, resolve, rules, spans, suggest
+from citegrid.operators import extract, lookup, resolve, rules, spans, suggest
 from pyspark.sql import functions as F
 
 
@@ -172,3 +173,60 @@ def test_long_chains_are_followed_in_few_rounds(spark):
     rows = [(1, 0, "case-reporter", "1 F.3d 2")] + [(1, i, "id", None) for i in range(1, 1000)]
     df = spark.createDataFrame(rows, "doc_id long, start int, kind string, own string").withColumns({"joined": F.lit(None).cast("boolean"), "volume": F.lit("1"), "canonical": F.lit("F.3d"), "case_name": F.lit(None).cast("string")})
     assert {r.resource_key for r in resolve.resolved(df).collect()} == {"1 F.3d 2"}
+
+
+def double(log):
+    """A client that writes down each request; keys of one kind fail, others are absent or known."""
+
+    def ask(key):
+        with open(log, "a") as f:
+            f.write(f"{time.time()} {key}\n")
+        if "down" in key:
+            raise OSError("no route")
+        if "busy" in key:
+            return 429, []
+        if "gone" in key:
+            return 404, []
+        return 200, [{"case_name": f"Ames v. {key}", "year": 1990, "court_id": "scotus", "url": None, "more": 1}]
+
+    return ask
+
+
+def test_lookups_ask_each_key_once(spark, tmp_path):
+    log, store = tmp_path / "log", str(tmp_path / "store")
+    asked = lambda: [x.split(" ", 1)[1] for x in log.read_text().splitlines()]
+    keys = spark.createDataFrame([(k,) for k in ["a", "b", "a", "gone", "busy", "down", None, "a"]], "key string")
+    rate = {"most": 1000, "seconds": 1.0, "lanes": 3}
+    got = {r.key: (r.status, [c.case_name for c in r.clusters]) for r in lookup.answers(keys, double(log), store, run="one", **rate).collect()}
+    assert got == {"a": (200, ["Ames v. a"]), "b": (200, ["Ames v. b"]), "gone": (404, []), "busy": (429, []), "down": (0, [])}
+    assert sorted(asked()) == ["a", "b", "busy", "down", "gone"]
+    again = {r.key: r.status for r in lookup.answers(keys, double(log), store, run="two", **rate).collect()}
+    assert again == {k: s for k, (s, _) in got.items()} and sorted(asked()[5:]) == ["busy", "down"]  # failures alone were not kept
+    more = keys.union(spark.createDataFrame([("c",)], "key string"))
+    for _ in range(2):  # a run that is repeated leaves one answer
+        lookup.answers(more, double(log), store, run="three", **rate).collect()
+    assert sorted(r.key for r in lookup.kept_answers(spark, store).collect()) == ["a", "b", "c", "gone"] and asked().count("c") == 1
+    n = len(asked())
+    assert lookup.answers(keys.limit(0), double(log), store, **rate).count() == 0 and len(asked()) == n
+
+
+def test_lookups_keep_their_rate_and_lose_patience(spark, tmp_path):
+    log = tmp_path / "log"
+    keys = spark.range(24).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
+    lookup.answers(keys, double(log), str(tmp_path / "store"), most=6, seconds=0.5, lanes=2).collect()
+    at = sorted(float(x.split()[0]) for x in log.read_text().splitlines())
+    assert len(at) == 24 and max(sum(t <= x < t + 0.5 for x in at) for t in at) <= 6
+    log.write_text("")
+    busy = keys.select(F.concat(F.lit("busy"), "key").alias("key"))
+    got = lookup.answers(busy, double(log), str(tmp_path / "other"), most=1000, seconds=1.0, lanes=1, patience=3).collect()
+    assert sorted((r.status is None) for r in got) == [False] * 3 + [True] * 21 and len(log.read_text().splitlines()) == 3
+
+
+def test_lookups_drive_the_rules(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Ames v. Bell, 1 U.S. 100 (1990). Id. Cole v. Dunn, 2 U.S. 200 (1990)."), (2, "Zeta v. Omega, 1 U.S. 100 (1990). X v. Y, 3 U.S. 300 (1990).")], "doc_id long, text string")
+    cites = Engine().citations(docs)
+    assert sorted(r.key for r in lookup.wanted_keys(cites, 1).collect()) == ["1 U.S. 100"]
+    answer = lambda key: (404, []) if key.startswith("2") else (503, []) if key.startswith("3") else (200, [{"case_name": "Ames v. Bell", "year": 1990}])
+    found = lookup.lookups(cites, answer, str(tmp_path / "store"), most=1000, seconds=1.0)
+    engine = Engine(enable=["VF001", "VF002", "VF003", "VF004"], lookups=found)
+    assert sorted((r.doc_id, r.rule_id, r.start) for r in engine.check(docs).collect()) == [(1, "VF001", 51), (2, "VF003", 15)]

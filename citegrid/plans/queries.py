@@ -14,6 +14,7 @@ from ..engine import Engine
 from ..functions import text as T
 from ..operators import annotate, extract, feedback, fix, reports, resolve, rich, rules, spans, suggest
 from ..sources import readers, writers
+from ..stored import folder
 from .graded import GRADED
 
 Y = "year(o_orderdate)"
@@ -413,6 +414,15 @@ def resolved_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.resolved(rows, ["start", "l_partkey", "l_suppkey"]).select("doc_id", "start", "l_partkey", "resource_key", "parallel_of")
 
 
+def imported_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page as a file at two paths: read once, the second time from the store."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("content"))
+    files = pages.withColumn("path", F.explode(F.array(F.format_string("a/%d.html", "page_id"), F.format_string("b/%d.HTM", "page_id")))).select("path", "content")
+    store = folder(spark)
+    readers.imported_once(files.filter(F.startswith("path", F.lit("a"))), store, run="first")
+    return readers.imported_once(files, store, run="second").select("path", "format", "text")
+
+
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.html_pages(table(spark, sf_dir, "pages")).select("page_id", "text")
 
@@ -484,6 +494,7 @@ OTHERS = {
     "document_files": (document_files, f"SELECT o_orderkey || '.' || k AS path, k AS format, 'Held, <so> & {{thus}}:' || chr(10) || 'Ames v. Bell, 12 U.S. 34 (' || CASE WHEN {_EVEN} THEN '9th Cir. ' ELSE '' END || '1999).' AS text FROM orders, (VALUES ('docx'), ('odt'), ('rtf'), ('html')) v(k)"),
     "merge_editions": (merge_editions, "SELECT p_brand AS abbrev, CAST(1800 + min(p_size) AS INT) AS start, CAST(CASE WHEN max(p_size) >= 45 THEN -1 ELSE 1900 + max(p_size) END AS INT) AS \"end\", count(*) > 1 AS ambiguous FROM part GROUP BY p_brand"),
     "page_texts": (page_texts, _PAGE_TEXTS),
+    "imported_pages": (imported_pages, f"SELECT replace(k, '%', CAST(page_id AS VARCHAR)) AS path, 'html' AS format, text FROM ({_PAGE_TEXTS}), (VALUES ('a/%.html'), ('b/%.HTM')) v(k)"),
     # one citation after the other, with the keys so far in a list
     "resolved_rows": (resolved_rows, f"""
 WITH RECURSIVE c AS (SELECT {_CITED_LINES.replace("STRING", "VARCHAR")} FROM lineitem),

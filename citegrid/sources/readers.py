@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import re
+import uuid
 import zipfile
 from collections.abc import Callable
 from html.parser import HTMLParser
@@ -12,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..stored import stored
+
 MAX_BYTES = 100 << 20
 LEAST_PAGE_CHARS = 100
 PdfPages = Callable[[bytes], list[str]]
@@ -276,6 +279,47 @@ def distinct_contents(files: DataFrame) -> DataFrame:
     return keyed.groupBy("digest").agg(F.min("path").alias("path"), F.array_sort(F.collect_list("path")).alias("paths"))
 
 
+KEPT = "digest string, named string, settings string, format string, text string, error string, warning string"
+READ_AS = "1"  # to be raised when a reader gives another text for the same file
+
+
+def imported_once(files: DataFrame, store: str, pdf: PdfPages | None = None, ocr: PageReader | None = None, mode: str = "auto", settings: str = "", run: str | None = None) -> DataFrame:
+    """(path, content) -> path, digest, format, text, error, warning, as imported() gives them, each different content read once, over all runs.
+
+    The store is a folder that is keyed by the content's digest, by what the path says of the
+    format (named: only "html" matters) and by the settings: READ_AS, mode, the names of pdf and
+    ocr, and what the caller adds of its own (a version of an extractor). What it has is not read
+    again; what is new is written as the part `run`, which a repeated run replaces. Of files with
+    equal content that with the smallest path is read; texts then go to all their paths. Files that cannot be read
+    are kept with their reason, too. Null contents are empty files; rows that repeat a path and content
+    count as they stand (and are read each, where theirs is the path that is read).
+    """
+    spark = files.sparkSession
+    names = [getattr(f, "__qualname__", type(f).__name__) if f else "" for f in (pdf, ocr)]
+    how = "|".join([READ_AS, mode, *names, settings])
+    html = F.when(F.lower("path").rlike(r"\.html?$"), "html").otherwise("")
+    content = F.coalesce("content", F.lit(b""))
+    known = stored(files.select("path", F.sha2(content, 256).alias("digest"), html.alias("named")))
+    kept = stored(_kept_texts(spark, store).filter(F.col("settings") == how).join(known.select("digest", "named").distinct(), ["digest", "named"], "left_semi"))
+    first = known.groupBy("digest", "named").agg(F.min("path").alias("_path")).join(kept, ["digest", "named"], "left_anti")
+    # contents move only where the paths to be read are too many for a broadcast
+    chosen = files.select("path", "content", F.sha2(content, 256).alias("_digest")).join(first.select("_path", F.col("digest").alias("_first")), (F.col("path") == F.col("_path")) & (F.col("_digest") == F.col("_first")), "left_semi")
+    read = imported(chosen.select("path", "content"), pdf, ocr, mode).groupBy("path").agg(F.first(F.struct("format", "text", "error", "warning")).alias("x"))
+    fresh = stored(first.join(read, first["_path"] == read["path"]).select("digest", "named", F.lit(how).alias("settings"), "x.*"))
+    if fresh.limit(1).count():
+        fresh.write.mode("overwrite").parquet(f"{store.rstrip('/')}/run={run or uuid.uuid4().hex}")
+    texts = kept.unionByName(fresh).drop("settings")
+    return known.join(texts, ["digest", "named"]).select("path", "digest", "format", "text", "error", "warning")
+
+
+def _kept_texts(spark: SparkSession, store: str) -> DataFrame:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], KEPT)
+    rows = spark.read.schema(f"{KEPT}, run string").option("basePath", store).parquet(store)
+    return rows.groupBy("digest", "named", "settings").agg(F.first(F.struct("format", "text", "error", "warning")).alias("x")).select("digest", "named", "settings", "x.*")
+
+
 def html_pages(pages: DataFrame) -> DataFrame:
     """(page_id, html) -> page_id, text."""
 

@@ -1,5 +1,6 @@
 """Joins of spans, suggestions and resolution on tables, each against a plain version."""
 
+import hashlib
 import json
 import random
 import time
@@ -8,6 +9,7 @@ import pytest
 from citegrid import refdata
 from citegrid.engine import Engine
 from citegrid.operators import extract, lookup, resolve, rules, spans, suggest
+from citegrid.sources import readers
 from pyspark.sql import functions as F
 
 
@@ -230,3 +232,31 @@ def test_lookups_drive_the_rules(spark, tmp_path):
     found = lookup.lookups(cites, answer, str(tmp_path / "store"), most=1000, seconds=1.0)
     engine = Engine(enable=["VF001", "VF002", "VF003", "VF004"], lookups=found)
     assert sorted((r.doc_id, r.rule_id, r.start) for r in engine.check(docs).collect()) == [(1, "VF001", 51), (2, "VF003", 15)]
+
+
+def test_contents_are_read_once(spark, tmp_path):
+    log = tmp_path / "log"
+
+    def pages(data):
+        with open(log, "a") as f:
+            f.write(f"{data!r}\n")
+        if b"bad" in data:
+            raise ValueError("broken")
+        return [f"page of {len(data)}"]
+
+    reads = lambda: len(log.read_text().splitlines()) if log.exists() else 0
+    rows = [(f"{i}.pdf", bytearray(b"%PDF-1 " + b"x" * (i % 3))) for i in range(30)] + [("bad.pdf", bytearray(b"%PDF-bad")), ("bad2.pdf", bytearray(b"%PDF-bad")), ("t.txt", bytearray(b"<p>a</p>")), ("t.html", bytearray(b"<p>a</p>")), ("none", None), ("0.pdf", bytearray(b"%PDF-1 "))]
+    files = spark.createDataFrame(rows, "path string, content binary").withColumns({"digest": F.lit("d"), "named": F.lit(1)})
+    store = str(tmp_path / "store")
+    plain = lambda rows: sorted((r.path, r.format, r.text, r.error) for r in rows)
+    want = plain(readers.imported(files, pages).collect())
+    n = reads()
+    got = readers.imported_once(files, store, pages, run="one")
+    assert plain(got.collect()) == want and reads() - n == 5  # three contents, one of them in two rows of one path, and a broken one
+    assert {r.digest for r in got.collect()} == {hashlib.sha256(bytes(c or b"")).hexdigest() for _, c in rows}
+    n = reads()
+    more = files.unionByName(spark.createDataFrame([("new.pdf", bytearray(b"%PDF-new"))], "path string, content binary").withColumns({"digest": F.lit("d"), "named": F.lit(1)}))
+    assert len(plain(readers.imported_once(more, store, pages, run="two").collect())) == len(want) + 1 and reads() - n == 1
+    n = reads()
+    assert plain(readers.imported_once(files, store, pages, settings="v2", run="three").collect()) == want and reads() - n == 5  # other settings, other texts
+    assert readers.imported_once(files.limit(0), store, pages).count() == 0

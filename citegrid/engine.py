@@ -13,7 +13,7 @@ from .operators import extract, fix, rules, suggest
 @dataclass
 class Engine:
     """Tables given here replace the built-in ones; with join_suggestions misspelled reporters meet them by a join over the distinct ones
-    of all documents, instead of once in each task (for large tables, or very many different misspellings); authorities, or answers to lookups, turn the VF rules on; notices tell what was left out of a check."""
+    of all documents, instead of once in each task (for large tables, or very many different misspellings); with isolated what fails as it runs is left out, too (see rules.run_rules); authorities, or answers to lookups, turn the VF rules on; notices tell what was left out of a check."""
 
     profile: rules.Profile = field(default_factory=rules.Profile)
     enable: list[str] | None = None
@@ -21,6 +21,7 @@ class Engine:
     authorities: DataFrame | None = None
     lookups: DataFrame | None = None
     join_suggestions: bool = False
+    isolated: bool = False
     editions: DataFrame | None = None
     spellings: DataFrame | None = None
     custom: list[rules.Custom] = field(default_factory=list)
@@ -35,7 +36,7 @@ class Engine:
             cites = self.citations(docs, "tokens" if shapes and self.join_suggestions else shapes, refused=True)
             if shapes and self.join_suggestions:
                 cites = suggest.with_suggestions(cites, self.editions, self.spellings, self.editions is not None or refdata.listed(docs.sparkSession) is not None)
-        return rules.run_rules(cites, self.profile, self.authorities, self.enable, self.disable, self.editions, self.spellings, self.custom, self.notices, self.lookups)
+        return rules.run_rules(cites, self.profile, self.authorities, self.enable, self.disable, self.editions, self.spellings, self.custom, self.notices, self.lookups, self.isolated)
 
     def fix(self, docs: DataFrame, unsafe: bool = False) -> DataFrame:
         return fix.fixed(docs, self.check(docs), unsafe)

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import refdata
 from ..functions import text as T
+from ..stored import stored
 from .annotate import MAX_LOOKUPS, looked_up
 from .extract import MAX_CHARS
 
@@ -233,7 +235,42 @@ def selected(enable: list[str] | None = None, disable: list[str] | None = None,
     return [r for r, _ in REGISTRY if r in on and (verification or not r.startswith("VF"))]
 
 
-Custom = Callable[[DataFrame], DataFrame]
+@dataclass(frozen=True)
+class DocumentRule:
+    """A rule of the caller's in Python: the citations of a document in order (dicts by their columns) -> findings (dicts by those of FINDING; what is left out is null).
+
+    If it raises on a document, that document gets a finding of the rule that says so, at 0 to 0; all others keep theirs.
+    """
+
+    rule_id: str
+    check: Callable[[list[dict]], Iterable[dict]]
+
+    def findings(self, cites: list[dict]) -> list[dict]:
+        try:
+            found = [{"rule_id": self.rule_id, "severity": "warning"} | f for f in self.check(cites)]
+            pa.array(found, _PLAIN)  # a finding of wrong types is a failure of this document, not of the job
+            return found
+        except Exception as e:  # noqa: BLE001 - a rule of the caller's may raise anything
+            return [{"rule_id": self.rule_id, "severity": "error", "message": f"The rule failed on this document: {type(e).__name__}: {ascii(str(e))[:200]}", "start": 0, "end": 0}]
+
+
+_FIELDS = [x.split() for x in FINDING.split(", ")]
+_PLAIN = pa.struct([(n, pa.int32() if k == "int" else pa.string()) for n, k in _FIELDS])
+
+
+def by_document(cites: DataFrame, rules: list[DocumentRule]) -> DataFrame:
+    """Findings (doc_id and FINDING) of rules that see a document at a time: its citations, not its text, are brought together, once for all rules."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.sort_by("idx").to_pylist()
+        found = [f for rule in rules for f in rule.findings(rows)]
+        doc = pa.array([rows[0]["doc_id"]] * len(found), pa.int64())
+        return pa.table([doc, *(pa.array([f.get(n) for f in found], _PLAIN.field(n).type) for n, _ in _FIELDS)], names=["doc_id", *(n for n, _ in _FIELDS)])
+
+    return cites.groupBy("doc_id").applyInArrow(run, f"doc_id long, {FINDING}")
+
+
+Custom = Callable[[DataFrame], DataFrame] | DocumentRule
 _NONE = f"array<struct<{FINDING.replace(' ', ':').replace(',:', ',')}>>"
 
 
@@ -243,16 +280,21 @@ def refusals() -> Column:
     return F.when(F.col("kind") == "refused", F.array(_finding("INPUT", "error", say)))
 
 
-def run_rules(cites: DataFrame, profile: Profile | None = None, authorities: DataFrame | None = None, enable=None, disable=None, editions: DataFrame | None = None, spellings: DataFrame | None = None, custom: list[Custom] = (), notices: list[str] | None = None, lookups: DataFrame | None = None) -> DataFrame:
+def run_rules(cites: DataFrame, profile: Profile | None = None, authorities: DataFrame | None = None, enable=None, disable=None, editions: DataFrame | None = None, spellings: DataFrame | None = None, custom: list[Custom] = (), notices: list[str] | None = None, lookups: DataFrame | None = None, isolated: bool = False) -> DataFrame:
     """Findings (doc_id and FINDING) of all chosen rules, in one projection over the parsed rows. Order them with ordered().
 
     A custom rule that cannot be planned, or a table of authorities that cannot be joined, is left
     out and told in notices; the other rules run. Texts that were refused give a finding INPUT.
-    No rule chosen gives no findings but those.
+    No rule chosen gives no findings but those. A DocumentRule that raises tells so for the document
+    alone. With isolated the citations are written first, then the findings of each part (the rules
+    here, verification, each rule of the caller's), so that what fails only as it runs is left out
+    and told as well, and texts are parsed once.
     """
+    if isolated:
+        cites = stored(cites)
     spark, profile, notices = cites.sparkSession, profile or Profile(), notices if notices is not None else []
     on = selected(enable, disable, authorities is not None or lookups is not None)
-    own = bound(enriched(cites, refdata.reporters(spark, editions), refdata.courts(spark), set(on)), set(on))
+    own = plain = bound(enriched(cites, refdata.reporters(spark, editions), refdata.courts(spark), set(on)), set(on))
     columns = row_rules(profile)
     if any(r.startswith("VF") for r in on):
         try:
@@ -261,10 +303,22 @@ def run_rules(cites: DataFrame, profile: Profile | None = None, authorities: Dat
             notices.append(f"authorities were not checked: {e.getCondition()}")
     arrays = [F.coalesce(x, F.array().cast(_NONE)).cast(_NONE) for x in [refusals(), *(columns[r] for r in on if r in columns)]]
     # a projection of its own is compiled; inside the generator the same expression would be interpreted
-    out = own.select("doc_id", F.concat(*arrays).alias("_all")).select("doc_id", F.explode("_all").alias("f")).select("doc_id", "f.*")
-    for i, rule in enumerate(custom):
+    one = lambda df, arrays: df.select("doc_id", F.concat(*arrays).alias("_all")).select("doc_id", F.explode("_all").alias("f")).select("doc_id", "f.*")
+    if isolated and own is not plain:
+        out = stored(one(plain, [a for a, r in zip(arrays, ["", *(r for r in on if r in columns)], strict=True) if not r.startswith("VF")]))
+        try:
+            out = out.unionByName(stored(one(own, [a for a, r in zip(arrays[1:], (r for r in on if r in columns), strict=True) if r.startswith("VF")])))
+        except Exception as e:  # noqa: BLE001 - whatever stops the table of authorities must not stop the rules
+            notices.append(f"authorities were not checked: {type(e).__name__}: {str(e)[:200]}")
+    else:
+        out = stored(one(own, arrays)) if isolated else one(own, arrays)
+    seen = plain.filter("kind not in ('unknown', 'refused')")
+    if by_doc := [r for r in custom if isinstance(r, DocumentRule)]:
+        out = out.unionByName(by_document(cites.filter("kind not in ('unknown', 'refused')"), by_doc))
+    for i, rule in enumerate(r for r in custom if not isinstance(r, DocumentRule)):
         try:
-            out = out.unionByName(rule(own.filter("kind not in ('unknown', 'refused')")).select("doc_id", *[x.split()[0] for x in FINDING.split(", ")]))
+            found = rule(seen).select("doc_id", *[x.split()[0] for x in FINDING.split(", ")])
+            out = out.unionByName(stored(found) if isolated else found)
         except Exception as e:  # noqa: BLE001 - a rule of the caller's may raise anything
             notices.append(f"rule {getattr(rule, '__name__', i)} was skipped: {type(e).__name__}: {str(e)[:200]}")
     return out

@@ -260,3 +260,39 @@ def test_contents_are_read_once(spark, tmp_path):
     n = reads()
     assert plain(readers.imported_once(files, store, pages, settings="v2", run="three").collect()) == want and reads() - n == 5  # other settings, other texts
     assert readers.imported_once(files.limit(0), store, pages).count() == 0
+
+
+def test_a_rule_that_fails_on_one_document(spark):
+    docs = spark.range(400, 650).select(F.col("id").alias("doc_id"), F.concat(F.lit("Id. at 5. Ames v. Bell, "), (F.col("id") + 1).cast("string"), F.lit(" F.3d 34 (9th Cir. 1999).")).alias("text"))
+
+    def odd(cites):
+        if cites[1]["volume"] == "500":
+            raise KeyError("volume 500")
+        if cites[1]["volume"] == "600":
+            return [{"message": 5, "start": "x"}]
+        return [{"message": f"{len(cites)} citations", "start": c["start"], "end": c["end"], "citation_text": c["text"]} for c in cites if c["kind"] == "case-reporter"]
+
+    for isolated in (False, True):
+        found = Engine(enable=["ST001"], custom=[rules.DocumentRule("X1", odd)], isolated=isolated).check(docs).collect()
+        assert sum(r.rule_id == "ST001" for r in found) == 250
+        own = {r.doc_id: r for r in found if r.rule_id == "X1"}
+        assert len(own) == 250 and {d for d, r in own.items() if r.severity == "error"} == {499, 599}
+        assert "KeyError" in own[499].message and own[403].message == "2 citations" and own[403].citation_text == "404 F.3d 34"
+
+
+def test_what_fails_as_it_runs_is_left_out(spark):
+    docs = spark.createDataFrame([(1, "Id. at 5. Ames v. Bell, 12 U.S. 34 (1999)."), (2, "12 U.S. 35")], "doc_id long, text string")
+
+    def late(cites):
+        return cites.select("doc_id", *[F.when(F.col("doc_id") == 2, F.raise_error(F.lit("late"))).otherwise(F.lit(None)).cast(k).alias(n) for n, k in (x.split() for x in rules.FINDING.split(", "))])
+
+    def sound(cites):
+        return cites.filter("kind = 'id'").select("doc_id", *[F.lit("X2" if n == "rule_id" else None).cast(k).alias(n) for n, k in (x.split() for x in rules.FINDING.split(", "))])
+
+    broken = spark.createDataFrame([("12 U.S. 34", "Ames v. Bell", 1999)], "key string, case_name string, year int").withColumns({"court_id": F.lit("scotus"), "url": F.raise_error(F.lit("table is gone")).cast("string")})
+    engine = Engine(enable=["ST001", "VF001"], authorities=broken, custom=[late, sound], isolated=True)
+    assert sorted(r.rule_id for r in engine.check(docs).collect()) == ["ST001", "X2"]
+    assert len(engine.notices) == 2 and "authorities were not checked" in engine.notices[0] and "late" in engine.notices[1]
+    fine = Engine(enable=["ST001", "VF001"], authorities=broken.withColumn("url", F.lit("u")), isolated=True)
+    plain = Engine(enable=["ST001", "VF001"], authorities=broken.withColumn("url", F.lit("u")))
+    assert sorted(map(repr, fine.check(docs).collect())) == sorted(map(repr, plain.check(docs).collect())) and not fine.notices

@@ -14,7 +14,7 @@ from ..engine import Engine
 from ..functions import text as T
 from ..operators import annotate, extract, feedback, fix, reports, resolve, rich, rules, spans, suggest
 from ..sources import readers, writers
-from ..stored import folder
+from ..stored import folder, stored
 from .graded import GRADED
 
 Y = "year(o_orderdate)"
@@ -183,7 +183,7 @@ def findings_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _reported(docs: DataFrame, engine: Engine, annotations: DataFrame | None = None) -> DataFrame:
-    cites = engine.citations(docs, shapes=True, refused=True)
+    cites = stored(engine.citations(docs, shapes=True, refused=True))  # counts and findings both read them: texts are parsed once
     return reports.reported(docs.select("doc_id", F.concat(F.lit("brief "), F.col("doc_id").cast("string")).alias("name")), cites, engine.check(docs, cites), annotations)
 
 

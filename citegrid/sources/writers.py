@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import html_escape
-from ..operators.rich import rich_html
+from ..operators.rich import TAGS, rich_html
 
 FORMATS = {"txt": "text/plain", "md": "text/markdown", "html": "text/html", "rtf": "application/rtf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "odt": "application/vnd.oasis.opendocument.text", "pdf": "application/pdf"}
 # made by operators.reports from findings, not from texts
@@ -68,6 +68,19 @@ def html_page(text: Column) -> Column:
     return F.concat(F.lit(_HEAD), F.array_join(lines, "\n"), F.lit(_FOOT))
 
 
+def html_document(text: str, comments: list[Comment] = (), marks: list[Mark] = ()) -> bytes:
+    """The page that rich_page gives, made outside the JVM. It has no comments."""
+
+    def made(x: str, ink: tuple[str, ...]) -> str:
+        x = escape(x, {'"': "&quot;"})
+        for m in reversed(ink):
+            x = f"<{TAGS[m]}>{x}</{TAGS[m]}>"
+        return x
+
+    lines = "\n".join("<p>" + "".join(made(x, ink) for _, x, ink in line) + "</p>" for line in paragraphs(text, [], marks))
+    return f"{_HEAD}{lines}{_FOOT}".encode()
+
+
 _RTF_MARKS = {"bold": "\\b", "italic": "\\i", "underline": "\\ul"}
 
 
@@ -234,7 +247,7 @@ def pdf_document(text: str, comments: list[Comment] = (), marks: list[Mark] = ()
 
 
 _MARKS = "array<struct<mark:string,start:int,end:int>>"
-_MAKERS = {"rtf": rtf_document, "docx": docx_document, "odt": odt_document, "pdf": pdf_document}
+MAKERS = {"html": html_document, "rtf": rtf_document, "docx": docx_document, "odt": odt_document, "pdf": pdf_document}
 
 
 def exported(docs: DataFrame, kind: str, comments: DataFrame | None = None) -> DataFrame:
@@ -249,13 +262,15 @@ def exported(docs: DataFrame, kind: str, comments: DataFrame | None = None) -> D
     if kind == "html":
         page = rich_page(F.col("text"), ink) if "marks" in docs.columns else html_page(F.col("text"))
         return docs.select("doc_id", page.cast("binary").alias("content"))
-    make = _MAKERS[kind]
+    make = MAKERS[kind]
 
     @F.pandas_udf("binary")
     def content(texts, notes, marks):
         rows = zip(texts, notes, marks, strict=True)
-        return pd.Series([None if t is None else make(t, [(c["s"], c["e"], c["b"]) for c in n] if n is not None else [], [(m["mark"], m["start"], m["end"]) for m in k if m is not None] if k is not None else []) for t, n, k in rows], dtype=object)
+        return pd.Series([None if t is None else make(t, [(c["s"], c["e"], c["b"]) for c in n] if n is not None else [], [(m["mark"], m["start"], m["end"]) for m in k] if k is not None else []) for t, n, k in rows], dtype=object)
 
+    # a null beside whole numbers would make them floats on their way to Python
+    ink = F.filter(ink, lambda m: m["start"].isNotNull() & m["end"].isNotNull())
     docs = docs.select("doc_id", "text", ink.alias("marks"))
     if comments is not None and kind in COMMENTED:
         per = comments.filter("start is not null and end is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("s"), F.col("end").cast("int").alias("e"), F.coalesce("body", F.lit("")).alias("b")))).alias("_notes"))

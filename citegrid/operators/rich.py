@@ -9,6 +9,7 @@ from ..functions.text import html_escape, span_text
 from .fix import corrections, patch
 
 MARKS = "array<struct<mark:string,start:int,end:int>>"
+RUNS = "array<struct<text:string,marks:array<string>>>"
 TAGS = {"bold": "strong", "italic": "em", "underline": "u"}  # from the outside to the inside
 
 
@@ -110,3 +111,109 @@ def fixed_rich(docs: DataFrame, findings: DataFrame, unsafe: bool = False) -> Da
     per = corrections(findings, unsafe).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "replacement")).alias("fixes"))
     out = docs.select("doc_id", "text", F.col("marks").cast(MARKS).alias("marks")).join(per, "doc_id", "left").withColumn("p", patch(F.col("text"), F.col("fixes")))
     return out.select("doc_id", F.col("p.text").alias("text"), moved(F.col("text"), F.col("marks"), F.col("p.applied")).alias("marks"), "p.applied", "p.skipped", "p.changed")
+
+
+# The same text as runs: an array of (text, marks), the marks by name in order. Line breaks are characters of runs. Prefixes are
+# added up by a fold that copies its array, so runs are for thousands of pieces a document, not millions.
+_PLACED = "array<struct<text:string,marks:array<string>,start:int,end:int>>"
+
+
+def _run(text: Column, marks: Column) -> Column:
+    return F.struct(text.cast("string").alias("text"), marks.cast("array<string>").alias("marks"))
+
+
+def _names(marks: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.array_compact(F.coalesce(marks.cast("array<string>"), F.array().cast("array<string>")))))
+
+
+def merge_runs(runs: Column) -> Column:
+    """Runs without empty ones, neighbours of equal marks as one. Null runs and texts are left out, null marks are none."""
+    some = F.filter(F.coalesce(runs.cast(RUNS), F.array().cast(RUNS)), lambda r: F.coalesce(r["text"], F.lit("")) != "")
+
+    def step(acc: Column, r: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        joins = (F.size(acc) > 0) & (last["marks"] == r["marks"])
+        return F.when(joins, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(_run(F.concat(last["text"], r["text"]), r["marks"])))).otherwise(F.concat(acc, F.array(r))).cast(RUNS)
+
+    return F.aggregate(F.transform(some, lambda r: _run(r["text"], _names(r["marks"]))).cast(RUNS), F.array().cast(RUNS), step)
+
+
+def placed_runs(runs: Column) -> Column:
+    """Merged runs with start and end, their places in the text."""
+
+    def step(acc: Column, r: Column) -> Column:
+        at = F.coalesce(F.get(acc, F.size(acc) - 1)["end"], F.lit(0))
+        return F.concat(acc, F.array(F.struct(r["text"].alias("text"), r["marks"].alias("marks"), at.alias("start"), (at + F.length(r["text"])).alias("end")))).cast(_PLACED)
+
+    return F.aggregate(merge_runs(runs), F.array().cast(_PLACED), step)
+
+
+def runs_of(text: Column, marks: Column) -> Column:
+    """A text and marks on its spans as merged runs; an empty text has none, a null one gives null. Marks beyond the text end with it."""
+    size = F.length(text)
+
+    def cut(ms: Column) -> Column:
+        edges = F.filter(F.flatten(F.transform(ms, lambda m: F.array(m["start"], m["end"]))), lambda p: (F.lit(0) < p) & (p < size))
+        cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0), size), edges)))
+        inked = lambda a: F.transform(F.filter(ms, lambda m: (m["start"] <= a) & (a < m["end"])), lambda m: m["mark"])
+        return _bound(cuts, lambda c: F.transform(F.slice(c, 1, F.size(c) - 1), lambda a, i: _run(span_text(text, a, F.get(c, i + 1)), _names(inked(a)))))
+
+    return F.when(text.isNotNull(), merge_runs(_bound(merged(marks), cut)))
+
+
+def run_text(runs: Column) -> Column:
+    return F.array_join(F.transform(merge_runs(runs), lambda r: r["text"]), "")
+
+
+def run_marks(runs: Column) -> Column:
+    """Marks on spans of run_text(): with it, runs_of() gives the merged runs again, and loses nothing of merged marks."""
+    return merged(F.flatten(F.transform(placed_runs(runs), lambda r: F.transform(r["marks"], lambda m: _mark(m, r["start"], r["end"])))))
+
+
+def _sliced(placed: Column, start: Column, end: Column) -> Column:
+    inside = F.filter(placed, lambda r: (r["start"] < end) & (start < r["end"]))
+    return F.transform(inside, lambda r: _run(span_text(r["text"], F.greatest(start - r["start"], F.lit(0)), F.least(end, r["end"]) - r["start"]), r["marks"])).cast(RUNS)
+
+
+def slice_runs(runs: Column, start: Column, end: Column) -> Column:
+    """The runs of [start, end) of the text; none where that is empty."""
+    return F.when(start < end, _sliced(placed_runs(runs), start, end)).otherwise(F.array().cast(RUNS))
+
+
+def _marks_at(placed: Column, at: Column) -> Column:
+    here = F.get(F.filter(placed, lambda r: (r["start"] <= at) & (at < r["end"])), F.lit(0))
+    before = F.get(F.filter(placed, lambda r: (r["start"] < at) & (at <= r["end"])), F.lit(0))
+    letter = lambda r, p: F.substring(r["text"], p - r["start"] + 1, F.lit(1))
+    ends = here["text"].isNull() | (letter(here, at) == "\n")
+    opens = before["text"].isNull() | (letter(before, at - 1) == "\n")
+    return F.coalesce(F.when(~ends, here["marks"]).when(~opens, before["marks"]), F.array().cast("array<string>"))
+
+
+def marks_at(runs: Column, at: Column) -> Column:
+    """The marks that a text put in at a place takes: those of the letter there, or, at the end of a paragraph, before it."""
+    return _bound(placed_runs(runs), lambda p: _marks_at(p, at))
+
+
+def replaced_runs(runs: Column, start: Column, end: Column, replacement: Column) -> Column:
+    """Merged runs with [start, end) replaced by a text that takes the marks at its start."""
+    far = F.lit((1 << 31) - 1)
+
+    def made(p: Column) -> Column:
+        return F.concat(_sliced(p, F.lit(0), start), F.array(_run(replacement, _marks_at(p, start))).cast(RUNS), _sliced(p, end, far))
+
+    return merge_runs(_bound(placed_runs(runs), made))
+
+
+def patched_runs(runs: Column, applied: Column) -> Column:
+    """Runs after the applied corrections (in order, without overlaps), from the back, so that places to the left still hold."""
+    return F.aggregate(F.reverse(applied), merge_runs(runs), lambda now, x: replaced_runs(now, x["start"], x["end"], x["replacement"]).cast(RUNS))
+
+
+def fixed_runs(docs: DataFrame, findings: DataFrame, unsafe: bool = False) -> DataFrame:
+    """(doc_id, runs) and findings on their text -> doc_id, runs, applied, skipped, changed: as fixed_rich() does on spans.
+
+    Corrections that touch go from the back, too: each takes the marks at its start in what the later ones left.
+    """
+    per = corrections(findings, unsafe).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "replacement")).alias("fixes"))
+    out = docs.select("doc_id", merge_runs(F.col("runs")).alias("runs")).join(per, "doc_id", "left").withColumn("p", patch(run_text(F.col("runs")), F.col("fixes")))
+    return out.select("doc_id", patched_runs(F.col("runs"), F.col("p.applied")).alias("runs"), "p.applied", "p.skipped", "p.changed")

@@ -13,7 +13,7 @@ from .. import refdata
 from ..engine import Engine
 from ..functions import text as T
 from ..operators import annotate, extract, feedback, fix, reports, resolve, rich, rules, spans, suggest
-from ..sources import readers, writers
+from ..sources import datasource, readers, writers
 from ..stored import folder, stored
 from .graded import GRADED
 
@@ -349,6 +349,30 @@ def formatted_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", rich.rich_html(F.col("text"), F.col("marks")).alias("html"), F.size("applied").alias("n_applied"))
 
 
+def run_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrected runs, with marks that begin and end within the citation and around it: a correction of the whole citation takes the marks at its start."""
+    docs = briefs(spark, sf_dir, *RULES["RP001"][0])
+    mark = lambda m, a, b: F.struct(F.lit(m).alias("mark"), F.lit(a).alias("start"), b.alias("end"))
+    marks = F.array(mark("bold", len(_A), F.instr("text", " (D.D.C.") - 1), mark("italic", 0, F.lit(12)), mark("underline", 5, F.lit(len(_A) + 2)))
+    runs = docs.select("doc_id", rich.runs_of(F.col("text"), marks).alias("runs"))
+    found = Engine(rules.Profile(edition=20), enable=["RP001"]).check(runs.select("doc_id", rich.run_text(F.col("runs")).alias("text")))
+    out = rich.fixed_runs(runs, found)
+    shown = F.array_join(F.transform("runs", lambda r: F.concat(F.array_join(r["marks"], "+"), F.lit(":"), r["text"])), "|")
+    return out.select("doc_id", shown.alias("runs"), F.size("applied").alias("n_applied"))
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Briefs with comments, written as files of three formats by the data source and read back by it."""
+    datasource.register(spark)
+    docs = briefs(spark, sf_dir, _s("Held, <so> & {thus}:\n"), *RULES["CT002"][0])
+    note = F.array(F.struct(F.lit(6).alias("start"), F.lit(10).alias("end"), F.lit("why?").alias("body")))
+    path = folder(spark)
+    for kind in ("docx", "rtf", "html"):
+        docs.withColumn("comments", note).write.format(datasource.NAME).option("format", kind).mode("append").save(path)
+    back = spark.read.format(datasource.NAME).load(path)
+    return back.select(F.regexp_extract("path", r"/(\d+)[^/]*$", 1).cast("long").alias("doc_id"), "format", "text", "error")
+
+
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Briefs written as files of four formats, with comments on findings, and read back."""
     docs = briefs(spark, sf_dir, _s("Held, <so> & {thus}:\n"), *RULES["CT002"][0])
@@ -491,6 +515,8 @@ OTHERS = {
     "edition_changes": (edition_changes, "SELECT CAST(p_partkey AS VARCHAR) AS abbrev, CASE WHEN p_partkey % 5 = 0 THEN 'added' WHEN p_partkey % 7 = 0 THEN 'removed' ELSE 're-dated' END AS change FROM part WHERE (p_partkey % 5 = 0) <> (p_partkey % 7 = 0) OR (p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 AND p_partkey % 3 = 0)"),
     "feedback_reports": (feedback_reports, f"SELECT o_orderkey AS doc_id, 'False positive CT002: 12 U.S. 34' AS title, 'As told in Ames v. Bell, 12 U.S. 34 (9th Cir.' AS context, true AS linked FROM orders WHERE {_EVEN}"),
     "formatted_fixes": (formatted_fixes, f"SELECT o_orderkey AS doc_id, '<p>Ames v. Bell, <strong>12 F. Supp. 2d 34</strong> (D.D.C. ' || {Y} || ').</p>' AS html, CAST(CASE WHEN {_EVEN} THEN 1 ELSE 0 END AS INT) AS n_applied FROM orders"),
+    "run_edits": (run_edits, f"SELECT o_orderkey AS doc_id, 'italic:Ames |italic+underline:v. Bell|underline:, |' || CASE WHEN {_EVEN} THEN 'bold+underline:12 F. Supp. 2d 34' ELSE 'bold+underline:12|bold: F. Supp. 2d 34' END || '|: (D.D.C. ' || {Y} || ').' AS runs, CAST(CASE WHEN {_EVEN} THEN 1 ELSE 0 END AS INT) AS n_applied FROM orders"),
+    "source_files": (source_files, f"SELECT o_orderkey AS doc_id, k AS format, 'Held, <so> & {{thus}}:' || chr(10) || 'Ames v. Bell, 12 U.S. 34 (' || CASE WHEN {_EVEN} THEN '9th Cir. ' ELSE '' END || '1999).' AS text, CAST(NULL AS VARCHAR) AS error FROM orders, (VALUES ('docx'), ('rtf'), ('html')) v(k)"),
     "document_files": (document_files, f"SELECT o_orderkey || '.' || k AS path, k AS format, 'Held, <so> & {{thus}}:' || chr(10) || 'Ames v. Bell, 12 U.S. 34 (' || CASE WHEN {_EVEN} THEN '9th Cir. ' ELSE '' END || '1999).' AS text FROM orders, (VALUES ('docx'), ('odt'), ('rtf'), ('html')) v(k)"),
     "merge_editions": (merge_editions, "SELECT p_brand AS abbrev, CAST(1800 + min(p_size) AS INT) AS start, CAST(CASE WHEN max(p_size) >= 45 THEN -1 ELSE 1900 + max(p_size) END AS INT) AS \"end\", count(*) > 1 AS ambiguous FROM part GROUP BY p_brand"),
     "page_texts": (page_texts, _PAGE_TEXTS),

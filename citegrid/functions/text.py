@@ -78,8 +78,8 @@ def spacing_variant(written: Column, canonical: Column) -> Column:
 def expand_to(start: Column, written: Column) -> Column:
     """End of a page range written short: 371-72 ends at 372; never turned backwards by expanding."""
     s = start.cast("string")
-    full = F.concat(F.substring(s, F.lit(1), F.length(s) - F.length(written)), written).cast("long")
-    return F.when((F.length(written) < F.length(s)) & (full >= start), full).otherwise(written.cast("long"))
+    full = F.concat(F.substring(s, F.lit(1), F.length(s) - F.length(written)), written).try_cast("long")
+    return F.when((F.length(written) < F.length(s)) & (full >= start), full).otherwise(written.try_cast("long"))
 
 
 def abbreviate_range(start: Column, end: Column) -> Column:
@@ -90,7 +90,7 @@ def abbreviate_range(start: Column, end: Column) -> Column:
     return F.when((F.length(a) != F.length(b)) | (end < start), b).otherwise(F.substring(b, F.length(b) - F.least(keep, F.length(b)) + 1, F.length(b)))
 
 
-_RANGE = rf"(\d{{1,6}})(?:\s*[{_D}]\s*(\d{{1,6}}))?"
+_RANGE = rf"(\d+)(?:\s*[{_D}]\s*(\d+))?"  # numbers are taken whole; one that is no long is no page
 
 
 def pages_only(pin: Column) -> Column:
@@ -107,12 +107,12 @@ def pin_ranges(pin: Column) -> Column:
     pin = pages_only(pin)
     pairs = F.arrays_zip(F.regexp_extract_all(pin, F.lit(_RANGE), F.lit(1)).alias("a"), F.regexp_extract_all(pin, F.lit(_RANGE), F.lit(2)).alias("b"))
     found = F.filter(pairs, lambda x: x["b"] != "")
-    return F.transform(found, lambda x: F.struct(x["a"].cast("long").alias("from"), expand_to(x["a"].cast("long"), x["b"]).alias("to"), x["b"].alias("written")))
+    return F.transform(found, lambda x: F.struct(x["a"].try_cast("long").alias("from"), expand_to(x["a"].try_cast("long"), x["b"]).alias("to"), x["b"].alias("written")))
 
 
 def pin_first(pin: Column) -> Column:
     """The smallest page of a pin cite."""
-    return F.array_min(F.transform(F.regexp_extract_all(pages_only(pin), F.lit(_RANGE), F.lit(1)), lambda x: x.cast("long")))
+    return F.array_min(F.transform(F.regexp_extract_all(pages_only(pin), F.lit(_RANGE), F.lit(1)), lambda x: x.try_cast("long")))
 
 
 def sections(raw: Column) -> Column:

@@ -296,6 +296,13 @@ def test_pins_and_docket_numbers(spark):
     assert [tuple(r)[2:] for r in parts.collect()] == [("5", "U.S.", "6")]
 
 
+def test_pages_of_many_digits_are_taken_whole(spark):
+    far = "9" * 25
+    row = spark.range(1).select(T.pin_first(F.lit("1000005–1000010, 9")).alias("a"), T.pin_first(F.lit(f"1000005, {far}")).alias("b"), T.pin_ranges(F.lit(f"1000005–10, 2000000-2000001, {far}-{far}")).alias("c")).first()
+    assert (row["a"], row["b"]) == (9, 1000005)
+    assert [(x["from"], x["to"]) for x in row["c"]] == [(1000005, 1000010), (2000000, 2000001), (None, None)]
+
+
 def test_suggestions_against_all_distances():
     names = [e[0] for e in refdata.EDITIONS]
     ref = extract.Reference([(a, 0) for a in sorted(names)], [], [])

@@ -376,7 +376,7 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Briefs written as files of four formats, with comments on findings, and read back."""
     docs = briefs(spark, sf_dir, _s("Held, <so> & {thus}:\n"), *RULES["CT002"][0])
-    notes = Engine(enable=["CT002"]).check(docs).select("doc_id", "start", "end", F.col("message").alias("body"))
+    notes = stored(Engine(enable=["CT002"]).check(docs).select("doc_id", "start", "end", F.col("message").alias("body")))  # two formats have comments
     files = [writers.exported(docs, kind, notes).select(F.concat_ws(".", F.col("doc_id").cast("string"), F.lit(kind)).alias("path"), "content") for kind in ("docx", "odt", "rtf", "html")]
     for more in files[1:]:
         files[0] = files[0].unionByName(more)

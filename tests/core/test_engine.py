@@ -4,6 +4,7 @@ import io
 import time
 import zipfile
 
+import pyarrow as pa
 import pytest
 from citegrid import refdata
 from citegrid.engine import Engine
@@ -228,6 +229,26 @@ def test_a_file_that_cannot_be_read_is_told(spark):
     assert sorted((r.path, r.paths) for r in readers.distinct_contents(files).collect()) == [("a.pdf", ["a.pdf"]), ("b.txt", ["b.txt", "c.txt"])]
 
 
+def test_files_are_read_in_batches_and_equal_ones_once(monkeypatch):
+    calls, read = [], readers.import_document
+    monkeypatch.setattr(readers, "import_document", lambda path, data, *how: calls.append(path) or read(path, data, *how))
+    files = [(f"{i}.docx", writers.docx_document(f"No. {i % 3}")) for i in range(900)] + [("x.html", b"a < b"), ("y.txt", b"a < b"), ("z", None)]
+    out = list(readers._reading(None, None, "auto")(iter([pa.RecordBatch.from_arrays([pa.array([p for p, _ in files]), pa.array([d for _, d in files], pa.binary())], ["path", "content"])])))
+    rows = [r for b in out for r in b.to_pylist()]
+    assert len(out) == 1 and len(calls) == 6
+    assert [(r["path"], r["text"]) for r in rows[:900]] == [(f"{i}.docx", f"No. {i % 3}") for i in range(900)]
+    assert [(r["format"], r["error"]) for r in rows[900:]] == [("html", None), ("text", None), ("none", "the file is empty")]
+
+
+def test_archives_are_as_zipfile_reads_them():
+    for text in ("", "a", "Ames & Bell\n" * 2000):
+        for made in (writers.docx_document(text, [(0, 1, "n")]), writers.odt_document(text, [], [("bold", 0, 1)])):
+            with zipfile.ZipFile(io.BytesIO(made)) as z:
+                assert z.testzip() is None and all(x.date_time == (1980, 1, 1, 0, 0, 0) for x in z.infolist())
+                if z.namelist()[0] == "mimetype":
+                    assert z.infolist()[0].compress_type == zipfile.ZIP_STORED and made[38:].startswith(writers.FORMATS["odt"].encode())
+
+
 def test_marks_in_files():
     text, marks = "Bold é {x}\nplain it\x01alic end", [("bold", 0, 4), ("italic", 18, 25), ("underline", 2, 8)]
     clean = text.replace("\x01", "")

@@ -1,16 +1,17 @@
 """Authorities of citation rows that are already there: those of another tool, or of a document cut in parts.
 
-The parser resolves its own citations as it reads a text. Here the same is done on tables, by
-windows over the citations of a document: each citation points at the one it takes its authority
-from, and the pointers are followed to their ends.
+The parser resolves its own citations as it reads a text. Here the same is done on tables: rows are
+dealt out by document and sorted, and one pass goes over them with what a document has shown so far.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Iterator
 
-from ..stored import stored
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 FULL = ["case-reporter", "statute", "database", "neutral"]
 
@@ -23,38 +24,68 @@ def own_key() -> Column:
     return F.when(kind == "case-reporter", plain("volume", "canonical", "page")).when(kind == "statute", statute).when(kind == "database", plain("year", "database", "page")).when(kind == "neutral", plain("year", "neutral_body"))
 
 
-def _pointers(rows: DataFrame, barred: DataFrame | None) -> DataFrame:
-    """rows with `to`: the place of the citation that each one takes its authority from; null for full ones and where there is none."""
-    by = Window.partitionBy("doc").orderBy("at")
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    if barred is not None:
-        rows = rows.join(barred.withColumn("_barred", F.lit(True)), ["doc", "at"], "left")
-    known = (F.col("kind") == "case-reporter") & (F.lit(True) if barred is None else F.col("_barred").isNull())
-    same = Window.partitionBy("doc", "volume", "canonical").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({"head": F.last(F.when(~F.col("joined"), F.col("at")), ignorenulls=True).over(before), "case": F.last(F.when(known, F.col("at")), ignorenulls=True).over(same)})
-    # supra: of the names that hold the one asked for the last before it. Names meet once each in a document, then places.
-    named = rows.filter(F.col("kind").isin(FULL) & F.col("name").isNotNull()).select("doc", "at", "name")
-    asks = rows.filter((F.col("kind") == "supra") & ~F.col("joined") & (F.length("name") > 0)).select("doc", "at", F.col("name").alias("asked"))
-    fits = asks.select("doc", "asked").distinct().join(named.select("doc", "name").distinct(), "doc").filter(F.contains("name", "asked"))
-    places = named.join(fits, ["doc", "name"]).select("doc", "asked", "at", F.col("at").alias("there"))
-    latest = Window.partitionBy("doc", "asked").orderBy("at", F.col("there").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = places.unionByName(asks.withColumn("there", F.lit(None).cast("int"))).withColumn("supra", F.last("there", ignorenulls=True).over(latest)).filter("there is null").select("doc", "at", "supra")
-    rows = rows.join(found, ["doc", "at"], "left")
-    to = F.when(F.col("joined"), F.col("head")).when(F.col("kind") == "id", F.nullif(F.col("at"), F.lit(0)) - 1).when(F.col("kind") == "short-form", F.col("case")).when(F.col("kind") == "supra", F.col("supra"))
-    return rows.select("doc", "at", "kind", "joined", "head", "own", to.alias("to"))
-
-
-def _followed(rows: DataFrame) -> DataFrame:
-    """(doc, at, kind, head, joined, key): pointers followed to their ends, doubling in each round: as many rounds as the longest chain has binary digits."""
-    state = stored(rows.withColumn("key", F.when(F.col("to").isNull(), F.col("own"))))
-    while state.filter("to is not null").limit(1).count():
-        there = state.select(F.col("doc").alias("_doc"), F.col("at").alias("_at"), F.col("to").alias("_to"), F.col("key").alias("_key"))
-        met = state.join(there, (F.col("to") == F.col("_at")) & (F.col("doc") == F.col("_doc")), "left")
-        state = stored(met.select("doc", "at", "kind", "joined", "head", "own", F.col("_to").alias("to"), F.when(F.col("to").isNull(), F.col("key")).otherwise(F.col("_key")).alias("key")))
-    return state
-
-
-def resolved(cites: DataFrame, order: list[str] | None = None, key: str = "doc_id") -> DataFrame:
+class _Document:
+    """What the citations of a document have shown so far. It holds a row for each case and each name, not for each citation."""
+
+    def __init__(self):
+        self.at, self.last, self.head, self.head_key = -1, None, None, None
+        self.cases: dict[tuple, str] = {}
+        self.names: dict[str, tuple[int, str | None]] = {}  # name -> the place and key of the last full citation that has it
+        self.known: list[str] = []  # the same names as they came
+        self.fits: dict[str, tuple[int, list[str]]] = {}  # name asked for -> how many of these were looked at, and which of them hold it
+
+    def _named(self, asked: str) -> str | None:
+        seen, fits = self.fits.get(asked, (0, []))
+        fits += [n for n in self.known[seen:] if asked in n]
+        self.fits[asked] = len(self.known), fits
+        return max((self.names[n] for n in fits), key=lambda x: x[0], default=(0, None))[1]
+
+    def take(self, kind: str | None, joined: bool, volume: str | None, canonical: str | None, name: str | None, own: str | None) -> tuple[str | None, int | None]:
+        """(key, place of the head of its group) of the next citation."""
+        self.at += 1
+        joined, full = bool(joined) and self.at > 0, kind in FULL
+        if joined:
+            key = self.head_key
+        elif full:
+            key = own
+        elif kind == "id":
+            key = self.last
+        elif kind == "short-form":
+            key = self.cases.get((volume, canonical))
+        else:
+            key = self._named(name) if kind == "supra" and name else None
+        if not joined:
+            self.head, self.head_key = self.at, key
+        if kind == "case-reporter" and key is not None:  # a case that took no authority cannot lend one
+            self.cases[volume, canonical] = key
+        if full and name is not None:
+            if name not in self.names:
+                self.known.append(name)
+            self.names[name] = self.at, key
+        self.last = key
+        return key, self.head if joined else None
+
+
+_ASKED = ["_doc", "kind", "joined", "_volume", "_canonical", "_name", "own"]
+_MADE = [c for c in _ASKED if c.startswith("_")]
+
+
+def _passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows with what they resolve to; a document may go on in the next batch. Other columns pass as they are."""
+    doc, now = None, None
+    for batch in batches:
+        keys, heads = [], []
+        for at, *row in zip(*(batch.column(c).to_pylist() for c in _ASKED), strict=True):
+            if now is None or at != doc:
+                doc, now = at, _Document()
+            key, head = now.take(*row)
+            keys.append(key)
+            heads.append(head)
+        kept = [i for i, c in enumerate(batch.schema.names) if c not in _MADE]
+        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(keys, pa.string()), pa.array(heads, pa.int32())], [*[batch.schema.names[i] for i in kept], "resource_key", "parallel_of"])
+
+
+def resolved(cites: DataFrame, order: list[str] | None = None, key: str = "doc_id", partitions: int | None = None) -> DataFrame:
     """Citation rows with resource_key and parallel_of (the place, from 0, of the head of its group), found anew.
 
     Asked for are: key, the columns of order (start by default; for a document in parts part and
@@ -64,25 +95,17 @@ def resolved(cites: DataFrame, order: list[str] | None = None, key: str = "doc_i
     a short form that of the last case with its volume and reporter that has one; `supra` that of
     the last full citation whose name holds its own. Rows of other kinds have none. A first row
     cannot be joined. Ties in order are broken by kind, own and name; null keys are one document; further columns stay.
-    An empty table gives no rows. A document is one window, as its order asks; its citations are rows of a
-    few numbers, and a text of the greatest length that is read has some hundred thousands.
+    An empty table gives no rows. A document is read in one task, as its order asks, and its rows are sorted on
+    disk where they are many; what is held of it is a key for each case, and a place for each different name.
+    partitions: into how many the documents are dealt (spark.sql.shuffle.partitions by default); where a
+    partition fits the memory of its task, the sort writes nothing, and the one shuffle is all that goes to disk.
     """
     order = order or ["start"]
-    by = Window.partitionBy(key).orderBy(*order, "kind", "own", "case_name")
-    packed = [c for c in cites.columns if c not in ("resource_key", "parallel_of")]
+    packed = cites.drop("resource_key", "parallel_of")
     doc = F.when(F.col(key).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(key).cast("string")))  # null keys meet, too
-    rows = cites.select(doc.alias("doc"), (F.row_number().over(by) - 1).alias("at"), "kind", (F.coalesce(F.col("joined"), F.lit(False)) & (F.row_number().over(by) > 1)).alias("joined"), "volume", "canonical", F.lower("case_name").alias("name"), F.when(F.col("kind").isin(FULL), F.col("own")).alias("own"), F.struct(*[F.col(f"`{c}`") for c in packed]).alias("row"))
-    rows = stored(rows)
-    lean = rows.drop("row")
-    barred = None
-    while True:
-        found = _followed(_pointers(lean, barred))
-        # a case that took no authority cannot lend one: short forms then look further back
-        none = stored(found.filter("kind = 'case-reporter' AND key IS NULL").select("doc", "at"))
-        n, was = none.count(), 0 if barred is None else barred.count()
-        same = none if barred is None else none.join(barred.withColumnsRenamed({"doc": "_doc", "at": "_at"}), (F.col("at") == F.col("_at")) & (F.col("doc") == F.col("_doc")), "left_semi")
-        if n == was and (not n or same.count() == n):
-            break
-        barred = none
-    answer = found.select(F.col("doc").alias("_doc"), F.col("at").alias("_at"), F.col("key").alias("resource_key"), F.when(F.col("joined"), F.col("head")).alias("parallel_of"))
-    return rows.join(answer, (F.col("at") == F.col("_at")) & (F.col("doc") == F.col("_doc"))).select("row.*", "resource_key", "parallel_of")
+    dealt = packed.repartition(partitions, doc) if partitions else packed.repartition(doc)
+    # made after the shuffle, so that it moves the given columns alone
+    made = zip(_MADE, [doc, F.col("volume").cast("string"), F.col("canonical").cast("string"), F.lower("case_name")], strict=True)
+    rows = dealt.sortWithinPartitions(doc, *order, "kind", "own", "case_name").select("*", *[c.alias(n) for n, c in made])
+    schema = StructType([*packed.schema.fields, StructField("resource_key", StringType()), StructField("parallel_of", IntegerType())])
+    return rows.mapInArrow(_passed, schema)

@@ -434,8 +434,10 @@ CASE WHEN l_partkey % 7 IN (0, 1, 5, 6) THEN concat(l_suppkey % 3, ' F.3d ', l_p
 
 
 def resolved_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.sql(f"SELECT {_CITED_LINES} FROM {{lines}}", lines=table(spark, sf_dir, "lineitem"))
-    return resolve.resolved(rows, ["start", "l_partkey", "l_suppkey"]).select("doc_id", "start", "l_partkey", "resource_key", "parallel_of")
+    lines = table(spark, sf_dir, "lineitem")
+    rows = spark.sql(f"SELECT {_CITED_LINES} FROM {{lines}}", lines=lines)
+    dealt = max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines.count() // 500_000)
+    return resolve.resolved(rows, ["start", "l_partkey", "l_suppkey"], partitions=dealt).select("doc_id", "start", "l_partkey", "resource_key", "parallel_of")
 
 
 def imported_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

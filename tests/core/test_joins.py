@@ -177,6 +177,16 @@ def test_long_chains_are_followed_in_few_rounds(spark):
     assert {r.resource_key for r in resolve.resolved(df).collect()} == {"1 F.3d 2"}
 
 
+def test_resolution_writes_no_tables(spark):
+    """Rounds once left a table each; now nothing but the shuffle goes to disk."""
+    rows = [(d, i, "case-reporter" if not i else "id", f"{d} F.3d 2") for d in (1, 2, None) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, start int, kind string, own string").withColumns({"joined": F.lit(False), "volume": F.lit(None).cast("string"), "canonical": F.lit("F.3d"), "case_name": F.lit(None).cast("string")})
+    out = resolve.resolved(df.repartition(7), partitions=3)
+    got = out.collect()
+    assert len(got) == 120 and {(r.doc_id, r.resource_key) for r in got} == {(d, f"{d} F.3d 2") for d in (1, 2, None)}
+    assert not out.inputFiles()
+
+
 def double(log):
     """A client that writes down each request; keys of one kind fail, others are absent or known."""
 

@@ -362,13 +362,13 @@ def run_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Briefs with comments, written as files of three formats by the data source and read back by it."""
+    """Briefs with comments, written as files of three formats by the data source, in archives, and read back by it."""
     datasource.register(spark)
     docs = briefs(spark, sf_dir, _s("Held, <so> & {thus}:\n"), *RULES["CT002"][0])
     note = F.array(F.struct(F.lit(6).alias("start"), F.lit(10).alias("end"), F.lit("why?").alias("body")))
     path = folder(spark)
     for kind in ("docx", "rtf", "html"):
-        docs.withColumn("comments", note).write.format(datasource.NAME).option("format", kind).mode("append").save(path)
+        docs.withColumn("comments", note).write.format(datasource.NAME).option("format", kind).option("archive", True).mode("append").save(path)
     back = spark.read.format(datasource.NAME).load(path)
     return back.select(F.regexp_extract("path", r"/(\d+)[^/]*$", 1).cast("long").alias("doc_id"), "format", "text", "error")
 

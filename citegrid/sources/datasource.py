@@ -7,8 +7,10 @@ or URIs that it knows, and must be the same on the driver and all executors.
 from __future__ import annotations
 
 import importlib
+import io
 import json
 import re
+import tarfile
 import time
 import uuid
 import zlib
@@ -27,6 +29,7 @@ NAME = "citegrid"
 SPLIT_BYTES = 128 << 20
 BATCH_BYTES = 8 << 20
 STAGING = "_staging-"
+ARCHIVE, ARCHIVE_BYTES = ".documents.tar.zst", 32 << 20  # how the name of an archive of documents ends; what it holds at most, unpacked
 ABORT_TRIES = 25
 EXTENSIONS = {**{kind: kind for kind in (*writers.FORMATS, *writers.REPORTS)}, "report-md": "md"}
 _READ = pa.schema([(x.split()[0], pa.string()) for x in readers.SCHEMA.split(", ")])
@@ -49,6 +52,9 @@ def _called(name: str | None):
     return getattr(importlib.import_module(module), attribute)
 
 
+_TOO_LARGE = ("none", None, f"the file has more than {readers.MAX_BYTES} bytes", None)
+
+
 @dataclass
 class Slice(InputPartition):
     """Those files of one folder whose names fall to one of so many slices."""
@@ -66,7 +72,7 @@ class FileReader(DataSourceReader):
 
     def _files(self, where: fs.FileSystem, folder: str) -> Iterator[fs.FileInfo]:
         for info in where.get_file_info(fs.FileSelector(folder)):
-            if info.type == fs.FileType.File and not _hidden(info) and fnmatchcase(info.base_name, self.glob):
+            if info.type == fs.FileType.File and not _hidden(info) and (info.base_name.endswith(ARCHIVE) or fnmatchcase(info.base_name, self.glob)):
                 yield info
 
     def partitions(self) -> list[Slice]:
@@ -77,7 +83,7 @@ class FileReader(DataSourceReader):
         out, open_folders = [], [root]
         while open_folders:
             folder = open_folders.pop()
-            size = sum(min(info.size or 0, readers.MAX_BYTES) + 4096 for info in self._files(where, folder))
+            size = sum(ARCHIVE_BYTES if info.base_name.endswith(ARCHIVE) else min(info.size or 0, readers.MAX_BYTES) + 4096 for info in self._files(where, folder))
             of = -(-size // self.split)
             out += [Slice(folder, i, of) for i in range(of)]
             open_folders += [info.path for info in where.get_file_info(fs.FileSelector(folder)) if info.type == fs.FileType.Directory and not _hidden(info)]
@@ -86,31 +92,38 @@ class FileReader(DataSourceReader):
     def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
         where, _ = reached(self.path)
         pdf, ocr = _called(self.pdf), _called(self.ocr)
+        read = readers.Once(lambda path, data: readers.told(path, data, pdf, ocr, self.mode))
         rows, size = [], 0
         for info in self._files(where, partition.folder):
             if zlib.crc32(info.base_name.encode()) % partition.of != partition.number:
                 continue
-            rows.append((info.path, *self._read(where, info, pdf, ocr)))
-            size += len(rows[-1][2] or "") + 256
-            if size > BATCH_BYTES:
-                yield self._batch(rows)
-                rows, size = [], 0
+            for path, data in self._contents(where, info):
+                rows.append((path, *(read(path, data) if data is not None else _TOO_LARGE)))
+                size += len(rows[-1][2] or "") + 256
+                if size > BATCH_BYTES:
+                    yield self._batch(rows)
+                    rows, size = [], 0
         if rows:
             yield self._batch(rows)
 
-    def _read(self, where: fs.FileSystem, info: fs.FileInfo, pdf, ocr) -> tuple:
-        if (info.size or 0) > readers.MAX_BYTES:  # refused by its size, without being read
-            return "none", None, f"the file has more than {readers.MAX_BYTES} bytes", None
-        try:
-            with where.open_input_file(info.path) as f:
-                data = f.read()
-            out = readers.import_document(info.path, data, pdf, ocr, self.mode)
-            pa.array(out, pa.string())
-            return out
-        except OSError:  # storage that fails is no matter of the file: the task is tried again
-            raise
-        except Exception as e:  # noqa: BLE001 - one damaged file must not end the job
-            return "none", None, f"the file cannot be read: {type(e).__name__}: {ascii(str(e))}", None
+    def _contents(self, where: fs.FileSystem, info: fs.FileInfo) -> Iterator[tuple[str, bytes | None]]:
+        """(path, content) of a file, or of those in an archive; no content where the size refuses it, which is then not read.
+
+        Storage that fails, and an archive that is damaged, is no matter of one document: the task is tried again.
+        """
+        if not info.base_name.endswith(ARCHIVE):
+            data = None
+            if (info.size or 0) <= readers.MAX_BYTES:
+                with where.open_input_file(info.path) as f:
+                    data = f.read()
+            yield info.path, data
+            return
+        with where.open_input_stream(info.path, compression="zstd") as f, tarfile.open(fileobj=f, mode="r|", bufsize=1 << 20) as archive:
+            for member in archive:
+                archive.members = []  # it would keep them all
+                name = member.name.rpartition("/")[2]
+                if member.isfile() and not name.startswith(("_", ".")) and fnmatchcase(name, self.glob):
+                    yield f"{info.path}/{member.name}", archive.extractfile(member).read() if member.size <= readers.MAX_BYTES else None
 
     @staticmethod
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -125,6 +138,47 @@ class Written(WriterCommitMessage):
     files: int
 
 
+class _Files:
+    """Each document as a file of its own."""
+
+    def __init__(self, where: fs.FileSystem, folder: str):
+        self.where, self.folder = where, folder
+
+    def __call__(self, name: str, content: bytes) -> None:
+        with self.where.open_output_stream(f"{self.folder}/{name}") as f:
+            f.write(content)
+
+    def close(self) -> None:
+        pass
+
+
+class _Archives:
+    """Documents as files in archives, of some size each, so that many tasks can read them again."""
+
+    def __init__(self, where: fs.FileSystem, folder: str):
+        self.where, self.folder, self.size, self.open = where, folder, 0, None
+
+    def __call__(self, name: str, content: bytes) -> None:
+        whole = 512 + -(-len(content) // 512) * 512  # a head and full blocks
+        if self.open and self.size + whole > ARCHIVE_BYTES:
+            self.close()
+        if not self.open:
+            stream = self.where.open_output_stream(f"{self.folder}/{uuid.uuid4().hex}{ARCHIVE}", compression="zstd")
+            self.open, self.size = (stream, tarfile.open(fileobj=stream, mode="w|", bufsize=1 << 20)), 0
+        told = tarfile.TarInfo(name)
+        told.size = len(content)
+        self.open[1].addfile(told, io.BytesIO(content))
+        self.open[1].members = []  # it would keep them all
+        self.size += whole
+
+    def close(self) -> None:
+        if self.open:
+            stream, archive = self.open
+            archive.close()
+            stream.close()
+            self.open = None
+
+
 class FileWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, columns: list[str], overwrite: bool):
         self.path, self.kind, self.overwrite = options["path"].rstrip("/"), options.get("format"), overwrite
@@ -135,21 +189,23 @@ class FileWriter(DataSourceArrowWriter):
             raise ValueError("a row needs doc_id, and text or content")
         if body == "text" and self.kind in writers.REPORTS:
             raise ValueError(f"{self.kind} is made from findings by operators.reports; give it as content")
-        self.body, self.run = body, uuid.uuid4().hex
+        self.body, self.run, self.archive = body, uuid.uuid4().hex, str(options.get("archive", "false")).lower() == "true"
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         """Files of one attempt of a task, in a folder of its own that nothing reads before commit."""
         where, root = reached(self.path)
         folder, files = f"{root}/{STAGING}{self.run}/{uuid.uuid4().hex}", 0
         where.create_dir(folder)
+        put = _Archives(where, folder) if self.archive else _Files(where, folder)
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                if row[self.body] is None:
-                    continue
-                with where.open_output_stream(f"{folder}/{row['doc_id']}.{files}.{EXTENSIONS[self.kind]}") as f:
-                    f.write(self._content(row))
-                files += 1
+            batch = batch.select([c for c in ("doc_id", self.body, "marks", "comments") if c in batch.schema.names])
+            step = max(1, min(1000, BATCH_BYTES * batch.num_rows // max(1, batch.nbytes)))  # rows that are unpacked at a time
+            for at in range(0, batch.num_rows, step):
+                for row in batch.slice(at, step).to_pylist():
+                    if row[self.body] is not None:
+                        put(f"{row['doc_id']}.{files}.{EXTENSIONS[self.kind]}", self._content(row))
+                        files += 1
+        put.close()
         return Written(folder, files)
 
     def _content(self, row: dict) -> bytes:
@@ -158,7 +214,7 @@ class FileWriter(DataSourceArrowWriter):
             return body.encode() if isinstance(body, str) else bytes(body)
         notes = [(c["start"], c["end"], c["body"] or "") for c in row.get("comments") or [] if c and None not in (c["start"], c["end"])]
         marks = [(m["mark"], m["start"], m["end"]) for m in row.get("marks") or [] if m and None not in (m["start"], m["end"])]
-        return writers.MAKERS[self.kind](body, sorted(notes) if self.kind in writers.COMMENTED else [], marks)
+        return writers.made(self.kind, body, tuple(sorted(notes)) if self.kind in writers.COMMENTED else (), tuple(marks))
 
     def commit(self, messages: list[Written | None]) -> None:
         """What attempts left that do not count is deleted, then one renaming shows all files of the run; with overwrite older ones go after that."""
@@ -205,7 +261,9 @@ class Documents(DataSource):
     in json, csv and report-md, which operators.reports makes. A null text gives no file, other columns are
     ignored. A file is named by doc_id and its number in its task, so repeated ids stay apart; it
     appears, with all others of the run, when the job commits, below a folder of the run. Attempts that fail, and
-    second ones of the same task, leave none. Modes are append and overwrite.
+    second ones of the same task, leave none. Modes are append and overwrite. Where files are many and
+    small, each takes a block of the disk and a name of the folder: option archive (true) puts them, named as ever, into
+    archives (tar in zstd, of 32 MB unpacked), which load() opens by their names; a path then ends in the name within.
     """
 
     @classmethod

@@ -2,8 +2,10 @@
 
 import json
 import os
+import tarfile
 import zipfile
 
+import pyarrow as pa
 import pytest
 from citegrid.operators import reports
 from citegrid.sources import datasource, readers, writers
@@ -51,6 +53,37 @@ def test_texts_come_back(source, tmp_path, kind):
         assert sum("word/comments.xml" in zipfile.ZipFile(f).namelist() for f in files) == 1
 
 
+@pytest.mark.parametrize("size", [1024, datasource.ARCHIVE_BYTES])
+def test_archives_hold_the_same_files(source, tmp_path, size):
+    """The same documents, alone and in archives: the same names, bytes and texts, in far fewer files."""
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "text": f"No. {i}" if i != 7 else None} for i in range(300)])
+    for archive in ("false", "true"):
+        writer = datasource.FileWriter({"path": str(tmp_path / archive), "format": "docx", "archive": archive}, ["doc_id", "text"], False)
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(datasource, "ARCHIVE_BYTES", size)
+            writer.commit([writer.write(iter([batch]))])
+    alone, packed = (files_below(str(tmp_path / x)) for x in ("false", "true"))
+    assert len(alone) == 299 and len(packed) == (299 if size == 1024 else 1)
+    got = []
+    for path in packed:
+        with pa.input_stream(path, compression="zstd") as f, tarfile.open(fileobj=f, mode="r|") as t:
+            got += [(m.name, t.extractfile(m).read()) for m in t]
+    assert sorted(got) == sorted((os.path.basename(f), open(f, "rb").read()) for f in alone)
+    rows = [sorted((r.path.rsplit("/", 1)[1], r.format, r.text, r.error) for r in source.read.format("citegrid").load(str(tmp_path / x)).collect()) for x in ("false", "true")]
+    assert rows[0] == rows[1] and len(rows[0]) == 299
+    assert source.read.format("citegrid").option("glob", "1?.*").load(str(tmp_path / "true")).count() == 10
+
+
+def test_a_cut_archive_is_no_short_answer(source, tmp_path):
+    writer = datasource.FileWriter({"path": str(tmp_path), "format": "txt", "archive": "true"}, ["doc_id", "text"], False)
+    writer.commit([writer.write(iter([pa.RecordBatch.from_pylist([{"doc_id": i, "text": os.urandom(900).hex()} for i in range(50)])]))])
+    (path,) = files_below(str(tmp_path))
+    data = open(path, "rb").read()
+    open(path, "wb").write(data[: len(data) // 2])
+    with pytest.raises(PySparkException):
+        source.read.format("citegrid").load(str(tmp_path)).collect()
+
+
 def test_reports_are_files_too(source, tmp_path):
     names = source.createDataFrame([(1, "a"), (2, "b")], "doc_id long, name string")
     empty = lambda schema: source.createDataFrame([], schema)

@@ -118,7 +118,7 @@ class FileReader(DataSourceReader):
                     data = f.read()
             yield info.path, data
             return
-        with where.open_input_stream(info.path, compression="zstd") as f, tarfile.open(fileobj=f, mode="r|", bufsize=1 << 20) as archive:
+        with where.open_input_stream(info.path, compression="zstd") as f, tarfile.open(fileobj=f, mode="r|") as archive:
             for member in archive:
                 archive.members = []  # it would keep them all
                 name = member.name.rpartition("/")[2]
@@ -164,7 +164,7 @@ class _Archives:
             self.close()
         if not self.open:
             stream = self.where.open_output_stream(f"{self.folder}/{uuid.uuid4().hex}{ARCHIVE}", compression="zstd")
-            self.open, self.size = (stream, tarfile.open(fileobj=stream, mode="w|", bufsize=1 << 20)), 0
+            self.open, self.size = (stream, tarfile.open(fileobj=stream, mode="w|")), 0
         told = tarfile.TarInfo(name)
         told.size = len(content)
         self.open[1].addfile(told, io.BytesIO(content))

@@ -138,14 +138,18 @@ def merge_runs(runs: Column) -> Column:
     return F.aggregate(F.transform(some, lambda r: _run(r["text"], _names(r["marks"]))).cast(RUNS), F.array().cast(RUNS), step)
 
 
-def placed_runs(runs: Column) -> Column:
-    """Merged runs with start and end, their places in the text."""
+def _placed(merged_runs: Column) -> Column:
 
     def step(acc: Column, r: Column) -> Column:
         at = F.coalesce(F.get(acc, F.size(acc) - 1)["end"], F.lit(0))
         return F.concat(acc, F.array(F.struct(r["text"].alias("text"), r["marks"].alias("marks"), at.alias("start"), (at + F.length(r["text"])).alias("end")))).cast(_PLACED)
 
-    return F.aggregate(merge_runs(runs), F.array().cast(_PLACED), step)
+    return F.aggregate(merged_runs, F.array().cast(_PLACED), step)
+
+
+def placed_runs(runs: Column) -> Column:
+    """Merged runs with start and end, their places in the text."""
+    return _placed(merge_runs(runs))
 
 
 def runs_of(text: Column, marks: Column) -> Column:
@@ -162,7 +166,7 @@ def runs_of(text: Column, marks: Column) -> Column:
 
 
 def run_text(runs: Column) -> Column:
-    return F.array_join(F.transform(merge_runs(runs), lambda r: r["text"]), "")
+    return F.array_join(F.transform(F.coalesce(runs.cast(RUNS), F.array().cast(RUNS)), lambda r: r["text"]), "")
 
 
 def run_marks(runs: Column) -> Column:
@@ -194,19 +198,27 @@ def marks_at(runs: Column, at: Column) -> Column:
     return _bound(placed_runs(runs), lambda p: _marks_at(p, at))
 
 
-def replaced_runs(runs: Column, start: Column, end: Column, replacement: Column) -> Column:
-    """Merged runs with [start, end) replaced by a text that takes the marks at its start."""
+def _replaced(merged_runs: Column, start: Column, end: Column, replacement: Column) -> Column:
     far = F.lit((1 << 31) - 1)
 
     def made(p: Column) -> Column:
         return F.concat(_sliced(p, F.lit(0), start), F.array(_run(replacement, _marks_at(p, start))).cast(RUNS), _sliced(p, end, far))
 
-    return merge_runs(_bound(placed_runs(runs), made))
+    return merge_runs(_bound(_placed(merged_runs), made))
+
+
+def replaced_runs(runs: Column, start: Column, end: Column, replacement: Column) -> Column:
+    """Merged runs with [start, end) replaced by a text that takes the marks at its start."""
+    return _replaced(merge_runs(runs), start, end, replacement)
+
+
+def _patched(merged_runs: Column, applied: Column) -> Column:
+    return F.aggregate(F.reverse(applied), merged_runs, lambda now, x: _replaced(now, x["start"], x["end"], x["replacement"]).cast(RUNS))
 
 
 def patched_runs(runs: Column, applied: Column) -> Column:
     """Runs after the applied corrections (in order, without overlaps), from the back, so that places to the left still hold."""
-    return F.aggregate(F.reverse(applied), merge_runs(runs), lambda now, x: replaced_runs(now, x["start"], x["end"], x["replacement"]).cast(RUNS))
+    return _patched(merge_runs(runs), applied)
 
 
 def fixed_runs(docs: DataFrame, findings: DataFrame, unsafe: bool = False) -> DataFrame:
@@ -215,5 +227,7 @@ def fixed_runs(docs: DataFrame, findings: DataFrame, unsafe: bool = False) -> Da
     Corrections that touch go from the back, too: each takes the marks at its start in what the later ones left.
     """
     per = corrections(findings, unsafe).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "replacement")).alias("fixes"))
-    out = docs.select("doc_id", merge_runs(F.col("runs")).alias("runs")).join(per, "doc_id", "left").withColumn("p", patch(run_text(F.col("runs")), F.col("fixes")))
-    return out.select("doc_id", patched_runs(F.col("runs"), F.col("p.applied")).alias("runs"), "p.applied", "p.skipped", "p.changed")
+    out = docs.select("doc_id", merge_runs(F.col("runs")).alias("runs")).join(per, "doc_id", "left")
+    # a patch looks at the text many times: it is a column of its own, not an expression inside each look
+    out = out.withColumn("_text", run_text(F.col("runs"))).withColumn("p", patch(F.col("_text"), F.col("fixes")))
+    return out.select("doc_id", F.when(F.col("p.changed"), _patched(F.col("runs"), F.col("p.applied"))).otherwise(F.col("runs")).alias("runs"), "p.applied", "p.skipped", "p.changed")

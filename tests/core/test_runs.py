@@ -96,3 +96,12 @@ def test_runs_that_lack_something(spark):
         ([("x", ("i", "u"))], [("i", 0, 1), ("u", 0, 1)], "x"),
     ]
     assert spark.range(1).select(rich.runs_of(F.lit(None).cast("string"), F.array().cast(rich.MARKS)).alias("r")).first()["r"] is None
+
+
+def test_runs_are_merged_once_in_a_correction(spark):
+    """A fold inside each look at the text made the plan, and the work of a document, many times as large."""
+    runs = spark.createDataFrame([(1, [("ab", ["bold"]), ("c", [])])], f"doc_id long, runs {rich.RUNS}")
+    found = spark.createDataFrame([(1, 0, 1, "x", "safe")], "doc_id long, fix_start int, fix_end int, replacement string, safety string")
+    out = rich.fixed_runs(runs, found)
+    assert out._jdf.queryExecution().analyzed().toString().count("aggregate(") <= 10
+    assert shown(out.first()["runs"]) == [("xbc"[:2], ("bold",)), ("c", ())]

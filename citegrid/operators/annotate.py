@@ -90,13 +90,15 @@ def notices(asked: DataFrame, quoted: DataFrame | None = None, lookups: int = MA
     keys = asked.filter("kind = 'case-reporter'").groupBy("doc_id", "resource_key").agg(F.max("beyond").alias("beyond"), F.max(F.col("status") == "unchecked").alias("open"))
     per = keys.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("beyond").alias("over"), F.count_if(F.col("open") & ~F.col("beyond")).alias("failed"))
     text = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs])
-    first = per.filter("over > 0").select("doc_id", text("Looked up the first ", F.col("n") - F.col("over"), " of ", F.col("n"), " distinct citations. The other ", F.when(F.col("over") == 1, "one was not checked: it is").otherwise(F.concat(F.col("over").cast("string"), F.lit(" were not checked: they are"))), " neither verified nor absent.").alias("notice"))
-    failed = per.filter("failed > 0").select("doc_id", text(F.col("failed"), F.when(F.col("failed") == 1, " citation").otherwise(" citations"), " could not be checked.").alias("notice"))
-    out = first.unionByName(failed)
+    first = F.when(F.col("over") > 0, text("Looked up the first ", F.col("n") - F.col("over"), " of ", F.col("n"), " distinct citations. The other ", F.when(F.col("over") == 1, "one was not checked: it is").otherwise(F.concat(F.col("over").cast("string"), F.lit(" were not checked: they are"))), " neither verified nor absent."))
+    failed = F.when(F.col("failed") > 0, text(F.col("failed"), F.when(F.col("failed") == 1, " citation").otherwise(" citations"), " could not be checked."))
+    told = lambda df, *xs: df.select("doc_id", F.explode(F.array_compact(F.array(*xs))).alias("notice"))  # noqa: E731 - one pass over what is counted
+    out = told(per, first, failed)
     if quoted is not None:
         counts = quoted.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("candidates").alias("all"), F.count_if(F.col("quote").isNull()).alias("none"))
-        out = out.unionByName(counts.filter("n < all").select("doc_id", text("Quoted the first ", F.col("n"), " of ", F.col("all"), " pin cites; the others were left alone.").alias("notice")))
-        out = out.unionByName(counts.filter("none > 0").select("doc_id", text(F.col("none"), F.when(F.col("none") == 1, " pin cite").otherwise(" pin cites"), " could not be quoted; the note on each says why.").alias("notice")))
+        some = F.when(F.col("n") < F.col("all"), text("Quoted the first ", F.col("n"), " of ", F.col("all"), " pin cites; the others were left alone."))
+        none = F.when(F.col("none") > 0, text(F.col("none"), F.when(F.col("none") == 1, " pin cite").otherwise(" pin cites"), " could not be quoted; the note on each says why."))
+        out = out.unionByName(told(counts, some, none))
     return out
 
 
@@ -160,11 +162,19 @@ def lookup_status(status: Column, n_clusters: Column) -> Column:
 
 def looked_up(cites: DataFrame, lookups: DataFrame, most: int = MAX_LOOKUPS) -> DataFrame:
     """Status per citation from a lookup table (key, status, n_clusters): each document's distinct keys, the first `most` in order of use; beyond tells of keys past them (see notices)."""
-    keys = cites.filter("kind = 'case-reporter'").groupBy("doc_id", "resource_key").agg(F.min("idx").alias("first"))
-    keys = keys.withColumn("beyond", F.row_number().over(Window.partitionBy("doc_id").orderBy("first")) > most)
-    answer = F.coalesce(lookup_status(F.col("status"), F.col("n_clusters")), F.lit("unchecked"))
-    known = keys.join(lookups, keys.resource_key == lookups.key, "left").select("doc_id", "resource_key", F.when(F.col("beyond"), "unchecked").otherwise(answer).alias("status"), "beyond")
-    return cites.join(known, ["doc_id", "resource_key"], "left").withColumns({"status": F.when(F.col("kind") == "case-reporter", F.coalesce("status", F.lit("unchecked"))).otherwise("unchecked"), "beyond": F.coalesce("beyond", F.lit(False))})
+    case = F.col("kind") == "case-reporter"
+    others = [F.col(f"`{c}`") for c in cites.columns if c not in ("doc_id", "resource_key")]
+    # citations are made once and dealt out once: both windows, and the counts of notices(), keep to documents
+    rows = cites.select("doc_id", "resource_key", *others).repartition("doc_id")
+    rows = rows.withColumn("_first", F.min(F.when(case, F.col("idx"))).over(Window.partitionBy("doc_id", "resource_key")))
+    rows = rows.withColumn("_nth", F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.col("_first").asc_nulls_last(), "resource_key")))
+    asked = F.col("_first").isNotNull() & F.col("doc_id").isNotNull() & F.col("resource_key").isNotNull()
+    rows = rows.withColumn("_key", F.when(asked, F.col("resource_key")))
+    told = lookups.select(F.col("key").alias("_told"), lookup_status(F.col("status"), F.col("n_clusters")).alias("_status"))
+    rows = rows.join(told, F.col("_key") == F.col("_told"), "left")
+    beyond = F.coalesce(F.col("_key").isNotNull() & (F.col("_nth") > most), F.lit(False))
+    status = F.when(case & ~beyond, F.coalesce("_status", F.lit("unchecked"))).otherwise("unchecked")
+    return rows.select("doc_id", "resource_key", *others, status.alias("status"), beyond.alias("beyond"))
 
 
 def accuracy(expected: DataFrame, actual: DataFrame) -> DataFrame:

@@ -324,6 +324,17 @@ def test_pages_of_many_digits_are_taken_whole(spark):
     assert [(x["from"], x["to"]) for x in row["c"]] == [(1000005, 1000010), (2000000, 2000001), (None, None)]
 
 
+def test_lookups_read_texts_once(spark):
+    """Four times before: for the keys and the citations, and both again for the second notice."""
+    docs = spark.createDataFrame([(1, "Ames v. Bell, 1 U.S. 100 (1990). Cole v. Dunn, 2 U.S. 200 (1991). Id. Eads v. Foss, 4 U.S. 300 (1992)."), (2, "Ames v. Bell, 1 U.S. 100 (1990)."), (None, "Ames v. Bell, 1 U.S. 100 (1990).")], "doc_id long, text string")
+    answers = spark.createDataFrame([("1 U.S. 100", 200, 1), ("2 U.S. 200", 429, 0), ("4 U.S. 300", 200, 1)], "key string, status int, n_clusters int")
+    asked = annotate.looked_up(extract.citations(docs), answers, most=2)
+    assert sorted((r.doc_id or 0, r.idx, r.status, r.beyond) for r in asked.collect()) == [(0, 0, "unchecked", False), (1, 0, "found", False), (1, 1, "unchecked", False), (1, 2, "unchecked", False), (1, 3, "unchecked", True), (2, 0, "found", False)]
+    told = annotate.notices(asked, lookups=2)
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted(r.notice[:9] for r in told.filter("doc_id = 1").collect()) == ["1 citatio", "Looked up"]
+
+
 def test_suggestions_against_all_distances():
     names = [e[0] for e in refdata.EDITIONS]
     ref = extract.Reference([(a, 0) for a in sorted(names)], [], [])

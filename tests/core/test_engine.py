@@ -325,7 +325,7 @@ def test_pages_of_many_digits_are_taken_whole(spark):
 
 
 def test_lookups_read_texts_once(spark):
-    """Four times before: for the keys and the citations, and both again for the second notice."""
+    """Four times in the plan before, for the keys and the citations and both again for the second notice; exchanges that were reused left three."""
     docs = spark.createDataFrame([(1, "Ames v. Bell, 1 U.S. 100 (1990). Cole v. Dunn, 2 U.S. 200 (1991). Id. Eads v. Foss, 4 U.S. 300 (1992)."), (2, "Ames v. Bell, 1 U.S. 100 (1990)."), (None, "Ames v. Bell, 1 U.S. 100 (1990).")], "doc_id long, text string")
     answers = spark.createDataFrame([("1 U.S. 100", 200, 1), ("2 U.S. 200", 429, 0), ("4 U.S. 300", 200, 1)], "key string, status int, n_clusters int")
     asked = annotate.looked_up(extract.citations(docs), answers, most=2)

@@ -274,7 +274,9 @@ def table_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rich_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marked briefs as RTF, as it is written, and read back from three formats."""
-    docs = briefs(spark, sf_dir, _s(_A), "o_custkey", _s(" U.S. 34 (§).")).withColumn("marks", F.array(F.struct(F.lit("bold").alias("mark"), F.lit(0).alias("start"), F.lit(12).alias("end")), F.struct(F.lit("italic").alias("mark"), F.lit(5).alias("start"), F.lit(7).alias("end"))))
+    docs = briefs(spark, sf_dir, _s(_A), "o_custkey", _s(" U.S. 34 (§)."))
+    # equal texts side by side, so that a task makes and reads each once; a text of many documents spans several tasks
+    docs = docs.repartitionByRange(spark.sparkContext.defaultParallelism, "text", "doc_id").sortWithinPartitions("text").withColumn("marks", F.array(F.struct(F.lit("bold").alias("mark"), F.lit(0).alias("start"), F.lit(12).alias("end")), F.struct(F.lit("italic").alias("mark"), F.lit(5).alias("start"), F.lit(7).alias("end"))))
     files = [writers.exported(docs, kind).select(F.concat_ws(".", F.col("doc_id").cast("string"), F.lit(kind)).alias("path"), "content") for kind in ("rtf", "docx", "odt")]
     back = readers.imported(files[1].unionByName(files[2])).select("path", "text")
     return files[0].select("path", F.decode("content", "UTF-8").alias("text")).unionByName(back)

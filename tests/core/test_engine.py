@@ -249,6 +249,60 @@ def test_archives_are_as_zipfile_reads_them():
                     assert z.infolist()[0].compress_type == zipfile.ZIP_STORED and made[38:].startswith(writers.FORMATS["odt"].encode())
 
 
+def test_plain_archives_are_read_without_zipfile_and_others_by_it(monkeypatch):
+    text = "Ames & Bell <so>\n" * 500
+    docx = writers.docx_document(text, [(0, 4, "n")], [("bold", 5, 9)])
+
+    def packed(zipped=None, **how):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", **how) as z:
+            z.writestr("word/document.xml", readers._part(docx, "word/document.xml"))
+            z.comment = zipped or b""
+        return out.getvalue()
+
+    plain = [docx, writers.odt_document(text), packed(), packed(compression=zipfile.ZIP_DEFLATED)]
+    broken = docx.replace(b"word/document.xml", b"word/dokument.xml", 1)  # the local name alone
+    other = [packed(b"a comment"), packed(compression=zipfile.ZIP_BZIP2), b"PK" + docx]
+    for data in (*plain, *other):
+        assert readers._read("x", data)[1:] == (text.strip(), None)
+    for data in (broken, docx[:-1], docx[:100], b"PK", docx[:-22] + docx[-22:].replace(b"PK", b"PQ")):
+        assert readers._read("x", data)[0] == "zip"
+    changed = bytearray(packed())
+    changed[400] ^= 1  # the sum differs
+    assert "CRC" in readers._read("x", bytes(changed))[2]
+    monkeypatch.setattr(zipfile, "ZipFile", None)
+    for data in plain:
+        assert readers._read("x", data)[1] == text.strip()
+
+
+def test_tags_of_parts():
+    part = """<?xml version="1.0"?><a:b x="1>2" y='/'/><c d='"'//><e/f="/"><!-- <g> --><![CDATA[<h>]]>i</j ><k l="m>n"""
+    assert [x[1:5] for x in readers._TAG.findall(part) if x[2]] == [("", "a:b", """ x="1>2" y='/'""", "/"), ("", "c", """ d='"'/""", "/"), ("", "e", '/f="/"', ""), ("/", "j", " ", "")]
+
+
+def test_equal_rows_of_a_batch_are_made_once(spark, monkeypatch):
+    calls, make = [], writers.docx_document
+    monkeypatch.setitem(writers.MAKERS, "docx", lambda *x: calls.append(x) or make(*x))
+    rows = [("a", None, '[{"mark":"bold","start":0,"end":1}]'), ("b", '[{"s":0,"e":1,"b":"\\"n\\"\\n"}]', None), (None, None, None), ("b", None, None)] * 5
+    monkeypatch.setattr(writers, "SMALL", -1)
+    out = writers._files("docx", *(pa.array(x, pa.string()) for x in zip(*rows, strict=True))).to_pylist()
+    assert calls == [("a", (), (("bold", 0, 1),)), ("b", ((0, 1, '"n"\n'),), ()), ("b", (), ())]
+    assert out == [make(*calls[0]), make(*calls[1]), None, make(*calls[2])] * 5
+    marks = [("bold", 0, 1), (None, 1, 2), None, ("italic", None, 2), ("underline", 1, 3)]
+    docs = spark.createDataFrame([(1, "a€😀", marks), (2, "b", None), (3, None, [])], "doc_id long, text string, marks " + rich.MARKS)
+    notes = spark.createDataFrame([(1, 0, 1, 'n "é"\n\\ 😀'), (1, 1, 2, None), (2, None, 1, "x")], "doc_id long, start int, end int, body string")
+    got = {r.doc_id: r.content for r in writers.exported(docs, "docx", notes).collect()}
+    assert bytes(got[1]) == make("a€😀", [(0, 1, 'n "é"\n\\ 😀'), (1, 2, "")], [("bold", 0, 1), (None, 1, 2), ("underline", 1, 3)])
+    assert bytes(got[2]) == make("b") and got[3] is None
+
+
+def test_rich_files_deals_equal_texts_to_one_task(spark):
+    from citegrid.plans import queries
+
+    files = queries.rich_files(spark, "/root/testdata/sf0.001").filter("path like '%.rtf'").select("text", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(files) < len({r.text for r in files}) + len({r.task for r in files})
+
+
 def test_marks_in_files():
     text, marks = "Bold é {x}\nplain it\x01alic end", [("bold", 0, 4), ("italic", 18, 25), ("underline", 2, 8)]
     clean = text.replace("\x01", "")
